@@ -36,7 +36,8 @@ def seeded_hash(seed, *cols) -> Column:
     DuckDB's ``md5(concat_ws('|', ...))`` gives the same string, which makes
     the order checkable against SQL.
     """
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c) if isinstance(c, str) else c for c in cols]))
+    parts = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
 
 
 def hash_bucket(h: Column | str, digits: int = 3) -> Column:

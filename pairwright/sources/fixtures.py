@@ -236,4 +236,7 @@ def sql_with(body: str, *names: str) -> str:
     if not order:
         return body
     ctes = ",\n".join(f"{n} AS ({SQL_CTES[n][0]})" for n in order)
+    head = body.lstrip()
+    if head[:5].upper() == "WITH ":  # the body's own CTEs follow the fixtures
+        return f"WITH {ctes},\n{head[5:]}"
     return f"WITH {ctes}\n{body}"
