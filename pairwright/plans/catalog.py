@@ -8,28 +8,13 @@ columns carry the same alias on both sides.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.operators import identity, quality, rank, split
+from pairwright.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from pairwright.schema import FUNC_COLS, PAIR_COLS
 from pairwright.sources import fixtures as fx
 
-QueryFn = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, QueryFn] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def deco(fn: QueryFn) -> QueryFn:
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-    return deco
-
 
 P9 = "folder1, file1, begin1, end1, folder2, file2, begin2, end2, label"
 F4 = 'folder, file, "begin", "end"'
@@ -267,3 +252,7 @@ def q_read_two_files(spark, d):
     cols = ["row_pos", *PAIR_COLS[:-1]]
     return split.two_file_pairs(p.filter(F.col("label") == "1").select(*cols),
                                 p.filter(F.col("label") == "0").select(*cols))
+
+
+# The other plan modules register themselves on import.
+from pairwright.plans import text_plans  # noqa: E402,F401
