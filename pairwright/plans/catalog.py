@@ -257,3 +257,4 @@ def q_read_two_files(spark, d):
 # The other plan modules register themselves on import.
 from pairwright.plans import text_plans  # noqa: E402,F401
 from pairwright.plans import score_plans  # noqa: E402,F401
+from pairwright.plans import source_plans  # noqa: E402,F401
