@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.functions.text import type_bucket
+from pairwright.session import stage
 
 # ---------------------------------------------------------------- fixed values
 # Java reserved words (plus literals true/false/null and contextual yield).
@@ -131,14 +132,15 @@ def declarations(sig: DataFrame, scopes: DataFrame) -> DataFrame:
                          F.struct("scope", "popen", "pclose", "pdepth").alias("_m"))
     t = sig.join(mark, ["sid", "pos"], "left").withColumn("_cur", F.last("_m", ignorenulls=True).over(upto))
     in_params = (F.col("pos") > F.col("_cur.popen")) & (F.col("pos") < F.col("_cur.pclose"))
-    top = in_params & (F.col("pd") == F.col("_cur.pdepth") + 1)
-    angle = F.when(in_params & (tok == "<"), 1).when(in_params & (tok == ">"), -1).otherwise(0)
+    t = t.filter(in_params)  # only parameter-list tokens from here on
+    top = F.col("pd") == F.col("_cur.pdepth") + 1
+    angle = F.when(tok == "<", 1).when(tok == ">", -1).otherwise(0)
     t = t.withColumn("_ad", F.coalesce(F.sum(angle).over(before), F.lit(0)))
-    sep = (F.col("pos") == F.col("_cur.popen")) | (top & (tok == ",") & (F.col("_ad") == 0))
-    t = t.withColumn("_pstart", F.max(F.when(sep, F.col("pos"))).over(upto))
+    sep = top & (tok == ",") & (F.col("_ad") == 0)
+    t = t.withColumn("_pstart", F.greatest(F.max(F.when(sep, F.col("pos"))).over(upto), F.col("_cur.popen")))
+    # one parameter = a few tokens, so this frame stays small
     pw = Window.partitionBy("sid", "_pstart").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    ptype = F.array_join(F.filter(F.collect_list("tok").over(pw),
-                                  lambda x: ~x.isin("final", ",", "(")), "")
+    ptype = F.array_join(F.filter(F.collect_list("tok").over(pw), lambda x: ~x.isin("final", ",")), "")
     params = (t.withColumn("_ptype", ptype)
               .filter(top & F.col("is_id") & F.col("n1").isin(",", ")") & (F.col("_ad") == 0))
               .select("sid", F.col("_cur.scope").alias("scope"), F.col("tok").alias("name"),
@@ -149,25 +151,27 @@ def declarations(sig: DataFrame, scopes: DataFrame) -> DataFrame:
     # ---- locals: statements start after ; { } or at "for (" / "try ("
     boundary = tok.isin(";", "{", "}") | ((tok == "(") & F.coalesce(F.col("p1"), F.lit("")).isin("for", "try"))
     s = sig.withColumn("_stmt", F.coalesce(F.sum(boundary.cast("int")).over(before), F.lit(0)))
-    sw = Window.partitionBy("sid", "_stmt").orderBy("pos")
-    s = (s.withColumn("_first", F.first(F.when(tok != "final", tok), ignorenulls=True)
-                      .over(sw.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-         .withColumn("_base", F.first("pd").over(sw.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-         .withColumn("_seen", F.filter(F.collect_list("tok").over(sw.rowsBetween(Window.unboundedPreceding, -1)),
-                                       lambda x: x != "final")))
+    whole = Window.partitionBy("sid", "_stmt").orderBy("pos").rowsBetween(Window.unboundedPreceding,
+                                                                          Window.unboundedFollowing)
+    s = (s.withColumn("_first", F.first(F.when(tok != "final", tok), ignorenulls=True).over(whole))
+         .withColumn("_base", F.first("pd").over(whole)))
     first_ok = F.col("_first").isin(*PRIMITIVES) | (F.col("_first").rlike(IDENT_RX) & ~F.col("_first").isin(*KEYWORDS))
     type_end = (F.col("p1").isin(*PRIMITIVES, ">", "]")
                 | (F.col("p1").rlike(IDENT_RX) & ~F.col("p1").isin(*KEYWORDS)))
-    ltype = F.array_join(F.col("_seen"), "")
     primary = (F.col("is_id") & F.col("n1").isin("=", ";", ",", ":") & type_end & first_ok
                & (F.col("pd") == F.col("_base")) & ~tok.isin(*PRIMITIVES))
-    s = s.withColumn("_primary", primary).withColumn("_ltype", F.when(primary, ltype))
-    s = s.withColumn("_decl_type", F.last("_ltype", ignorenulls=True).over(
-        sw.rowsBetween(Window.unboundedPreceding, 0)))
-    more = (F.col("is_id") & (F.col("p1") == ",") & F.col("n1").isin("=", ";", ",")
-            & (F.col("pd") == F.col("_base")) & F.col("_decl_type").isNotNull())
-    local_rows = s.filter(F.col("_primary") | more).select(
-        "sid", "pos", F.col("tok").alias("name"), type_bucket(F.col("_decl_type")).alias("bucket"))
+    more = (F.col("is_id") & (F.col("p1") == ",") & F.col("n1").isin("=", ";", ",") & (F.col("pd") == F.col("_base")))
+    cand = s.filter(primary | more).select("sid", "_stmt", "pos", "tok", primary.alias("_primary"))
+    # A declaration's type = the statement's tokens before its first declared name.
+    firsts = cand.filter("_primary").groupBy("sid", "_stmt").agg(F.min("pos").alias("_p0"))
+    stmt_tokens = (s.join(firsts, ["sid", "_stmt"], "left_semi")
+                   .groupBy("sid", "_stmt").agg(F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("_toks")))
+    typed = (cand.join(firsts, ["sid", "_stmt"]).filter(F.col("pos") >= F.col("_p0"))
+             .join(stmt_tokens, ["sid", "_stmt"])
+             .withColumn("_type", F.array_join(F.transform(
+                 F.filter("_toks", lambda x: (x["pos"] < F.col("_p0")) & (x["tok"] != "final")),
+                 lambda x: x["tok"]), "")))
+    local_rows = typed.select("sid", "pos", F.col("tok").alias("name"), type_bucket(F.col("_type")).alias("bucket"))
     bodies = scopes.select("sid", "scope", "body_open", "hi")
     locals_ = (local_rows.join(bodies, "sid")
                .filter((F.col("pos") > F.col("body_open")) & (F.col("pos") < F.col("hi")))
@@ -198,10 +202,10 @@ def replacements(sig: DataFrame, scopes: DataFrame, mappings: DataFrame) -> Data
 def rename_identifiers(df: DataFrame, sid: str = "snippet_id", code: str = "code") -> DataFrame:
     """``df`` with ``code`` renamed and a ``renamed`` flag."""
     toks = token_table(df, sid, code)
-    sig = _sig_tokens(toks)
-    ok = _balanced(sig)
-    sig = sig.join(ok, "sid", "left_semi")
-    scopes = scope_spans(sig)
+    # The significant-token table feeds every later step: written once.
+    sig = stage(_sig_tokens(toks), "tokens")
+    sig = sig.join(_balanced(sig), "sid", "left_semi")
+    scopes = stage(scope_spans(sig), "scopes")
     reps = replacements(sig, scopes, scope_mappings(declarations(sig, scopes)))
     per_snippet = reps.groupBy("sid").agg(F.map_from_entries(F.collect_list(F.struct("pos", "new_name"))).alias("_m"))
     tokens = F.regexp_extract_all(F.col(code), F.lit(TOKEN_RX), 0)

@@ -19,6 +19,7 @@ from pairwright.operators.identity import function_universe
 from pairwright.operators.quality import class_rows
 from pairwright.operators.rank import hash_row_number, position_row_number, seeded_hash
 from pairwright.schema import CLONE, FUNC_COLS, LEFT, NON_CLONE, PAIR_COLS, RIGHT
+from pairwright.session import stage
 
 SPLITS = ("train", "val", "test")
 
@@ -98,8 +99,10 @@ def split_pairs(pairs: DataFrame, train: float = 0.8, val: float = 0.1, seed: in
     written file of a split is its rows ordered by ``out_pos``.
     """
     valid = class_rows(pairs).select("row_pos", *PAIR_COLS)
-    assignment = assign_functions(function_universe(valid), train, val, seed, digits)
-    tagged = in_split_pairs(valid, assignment)
+    # The assignment feeds two joins, the in-split pairs feed three passes of
+    # the interleave rank: each is written once to the checkpoint folder.
+    assignment = stage(assign_functions(function_universe(valid), train, val, seed, digits), "assignment")
+    tagged = stage(in_split_pairs(valid, assignment), "in_split")
     return interleave_classes(tagged).select("split", "out_pos", "row_pos", *PAIR_COLS)
 
 
@@ -118,7 +121,7 @@ def rebalance(df: DataFrame, seed: int = 0, by: Sequence[str] = ("src",), digits
     seeded hash order over the kept rows.  ``sampleBy`` is not used: it does
     not give exact counts.
     """
-    valid = class_rows(df).withColumn("_h", seeded_hash(seed, "row_pos"))
+    valid = stage(class_rows(df).withColumn("_h", seeded_hash(seed, "row_pos")), "rebalance")
     k = valid.groupBy(*by).agg(F.least(F.count_if(F.col("label") == CLONE),
                                        F.count_if(F.col("label") == NON_CLONE)).alias("_k"))
     ranked = hash_row_number(valid, "_h", ["row_pos"], partition_by=[*by, "label"], out="_rn",

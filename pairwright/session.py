@@ -59,3 +59,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def env_cpus(default: int = 8) -> int:
     return int(os.environ.get("BENCH_CPUS", default))
+
+
+def stage(df, label: str = "stage"):
+    """Write ``df`` once as parquet under the checkpoint folder and read it back.
+
+    Used where one intermediate feeds several branches (an assignment table
+    joined twice, a token table scanned by many windows): the work runs
+    once, lineage is cut, and the read-back plan carries real file sizes for
+    adaptive join planning.  The folder is the shared one the session names
+    in ``spark.checkpoint.dir``, so the table outlives a lost executor.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/pairwright-{label}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
