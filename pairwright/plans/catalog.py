@@ -259,3 +259,4 @@ from pairwright.plans import text_plans  # noqa: E402,F401
 from pairwright.plans import score_plans  # noqa: E402,F401
 from pairwright.plans import source_plans  # noqa: E402,F401
 from pairwright.plans import rename_plans  # noqa: E402,F401
+from pairwright.plans import classify_plans  # noqa: E402,F401

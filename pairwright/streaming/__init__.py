@@ -1 +1 @@
-"""streaming."""
+"""Streaming forms of the pair operators (see ``balance``)."""
