@@ -71,6 +71,17 @@ def read_pairs(spark: SparkSession, paths: str | Sequence[str], header: bool = T
     return csv_row_positions(df) if positions else df.withColumn("src", F.col("_metadata.file_path"))
 
 
+def layout_errors(df: DataFrame) -> DataFrame:
+    """P1 on a CSV read: rows whose width differs from the layout, with their raw text.
+
+    Spark rejects a query on a CSV scan that references only the corrupt
+    record column, so the filter names a data column as well.
+    """
+    first = [c for c in df.columns if c not in (CORRUPT, "src", "row_pos")][0]
+    bad = F.col(CORRUPT).isNotNull() & (F.col(first).isNull() | F.col(first).isNotNull())
+    return df.filter(bad)
+
+
 def unfuse(df: DataFrame, col: str = "fused0") -> DataFrame:
     """S3: label = first character of the first cell, folder1 = the rest."""
     cols = [c for c in df.columns if c != col]
