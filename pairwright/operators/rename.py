@@ -21,17 +21,27 @@ need are window functions over it:
 * uses: identifiers not after ``.``, matched on (snippet, name) and the span;
   an outer method's mapping precedes a nested one's.
 
-Every window is partitioned by snippet: a snippet is one text, the unit of
-work.  Replacements travel as a small per-snippet map and are spliced into
-the snippet's token array, so token rows are never collected.  Snippets with
-unbalanced brackets are left as they are (``renamed`` false), like the
-reference's fallback on a failed parse.  Scope: the constructs above; other
-declaration forms (catch parameters, try resources, records) are not renamed.
+Execution: snippets are hash partitioned by id once, so the token windows
+(one sort per snippet, chained windows with the same order) need no token
+shuffle; the resulting token table is written once and every later step
+reads a filtered slice of it.  Nothing pairs every row of a snippet with
+every method of it: a parameter's type is one small group (its own
+tokens), a local's type one group per declaration statement, and "which
+methods enclose this token" is answered per nesting level -- at one brace
+depth method spans are disjoint, so the last span opened before a token is
+the only one that can hold it (a ``last(..) ignore nulls`` window over
+markers and tokens of that level).  Rows are multiplied only by their own
+nesting depth.  Replacements travel as a small per-snippet map spliced into
+the snippet's token array.  Snippets with unbalanced brackets are left as
+they are (``renamed`` false), like the reference's fallback on a failed
+parse.  Scope: the constructs above; other declaration forms (catch
+parameters, try resources, records, annotated parameter types) are not
+renamed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.functions.text import type_bucket
@@ -61,24 +71,76 @@ def token_table(df: DataFrame, sid: str = "snippet_id", code: str = "code") -> D
                      F.posexplode(F.regexp_extract_all(F.col(code), F.lit(TOKEN_RX), 0)).alias("pos", "tok"))
 
 
+def _ident(c) -> Column:
+    return c.rlike(IDENT_RX) & ~c.isin(*KEYWORDS)
+
+
 def _sig_tokens(tokens: DataFrame) -> DataFrame:
-    """Non-space tokens with depths and neighbours."""
-    sig = tokens.filter(~F.col("tok").rlike(r"^\s+$"))
+    """Non-space tokens with depths, neighbours, statement and parameter-list facts.
+
+    Columns: sid, pos, tok, bd/pd (brace/paren depth before the token), p1, p2,
+    n1, n2, n1pos, next_lbrace, is_id, stmt_start, stmt_base, local_decl,
+    is_ltype, cur_open, in_params, pidx.
+    """
+    tok = F.col("tok")
+    sig = tokens.filter(~tok.rlike(r"^\s+$"))
     w = Window.partitionBy("sid").orderBy("pos")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     after = w.rowsBetween(1, Window.unboundedFollowing)
-    tok = F.col("tok")
     brace = F.when(tok == "{", 1).when(tok == "}", -1).otherwise(0)
     paren = F.when(tok == "(", 1).when(tok == ")", -1).otherwise(0)
-    return sig.select(
+    s = sig.select(
         "sid", "pos", "tok",
         F.coalesce(F.sum(brace).over(before), F.lit(0)).alias("bd"),
         F.coalesce(F.sum(paren).over(before), F.lit(0)).alias("pd"),
-        F.lag("tok", 1).over(w).alias("p1"),
-        F.lead("tok", 1).over(w).alias("n1"),
+        F.lag("tok", 1).over(w).alias("p1"), F.lag("tok", 2).over(w).alias("p2"),
+        F.lead("tok", 1).over(w).alias("n1"), F.lead("tok", 2).over(w).alias("n2"),
         F.lead("pos", 1).over(w).alias("n1pos"),
         F.min(F.when(tok == "{", F.col("pos"))).over(after).alias("next_lbrace"),
-        (tok.rlike(IDENT_RX) & ~tok.isin(*KEYWORDS)).alias("is_id"))
+        _ident(tok).alias("is_id"))
+
+    # statements start after ; { } or at "for (" / "try ("; "(" after a
+    # non-keyword identifier not preceded by new or "." may open a parameter list
+    p1, p2 = F.coalesce(F.col("p1"), F.lit("")), F.coalesce(F.col("p2"), F.lit(""))
+    boundary = tok.isin(";", "{", "}") | ((tok == "(") & p1.isin("for", "try"))
+    hdr_open = (tok == "(") & _ident(p1) & ~p2.isin("new", ".")
+    first_after = F.when(F.col("n1") == "final", F.col("n2")).otherwise(F.col("n1"))
+    s = s.select(
+        "*",
+        F.coalesce(F.last(F.when(boundary, F.col("pos")), True).over(before), F.lit(-1)).alias("stmt_start"),
+        F.coalesce(F.last(F.when(boundary, first_after), True).over(before),
+                   F.first(F.when(tok != "final", tok), True).over(upto)).alias("stmt_first"),
+        F.coalesce(F.last(F.when(boundary, F.col("pd") + (tok == "(").cast("int")), True).over(before),
+                   F.lit(0)).alias("stmt_base"),
+        F.last(F.when(hdr_open, F.col("pos")), True).over(upto).alias("cur_open"),
+        F.last(F.when(hdr_open, F.col("pd")), True).over(upto).alias("cur_open_pd"))
+
+    # locals: [final] Type name (= ; , :) at statement level, then ", name" declarators
+    type_end = F.col("p1").isin(*PRIMITIVES, ">", "]") | _ident(F.col("p1"))
+    first_ok = F.col("stmt_first").isin(*PRIMITIVES) | _ident(F.col("stmt_first"))
+    primary = (F.col("is_id") & F.col("n1").isin("=", ";", ",", ":") & type_end & first_ok
+               & (F.col("pd") == F.col("stmt_base")) & ~tok.isin(*PRIMITIVES))
+    stmt = Window.partitionBy("sid", "stmt_start")
+    s = s.withColumn("_p0", F.min(F.when(primary, F.col("pos"))).over(stmt))
+    more = (F.col("is_id") & (F.col("p1") == ",") & F.col("n1").isin("=", ";", ",")
+            & (F.col("pd") == F.col("stmt_base")) & (F.col("pos") > F.col("_p0")))
+    s = (s.withColumn("local_decl", (primary & (F.col("pos") == F.col("_p0"))) | F.coalesce(more, F.lit(False)))
+         .withColumn("is_ltype", F.coalesce((F.col("pos") < F.col("_p0")) & (tok != "final"), F.lit(False))))
+
+    # parameter lists: tokens after a candidate "(" until its ")" (first ")" back to its depth)
+    pl = Window.partitionBy("sid", "cur_open").orderBy("pos")
+    pl_before = pl.rowsBetween(Window.unboundedPreceding, -1)
+    closing = (tok == ")") & (F.col("pd") == F.col("cur_open_pd") + 1)
+    s = s.withColumn("_closed", F.max(F.when(closing, F.col("pos"))).over(pl_before))
+    in_params = ((F.col("pos") > F.col("cur_open")) & F.col("_closed").isNull() & ~closing)
+    s = s.withColumn("in_params", F.coalesce(in_params, F.lit(False)))
+    angle = F.when(F.col("in_params") & (tok == "<"), 1).when(F.col("in_params") & (tok == ">"), -1).otherwise(0)
+    s = s.withColumn("_ad", F.coalesce(F.sum(angle).over(pl_before), F.lit(0)))
+    top_comma = (F.col("in_params") & (tok == ",") & (F.col("pd") == F.col("cur_open_pd") + 1)
+                 & (F.col("_ad") == 0))
+    s = s.withColumn("pidx", F.coalesce(F.sum(top_comma.cast("int")).over(pl_before), F.lit(0)))
+    return s.drop("stmt_first", "cur_open_pd", "_p0", "_closed", "_ad")
 
 
 def _pairs(sig: DataFrame, open_tok: str, close_tok: str, depth: str) -> DataFrame:
@@ -103,79 +165,76 @@ def _balanced(sig: DataFrame) -> DataFrame:
 
 
 def scope_spans(sig: DataFrame) -> DataFrame:
-    """methods/constructors (sid, scope, lo, hi, depth, popen, pclose, pdepth, body_open)."""
-    parens = _pairs(sig, "(", ")", "pd")
-    braces = _pairs(sig, "{", "}", "bd")
-    heads = (sig.filter(F.col("is_id") & (F.col("n1") == "(") & ~F.coalesce(F.col("p1"), F.lit("")).isin("new", "."))
+    """methods/constructors of balanced snippets
+    (sid, scope, lo, hi, depth, popen, pclose, body_open)."""
+    brackets = sig.filter(F.col("tok").isin("(", ")", "{", "}"))
+    parens = _pairs(brackets, "(", ")", "pd")
+    braces = _pairs(brackets, "{", "}", "bd")
+    heads = (sig.filter(F.col("is_id") & (F.col("n1") == "(")
+                        & ~F.coalesce(F.col("p1"), F.lit("")).isin("new", "."))
              .select("sid", F.col("pos").alias("scope"), F.col("bd").alias("depth"), F.col("n1pos").alias("popen")))
-    closes = sig.select("sid", F.col("pos").alias("pclose"), F.col("n1").alias("after"),
-                        F.col("next_lbrace").alias("body_open"))
-    m = (heads.join(parens.select("sid", F.col("open_pos").alias("popen"), F.col("close_pos").alias("pclose"),
-                                  F.col("depth").alias("pdepth")), ["sid", "popen"])
+    closes = brackets.filter(F.col("tok") == ")").select(
+        "sid", F.col("pos").alias("pclose"), F.col("n1").alias("after"), F.col("next_lbrace").alias("body_open"))
+    m = (heads.join(parens.select("sid", F.col("open_pos").alias("popen"), F.col("close_pos").alias("pclose")),
+                    ["sid", "popen"])
          .join(closes, ["sid", "pclose"])
          .filter(F.col("after").isin("{", "throws"))
          .join(braces.select("sid", F.col("open_pos").alias("body_open"), F.col("close_pos").alias("hi")),
-               ["sid", "body_open"]))
-    return m.select("sid", "scope", F.col("scope").alias("lo"), "hi", "depth", "popen", "pclose", "pdepth",
-                    "body_open")
+               ["sid", "body_open"])
+         .join(_balanced(sig), "sid", "left_semi"))
+    return m.select("sid", "scope", F.col("scope").alias("lo"), "hi", "depth", "popen", "pclose", "body_open")
+
+
+def _sorted_tokens(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per group: its tokens in position order (groups are a few tokens)."""
+    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("_t"))
+
+
+def _enclosing(rows: DataFrame, markers: DataFrame, keys: list[str], inclusive_depth: bool) -> DataFrame:
+    """For each row (keys, pos, bd, payload...) and each nesting level that can hold it,
+    the marker (keys, lvl, start, end, payload...) of that level opened last before
+    it, kept when the row lies before the marker's end.
+
+    ``inclusive_depth``: a row at brace depth b may sit in spans of depth 0..b
+    (method header and parameters); otherwise 0..b-1 (method bodies).
+    """
+    top = F.col("bd") if inclusive_depth else F.col("bd") - 1
+    r = (rows.filter(top >= 0).withColumn("lvl", F.explode(F.sequence(F.lit(0), top)))
+         .withColumn("_kind", F.lit(1)))
+    m = markers.withColumn("_kind", F.lit(0))
+    u = r.unionByName(m, allowMissingColumns=True)
+    w = (Window.partitionBy(*keys, "lvl").orderBy("pos", "_kind")
+         .rowsBetween(Window.unboundedPreceding, 0))
+    cols = [c for c in markers.columns if c not in (*keys, "lvl", "pos")]
+    carried = u.withColumn("_m", F.last(F.when(F.col("_kind") == 0, F.struct(*cols)), True).over(w))
+    return (carried.filter((F.col("_kind") == 1) & F.col("_m").isNotNull() & (F.col("pos") <= F.col("_m.end")))
+            .select(*[c for c in rows.columns], "lvl", "_m.*"))
 
 
 def declarations(sig: DataFrame, scopes: DataFrame) -> DataFrame:
     """(sid, scope, name, bucket, is_local, pos) for parameters and locals."""
-    w = Window.partitionBy("sid").orderBy("pos")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    tok = F.col("tok")
+    # parameters: one group per top-level parameter; last token = name, the rest = type
+    groups = _sorted_tokens(sig.filter(F.col("in_params") & ~F.col("tok").isin(",", "final")),
+                            ["sid", "cur_open", "pidx"])
+    last = F.element_at("_t", -1)
+    ptype = F.array_join(F.transform(F.slice("_t", 1, F.size("_t") - 1), lambda x: x["tok"]), "")
+    params = (groups.filter((F.size("_t") >= 2) & _ident(last["tok"]))
+              .join(scopes.select("sid", F.col("popen").alias("cur_open"), "scope"), ["sid", "cur_open"])
+              .select("sid", "scope", last["tok"].alias("name"),
+                      F.when(ptype.endswith("..."), F.lit("obj")).otherwise(type_bucket(ptype)).alias("bucket"),
+                      F.lit(0).alias("is_local"), last["pos"].alias("pos")))
 
-    # ---- parameters: tag tokens with the parameter list they sit in
-    mark = scopes.select("sid", F.col("popen").alias("pos"),
-                         F.struct("scope", "popen", "pclose", "pdepth").alias("_m"))
-    t = sig.join(mark, ["sid", "pos"], "left").withColumn("_cur", F.last("_m", ignorenulls=True).over(upto))
-    in_params = (F.col("pos") > F.col("_cur.popen")) & (F.col("pos") < F.col("_cur.pclose"))
-    t = t.filter(in_params)  # only parameter-list tokens from here on
-    top = F.col("pd") == F.col("_cur.pdepth") + 1
-    angle = F.when(tok == "<", 1).when(tok == ">", -1).otherwise(0)
-    t = t.withColumn("_ad", F.coalesce(F.sum(angle).over(before), F.lit(0)))
-    sep = top & (tok == ",") & (F.col("_ad") == 0)
-    t = t.withColumn("_pstart", F.greatest(F.max(F.when(sep, F.col("pos"))).over(upto), F.col("_cur.popen")))
-    # one parameter = a few tokens, so this frame stays small
-    pw = Window.partitionBy("sid", "_pstart").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    ptype = F.array_join(F.filter(F.collect_list("tok").over(pw), lambda x: ~x.isin("final", ",")), "")
-    params = (t.withColumn("_ptype", ptype)
-              .filter(top & F.col("is_id") & F.col("n1").isin(",", ")") & (F.col("_ad") == 0))
-              .select("sid", F.col("_cur.scope").alias("scope"), F.col("tok").alias("name"),
-                      F.when(F.col("p1") == "...", F.lit("obj")).otherwise(type_bucket(F.col("_ptype")))
-                      .alias("bucket"),
-                      F.lit(0).alias("is_local"), "pos"))
-
-    # ---- locals: statements start after ; { } or at "for (" / "try ("
-    boundary = tok.isin(";", "{", "}") | ((tok == "(") & F.coalesce(F.col("p1"), F.lit("")).isin("for", "try"))
-    s = sig.withColumn("_stmt", F.coalesce(F.sum(boundary.cast("int")).over(before), F.lit(0)))
-    whole = Window.partitionBy("sid", "_stmt").orderBy("pos").rowsBetween(Window.unboundedPreceding,
-                                                                          Window.unboundedFollowing)
-    s = (s.withColumn("_first", F.first(F.when(tok != "final", tok), ignorenulls=True).over(whole))
-         .withColumn("_base", F.first("pd").over(whole)))
-    first_ok = F.col("_first").isin(*PRIMITIVES) | (F.col("_first").rlike(IDENT_RX) & ~F.col("_first").isin(*KEYWORDS))
-    type_end = (F.col("p1").isin(*PRIMITIVES, ">", "]")
-                | (F.col("p1").rlike(IDENT_RX) & ~F.col("p1").isin(*KEYWORDS)))
-    primary = (F.col("is_id") & F.col("n1").isin("=", ";", ",", ":") & type_end & first_ok
-               & (F.col("pd") == F.col("_base")) & ~tok.isin(*PRIMITIVES))
-    more = (F.col("is_id") & (F.col("p1") == ",") & F.col("n1").isin("=", ";", ",") & (F.col("pd") == F.col("_base")))
-    cand = s.filter(primary | more).select("sid", "_stmt", "pos", "tok", primary.alias("_primary"))
-    # A declaration's type = the statement's tokens before its first declared name.
-    firsts = cand.filter("_primary").groupBy("sid", "_stmt").agg(F.min("pos").alias("_p0"))
-    stmt_tokens = (s.join(firsts, ["sid", "_stmt"], "left_semi")
-                   .groupBy("sid", "_stmt").agg(F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("_toks")))
-    typed = (cand.join(firsts, ["sid", "_stmt"]).filter(F.col("pos") >= F.col("_p0"))
-             .join(stmt_tokens, ["sid", "_stmt"])
-             .withColumn("_type", F.array_join(F.transform(
-                 F.filter("_toks", lambda x: (x["pos"] < F.col("_p0")) & (x["tok"] != "final")),
-                 lambda x: x["tok"]), "")))
-    local_rows = typed.select("sid", "pos", F.col("tok").alias("name"), type_bucket(F.col("_type")).alias("bucket"))
-    bodies = scopes.select("sid", "scope", "body_open", "hi")
-    locals_ = (local_rows.join(bodies, "sid")
-               .filter((F.col("pos") > F.col("body_open")) & (F.col("pos") < F.col("hi")))
-               .select("sid", "scope", "name", "bucket", F.lit(1).alias("is_local"), "pos"))
+    # locals: the statement's tokens before its first declared name are the type
+    types = _sorted_tokens(sig.filter("is_ltype"), ["sid", "stmt_start"]).select(
+        "sid", "stmt_start", F.array_join(F.transform("_t", lambda x: x["tok"]), "").alias("_type"))
+    decl = (sig.filter("local_decl").select("sid", "stmt_start", "pos", "bd", F.col("tok").alias("name"))
+            .join(types, ["sid", "stmt_start"]).drop("stmt_start"))
+    # registered in every method whose body holds the declaration
+    bodies = scopes.select("sid", F.col("depth").alias("lvl"), F.col("body_open").alias("pos"),
+                           F.col("hi").alias("end"), "scope")
+    held = _enclosing(decl, bodies, ["sid"], inclusive_depth=False)
+    locals_ = held.select("sid", "scope", "name", type_bucket(F.col("_type")).alias("bucket"),
+                          F.lit(1).alias("is_local"), "pos")
     return params.unionByName(locals_)
 
 
@@ -188,23 +247,22 @@ def scope_mappings(decls: DataFrame) -> DataFrame:
 
 
 def replacements(sig: DataFrame, scopes: DataFrame, mappings: DataFrame) -> DataFrame:
-    """(sid, pos, new_name) for uses inside a mapped scope; outer scope first."""
-    uses = sig.filter(F.col("is_id") & (F.coalesce(F.col("p1"), F.lit("")) != ".")).select(
-        "sid", "pos", F.col("tok").alias("name"))
-    m = mappings.join(scopes.select("sid", "scope", "lo", "hi", "depth"), ["sid", "scope"])
-    hit = (uses.join(m, ["sid", "name"])
-           .filter((F.col("pos") >= F.col("lo")) & (F.col("pos") <= F.col("hi"))))
-    first = Window.partitionBy("sid", "pos").orderBy("depth", "lo")
-    return (hit.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") == 1)
-            .select("sid", "pos", "new_name"))
+    """(sid, pos, new_name) for uses inside a mapped scope; the outermost wins."""
+    spans = mappings.join(scopes.select("sid", "scope", "lo", "hi", "depth"), ["sid", "scope"])
+    uses = (sig.filter(F.col("is_id") & (F.coalesce(F.col("p1"), F.lit("")) != "."))
+            .select("sid", "pos", "bd", F.col("tok").alias("name"))
+            .join(spans.select("sid", "name").distinct(), ["sid", "name"], "left_semi"))
+    markers = spans.select("sid", "name", F.col("depth").alias("lvl"), F.col("lo").alias("pos"),
+                           F.col("hi").alias("end"), "new_name")
+    hits = _enclosing(uses, markers, ["sid", "name"], inclusive_depth=True)
+    return hits.groupBy("sid", "pos").agg(F.min_by("new_name", F.col("lvl")).alias("new_name"))
 
 
 def rename_identifiers(df: DataFrame, sid: str = "snippet_id", code: str = "code") -> DataFrame:
     """``df`` with ``code`` renamed and a ``renamed`` flag."""
-    toks = token_table(df, sid, code)
-    # The significant-token table feeds every later step: written once.
+    # Snippets are partitioned by id once; the token windows then need no shuffle.
+    toks = token_table(df.repartition(sid), sid, code)
     sig = stage(_sig_tokens(toks), "tokens")
-    sig = sig.join(_balanced(sig), "sid", "left_semi")
     scopes = stage(scope_spans(sig), "scopes")
     reps = replacements(sig, scopes, scope_mappings(declarations(sig, scopes)))
     per_snippet = reps.groupBy("sid").agg(F.map_from_entries(F.collect_list(F.struct("pos", "new_name"))).alias("_m"))
