@@ -78,16 +78,28 @@ def _ident(c) -> Column:
 def _sig_tokens(tokens: DataFrame) -> DataFrame:
     """Non-space tokens with depths, neighbours, statement and parameter-list facts.
 
-    Columns: sid, pos, tok, bd/pd (brace/paren depth before the token), p1, p2,
-    n1, n2, n1pos, next_lbrace, is_id, stmt_start, stmt_base, local_decl,
-    is_ltype, cur_open, in_params, pidx.
+    Columns: sid, pos, tok, bd/pd (brace/paren depth before the token), p1,
+    n1, n1pos, next_lbrace, is_id, stmt_start, local_decl, is_ltype,
+    cur_open, in_params, pidx.  Every window runs in the one (sid, pos)
+    order: per-statement and per-parameter-list facts are carries ("the last
+    boundary / primary / closing position before me") compared with the
+    segment start, and running counts minus their value at the segment
+    start, so the token table is sorted once.
     """
-    tok = F.col("tok")
+    tok, pos = F.col("tok"), F.col("pos")
     sig = tokens.filter(~tok.rlike(r"^\s+$"))
     w = Window.partitionBy("sid").orderBy("pos")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    after = w.rowsBetween(1, Window.unboundedFollowing)
+    # "next X" facts come from running frames in descending order: frames that
+    # reach to the partition end are re-evaluated per row (quadratic per text)
+    back = Window.partitionBy("sid").orderBy(F.col("pos").desc())
+    after = back.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = back.rowsBetween(Window.unboundedPreceding, 0)
+
+    def last_before(c, frame=before):
+        return F.last(c, True).over(frame)
+
     brace = F.when(tok == "{", 1).when(tok == "}", -1).otherwise(0)
     paren = F.when(tok == "(", 1).when(tok == ")", -1).otherwise(0)
     s = sig.select(
@@ -97,50 +109,55 @@ def _sig_tokens(tokens: DataFrame) -> DataFrame:
         F.lag("tok", 1).over(w).alias("p1"), F.lag("tok", 2).over(w).alias("p2"),
         F.lead("tok", 1).over(w).alias("n1"), F.lead("tok", 2).over(w).alias("n2"),
         F.lead("pos", 1).over(w).alias("n1pos"),
-        F.min(F.when(tok == "{", F.col("pos"))).over(after).alias("next_lbrace"),
         _ident(tok).alias("is_id"))
 
     # statements start after ; { } or at "for (" / "try ("; "(" after a
     # non-keyword identifier not preceded by new or "." may open a parameter list
     p1, p2 = F.coalesce(F.col("p1"), F.lit("")), F.coalesce(F.col("p2"), F.lit(""))
     boundary = tok.isin(";", "{", "}") | ((tok == "(") & p1.isin("for", "try"))
-    hdr_open = (tok == "(") & _ident(p1) & ~p2.isin("new", ".")
     first_after = F.when(F.col("n1") == "final", F.col("n2")).otherwise(F.col("n1"))
     s = s.select(
-        "*",
-        F.coalesce(F.last(F.when(boundary, F.col("pos")), True).over(before), F.lit(-1)).alias("stmt_start"),
-        F.coalesce(F.last(F.when(boundary, first_after), True).over(before),
-                   F.first(F.when(tok != "final", tok), True).over(upto)).alias("stmt_first"),
-        F.coalesce(F.last(F.when(boundary, F.col("pd") + (tok == "(").cast("int")), True).over(before),
-                   F.lit(0)).alias("stmt_base"),
-        F.last(F.when(hdr_open, F.col("pos")), True).over(upto).alias("cur_open"),
-        F.last(F.when(hdr_open, F.col("pd")), True).over(upto).alias("cur_open_pd"))
+        "*", ((tok == "(") & _ident(p1) & ~p2.isin("new", ".")).alias("_hdr"),
+        F.coalesce(last_before(F.when(boundary, pos)), F.lit(-1)).alias("stmt_start"),
+        F.coalesce(last_before(F.when(boundary, first_after)),
+                   F.first(F.when(tok != "final", tok), True).over(upto)).alias("_sfirst"),
+        F.coalesce(last_before(F.when(boundary, F.col("pd") + (tok == "(").cast("int"))), F.lit(0)).alias("_sbase"))
+    s = s.select("*", last_before(F.when(F.col("_hdr"), pos), upto).alias("cur_open"),
+                 last_before(F.when(F.col("_hdr"), F.col("pd")), upto).alias("_opd"))
 
     # locals: [final] Type name (= ; , :) at statement level, then ", name" declarators
     type_end = F.col("p1").isin(*PRIMITIVES, ">", "]") | _ident(F.col("p1"))
-    first_ok = F.col("stmt_first").isin(*PRIMITIVES) | _ident(F.col("stmt_first"))
-    primary = (F.col("is_id") & F.col("n1").isin("=", ";", ",", ":") & type_end & first_ok
-               & (F.col("pd") == F.col("stmt_base")) & ~tok.isin(*PRIMITIVES))
-    stmt = Window.partitionBy("sid", "stmt_start")
-    s = s.withColumn("_p0", F.min(F.when(primary, F.col("pos"))).over(stmt))
+    primary = (F.col("is_id") & F.col("n1").isin("=", ";", ",", ":") & type_end
+               & (F.col("_sfirst").isin(*PRIMITIVES) | _ident(F.col("_sfirst")))
+               & (F.col("pd") == F.col("_sbase")) & ~tok.isin(*PRIMITIVES))
+    closing = (tok == ")") & (F.col("pd") == F.col("_opd") + 1)
+    s = s.select("*", primary.alias("_primary"),
+                 last_before(F.when(primary, pos)).alias("_prev_primary"),
+                 last_before(F.when(closing, pos)).alias("_last_close"))
+    none_before = F.coalesce(F.col("_prev_primary") < F.col("stmt_start"), F.lit(True))
     more = (F.col("is_id") & (F.col("p1") == ",") & F.col("n1").isin("=", ";", ",")
-            & (F.col("pd") == F.col("stmt_base")) & (F.col("pos") > F.col("_p0")))
-    s = (s.withColumn("local_decl", (primary & (F.col("pos") == F.col("_p0"))) | F.coalesce(more, F.lit(False)))
-         .withColumn("is_ltype", F.coalesce((F.col("pos") < F.col("_p0")) & (tok != "final"), F.lit(False))))
-
-    # parameter lists: tokens after a candidate "(" until its ")" (first ")" back to its depth)
-    pl = Window.partitionBy("sid", "cur_open").orderBy("pos")
-    pl_before = pl.rowsBetween(Window.unboundedPreceding, -1)
-    closing = (tok == ")") & (F.col("pd") == F.col("cur_open_pd") + 1)
-    s = s.withColumn("_closed", F.max(F.when(closing, F.col("pos"))).over(pl_before))
-    in_params = ((F.col("pos") > F.col("cur_open")) & F.col("_closed").isNull() & ~closing)
-    s = s.withColumn("in_params", F.coalesce(in_params, F.lit(False)))
-    angle = F.when(F.col("in_params") & (tok == "<"), 1).when(F.col("in_params") & (tok == ">"), -1).otherwise(0)
-    s = s.withColumn("_ad", F.coalesce(F.sum(angle).over(pl_before), F.lit(0)))
-    top_comma = (F.col("in_params") & (tok == ",") & (F.col("pd") == F.col("cur_open_pd") + 1)
-                 & (F.col("_ad") == 0))
-    s = s.withColumn("pidx", F.coalesce(F.sum(top_comma.cast("int")).over(pl_before), F.lit(0)))
-    return s.drop("stmt_first", "cur_open_pd", "_p0", "_closed", "_ad")
+            & (F.col("pd") == F.col("_sbase")) & ~none_before)
+    is_ltype = (none_before & (F.col("_next_primary.s") == F.col("stmt_start"))
+                & (pos < F.col("_next_primary.p")) & (tok != "final"))
+
+    # parameter lists: tokens after a candidate "(" until its ")" (first ")" back to its depth);
+    # a parameter's tokens share the count of parameter names seen before them in the list
+    in_params = ((pos > F.col("cur_open")) & ~F.coalesce(F.col("_last_close") > F.col("cur_open"), F.lit(False))
+                 & ~closing)
+    name_cand = (in_params & F.col("is_id") & F.col("n1").isin(",", ")") & (type_end | (F.col("p1") == "..."))
+                 & (F.col("pd") == F.col("_opd") + 1))
+    s = s.select("*", F.coalesce((F.col("_primary") & none_before) | more, F.lit(False)).alias("local_decl"),
+                 F.coalesce(in_params, F.lit(False)).alias("in_params"),
+                 F.coalesce(F.sum(F.coalesce(name_cand, F.lit(False)).cast("int")).over(before), F.lit(0))
+                 .alias("_nc"))
+    s = s.withColumn("pidx", F.col("_nc") - last_before(F.when(F.col("_hdr"), F.col("_nc")), upto))
+    # descending pass: nearest "{" after each token, nearest declaration at or after it
+    s = s.select("*", F.last(F.when(tok == "{", pos), True).over(after).alias("next_lbrace"),
+                 F.last(F.when(F.col("_primary"), F.struct(pos.alias("p"), F.col("stmt_start").alias("s"))), True)
+                 .over(ahead).alias("_next_primary"))
+    s = s.withColumn("is_ltype", F.coalesce(is_ltype, F.lit(False)))
+    return s.select("sid", "pos", "tok", "bd", "pd", "p1", "n1", "n1pos", "next_lbrace", "is_id", "stmt_start",
+                    "local_decl", "is_ltype", "cur_open", "in_params", "pidx")
 
 
 def _pairs(sig: DataFrame, open_tok: str, close_tok: str, depth: str) -> DataFrame:
