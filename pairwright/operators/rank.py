@@ -72,7 +72,7 @@ def hash_row_number(df: DataFrame, h: str, tie: Sequence[str], partition_by: Seq
 
 
 def position_row_number(df: DataFrame, pos: str = "row_pos", partition_by: Sequence[str] = (),
-                        out: str = "rn", descending: bool = False, width: int = 1 << 18) -> DataFrame:
+                        out: str = "rn", descending: bool = False, width: int = 1 << 16) -> DataFrame:
     """Exact rank by a unique position column, bucketed on ``pos // width``.
 
     Positions are unique, so no bucket holds more than ``width`` rows.

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pairwright.operators import rename
 from pairwright.operators.normalize import normalize_code
 from pairwright.plans.registry import query, sql_lit
+from pairwright.session import stage
 from pairwright.sources import fixtures as fx
 
 # Template pieces (fixed test input); {T} type, {p} parameter, {n} count, {t} local, {i} loop variable.
@@ -78,8 +79,8 @@ SELECT o_orderkey AS snippet_id, name, new_name FROM (
          CASE o_orderstatus WHEN 'F' THEN 'str2' WHEN 'O' THEN 'num3' ELSE 'num_arr2' END FROM orders
   UNION ALL SELECT o_orderkey, 'i', CASE WHEN o_orderstatus = 'O' THEN 'num4' ELSE 'num2' END FROM orders)""")
 def q_number_declarations(spark, d):
-    toks = rename.token_table(method_snippets(spark, d))
-    sig = rename._sig_tokens(toks)
+    sig = stage(rename._sig_tokens(rename.token_table(method_snippets(spark, d).repartition("snippet_id"))),
+                "tokens")
     scopes = rename.scope_spans(sig)
     m = rename.scope_mappings(rename.declarations(sig, scopes))
     return m.select(F.col("sid").alias("snippet_id"), "name", "new_name")
@@ -107,3 +108,30 @@ SELECT o_orderkey AS snippet_id,
        regexp_replace({_sql_parts(True)}, '\\b0\\b', '<NUM>', 'g') AS code FROM orders""")
 def q_normalize_renamed(spark, d):
     return normalize_code(method_snippets(spark, d))
+
+
+@query("occurrence_match", f"""
+SELECT snippet_id, pos,
+       CASE WHEN tok = 'i' THEN CASE WHEN o_orderstatus = 'O' THEN 'num4' ELSE 'num2' END
+            WHEN tok = 'p' || CAST(o_custkey AS VARCHAR)
+              THEN CASE o_orderstatus WHEN 'F' THEN 'str1' WHEN 'O' THEN 'num1' ELSE 'num_arr1' END
+            WHEN tok = 'n' || CAST(snippet_id AS VARCHAR) THEN CASE WHEN o_orderstatus = 'O' THEN 'num2' ELSE 'num1' END
+            ELSE CASE o_orderstatus WHEN 'F' THEN 'str2' WHEN 'O' THEN 'num3' ELSE 'num_arr2' END END AS new_name
+FROM (SELECT o_orderkey AS snippet_id, o_orderstatus, o_custkey,
+             unnest(range(len(toks))) AS pos, unnest(toks) AS tok
+      FROM (SELECT *, regexp_extract_all({_sql_parts(False)}, {sql_lit(TOKEN_RE2)}) AS toks FROM orders))
+WHERE tok IN ('i', 'p' || CAST(o_custkey AS VARCHAR), 'n' || CAST(snippet_id AS VARCHAR),
+              't' || CAST(snippet_id AS VARCHAR))""")
+def q_occurrence_match(spark, d):
+    # Every use of a declared name inside its method, with the new name
+    sig = stage(rename._sig_tokens(rename.token_table(method_snippets(spark, d).repartition("snippet_id"))),
+                "tokens")
+    scopes = stage(rename.scope_spans(sig), "scopes")
+    reps = rename.replacements(sig, scopes, rename.scope_mappings(rename.declarations(sig, scopes)))
+    return reps.select(F.col("sid").alias("snippet_id"), F.col("pos").cast("long").alias("pos"), "new_name")
+
+
+@query("apply_renames", fx.sql_with("SELECT snippet_id, code, false AS renamed FROM snippets", "snippets"))
+def q_apply_renames(spark, d):
+    # Texts without a method keep every token (class bodies with fields only)
+    return rename.rename_identifiers(fx.spark_snippets(spark, d))

@@ -184,3 +184,10 @@ def q_normalize_pairs(spark, d):
     out = fetch.fetch_pairs(fx.spark_pairs(spark, d), fx.spark_files(spark, d),
                             normalizer=T.normalize_no_rename)
     return out.select("row_pos", "code1", "code2", "label")
+
+
+@query("decode_utf8", "SELECT doc_id, replace(text, chr(65533), '') AS text FROM documents")
+def q_decode_utf8(spark, d):
+    # Text -> UTF-8 bytes -> lenient decode (invalid sequences dropped)
+    docs = fx.table(spark, d, "documents")
+    return docs.select("doc_id", L.decode_utf8_lenient(F.encode("text", "UTF-8")).alias("text"))

@@ -61,3 +61,21 @@ def test_streaming_balance(spark, sf, tmpdir_path):
     q.stop()
     want = quality.class_balance(p.withColumn("src", F.lit("x"))).first()
     assert (got.t, got.c) == (want.total, want.clones)
+
+
+def test_code_files_source(spark, tmpdir_path):
+    from pairwright.operators import fetch
+    from pairwright.sources.files import derived_path, read_code_files
+    root = os.path.join(tmpdir_path, "code")
+    os.makedirs(os.path.join(root, "f1"))
+    with open(os.path.join(root, "f1", "A.java"), "wb") as f:
+        f.write(b"line0\r\nline1 \xff\xfe bad\rline2\n")
+    files = read_code_files(spark, root)
+    row = files.first()
+    assert row.path == "f1/A.java" and row.text == "line0\nline1  bad\nline2\n"
+    pairs = spark.createDataFrame([(0, "f1", "A.java", "1", "3", "f1", "missing.java", "0", "0", "1")],
+                                  "row_pos long, " + ", ".join(f"{c} string" for c in PAIR_COLS))
+    r = fetch.fetch_pairs(pairs, files).first()
+    assert (r.code1, r.code2) == ("line1  bad\nline2\n", "")
+    assert derived_path("/x/data/train.csv", "_dedup") == "/x/data/train_dedup"
+    assert derived_path("/x/data/train.csv", "_balanced", "/out") == "/out/train_balanced"
