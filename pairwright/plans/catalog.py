@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pairwright.operators import identity, quality, rank, split
 from pairwright.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from pairwright.schema import FUNC_COLS, PAIR_COLS
+from pairwright.session import stage
 from pairwright.sources import fixtures as fx
 
 
@@ -149,7 +150,24 @@ FROM ({_rank_sql(src)})"""
 
 
 VALID_LP = f"SELECT row_pos, {P9} FROM line_pairs WHERE label IN ('0', '1')"
-UNIVERSE_LP = UNIVERSE_SQL.format(t=f"({VALID_LP})")
+
+# The split oracle as named steps (DuckDB plans repeated inline subqueries badly).
+SPLIT_CTES = f"""WITH valid AS ({VALID_LP}),
+universe AS ({UNIVERSE_SQL.format(t='valid')}),
+ranked AS ({_rank_sql('SELECT * FROM universe')}),
+assign AS MATERIALIZED (
+  SELECT {F4}, rank,
+         CASE WHEN rank <= floor(CAST({TRAIN} AS DOUBLE) * (SELECT count(*) FROM universe)) THEN 'train'
+              WHEN rank <= floor(CAST({TRAIN} AS DOUBLE) * (SELECT count(*) FROM universe))
+                         + floor(CAST({VAL} AS DOUBLE) * (SELECT count(*) FROM universe)) THEN 'val'
+              ELSE 'test' END AS split
+  FROM ranked),
+tagged AS MATERIALIZED (
+  SELECT v.*, a1.split FROM valid v
+  JOIN assign a1 ON v.folder1 = a1.folder AND v.file1 = a1.file AND v.begin1 = a1."begin" AND v.end1 = a1."end"
+  JOIN assign a2 ON v.folder2 = a2.folder AND v.file2 = a2.file AND v.begin2 = a2."begin" AND v.end2 = a2."end"
+  WHERE a1.split = a2.split)
+"""
 
 
 @query("seeded_order", fx.sql_with(
@@ -170,22 +188,12 @@ def q_global_rank(spark, d):
         "row_pos", "rank")
 
 
-@query("function_partition", fx.sql_with(_assign_sql(UNIVERSE_LP), "line_pairs"))
+@query("function_partition", fx.sql_with(SPLIT_CTES + "SELECT * FROM assign", "line_pairs"))
 def q_function_partition(spark, d):
     valid = quality.class_rows(fx.spark_line_pairs(spark, d))
     return split.assign_functions(identity.function_universe(valid), TRAIN, VAL, SEED)
 
 
-def _tagged_sql() -> str:
-    return f"""
-SELECT v.*, a1.split FROM ({VALID_LP}) v
-JOIN ({_assign_sql(UNIVERSE_LP)}) a1
-  ON v.folder1 = a1.folder AND v.file1 = a1.file AND v.begin1 = a1."begin" AND v.end1 = a1."end"
-JOIN ({_assign_sql(UNIVERSE_LP)}) a2
-  ON v.folder2 = a2.folder AND v.file2 = a2.file AND v.begin2 = a2."begin" AND v.end2 = a2."end"
-WHERE a1.split = a2.split"""
-
-
 def _interleave_sql(src: str, by: str) -> str:
     return f"""
 SELECT r.{by}, 2 * (r.rn - 1) + CASE WHEN r.label = '0' THEN 1 ELSE 0 END AS out_pos, r.row_pos,
@@ -196,24 +204,24 @@ JOIN (SELECT {by}, least(count(*) FILTER (WHERE label = '1'), count(*) FILTER (W
 WHERE r.rn <= s.m"""
 
 
-@query("split_pairs", fx.sql_with(_interleave_sql(_tagged_sql(), "split"), "line_pairs"))
+@query("split_pairs", fx.sql_with(SPLIT_CTES + _interleave_sql("SELECT * FROM tagged", "split"), "line_pairs"))
 def q_split_pairs(spark, d):
     return split.split_pairs(fx.spark_line_pairs(spark, d), TRAIN, VAL, SEED)
 
 
-@query("split_sizes", fx.sql_with(f"""
-SELECT split, label, count(*) AS pairs FROM ({_tagged_sql()}) GROUP BY split, label""", "line_pairs"))
+@query("split_sizes", fx.sql_with(
+    SPLIT_CTES + "SELECT split, label, count(*) AS pairs FROM tagged GROUP BY split, label", "line_pairs"))
 def q_split_sizes(spark, d):
     valid = quality.class_rows(fx.spark_line_pairs(spark, d))
-    a = split.assign_functions(identity.function_universe(valid), TRAIN, VAL, SEED)
+    a = stage(split.assign_functions(identity.function_universe(valid), TRAIN, VAL, SEED), "assignment")
     return split.in_split_pairs(valid, a).groupBy("split", "label").agg(F.count(F.lit(1)).alias("pairs"))
 
 
-@query("semi_in_split", fx.sql_with(f"""
-SELECT v.* FROM ({VALID_LP}) v
-WHERE EXISTS (SELECT 1 FROM ({_assign_sql(UNIVERSE_LP)}) a WHERE a.split = 'train' AND
+@query("semi_in_split", fx.sql_with(SPLIT_CTES + """
+SELECT v.* FROM valid v
+WHERE EXISTS (SELECT 1 FROM assign a WHERE a.split = 'train' AND
               v.folder1 = a.folder AND v.file1 = a.file AND v.begin1 = a."begin" AND v.end1 = a."end")
-  AND EXISTS (SELECT 1 FROM ({_assign_sql(UNIVERSE_LP)}) a WHERE a.split = 'train' AND
+  AND EXISTS (SELECT 1 FROM assign a WHERE a.split = 'train' AND
               v.folder2 = a.folder AND v.file2 = a.file AND v.begin2 = a."begin" AND v.end2 = a."end")
 """, "line_pairs"))
 def q_semi_in_split(spark, d):
