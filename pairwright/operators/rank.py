@@ -47,17 +47,21 @@ def hash_bucket(h: Column | str, digits: int = 3) -> Column:
 
 
 def bucketed_row_number(df: DataFrame, order: Sequence[Column | str], bucket: Column,
-                        partition_by: Sequence[str] = (), out: str = "rn") -> DataFrame:
+                        partition_by: Sequence[str] = (), out: str = "rn",
+                        total: str | None = None) -> DataFrame:
     """Exact 1-based ``row_number() OVER (PARTITION BY partition_by ORDER BY order)``.
 
     ``bucket`` must be non-decreasing along ``order`` inside each partition.
+    ``total`` names an optional output column with the partition's row count,
+    taken from the bucket-size table (no extra pass over ``df``).
     """
     df = df.withColumn("_bkt", bucket)
     keys = [*partition_by, "_bkt"]
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_bn"))
-    before = (Window.partitionBy(*partition_by).orderBy("_bkt")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(*keys, F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_boff"))
+    group = Window.partitionBy(*partition_by)
+    before = group.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    extra = [F.sum("_bn").over(group).alias(total)] if total else []
+    offsets = sizes.select(*keys, F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_boff"), *extra)
     within = Window.partitionBy(*keys).orderBy(*order)
     return (df.join(offsets, keys)
             .withColumn(out, F.row_number().over(within) + F.col("_boff"))
@@ -65,10 +69,10 @@ def bucketed_row_number(df: DataFrame, order: Sequence[Column | str], bucket: Co
 
 
 def hash_row_number(df: DataFrame, h: str, tie: Sequence[str], partition_by: Sequence[str] = (),
-                    out: str = "rn", digits: int = 3) -> DataFrame:
+                    out: str = "rn", digits: int = 3, total: str | None = None) -> DataFrame:
     """Exact rank by hash column ``h`` (ties broken by ``tie``), bucketed on its prefix."""
     return bucketed_row_number(df, [F.col(h), *[F.col(c) for c in tie]], hash_bucket(h, digits),
-                               partition_by, out)
+                               partition_by, out, total)
 
 
 def position_row_number(df: DataFrame, pos: str = "row_pos", partition_by: Sequence[str] = (),

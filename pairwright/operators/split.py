@@ -33,11 +33,12 @@ def assign_functions(universe: DataFrame, train: float, val: float, seed: int =
     the rest to test.  The test fraction is implied, as in the reference,
     and fractions summing above 1 shorten val and empty test.
     """
-    n = universe.agg(F.count(F.lit(1))).scalar()
-    k1 = F.floor(F.lit(float(train)) * n)
-    k2 = F.floor(F.lit(float(val)) * n)
-    ranked = hash_row_number(universe.withColumn("_h", seeded_hash(seed, *FUNC_COLS)), "_h",
-                             FUNC_COLS, out="rank", digits=digits)
+    # The universe (a distinct over all pairs) is written once: the rank reads
+    # it twice, and N comes from the rank's bucket-size table.
+    hashed = stage(universe.withColumn("_h", seeded_hash(seed, *FUNC_COLS)), "universe")
+    ranked = hash_row_number(hashed, "_h", FUNC_COLS, out="rank", digits=digits, total="_n")
+    k1 = F.floor(F.lit(float(train)) * F.col("_n"))
+    k2 = F.floor(F.lit(float(val)) * F.col("_n"))
     split = (F.when(F.col("rank") <= k1, "train")
              .when(F.col("rank") <= k1 + k2, "val").otherwise("test"))
     return ranked.select(*FUNC_COLS, "rank", split.alias("split"))
