@@ -127,7 +127,7 @@ def rebalance(df: DataFrame, seed: int = 0, by: Sequence[str] = ("src",), digits
                                        F.count_if(F.col("label") == NON_CLONE)).alias("_k"))
     ranked = hash_row_number(valid, "_h", ["row_pos"], partition_by=[*by, "label"], out="_rn",
                              digits=digits)
-    kept = (ranked.join(k, list(by)).filter(F.col("_rn") <= F.col("_k")).drop("_rn", "_k", "_h")
-            .withColumn("_h", seeded_hash(seed, F.lit("order"), "row_pos")))
+    kept = stage(ranked.join(k, list(by)).filter(F.col("_rn") <= F.col("_k")).drop("_rn", "_k", "_h")
+                 .withColumn("_h", seeded_hash(seed, F.lit("order"), "row_pos")), "kept")
     out = hash_row_number(kept, "_h", ["row_pos"], partition_by=list(by), out="_o", digits=digits)
     return out.select(*by, (F.col("_o") - 1).alias("out_pos"), "row_pos", *PAIR_COLS)
