@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from pairwright.functions.lines import (file_path, slice_lenient, slice_strict, split_lines,
                                         universal_newlines)
+from pairwright.session import stage
 
 
 def snippet_ranges(pairs: DataFrame, base: str | None = None) -> DataFrame:
@@ -70,5 +71,6 @@ def fetch_pairs(pairs: DataFrame, files: DataFrame, base: str | None = None, str
     ``strict`` selects the training fetcher's bounds check (T9); otherwise
     the evaluation script's Python slice (T10).
     """
-    snips = snippets(snippet_ranges(pairs, base), files, strict, normalizer)
+    # the snippet table feeds both sides' joins: cut (and normalise) it once
+    snips = stage(snippets(snippet_ranges(pairs, base), files, strict, normalizer), "snippets")
     return attach_snippets(pairs, snips, base)
