@@ -79,8 +79,8 @@ def _sig_tokens(tokens: DataFrame) -> DataFrame:
     """Non-space tokens with depths, neighbours, statement and parameter-list facts.
 
     Columns: sid, pos, tok, bd/pd (brace/paren depth before the token), p1,
-    n1, n1pos, next_lbrace, is_id, stmt_start, local_decl, is_ltype,
-    cur_open, in_params, pidx.  Every window runs in the one (sid, pos)
+    n1, n1pos, is_id, stmt_start, local_decl, is_ltype, cur_open, in_params,
+    pidx (parameter group key).  Every window runs in the one (sid, pos)
     order: per-statement and per-parameter-list facts are carries ("the last
     boundary / primary / closing position before me") compared with the
     segment start, and running counts minus their value at the segment
@@ -94,7 +94,6 @@ def _sig_tokens(tokens: DataFrame) -> DataFrame:
     # "next X" facts come from running frames in descending order: frames that
     # reach to the partition end are re-evaluated per row (quadratic per text)
     back = Window.partitionBy("sid").orderBy(F.col("pos").desc())
-    after = back.rowsBetween(Window.unboundedPreceding, -1)
     ahead = back.rowsBetween(Window.unboundedPreceding, 0)
 
     def last_before(c, frame=before):
@@ -107,6 +106,7 @@ def _sig_tokens(tokens: DataFrame) -> DataFrame:
         F.coalesce(F.sum(brace).over(before), F.lit(0)).alias("bd"),
         F.coalesce(F.sum(paren).over(before), F.lit(0)).alias("pd"),
         F.lag("tok", 1).over(w).alias("p1"), F.lag("tok", 2).over(w).alias("p2"),
+        F.lag("pos", 1).over(w).alias("p1pos"),
         F.lead("tok", 1).over(w).alias("n1"), F.lead("tok", 2).over(w).alias("n2"),
         F.lead("pos", 1).over(w).alias("n1pos"),
         _ident(tok).alias("is_id"))
@@ -116,14 +116,15 @@ def _sig_tokens(tokens: DataFrame) -> DataFrame:
     p1, p2 = F.coalesce(F.col("p1"), F.lit("")), F.coalesce(F.col("p2"), F.lit(""))
     boundary = tok.isin(";", "{", "}") | ((tok == "(") & p1.isin("for", "try"))
     first_after = F.when(F.col("n1") == "final", F.col("n2")).otherwise(F.col("n1"))
+    hdr = (tok == "(") & _ident(p1) & ~p2.isin("new", ".")
     s = s.select(
-        "*", ((tok == "(") & _ident(p1) & ~p2.isin("new", ".")).alias("_hdr"),
+        "*",
         F.coalesce(last_before(F.when(boundary, pos)), F.lit(-1)).alias("stmt_start"),
         F.coalesce(last_before(F.when(boundary, first_after)),
                    F.first(F.when(tok != "final", tok), True).over(upto)).alias("_sfirst"),
-        F.coalesce(last_before(F.when(boundary, F.col("pd") + (tok == "(").cast("int"))), F.lit(0)).alias("_sbase"))
-    s = s.select("*", last_before(F.when(F.col("_hdr"), pos), upto).alias("cur_open"),
-                 last_before(F.when(F.col("_hdr"), F.col("pd")), upto).alias("_opd"))
+        F.coalesce(last_before(F.when(boundary, F.col("pd") + (tok == "(").cast("int"))), F.lit(0)).alias("_sbase"),
+        last_before(F.when(hdr, pos), upto).alias("cur_open"),
+        last_before(F.when(hdr, F.col("pd")), upto).alias("_opd"))
 
     # locals: [final] Type name (= ; , :) at statement level, then ", name" declarators
     type_end = F.col("p1").isin(*PRIMITIVES, ">", "]") | _ident(F.col("p1"))
@@ -146,34 +147,26 @@ def _sig_tokens(tokens: DataFrame) -> DataFrame:
                  & ~closing)
     name_cand = (in_params & F.col("is_id") & F.col("n1").isin(",", ")") & (type_end | (F.col("p1") == "..."))
                  & (F.col("pd") == F.col("_opd") + 1))
+    # a parameter's tokens share "the last parameter name before them, or the list's (":
+    # generic arguments are never name candidates (their previous token is < or ,)
     s = s.select("*", F.coalesce((F.col("_primary") & none_before) | more, F.lit(False)).alias("local_decl"),
                  F.coalesce(in_params, F.lit(False)).alias("in_params"),
-                 F.coalesce(F.sum(F.coalesce(name_cand, F.lit(False)).cast("int")).over(before), F.lit(0))
-                 .alias("_nc"))
-    s = s.withColumn("pidx", F.col("_nc") - last_before(F.when(F.col("_hdr"), F.col("_nc")), upto))
-    # descending pass: nearest "{" after each token, nearest declaration at or after it
-    s = s.select("*", F.last(F.when(tok == "{", pos), True).over(after).alias("next_lbrace"),
-                 F.last(F.when(F.col("_primary"), F.struct(pos.alias("p"), F.col("stmt_start").alias("s"))), True)
-                 .over(ahead).alias("_next_primary"))
+                 F.greatest(last_before(F.when(name_cand, pos)), F.col("cur_open")).alias("pidx"))
+    # descending pass: nearest declaration at or after each token
+    s = s.select("*", F.last(F.when(F.col("_primary"), F.struct(pos.alias("p"), F.col("stmt_start").alias("s"))),
+                             True).over(ahead).alias("_next_primary"))
     s = s.withColumn("is_ltype", F.coalesce(is_ltype, F.lit(False)))
-    return s.select("sid", "pos", "tok", "bd", "pd", "p1", "n1", "n1pos", "next_lbrace", "is_id", "stmt_start",
-                    "local_decl", "is_ltype", "cur_open", "in_params", "pidx")
+    return s.select("sid", "pos", "tok", "bd", "pd", "p1", "p1pos", "n1", "n1pos", "is_id", "stmt_start",
+                    "local_decl", "is_ltype", "cur_open", "in_params", "pidx", hdr.alias("hdr"))
 
 
-def _pairs(sig: DataFrame, open_tok: str, close_tok: str, depth: str) -> DataFrame:
-    """Matching bracket positions: k-th opener at depth d <-> k-th closer back to d."""
-    def ranked(t, d):
-        return (sig.filter(F.col("tok") == t).select("sid", "pos", d.alias("_d"))
-                .withColumn("_k", F.row_number().over(Window.partitionBy("sid", "_d").orderBy("pos"))))
-    o = ranked(open_tok, F.col(depth)).withColumnRenamed("pos", "open_pos")
-    c = ranked(close_tok, F.col(depth) - 1).withColumnRenamed("pos", "close_pos")
-    return o.join(c, ["sid", "_d", "_k"]).select("sid", "open_pos", "close_pos", F.col("_d").alias("depth"))
+def _balanced(brackets: DataFrame) -> DataFrame:
+    """Snippets whose braces and parentheses all close and never go negative.
 
-
-def _balanced(sig: DataFrame) -> DataFrame:
-    """Snippets whose braces and parentheses all close and never go negative."""
+    Depth changes only at brackets, so the bracket rows alone decide it.
+    """
     tok = F.col("tok")
-    return (sig.groupBy("sid").agg(
+    return (brackets.groupBy("sid").agg(
         F.sum(F.when(tok == "{", 1).when(tok == "}", -1).otherwise(0)).alias("b"),
         F.sum(F.when(tok == "(", 1).when(tok == ")", -1).otherwise(0)).alias("p"),
         F.min("bd").alias("mb"), F.min("pd").alias("mp"))
@@ -181,24 +174,33 @@ def _balanced(sig: DataFrame) -> DataFrame:
         .select("sid"))
 
 
+def _matched(brackets: DataFrame, open_tok: str, close_tok: str, depth: str, carry: list[str]) -> DataFrame:
+    """Openers with their closer: at one depth, openers and closers alternate, so
+    the closer is the next bracket of that depth (``lead``), no join needed.
+    ``carry`` columns of the closer row come along as ``close_<col>``."""
+    lvl = F.when(F.col("tok") == open_tok, F.col(depth)).otherwise(F.col(depth) - 1)
+    w = Window.partitionBy("sid", "_lvl").orderBy("pos")
+    b = brackets.filter(F.col("tok").isin(open_tok, close_tok)).withColumn("_lvl", lvl)
+    return (b.select("*", F.lead("tok").over(w).alias("_ct"), F.lead("pos").over(w).alias("close_pos"),
+                     *[F.lead(c).over(w).alias(f"close_{c}") for c in carry])
+            .filter((F.col("tok") == open_tok) & (F.col("_ct") == close_tok)))
+
+
 def scope_spans(sig: DataFrame) -> DataFrame:
     """methods/constructors of balanced snippets
     (sid, scope, lo, hi, depth, popen, pclose, body_open)."""
-    brackets = sig.filter(F.col("tok").isin("(", ")", "{", "}"))
-    parens = _pairs(brackets, "(", ")", "pd")
-    braces = _pairs(brackets, "{", "}", "bd")
-    heads = (sig.filter(F.col("is_id") & (F.col("n1") == "(")
-                        & ~F.coalesce(F.col("p1"), F.lit("")).isin("new", "."))
-             .select("sid", F.col("pos").alias("scope"), F.col("bd").alias("depth"), F.col("n1pos").alias("popen")))
-    closes = brackets.filter(F.col("tok") == ")").select(
-        "sid", F.col("pos").alias("pclose"), F.col("n1").alias("after"), F.col("next_lbrace").alias("body_open"))
-    m = (heads.join(parens.select("sid", F.col("open_pos").alias("popen"), F.col("close_pos").alias("pclose")),
-                    ["sid", "popen"])
-         .join(closes, ["sid", "pclose"])
-         .filter(F.col("after").isin("{", "throws"))
-         .join(braces.select("sid", F.col("open_pos").alias("body_open"), F.col("close_pos").alias("hi")),
-               ["sid", "body_open"])
-         .join(_balanced(sig), "sid", "left_semi"))
+    nb = Window.partitionBy("sid").orderBy("pos")
+    brackets = (sig.filter(F.col("tok").isin("(", ")", "{", "}"))
+                .select("sid", "pos", "tok", "bd", "pd", "p1", "p1pos", "n1", "hdr")
+                # the bracket after a ")" is its method body when it is "{" (a throws clause holds none)
+                .withColumn("_nb", F.when(F.lead("tok").over(nb) == "{", F.lead("pos").over(nb))))
+    heads = (_matched(brackets, "(", ")", "pd", ["n1", "_nb"])
+             .filter(F.col("hdr") & F.col("close_n1").isin("{", "throws") & F.col("close__nb").isNotNull())
+             .select("sid", F.col("p1pos").alias("scope"), F.col("bd").alias("depth"), F.col("pos").alias("popen"),
+                     F.col("close_pos").alias("pclose"), F.col("close__nb").alias("body_open")))
+    bodies = _matched(brackets, "{", "}", "bd", []).select(
+        "sid", F.col("pos").alias("body_open"), F.col("close_pos").alias("hi"))
+    m = heads.join(bodies, ["sid", "body_open"]).join(_balanced(brackets), "sid", "left_semi")
     return m.select("sid", "scope", F.col("scope").alias("lo"), "hi", "depth", "popen", "pclose", "body_open")
 
 
@@ -281,7 +283,8 @@ def rename_identifiers(df: DataFrame, sid: str = "snippet_id", code: str = "code
     toks = token_table(df.repartition(sid), sid, code)
     sig = stage(_sig_tokens(toks), "tokens")
     scopes = stage(scope_spans(sig), "scopes")
-    reps = replacements(sig, scopes, scope_mappings(declarations(sig, scopes)))
+    mappings = stage(scope_mappings(declarations(sig, scopes)), "mappings")  # read by two branches
+    reps = replacements(sig, scopes, mappings)
     per_snippet = reps.groupBy("sid").agg(F.map_from_entries(F.collect_list(F.struct("pos", "new_name"))).alias("_m"))
     tokens = F.regexp_extract_all(F.col(code), F.lit(TOKEN_RX), 0)
     out = df.join(per_snippet.withColumnRenamed("sid", sid), sid, "left")

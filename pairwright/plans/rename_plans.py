@@ -127,7 +127,8 @@ def q_occurrence_match(spark, d):
     sig = stage(rename._sig_tokens(rename.token_table(method_snippets(spark, d).repartition("snippet_id"))),
                 "tokens")
     scopes = stage(rename.scope_spans(sig), "scopes")
-    reps = rename.replacements(sig, scopes, rename.scope_mappings(rename.declarations(sig, scopes)))
+    maps = stage(rename.scope_mappings(rename.declarations(sig, scopes)), "mappings")
+    reps = rename.replacements(sig, scopes, maps)
     return reps.select(F.col("sid").alias("snippet_id"), F.col("pos").cast("long").alias("pos"), "new_name")
 
 
