@@ -86,12 +86,6 @@ def q_number_declarations(spark, d):
     return m.select(F.col("sid").alias("snippet_id"), "name", "new_name")
 
 
-@query("scope_spans")
-def q_scope_spans(spark, d):
-    sig = rename._sig_tokens(rename.token_table(method_snippets(spark, d)))
-    return rename.scope_spans(sig).select(F.col("sid").alias("snippet_id"), "lo", "hi", "depth")
-
-
 TOKEN_RE2 = (r"""(?s)"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[\pL_$][\pL\pN_$]*|\d[\pL\pN_.]*|\s+|\.\.\.|->|::|.""")
 
 
@@ -136,3 +130,13 @@ def q_occurrence_match(spark, d):
 def q_apply_renames(spark, d):
     # Texts without a method keep every token (class bodies with fields only)
     return rename.rename_identifiers(fx.spark_snippets(spark, d))
+
+
+@query("scope_spans", f"""
+SELECT snippet_id, CAST(list_position(toks, 'm' || CAST(snippet_id AS VARCHAR)) - 1 AS INTEGER) AS lo,
+       CAST(list_filter(range(len(toks)), lambda i: toks[i + 1] = '}}')[-2] AS INTEGER) AS hi, CAST(1 AS BIGINT) AS depth
+FROM (SELECT o_orderkey AS snippet_id, regexp_extract_all({_sql_parts(False)}, {sql_lit(TOKEN_RE2)}) AS toks FROM orders)""")
+def q_scope_spans(spark, d):
+    # Method span = from the method name to its body's closing brace (token positions)
+    sig = rename._sig_tokens(rename.token_table(method_snippets(spark, d).repartition("snippet_id")))
+    return rename.scope_spans(sig).select(F.col("sid").alias("snippet_id"), "lo", "hi", "depth")
