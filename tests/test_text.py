@@ -99,3 +99,23 @@ def test_slices(spark):
                   L.slice_strict(L.split_lines("t"), "b", F.lit("4")).alias("past"),
                   L.slice_lenient(L.split_lines("t"), "lb", "le").alias("l")).first()
     assert (r.s, r.bad, r.past, r.l) == ("b\nc\n", "", "", "b\nc\n")
+
+
+def test_python_normalizer_failure_keeps_text(spark):
+    from pairwright.operators.udf import normalizer
+
+    def fragile(t):
+        if "boom" in t:
+            raise ValueError("cannot normalise")
+        return t.upper()
+
+    fn = normalizer(fragile)
+    df = spark.createDataFrame([(1, "ok text"), (2, "boom here"), (3, ""), (4, None)], "id int, t string")
+    got = {r.id: r.o for r in df.select("id", fn(F.col("t")).alias("o")).collect()}
+    assert got == {1: "OK TEXT", 2: "boom here", 3: "", 4: None}
+
+
+def test_empty_snippet_untouched(spark):
+    df = spark.createDataFrame([(1, ""), (2, "  int x = 1; // c\n")], "snippet_id long, code string")
+    got = {r.snippet_id: r.code for r in normalize_code(df).collect()}
+    assert got == {1: "", 2: "int x = <NUM>;\n"}
