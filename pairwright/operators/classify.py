@@ -48,19 +48,24 @@ def _kept(n1: Column, n2: Column, budget: int) -> tuple[Column, Column]:
 
 
 def token_budget(df: DataFrame, c1: str = "code1", c2: str = "code2", max_length: int = MAX_LENGTH) -> DataFrame:
-    """Tokens of both sides, their counts, the kept counts, and whether the pair was cut."""
+    """Tokens of both sides, their counts, the counts a model with a
+    ``max_length`` input keeps, and whether the pair exceeds it.
+
+    ``tokens1``/``tokens2`` stay whole; the cut model input is reported
+    separately as ``input1``/``input2`` (only a fixed-length encoder needs it).
+    """
     out = df.withColumn("tokens1", code_tokens(c1)).withColumn("tokens2", code_tokens(c2))
     n1, n2 = F.size("tokens1"), F.size("tokens2")
     k1, k2 = _kept(n1, n2, max_length - SPECIAL_TOKENS)
     return (out.withColumn("n_tokens1", n1).withColumn("n_tokens2", n2)
             .withColumn("kept1", k1).withColumn("kept2", k2)
             .withColumn("over_budget", (n1 + n2) > F.lit(max_length - SPECIAL_TOKENS))
-            .withColumn("tokens1", F.slice("tokens1", 1, F.col("kept1")))
-            .withColumn("tokens2", F.slice("tokens2", 1, F.col("kept2"))))
+            .withColumn("input1", F.slice("tokens1", 1, F.col("kept1")))
+            .withColumn("input2", F.slice("tokens2", 1, F.col("kept2"))))
 
 
 def pair_features(df: DataFrame) -> DataFrame:
-    """Token-set Jaccard, length ratio and exact equality of the (cut) pair."""
+    """Token-set Jaccard, length ratio and exact equality over the whole texts."""
     a, b = F.array_distinct("tokens1"), F.array_distinct("tokens2")
     union = F.size(F.array_union(a, b))
     n1, n2 = F.size("tokens1"), F.size("tokens2")
@@ -91,7 +96,8 @@ def predict(model: PipelineModel, pairs: DataFrame) -> DataFrame:
     probs = vector_to_array("probability")
     return (out.withColumn("predicted", S.argmax(probs)).withColumn("confidence", S.confidence(probs))
             .withColumn("class_name", S.class_name(F.col("predicted")))
-            .drop("tf1", "tf2", "features", "rawPrediction", "probability", "prediction", "label_d"))
+            .drop("tf1", "tf2", "features", "rawPrediction", "probability", "prediction", "label_d",
+                  "input1", "input2"))
 
 
 def save(model: PipelineModel, path: str) -> None:

@@ -64,7 +64,7 @@ SELECT row_pos,
        CASE WHEN greatest(len(a), len(b)) > 0 THEN least(len(a), len(b)) / greatest(len(a), len(b)) ELSE 1.0 END
          AS length_ratio,
        CASE WHEN code1 = code2 THEN 1.0 ELSE 0.0 END AS exact_equal
-FROM (SELECT row_pos, code1, code2, t1[1:kept1] AS a, t2[1:kept2] AS b FROM ({BUDGET_SQL}))""", "pairs", "files"))
+FROM (SELECT row_pos, code1, code2, t1 AS a, t2 AS b FROM ({BUDGET_SQL}))""", "pairs", "files"))
 def q_pair_features(spark, d):
     f = classify.pair_features(classify.token_budget(_fetched(spark, d)))
     return f.select("row_pos", "jaccard", "length_ratio", "exact_equal")
