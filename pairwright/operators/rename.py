@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.functions.text import type_bucket
-from pairwright.session import stage
+from pairwright.session import shuffle_partitions, stage
 
 # ---------------------------------------------------------------- fixed values
 # Java reserved words (plus literals true/false/null and contextual yield).
@@ -280,7 +280,9 @@ def replacements(sig: DataFrame, scopes: DataFrame, mappings: DataFrame) -> Data
 def rename_identifiers(df: DataFrame, sid: str = "snippet_id", code: str = "code") -> DataFrame:
     """``df`` with ``code`` renamed and a ``renamed`` flag."""
     # Snippets are partitioned by id once; the token windows then need no shuffle.
-    toks = token_table(df.repartition(sid), sid, code)
+    # The count is explicit: adaptive coalescing would size partitions by the
+    # text bytes and leave the (many times larger) token windows to few tasks.
+    toks = token_table(df.repartition(shuffle_partitions(df.sparkSession), sid), sid, code)
     sig = stage(_sig_tokens(toks), "tokens")
     scopes = stage(scope_spans(sig), "scopes")
     mappings = stage(scope_mappings(declarations(sig, scopes)), "mappings")  # read by two branches
