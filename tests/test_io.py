@@ -79,3 +79,36 @@ def test_code_files_source(spark, tmpdir_path):
     assert (r.code1, r.code2) == ("line1  bad\nline2\n", "")
     assert derived_path("/x/data/train.csv", "_dedup") == "/x/data/train_dedup"
     assert derived_path("/x/data/train.csv", "_balanced", "/out") == "/out/train_balanced"
+
+
+def test_metric_log_to_csv_and_series(spark, tmpdir_path):
+    from pairwright.operators import history
+    # records carry different keys (NULL = key absent), as a trainer's log does
+    rec = spark.createDataFrame(
+        [(0, 0.70, None, None, 2e-6), (1, None, 0.61, 0.55, None), (2, 0.67, None, None, 4e-6), (3, None, 0.58, 0.60, None)],
+        "step long, loss double, eval_loss double, eval_accuracy double, learning_rate double")
+    path = os.path.join(tmpdir_path, "log")
+    C.write_table(rec, path, fmt="csv")
+    assert spark.read.option("header", True).csv(path).count() == 4
+    s = history.metric_series(history.long_log(rec), history.REFERENCE_SELECTION, history.REFERENCE_X_OF)
+    got = sorted((r.metric, r.k, r.x, r.y) for r in s.collect())
+    assert got == [("eval_accuracy", 1, 1, 0.55), ("eval_accuracy", 2, 3, 0.60),
+                   ("eval_loss", 1, 1, 0.61), ("eval_loss", 2, 3, 0.58),
+                   ("learning_rate", 1, 0, 2e-6), ("learning_rate", 2, 2, 4e-6),
+                   ("loss", 1, 0, 0.70), ("loss", 2, 2, 0.67)]
+
+
+def test_model_fit_save_predict(spark, tmpdir_path):
+    from pyspark.ml import PipelineModel
+
+    from pairwright.operators import classify
+    rows = [(i, "int a = 1; return a;" * (1 + i % 3), "int b = 1; return b;" * (1 + i % 3), "1") for i in range(20)]
+    rows += [(100 + i, "class X { void f() {} }", "select * from t where k = %d" % i, "0") for i in range(20)]
+    df = spark.createDataFrame(rows, "row_pos long, code1 string, code2 string, label string")
+    model = classify.fit(df)
+    path = os.path.join(tmpdir_path, "model")
+    classify.save(model, path)
+    out = classify.predict(PipelineModel.load(path), df)
+    acc = out.filter(F.col("predicted") == F.col("label").cast("int")).count() / out.count()
+    assert acc >= 0.9
+    assert set(r.class_name for r in out.select("class_name").distinct().collect()) <= {"CLONE", "NOT CLONE"}
