@@ -66,6 +66,12 @@ def read_pairs(spark: SparkSession, paths: str | Sequence[str], header: bool = T
           .option("columnNameOfCorruptRecord", CORRUPT)
           .option("escape", '"').option("multiLine", multiline)
           .csv(list(paths) if not isinstance(paths, str) else paths))
+    # Every cell of a well-formed row is a string value, "" included (Spark
+    # reads an empty unquoted cell as NULL); NULL stays only for cells a
+    # ragged row does not have.
+    ok = F.col(CORRUPT).isNull()
+    df = df.select(*[F.when(ok, F.coalesce(F.col(c), F.lit(""))).otherwise(F.col(c)).alias(c) for c in cols], CORRUPT,
+                   "_metadata")
     if layout == "fused8":
         df = unfuse(df)
     return csv_row_positions(df) if positions else df.withColumn("src", F.col("_metadata.file_path"))
@@ -82,6 +88,15 @@ def layout_errors(df: DataFrame) -> DataFrame:
     return df.filter(bad)
 
 
+def lenient_rows(df: DataFrame, width: int = 9) -> DataFrame:
+    """P2 on a CSV read: skip rows with fewer than ``width`` cells, keep longer
+    ones (their extra cells are cut by the fixed schema)."""
+    raw = F.col(CORRUPT)
+    first = [c for c in df.columns if c not in (CORRUPT, "src", "row_pos")][0]
+    keep = raw.isNull() | (F.size(csv_fields(raw)) >= width)
+    return df.filter(keep & (F.col(first).isNull() | F.col(first).isNotNull()))
+
+
 def unfuse(df: DataFrame, col: str = "fused0") -> DataFrame:
     """S3: label = first character of the first cell, folder1 = the rest."""
     cols = [c for c in df.columns if c != col]

@@ -29,12 +29,14 @@ def test_ragged_rows_flagged(spark, tmpdir_path):
     p = os.path.join(tmpdir_path, "ragged.csv")
     with open(p, "w") as f:
         f.write("h1,h2,h3,h4,h5,h6,h7,h8,h9\n")
-        f.write("a,b,1,2,c,d,3,4,1\n")
+        f.write("a,,1,2,c,d,3,4,1\n")
         f.write("a,b,1,2,c,d,3,1\n\n")
         f.write("a,b,1,2,c,d,3,4,x,0\n")
     df = C.read_pairs(spark, p, header=True)
     rows = sorted((r.row_pos, r._corrupt_record is not None) for r in df.collect())
     assert rows == [(0, False), (1, True), (2, True)]
+    assert df.filter("row_pos = 0").first().file1 == ""  # an empty cell is a value, not NULL
+    assert sorted(r.row_pos for r in C.lenient_rows(df).collect()) == [0, 2]
     lines = spark.read.text(p).withColumnRenamed("value", "line").withColumn("src", F.lit(p)).withColumn("row_pos", F.lit(0))
     rep = C.layout_report(lines.filter("line not like 'h1%'"))
     assert sorted(r.n_fields for r in rep.collect()) == [8, 10]
