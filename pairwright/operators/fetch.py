@@ -64,13 +64,30 @@ def attach_snippets(pairs: DataFrame, snips: DataFrame, base: str | None = None)
             .drop("_p1", "_b1", "_e1", "_p2", "_b2", "_e2"))
 
 
+def normalize_snippets(snips: DataFrame, **flags) -> DataFrame:
+    """T8 with the composite normaliser (renaming included) over distinct snippets.
+
+    ``flags``: strip_comments, mask_strings, mask_numbers, rename (all on by
+    default, as in the reference's configuration).  The snippet's range is
+    its key for the renaming job.
+    """
+    from pairwright.operators.normalize import normalize_code
+    keyed = snips.withColumn("_sid", F.concat_ws("\u0001", "path", "begin", "end"))
+    return normalize_code(keyed, sid="_sid", code="code", **flags).drop("_sid")
+
+
 def fetch_pairs(pairs: DataFrame, files: DataFrame, base: str | None = None, strict: bool = True,
-                normalizer: Callable[[Column], Column] | None = None) -> DataFrame:
-    """J1 (+ T8 when ``normalizer`` is given): pairs with ``code1``, ``code2``.
+                normalizer: Callable[[Column], Column] | None = None,
+                normalize: dict | None = None) -> DataFrame:
+    """J1 (+ T8): pairs with ``code1``, ``code2``.
 
     ``strict`` selects the training fetcher's bounds check (T9); otherwise
-    the evaluation script's Python slice (T10).
+    the evaluation script's Python slice (T10).  ``normalizer`` applies a
+    Column function to each distinct snippet; ``normalize`` (a dict of
+    flags, ``{}`` = all on) applies the composite normaliser with renaming.
     """
+    snips = snippets(snippet_ranges(pairs, base), files, strict, normalizer)
+    if normalize is not None:
+        snips = normalize_snippets(snips, **normalize)
     # the snippet table feeds both sides' joins: cut (and normalise) it once
-    snips = stage(snippets(snippet_ranges(pairs, base), files, strict, normalizer), "snippets")
-    return attach_snippets(pairs, snips, base)
+    return attach_snippets(pairs, stage(snips, "snippets"), base)

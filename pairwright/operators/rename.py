@@ -279,10 +279,12 @@ def replacements(sig: DataFrame, scopes: DataFrame, mappings: DataFrame) -> Data
 
 def rename_identifiers(df: DataFrame, sid: str = "snippet_id", code: str = "code") -> DataFrame:
     """``df`` with ``code`` renamed and a ``renamed`` flag."""
+    # Early exit: a text without "(" and "{" holds no method; it skips the job.
+    maybe = df.filter((F.instr(F.col(code), "(") > 0) & (F.instr(F.col(code), "{") > 0)).select(sid, code)
     # Snippets are partitioned by id once; the token windows then need no shuffle.
     # The count is explicit: adaptive coalescing would size partitions by the
     # text bytes and leave the (many times larger) token windows to few tasks.
-    toks = token_table(df.repartition(shuffle_partitions(df.sparkSession), sid), sid, code)
+    toks = token_table(maybe.repartition(shuffle_partitions(df.sparkSession), sid), sid, code)
     sig = stage(_sig_tokens(toks), "tokens")
     scopes = stage(scope_spans(sig), "scopes")
     mappings = stage(scope_mappings(declarations(sig, scopes)), "mappings")  # read by two branches

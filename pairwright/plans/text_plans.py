@@ -191,3 +191,18 @@ def q_decode_utf8(spark, d):
     # Text -> UTF-8 bytes -> lenient decode (invalid sequences dropped)
     docs = fx.table(spark, d, "documents")
     return docs.select("doc_id", L.decode_utf8_lenient(F.encode("text", "UTF-8")).alias("text"))
+
+
+@query("normalize_pairs_renamed", fx.sql_with(FETCH_SQL.format(
+    c1=f"(CASE WHEN ({_strict_sql('f1.lines', 'p.begin1', 'p.end1')}) = '' THEN '' ELSE "
+       + ws_sql(numbers_sql(strings_sql(line_sql(block_sql(ws_sql(_strict_sql('f1.lines', 'p.begin1', 'p.end1')))))))
+       + " END)",
+    c2=f"(CASE WHEN ({_strict_sql('f2.lines', 'p.begin2', 'p.end2')}) = '' THEN '' ELSE "
+       + ws_sql(numbers_sql(strings_sql(line_sql(block_sql(ws_sql(_strict_sql('f2.lines', 'p.begin2', 'p.end2')))))))
+       + " END)",
+    lines=lines_sql("text")), "pairs", "files"))
+def q_normalize_pairs_renamed(spark, d):
+    # T8 with the reference's default flags (renaming on); the documents hold
+    # prose, so renaming finds no method and leaves the texts as masked
+    out = fetch.fetch_pairs(fx.spark_pairs(spark, d), fx.spark_files(spark, d), normalize={})
+    return out.select("row_pos", "code1", "code2", "label")

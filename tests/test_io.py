@@ -114,3 +114,17 @@ def test_model_fit_save_predict(spark, tmpdir_path):
     acc = out.filter(F.col("predicted") == F.col("label").cast("int")).count() / out.count()
     assert acc >= 0.9
     assert set(r.class_name for r in out.select("class_name").distinct().collect()) <= {"CLONE", "NOT CLONE"}
+
+
+def test_fetch_with_full_normaliser(spark, tmpdir_path):
+    from pairwright.operators import fetch
+    from pairwright.sources.files import read_code_files
+    root = os.path.join(tmpdir_path, "src")
+    os.makedirs(os.path.join(root, "f"))
+    with open(os.path.join(root, "f", "A.java"), "w") as f:
+        f.write("class A {\n  int add(int a, int b) {\n    int s = a + b; // sum\n    return s;\n  }\n}\n")
+    pairs = spark.createDataFrame([(0, "f", "A.java", "1", "5", "f", "A.java", "0", "6", "1")],
+                                  "row_pos long, " + ", ".join(f"{c} string" for c in PAIR_COLS))
+    r = fetch.fetch_pairs(pairs, read_code_files(spark, root), normalize={}).first()
+    assert r.code1 == "int add(int num1, int num2) {\n    int num3 = num1 + num2;\n    return num3;\n  }\n"
+    assert "int add(int num1, int num2)" in r.code2 and "class A {" in r.code2
