@@ -75,7 +75,7 @@ def pair_features(df: DataFrame) -> DataFrame:
             .withColumn("exact_equal", (F.col("code1") == F.col("code2")).cast("double")))
 
 
-def _pipeline(num_features: int = 1 << 12, max_iter: int = 50) -> Pipeline:
+def _model_stages(num_features: int = 1 << 12, max_iter: int = 50) -> Pipeline:
     return Pipeline(stages=[
         HashingTF(inputCol="tokens1", outputCol="tf1", numFeatures=num_features),
         HashingTF(inputCol="tokens2", outputCol="tf2", numFeatures=num_features),
@@ -87,7 +87,7 @@ def _pipeline(num_features: int = 1 << 12, max_iter: int = 50) -> Pipeline:
 def fit(train: DataFrame, label: str = "label") -> PipelineModel:
     """Fit the two-class model on the train split (label "0"/"1")."""
     data = pair_features(token_budget(train)).withColumn("label_d", F.col(label).cast("double"))
-    return _pipeline().fit(data)
+    return _model_stages().fit(data)
 
 
 def predict(model: PipelineModel, pairs: DataFrame) -> DataFrame:
