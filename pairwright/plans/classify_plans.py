@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import functions as F
 
-from pairwright.functions import text as T
 from pairwright.operators import classify, fetch, identity, metrics, quality, split, udf
 from pairwright.plans.registry import query, sql_lit
 from pairwright.plans.text_plans import FETCH_SQL, _strict_sql, lines_sql, ws_sql
@@ -132,5 +131,3 @@ def q_pluggable_metrics(spark, d):
     p = fx.spark_predictions(spark, d).withColumn("predicted", (F.col("n_chars") > 4000).cast("int"))
     return udf.evaluate(p, my_metrics)
 
-
-_ = T  # text functions are the Column-form normalisers (see text_plans)
