@@ -68,6 +68,20 @@ def stage(df, label: str = "stage"):
     import uuid
 
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/pairwright-{label}-{uuid.uuid4().hex}"
+    path = f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def staging_root(spark: SparkSession) -> str:
+    """``<checkpoint dir>/pairwright/<application id>``: one folder per application."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/pairwright/{spark.sparkContext.applicationId}"
+
+
+def release_staged(spark: SparkSession) -> bool:
+    """Delete this application's staged tables (call once results are written:
+    DataFrames built before still read them lazily)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(staging_root(spark))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.delete(path, True))
