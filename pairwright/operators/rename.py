@@ -34,9 +34,9 @@ markers and tokens of that level).  Rows are multiplied only by their own
 nesting depth.  Replacements travel as a small per-snippet map spliced into
 the snippet's token array.  Snippets with unbalanced brackets are left as
 they are (``renamed`` false), like the reference's fallback on a failed
-parse.  Scope: the constructs above; other declaration forms (catch
-parameters, try resources, records, annotated parameter types) are not
-renamed.
+parse.  As in the reference, catch parameters, try resources, lambda
+parameters and fields are not declarations here.  Not covered: record
+components and annotated parameter types; C-style "name[]" parameters.
 """
 
 from __future__ import annotations
@@ -111,10 +111,11 @@ def _sig_tokens(tokens: DataFrame) -> DataFrame:
         F.lead("pos", 1).over(w).alias("n1pos"),
         _ident(tok).alias("is_id"))
 
-    # statements start after ; { } or at "for (" / "try ("; "(" after a
-    # non-keyword identifier not preceded by new or "." may open a parameter list
+    # statements start after ; { } or at "for (" (try resources are not
+    # locals); "(" after a non-keyword identifier not preceded by new or "."
+    # may open a parameter list
     p1, p2 = F.coalesce(F.col("p1"), F.lit("")), F.coalesce(F.col("p2"), F.lit(""))
-    boundary = tok.isin(";", "{", "}") | ((tok == "(") & p1.isin("for", "try"))
+    boundary = tok.isin(";", "{", "}") | ((tok == "(") & (p1 == "for"))
     first_after = F.when(F.col("n1") == "final", F.col("n2")).otherwise(F.col("n1"))
     hdr = (tok == "(") & _ident(p1) & ~p2.isin("new", ".")
     s = s.select(
@@ -128,7 +129,9 @@ def _sig_tokens(tokens: DataFrame) -> DataFrame:
 
     # locals: [final] Type name (= ; , :) at statement level, then ", name" declarators
     type_end = F.col("p1").isin(*PRIMITIVES, ">", "]") | _ident(F.col("p1"))
-    primary = (F.col("is_id") & F.col("n1").isin("=", ";", ",", ":") & type_end
+    # a C-style array declarator "name[]" keeps the declared (element) type
+    ends_decl = F.col("n1").isin("=", ";", ",", ":") | ((F.col("n1") == "[") & (F.col("n2") == "]"))
+    primary = (F.col("is_id") & ends_decl & type_end
                & (F.col("_sfirst").isin(*PRIMITIVES) | _ident(F.col("_sfirst")))
                & (F.col("pd") == F.col("_sbase")) & ~tok.isin(*PRIMITIVES))
     closing = (tok == ")") & (F.col("pd") == F.col("_opd") + 1)

@@ -54,3 +54,17 @@ RENAME_COUNTS = [
     ("reset_between_methods", "String str1, String str2", 1),
     ("shadowed_locals", "System.out.println(num3);", 2),
 ]
+
+# Declaration forms the reference does not register (catch parameters, try
+# resources) stay as they are; a C-style array local keeps its element type.
+EXTRA_CASES = [
+    ("catch_and_resources",
+     "class R {\n  void run(String path) {\n    try (java.io.Reader rd = open(path)) {\n      int n = rd.read();\n"
+     "    } catch (Exception e) {\n      log(e);\n    }\n  }\n}\n",
+     {"mask_numbers": False, "mask_strings": False},
+     ["void run(String str1)", "java.io.Reader rd = open(str1)", "int num1 = rd.read();", "catch (Exception e)",
+      "log(e);"], []),
+    ("c_style_array",
+     "class A {\n  void f() {\n    int vals[] = new int[3];\n    int k = vals[0];\n  }\n}\n",
+     {"mask_numbers": False}, ["int num1[] = new int[3];", "int num2 = num1[0];"], []),
+]

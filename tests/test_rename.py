@@ -1,7 +1,7 @@
 """The reference's ten renaming cases, restated, plus the fallback."""
 
 import pytest
-from rename_cases import RENAME_CASES, RENAME_COUNTS
+from rename_cases import EXTRA_CASES, RENAME_CASES, RENAME_COUNTS
 
 from pairwright.operators.normalize import normalize_code
 from pairwright.operators.rename import rename_identifiers, token_table
@@ -9,14 +9,15 @@ from pairwright.operators.rename import rename_identifiers, token_table
 
 @pytest.fixture(scope="module")
 def outputs(spark):
-    df = spark.createDataFrame([(i, c[1]) for i, c in enumerate(RENAME_CASES)], "snippet_id long, code string")
+    cases = RENAME_CASES + EXTRA_CASES
+    df = spark.createDataFrame([(i, c[1]) for i, c in enumerate(cases)], "snippet_id long, code string")
     res = {}
-    for i, (name, _src, flags, _want, _absent) in enumerate(RENAME_CASES):
+    for i, (name, _src, flags, _want, _absent) in enumerate(cases):
         res[name] = normalize_code(df.filter(f"snippet_id = {i}"), **flags).first().code
     return res
 
 
-@pytest.mark.parametrize("case", RENAME_CASES, ids=[c[0] for c in RENAME_CASES])
+@pytest.mark.parametrize("case", RENAME_CASES + EXTRA_CASES, ids=[c[0] for c in RENAME_CASES + EXTRA_CASES])
 def test_rename_case(outputs, case):
     name, _src, _flags, want, absent = case
     for w in want:
