@@ -18,7 +18,8 @@ need are window functions over it:
   locals register in every method whose body holds them, lambda parameters
   and fields in none;
 * a repeated name takes a new number, and its last number wins;
-* uses: identifiers not after ``.``, matched on (snippet, name) and the span;
+* uses: identifiers except a field member ``x.f`` (a method name ``x.m(`` is
+  an ordinary identifier), matched on (snippet, name) and the span;
   an outer method's mapping precedes a nested one's.
 
 Execution: snippets are hash partitioned by id once, so the token windows
@@ -271,7 +272,9 @@ def scope_mappings(decls: DataFrame) -> DataFrame:
 def replacements(sig: DataFrame, scopes: DataFrame, mappings: DataFrame) -> DataFrame:
     """(sid, pos, new_name) for uses inside a mapped scope; the outermost wins."""
     spans = mappings.join(scopes.select("sid", "scope", "lo", "hi", "depth"), ["sid", "scope"])
-    uses = (sig.filter(F.col("is_id") & (F.coalesce(F.col("p1"), F.lit("")) != "."))
+    # a field member "x.f" is skipped; a method name "x.m(" is an ordinary identifier
+    member = (F.coalesce(F.col("p1"), F.lit("")) == ".") & (F.coalesce(F.col("n1"), F.lit("")) != "(")
+    uses = (sig.filter(F.col("is_id") & ~member)
             .select("sid", "pos", "bd", F.col("tok").alias("name"))
             .join(spans.select("sid", "name").distinct(), ["sid", "name"], "left_semi"))
     markers = spans.select("sid", "name", F.col("depth").alias("lvl"), F.col("lo").alias("pos"),

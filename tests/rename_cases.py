@@ -64,6 +64,9 @@ EXTRA_CASES = [
      {"mask_numbers": False, "mask_strings": False},
      ["void run(String str1)", "java.io.Reader rd = open(str1)", "int num1 = rd.read();", "catch (Exception e)",
       "log(e);"], []),
+    ("called_method_named_like_a_local",
+     "class T {\n  String f(String s) {\n    String trim = s.trim();\n    return this.trim + trim;\n  }\n}\n",
+     {"mask_numbers": False}, ["String str2 = str1.str2();", "return this.trim + str2;"], []),
     ("c_style_array",
      "class A {\n  void f() {\n    int vals[] = new int[3];\n    int k = vals[0];\n  }\n}\n",
      {"mask_numbers": False}, ["int num1[] = new int[3];", "int num2 = num1[0];"], []),
