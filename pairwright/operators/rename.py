@@ -37,7 +37,7 @@ the snippet's token array.  Snippets with unbalanced brackets are left as
 they are (``renamed`` false), like the reference's fallback on a failed
 parse.  As in the reference, catch parameters, try resources, lambda
 parameters and fields are not declarations here.  Not covered: record
-components and annotated parameter types; C-style "name[]" parameters.
+components.
 """
 
 from __future__ import annotations
@@ -149,8 +149,9 @@ def _sig_tokens(tokens: DataFrame) -> DataFrame:
     # a parameter's tokens share the count of parameter names seen before them in the list
     in_params = ((pos > F.col("cur_open")) & ~F.coalesce(F.col("_last_close") > F.col("cur_open"), F.lit(False))
                  & ~closing)
-    name_cand = (in_params & F.col("is_id") & F.col("n1").isin(",", ")") & (type_end | (F.col("p1") == "..."))
-                 & (F.col("pd") == F.col("_opd") + 1))
+    name_cand = (in_params & F.col("is_id")
+                 & (F.col("n1").isin(",", ")") | ((F.col("n1") == "[") & (F.col("n2") == "]")))
+                 & (type_end | (F.col("p1") == "...")) & (F.col("pd") == F.col("_opd") + 1))
     # a parameter's tokens share "the last parameter name before them, or the list's (":
     # generic arguments are never name candidates (their previous token is < or ,)
     s = s.select("*", F.coalesce((F.col("_primary") & none_before) | more, F.lit(False)).alias("local_decl"),
@@ -239,13 +240,23 @@ def declarations(sig: DataFrame, scopes: DataFrame) -> DataFrame:
     # parameters: one group per top-level parameter; last token = name, the rest = type
     groups = _sorted_tokens(sig.filter(F.col("in_params") & ~F.col("tok").isin(",", "final")),
                             ["sid", "cur_open", "pidx"])
-    last = F.element_at("_t", -1)
-    ptype = F.array_join(F.transform(F.slice("_t", 1, F.size("_t") - 1), lambda x: x["tok"]), "")
-    params = (groups.filter((F.size("_t") >= 2) & _ident(last["tok"]))
+    # drop annotations ("@" and the name after it); the name is the last identifier,
+    # the type the tokens before it, less brackets left over from the previous "x[]"
+    toks = F.filter("_t", lambda x, i: (x["tok"] != "@") & (
+        (i == 0) | (F.try_element_at(F.col("_t"), F.greatest(i, F.lit(1)))["tok"] != "@")))
+    name = F.element_at(F.filter(toks, lambda x: _ident(x["tok"])), -1)
+    before = F.filter(toks, lambda x: x["pos"] < name["pos"])
+    start = F.array_position(F.transform(before, lambda x: ~x["tok"].isin("[", "]")), True)
+    ptype = F.array_join(F.transform(F.slice(before, F.greatest(start, F.lit(1)),
+                                             F.size(before) - F.greatest(start, F.lit(1)) + 1),
+                                     lambda x: x["tok"]), "")
+    params = (groups.withColumn("_name", name).withColumn("_ptype", F.when(start > 0, ptype).otherwise(F.lit("")))
+              .filter(F.col("_name").isNotNull() & (F.col("_ptype") != ""))
               .join(scopes.select("sid", F.col("popen").alias("cur_open"), "scope"), ["sid", "cur_open"])
-              .select("sid", "scope", last["tok"].alias("name"),
-                      F.when(ptype.endswith("..."), F.lit("obj")).otherwise(type_bucket(ptype)).alias("bucket"),
-                      F.lit(0).alias("is_local"), last["pos"].alias("pos")))
+              .select("sid", "scope", F.col("_name.tok").alias("name"),
+                      F.when(F.col("_ptype").endswith("..."), F.lit("obj")).otherwise(type_bucket(F.col("_ptype")))
+                      .alias("bucket"),
+                      F.lit(0).alias("is_local"), F.col("_name.pos").alias("pos")))
 
     # locals: the statement's tokens before its first declared name are the type
     types = _sorted_tokens(sig.filter("is_ltype"), ["sid", "stmt_start"]).select(

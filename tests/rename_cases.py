@@ -67,6 +67,10 @@ EXTRA_CASES = [
     ("called_method_named_like_a_local",
      "class T {\n  String f(String s) {\n    String trim = s.trim();\n    return this.trim + trim;\n  }\n}\n",
      {"mask_numbers": False}, ["String str2 = str1.str2();", "return this.trim + str2;"], []),
+    ("annotated_and_c_style_params",
+     "class P {\n  int g(@Deprecated String name, int xs[], final long k) {\n    return xs.length + name.length() + (int) k;\n  }\n}\n",
+     {"mask_numbers": False}, ["int g(@Deprecated String str1, int num1[], final long num2)",
+                               "return num1.length + str1.length() + (int) num2;"], []),
     ("c_style_array",
      "class A {\n  void f() {\n    int vals[] = new int[3];\n    int k = vals[0];\n  }\n}\n",
      {"mask_numbers": False}, ["int num1[] = new int[3];", "int num2 = num1[0];"], []),
