@@ -37,7 +37,7 @@ the snippet's token array.  Snippets with unbalanced brackets are left as
 they are (``renamed`` false), like the reference's fallback on a failed
 parse.  As in the reference, catch parameters, try resources, lambda
 parameters and fields are not declarations here.  Not covered: record
-components.
+components and annotated local declarations.
 """
 
 from __future__ import annotations

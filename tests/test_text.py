@@ -97,8 +97,12 @@ def test_slices(spark):
     r = df.select(L.slice_strict(L.split_lines("t"), "b", "e").alias("s"),
                   L.slice_strict(L.split_lines("t"), F.lit("x"), "e").alias("bad"),
                   L.slice_strict(L.split_lines("t"), "b", F.lit("4")).alias("past"),
-                  L.slice_lenient(L.split_lines("t"), "lb", "le").alias("l")).first()
+                  L.slice_lenient(L.split_lines("t"), "lb", "le").alias("l"),
+                  L.slice_strict(L.split_lines("t"), F.lit("2"), F.lit("1")).alias("rev"),
+                  L.slice_lenient(L.split_lines("t"), F.lit("2"), F.lit("1")).alias("lrev"),
+                  L.slice_strict(L.split_lines("t"), F.lit("-1"), F.lit("2")).alias("neg")).first()
     assert (r.s, r.bad, r.past, r.l) == ("b\nc\n", "", "", "b\nc\n")
+    assert (r.rev, r.lrev, r.neg) == ("", "", "")  # begin > end, and a negative strict bound
 
 
 def test_python_normalizer_failure_keeps_text(spark):
