@@ -40,6 +40,15 @@ def seeded_hash(seed, *cols) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
 
 
+def default_digits(spark) -> int:
+    """Hash-prefix length for bucketed ranks: about 64 buckets per shuffle
+    partition (3 to 7 hex digits), so rows per bucket stay bounded as a
+    cluster's partition count is scaled with its data."""
+    import math
+    n = max(1, shuffle_partitions(spark)) * 64
+    return min(7, max(3, math.ceil(math.log(n, 16))))
+
+
 def hash_bucket(h: Column | str, digits: int = 3) -> Column:
     """Integer value of the first ``digits`` hex digits: 16**digits buckets."""
     h = F.col(h) if isinstance(h, str) else h
@@ -69,8 +78,10 @@ def bucketed_row_number(df: DataFrame, order: Sequence[Column | str], bucket: Co
 
 
 def hash_row_number(df: DataFrame, h: str, tie: Sequence[str], partition_by: Sequence[str] = (),
-                    out: str = "rn", digits: int = 3, total: str | None = None) -> DataFrame:
-    """Exact rank by hash column ``h`` (ties broken by ``tie``), bucketed on its prefix."""
+                    out: str = "rn", digits: int | None = None, total: str | None = None) -> DataFrame:
+    """Exact rank by hash column ``h`` (ties broken by ``tie``), bucketed on its prefix
+    (``digits`` hex digits; default from the session's shuffle partitions)."""
+    digits = digits or default_digits(df.sparkSession)
     return bucketed_row_number(df, [F.col(h), *[F.col(c) for c in tie]], hash_bucket(h, digits),
                                partition_by, out, total)
 

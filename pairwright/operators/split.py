@@ -25,7 +25,7 @@ SPLITS = ("train", "val", "test")
 
 
 def assign_functions(universe: DataFrame, train: float, val: float, seed: int = 0,
-                     digits: int = 3) -> DataFrame:
+                     digits: int | None = None) -> DataFrame:
     """Seeded partition of distinct functions (K3).
 
     ``k1 = int(train*N)``, ``k2 = int(val*N)`` in double arithmetic; the
@@ -91,7 +91,7 @@ def interleave_classes(df: DataFrame, by: Sequence[str] = ("split",), pos: str =
 
 
 def split_pairs(pairs: DataFrame, train: float = 0.8, val: float = 0.1, seed: int = 0,
-                digits: int = 3) -> DataFrame:
+                digits: int | None = None) -> DataFrame:
     """The dataset generator (K4): universe -> seeded partition -> in-split pairs -> alternate.
 
     ``pairs`` holds ``row_pos`` and the nine pair columns; rows whose label
@@ -113,7 +113,7 @@ def two_file_pairs(clones: DataFrame, non_clones: DataFrame) -> DataFrame:
             .unionByName(non_clones.withColumn("label", F.lit(NON_CLONE))))
 
 
-def rebalance(df: DataFrame, seed: int = 0, by: Sequence[str] = ("src",), digits: int = 3) -> DataFrame:
+def rebalance(df: DataFrame, seed: int = 0, by: Sequence[str] = ("src",), digits: int | None = None) -> DataFrame:
     """Down-sample the larger class to exactly the smaller class size, per input.
 
     Sampling without replacement = the k rows of each class with the
