@@ -42,11 +42,12 @@ def seeded_hash(seed, *cols) -> Column:
 
 def default_digits(spark) -> int:
     """Hash-prefix length for bucketed ranks: about 64 buckets per shuffle
-    partition (3 to 7 hex digits), so rows per bucket stay bounded as a
-    cluster's partition count is scaled with its data."""
+    partition, 3 to 6 hex digits, so rows per bucket stay bounded as a
+    cluster's partition count is scaled with its data, while the bucket-size
+    table (whose running offsets are one small window) stays within 16^6 rows."""
     import math
     n = max(1, shuffle_partitions(spark)) * 64
-    return min(7, max(3, math.ceil(math.log(n, 16))))
+    return min(6, max(3, math.ceil(math.log(n, 16))))
 
 
 def hash_bucket(h: Column | str, digits: int = 3) -> Column:
