@@ -11,6 +11,8 @@ need are window functions over it:
   matches the k-th ``)`` back to depth d (same for braces);
 * a method is ``name ( ... ) [throws ...] {`` with ``name`` not a keyword and
   not after ``new`` or ``.``; its span runs from the name to the body's ``}``;
+  a body-less (abstract / interface) method ``Type name ( ... ) ;`` spans to
+  its ``;`` and has parameters only;
 * a parameter name is the last identifier of a top-level parameter, its type
   the tokens before it (``T... x`` has no type: ``obj``);
 * a local is ``[final] Type name`` followed by ``= ; , :`` at the start of a
@@ -161,8 +163,11 @@ def _sig_tokens(tokens: DataFrame) -> DataFrame:
     s = s.select("*", F.last(F.when(F.col("_primary"), F.struct(pos.alias("p"), F.col("stmt_start").alias("s"))),
                              True).over(ahead).alias("_next_primary"))
     s = s.withColumn("is_ltype", F.coalesce(is_ltype, F.lit(False)))
+    # a body-less method needs a declaration before its name (a type or void), which a call never has
+    decl_like = hdr & (p2.isin(*PRIMITIVES, "void", ">", "]") | _ident(p2))
     return s.select("sid", "pos", "tok", "bd", "pd", "p1", "p1pos", "n1", "n1pos", "is_id", "stmt_start",
-                    "local_decl", "is_ltype", "cur_open", "in_params", "pidx", hdr.alias("hdr"))
+                    "local_decl", "is_ltype", "cur_open", "in_params", "pidx", hdr.alias("hdr"),
+                    decl_like.alias("decl_like"))
 
 
 def _balanced(brackets: DataFrame) -> DataFrame:
@@ -196,16 +201,22 @@ def scope_spans(sig: DataFrame) -> DataFrame:
     (sid, scope, lo, hi, depth, popen, pclose, body_open)."""
     nb = Window.partitionBy("sid").orderBy("pos")
     brackets = (sig.filter(F.col("tok").isin("(", ")", "{", "}"))
-                .select("sid", "pos", "tok", "bd", "pd", "p1", "p1pos", "n1", "hdr")
+                .select("sid", "pos", "tok", "bd", "pd", "p1", "p1pos", "n1", "n1pos", "hdr", "decl_like")
                 # the bracket after a ")" is its method body when it is "{" (a throws clause holds none)
                 .withColumn("_nb", F.when(F.lead("tok").over(nb) == "{", F.lead("pos").over(nb))))
-    heads = (_matched(brackets, "(", ")", "pd", ["n1", "_nb"])
-             .filter(F.col("hdr") & F.col("close_n1").isin("{", "throws") & F.col("close__nb").isNotNull())
+    lists = _matched(brackets, "(", ")", "pd", ["n1", "n1pos", "_nb"]).filter(F.col("hdr"))
+    heads = (lists.filter(F.col("close_n1").isin("{", "throws") & F.col("close__nb").isNotNull())
              .select("sid", F.col("p1pos").alias("scope"), F.col("bd").alias("depth"), F.col("pos").alias("popen"),
                      F.col("close_pos").alias("pclose"), F.col("close__nb").alias("body_open")))
     bodies = _matched(brackets, "{", "}", "bd", []).select(
         "sid", F.col("pos").alias("body_open"), F.col("close_pos").alias("hi"))
-    m = heads.join(bodies, ["sid", "body_open"]).join(_balanced(brackets), "sid", "left_semi")
+    with_body = heads.join(bodies, ["sid", "body_open"])
+    # abstract / interface methods: the span ends at the ";" and there is no body
+    no_body = (lists.filter(F.col("decl_like") & (F.col("close_n1") == ";"))
+               .select("sid", F.col("p1pos").alias("scope"), F.col("bd").alias("depth"), F.col("pos").alias("popen"),
+                       F.col("close_pos").alias("pclose"), F.lit(None).cast("long").alias("body_open"),
+                       F.col("close_n1pos").alias("hi")))
+    m = with_body.unionByName(no_body).join(_balanced(brackets), "sid", "left_semi")
     return m.select("sid", "scope", F.col("scope").alias("lo"), "hi", "depth", "popen", "pclose", "body_open")
 
 
@@ -244,7 +255,7 @@ def declarations(sig: DataFrame, scopes: DataFrame) -> DataFrame:
     # the type the tokens before it, less brackets left over from the previous "x[]"
     toks = F.filter("_t", lambda x, i: (x["tok"] != "@") & (
         (i == 0) | (F.try_element_at(F.col("_t"), F.greatest(i, F.lit(1)))["tok"] != "@")))
-    name = F.element_at(F.filter(toks, lambda x: _ident(x["tok"])), -1)
+    name = F.try_element_at(F.filter(toks, lambda x: _ident(x["tok"])), F.lit(-1))
     before = F.filter(toks, lambda x: x["pos"] < name["pos"])
     start = F.array_position(F.transform(before, lambda x: ~x["tok"].isin("[", "]")), True)
     ptype = F.array_join(F.transform(F.slice(before, F.greatest(start, F.lit(1)),

@@ -71,6 +71,11 @@ EXTRA_CASES = [
      "class P {\n  int g(@Deprecated String name, int xs[], final long k) {\n    return xs.length + name.length() + (int) k;\n  }\n}\n",
      {"mask_numbers": False}, ["int g(@Deprecated String str1, int num1[], final long num2)",
                                "return num1.length + str1.length() + (int) num2;"], []),
+    ("abstract_and_interface_methods",
+     "interface Cb {\n  void on(String event, int code);\n  java.util.List<String> all();\n}\n"
+     "abstract class B {\n  abstract int size(int cap);\n  void run() { init(cap); go(1, 2); }\n}\n",
+     {"mask_numbers": False}, ["void on(String str1, int num1);", "java.util.List<String> all();",
+                               "abstract int size(int num1);", "void run() { init(cap); go(1, 2); }"], []),
     ("c_style_array",
      "class A {\n  void f() {\n    int vals[] = new int[3];\n    int k = vals[0];\n  }\n}\n",
      {"mask_numbers": False}, ["int num1[] = new int[3];", "int num2 = num1[0];"], []),
