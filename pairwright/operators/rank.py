@@ -23,11 +23,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairwright.session import shuffle_partitions
+from pairwright.session import shuffle_partitions, stage
 
 
 def seeded_hash(seed, *cols) -> Column:
@@ -104,17 +103,14 @@ def global_row_number(df: DataFrame, order: Sequence[str], out: str = "rn",
 
     ``order`` should be unique per row (it is the tie-break as well).  The
     range exchange has an explicit partition count, so adaptive execution
-    does not coalesce it.  The numbered rows are persisted: the range
-    sampler is seeded per RDD, so two separately planned passes could cut
-    different ranges; both passes must read the one partitioned result.  A
-    lost block is recomputed from the same shuffle dependency (same bounds,
-    same sort on a unique key), so it comes back identical.
+    does not coalesce it.  The numbered rows are written once (``stage``):
+    the range sampler is seeded per RDD, so two separately planned passes
+    could cut different ranges; both passes read the one written table.
     """
     n = num_partitions or shuffle_partitions(df.sparkSession)
-    s = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-         .withColumn("_p", F.spark_partition_id())
-         .withColumn("_i", F.monotonically_increasing_id())
-         .persist(StorageLevel.MEMORY_AND_DISK))
+    s = stage(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+              .withColumn("_p", F.spark_partition_id())
+              .withColumn("_i", F.monotonically_increasing_id()), "numbered")
     sizes = s.groupBy("_p").agg(F.count(F.lit(1)).alias("_pn"), F.min("_i").alias("_i0"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_p", "_i0", F.coalesce(F.sum("_pn").over(before), F.lit(0)).alias("_poff"))
