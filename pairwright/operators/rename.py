@@ -120,7 +120,7 @@ def _sig_tokens(tokens: DataFrame) -> DataFrame:
     p1, p2 = F.coalesce(F.col("p1"), F.lit("")), F.coalesce(F.col("p2"), F.lit(""))
     boundary = tok.isin(";", "{", "}") | ((tok == "(") & (p1 == "for"))
     first_after = F.when(F.col("n1") == "final", F.col("n2")).otherwise(F.col("n1"))
-    hdr = (tok == "(") & _ident(p1) & ~p2.isin("new", ".")
+    hdr = (tok == "(") & _ident(p1) & ~p2.isin("new", ".", "@")
     s = s.select(
         "*",
         F.coalesce(last_before(F.when(boundary, pos)), F.lit(-1)).alias("stmt_start"),
@@ -158,6 +158,7 @@ def _sig_tokens(tokens: DataFrame) -> DataFrame:
     # generic arguments are never name candidates (their previous token is < or ,)
     s = s.select("*", F.coalesce((F.col("_primary") & none_before) | more, F.lit(False)).alias("local_decl"),
                  F.coalesce(in_params, F.lit(False)).alias("in_params"),
+                 F.coalesce(name_cand, F.lit(False)).alias("pname"),
                  F.greatest(last_before(F.when(name_cand, pos)), F.col("cur_open")).alias("pidx"))
     # descending pass: nearest declaration at or after each token
     s = s.select("*", F.last(F.when(F.col("_primary"), F.struct(pos.alias("p"), F.col("stmt_start").alias("s"))),
@@ -166,8 +167,8 @@ def _sig_tokens(tokens: DataFrame) -> DataFrame:
     # a body-less method needs a declaration before its name (a type or void), which a call never has
     decl_like = hdr & (p2.isin(*PRIMITIVES, "void", ">", "]") | _ident(p2))
     return s.select("sid", "pos", "tok", "bd", "pd", "p1", "p1pos", "n1", "n1pos", "is_id", "stmt_start",
-                    "local_decl", "is_ltype", "cur_open", "in_params", "pidx", hdr.alias("hdr"),
-                    decl_like.alias("decl_like"))
+                    "local_decl", "is_ltype", "cur_open", "in_params", "pname", "pidx",
+                    (F.col("pd") - F.col("_opd")).alias("prel"), hdr.alias("hdr"), decl_like.alias("decl_like"))
 
 
 def _balanced(brackets: DataFrame) -> DataFrame:
@@ -204,19 +205,20 @@ def scope_spans(sig: DataFrame) -> DataFrame:
                 .select("sid", "pos", "tok", "bd", "pd", "p1", "p1pos", "n1", "n1pos", "hdr", "decl_like")
                 # the bracket after a ")" is its method body when it is "{" (a throws clause holds none)
                 .withColumn("_nb", F.when(F.lead("tok").over(nb) == "{", F.lead("pos").over(nb))))
-    lists = _matched(brackets, "(", ")", "pd", ["n1", "n1pos", "_nb"]).filter(F.col("hdr"))
-    heads = (lists.filter(F.col("close_n1").isin("{", "throws") & F.col("close__nb").isNotNull())
+    with_body = F.col("close_n1").isin("{", "throws") & F.col("close__nb").isNotNull()
+    # abstract / interface methods: the span ends at the ";" and there is no body
+    no_body = F.col("decl_like") & (F.col("close_n1") == ";")
+    heads = (_matched(brackets, "(", ")", "pd", ["n1", "n1pos", "_nb"])
+             .filter(F.col("hdr") & (with_body | no_body))
              .select("sid", F.col("p1pos").alias("scope"), F.col("bd").alias("depth"), F.col("pos").alias("popen"),
-                     F.col("close_pos").alias("pclose"), F.col("close__nb").alias("body_open")))
+                     F.col("close_pos").alias("pclose"), F.when(with_body, F.col("close__nb")).alias("body_open"),
+                     F.when(~with_body, F.col("close_n1pos")).alias("_end")))
     bodies = _matched(brackets, "{", "}", "bd", []).select(
         "sid", F.col("pos").alias("body_open"), F.col("close_pos").alias("hi"))
-    with_body = heads.join(bodies, ["sid", "body_open"])
-    # abstract / interface methods: the span ends at the ";" and there is no body
-    no_body = (lists.filter(F.col("decl_like") & (F.col("close_n1") == ";"))
-               .select("sid", F.col("p1pos").alias("scope"), F.col("bd").alias("depth"), F.col("pos").alias("popen"),
-                       F.col("close_pos").alias("pclose"), F.lit(None).cast("long").alias("body_open"),
-                       F.col("close_n1pos").alias("hi")))
-    m = with_body.unionByName(no_body).join(_balanced(brackets), "sid", "left_semi")
+    m = (heads.join(bodies, ["sid", "body_open"], "left")
+         .withColumn("hi", F.coalesce(F.col("hi"), F.col("_end")))
+         .filter(F.col("hi").isNotNull())
+         .join(_balanced(brackets), "sid", "left_semi"))
     return m.select("sid", "scope", F.col("scope").alias("lo"), "hi", "depth", "popen", "pclose", "body_open")
 
 
@@ -248,26 +250,24 @@ def _enclosing(rows: DataFrame, markers: DataFrame, keys: list[str], inclusive_d
 
 def declarations(sig: DataFrame, scopes: DataFrame) -> DataFrame:
     """(sid, scope, name, bucket, is_local, pos) for parameters and locals."""
-    # parameters: one group per top-level parameter; last token = name, the rest = type
-    groups = _sorted_tokens(sig.filter(F.col("in_params") & ~F.col("tok").isin(",", "final")),
-                            ["sid", "cur_open", "pidx"])
-    # drop annotations ("@" and the name after it); the name is the last identifier,
-    # the type the tokens before it, less brackets left over from the previous "x[]"
-    toks = F.filter("_t", lambda x, i: (x["tok"] != "@") & (
-        (i == 0) | (F.try_element_at(F.col("_t"), F.greatest(i, F.lit(1)))["tok"] != "@")))
-    name = F.try_element_at(F.filter(toks, lambda x: _ident(x["tok"])), F.lit(-1))
-    before = F.filter(toks, lambda x: x["pos"] < name["pos"])
-    start = F.array_position(F.transform(before, lambda x: ~x["tok"].isin("[", "]")), True)
-    ptype = F.array_join(F.transform(F.slice(before, F.greatest(start, F.lit(1)),
-                                             F.size(before) - F.greatest(start, F.lit(1)) + 1),
-                                     lambda x: x["tok"]), "")
-    params = (groups.withColumn("_name", name).withColumn("_ptype", F.when(start > 0, ptype).otherwise(F.lit("")))
-              .filter(F.col("_name").isNotNull() & (F.col("_ptype") != ""))
+    # parameters: the name row carries its group key; the group's other top-level
+    # tokens (annotations "@A", commas, "final" left out) are its type, less
+    # brackets left over from a previous C-style "x[]"
+    names = sig.filter("pname").select("sid", "cur_open", "pidx", F.col("tok").alias("name"), "pos")
+    type_rows = sig.filter(F.col("in_params") & ~F.col("pname") & (F.col("prel") == 1)
+                           & ~F.col("tok").isin(",", "final", "@", "(", ")") & (F.coalesce(F.col("p1"), F.lit("")) != "@"))
+    types = _sorted_tokens(type_rows, ["sid", "cur_open", "pidx"])
+    start = F.array_position(F.transform("_t", lambda x: ~x["tok"].isin("[", "]")), True)
+    types = types.select("sid", "cur_open", "pidx", F.array_join(F.transform(
+        F.slice("_t", F.greatest(start, F.lit(1)), F.size("_t") - F.greatest(start, F.lit(1)) + 1),
+        lambda x: x["tok"]), "").alias("_ptype"), start.alias("_start"))
+    params = (names.join(types, ["sid", "cur_open", "pidx"])
+              .filter((F.col("_start") > 0) & (F.col("_ptype") != ""))
               .join(scopes.select("sid", F.col("popen").alias("cur_open"), "scope"), ["sid", "cur_open"])
-              .select("sid", "scope", F.col("_name.tok").alias("name"),
+              .select("sid", "scope", "name",
                       F.when(F.col("_ptype").endswith("..."), F.lit("obj")).otherwise(type_bucket(F.col("_ptype")))
                       .alias("bucket"),
-                      F.lit(0).alias("is_local"), F.col("_name.pos").alias("pos")))
+                      F.lit(0).alias("is_local"), "pos"))
 
     # locals: the statement's tokens before its first declared name are the type
     types = _sorted_tokens(sig.filter("is_ltype"), ["sid", "stmt_start"]).select(

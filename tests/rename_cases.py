@@ -68,9 +68,11 @@ EXTRA_CASES = [
      "class T {\n  String f(String s) {\n    String trim = s.trim();\n    return this.trim + trim;\n  }\n}\n",
      {"mask_numbers": False}, ["String str2 = str1.str2();", "return this.trim + str2;"], []),
     ("annotated_and_c_style_params",
-     "class P {\n  int g(@Deprecated String name, int xs[], final long k) {\n    return xs.length + name.length() + (int) k;\n  }\n}\n",
-     {"mask_numbers": False}, ["int g(@Deprecated String str1, int num1[], final long num2)",
-                               "return num1.length + str1.length() + (int) num2;"], []),
+     "class P {\n  int g(@Deprecated String name, int xs[], final long k, @SuppressWarnings(\"u\") String t) {\n"
+     "    return xs.length + name.length() + (int) k + t.length();\n  }\n}\n",
+     {"mask_numbers": False},
+     ["int g(@Deprecated String str1, int num1[], final long num2, @SuppressWarnings(<STR>) String str2)",
+      "return num1.length + str1.length() + (int) num2 + str2.length();"], []),
     ("abstract_and_interface_methods",
      "interface Cb {\n  void on(String event, int code);\n  java.util.List<String> all();\n}\n"
      "abstract class B {\n  abstract int size(int cap);\n  void run() { init(cap); go(1, 2); }\n}\n",
