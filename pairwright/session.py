@@ -38,18 +38,31 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+_PRIVATE_DIRS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     Only when the session names none (local tests) a private folder is made
-    and registered; on a cluster the setting must point at shared storage.
+    once per application and registered with ``setCheckpointDir`` (the
+    setting itself is static and cannot be changed on a running session); on
+    a cluster the setting must point at shared storage.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="pairwright-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    if d:
+        return d
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app not in _PRIVATE_DIRS:
+        existing = sc.getCheckpointDir()
+        if existing:
+            _PRIVATE_DIRS[app] = existing
+        else:
+            d = tempfile.mkdtemp(prefix="pairwright-ckpt-")
+            sc.setCheckpointDir(d)
+            _PRIVATE_DIRS[app] = d
+    return _PRIVATE_DIRS[app]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

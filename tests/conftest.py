@@ -15,8 +15,6 @@ SF_SMALL = os.environ.get("PAIRWRIGHT_TEST_SF", "/root/testdata/sf0.001")
 def spark():
     from pairwright.session import get_spark
     s = get_spark("local[4]", shuffle_partitions=8)
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="pairwright-test-ckpt-"))
     yield s
 
 

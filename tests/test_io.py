@@ -128,3 +128,45 @@ def test_fetch_with_full_normaliser(spark, tmpdir_path):
     r = fetch.fetch_pairs(pairs, read_code_files(spark, root), normalize={}).first()
     assert r.code1 == "int add(int num1, int num2) {\n    int num3 = num1 + num2;\n    return num3;\n  }\n"
     assert "int add(int num1, int num2)" in r.code2 and "class A {" in r.code2
+
+
+def test_staged_tables_released(spark, monkeypatch):
+    import tempfile
+
+    from pairwright import session
+    fresh = tempfile.mkdtemp(prefix="pairwright-release-")  # a new folder only this test uses
+    monkeypatch.setattr(session, "checkpoint_dir", lambda _s: fresh)
+    assert session.stage(spark.range(5), "probe").count() == 5
+    root = session.staging_root(spark)
+    assert os.path.isdir(root) and root.startswith(fresh)
+    assert session.release_staged(spark)
+    assert not os.path.exists(root)
+
+
+def test_checkpoint_dir_fallback_never_sets_static_conf():
+    from pairwright import session
+
+    class Conf:
+        def get(self, k, d=None):
+            return None
+
+        def set(self, k, v):
+            raise AssertionError("spark.checkpoint.dir is static")
+
+    class SC:
+        applicationId = "app-fallback-test"
+        calls = []
+
+        def getCheckpointDir(self):
+            return None
+
+        def setCheckpointDir(self, d):
+            self.calls.append(d)
+
+    class FakeSpark:
+        conf, sparkContext = Conf(), SC()
+
+    fake = FakeSpark()
+    d1 = session.checkpoint_dir(fake)
+    d2 = session.checkpoint_dir(fake)
+    assert d1 == d2 and os.path.isdir(d1) and SC.calls == [d1]
