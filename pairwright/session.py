@@ -86,9 +86,14 @@ def stage(df, label: str = "stage"):
     return spark.read.parquet(path)
 
 
+def app_id(spark: SparkSession) -> str:
+    """The application id (read from the session conf, so it needs no SparkContext)."""
+    return spark.conf.get("spark.app.id")
+
+
 def staging_root(spark: SparkSession) -> str:
     """``<checkpoint dir>/pairwright/<application id>``: one folder per application."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/pairwright/{spark.sparkContext.applicationId}"
+    return f"{checkpoint_dir(spark).rstrip('/')}/pairwright/{app_id(spark)}"
 
 
 def release_staged(spark: SparkSession) -> bool:

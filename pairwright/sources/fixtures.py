@@ -32,8 +32,8 @@ def _stored(fn):
     pair table would be, and let every query read it (filters on row_pos then
     reach the parquet scan)."""
     def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from pairwright.session import stage
-        key = (spark.sparkContext.applicationId, fn.__name__, sf_dir.rstrip("/"))
+        from pairwright.session import app_id, stage
+        key = (app_id(spark), fn.__name__, sf_dir.rstrip("/"))
         if key not in _STORED:
             _STORED[key] = stage(fn(spark, sf_dir), fn.__name__)
         return _STORED[key]
