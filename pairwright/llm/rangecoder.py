@@ -5,12 +5,13 @@ it can be decoded alone.  For the next id there are three predictions: the id
 that last followed the last two ids (order 2), the one that last followed the
 last id (order 1), and the block's majority candidate (order 0).  Adaptive
 counts, kept apart by how often the order-2 and order-1 predictions were right
-of late, mix them with an order-0 distribution of the id's bit length into one
+of late, mix them with an order-0 distribution of the id's bit length (4 at least) into one
 alphabet (right at order 2, 1, 0, or the bit length, whose low bits follow);
-a carry-less range coder with 64-bit state writes 16-bit words.
+a carry-less range coder with 48-bit state writes 16-bit words.
 
 The model of all blocks of a call is held in arrays and every step codes one
-id of every block, so numpy does the work.
+id of every block, so numpy does the work.  Quotients are taken in double
+precision, which is exact here: dividends stay below 2**48.
 
 Block format (little-endian): magic ``CMR1``, number of ids (u32), crc32 of the
 ids as u32 (u32), number of words (u32), words (u16 each).
@@ -23,120 +24,130 @@ import zlib
 
 import numpy as np
 
-BLOCK, LANES = 2048, 4096
+BLOCK, LANES = 1024, 8192
 _SLOTS = 1024
-_SYMBOLS = 20  # order 2, order 1, order 0, bit lengths 0 to 16
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-_LENGTH = np.zeros(1 << 16, np.uint8)
-for _b in range(16):
-    _LENGTH[1 << _b:1 << (_b + 1)] = _b + 1
-_U = np.uint64
+_SYMBOLS = 16  # order 2, order 1, order 0, bit lengths 4 (and less) to 16
+_STEP, _FULL = 24, 6000
+_STATE, _LEAST = 1 << 48, 1 << 32  # range of the state; below _LEAST a word leaves
+_RAW = np.full(1 << 16, 4, np.int64)  # low bits that follow the bit length
+_CLASS = np.zeros(1 << 16, np.int64)
+for _b in range(4, 16):
+    _RAW[1 << _b:1 << (_b + 1)] = _b
+    _CLASS[1 << _b:1 << (_b + 1)] = _b - 3
+_SYM_RAW = np.array([0, 0, 0, 4, *range(4, 16)])
+_SYM_HIGH = np.array([0, 0, 0, 0, *(1 << b for b in range(4, 16))])
+_SUMS = np.triu(np.ones((_SYMBOLS, _SYMBOLS), np.float32))
 MAGIC = b"CMR1"
 
 
 class _Model:
     def __init__(self, lanes: int):
-        self.two = np.zeros(lanes * _SLOTS, np.uint32)  # prediction << 2 | confidence
-        self.one = np.zeros(lanes * _SLOTS, np.uint32)
+        self.two = np.zeros(lanes * _SLOTS, np.int32)  # prediction << 2 | confidence
+        self.one = np.zeros(lanes * _SLOTS, np.int32)
         self.major = np.zeros(lanes, np.int64)
         self.votes = np.zeros(lanes, np.int64)
         self.counts = np.ones((lanes * 16, _SYMBOLS), np.uint16)
+        self.flat = self.counts.reshape(-1)
         self.base = np.arange(lanes, dtype=np.int64) * _SLOTS
         self.ctx = np.arange(lanes, dtype=np.int64) * 16
+        self.lane = np.arange(lanes, dtype=np.int64) * _SYMBOLS
         self.a = np.zeros(lanes, np.int64)
         self.b = np.zeros(lanes, np.int64)
 
-    def predict(self, k: int):
-        """Slots, predictions, the row of counts and its running sums for the first k lanes."""
+    def predict(self, k: int) -> np.ndarray:
+        """Predictions and running sums of the counts (as float32, exact) for the first k lanes."""
         a, b = self.a[:k], self.b[:k]
-        self.at2 = self.base[:k] + (((a * 0x9E5D + b * 0x6A53) >> 4) & (_SLOTS - 1))
-        self.at1 = self.base[:k] + (((b * 0x9E5D) >> 5) & (_SLOTS - 1))
-        self.e2, self.e1 = self.two[self.at2], self.one[self.at1]
+        b1 = b * 0x9E5D
+        self.at2 = (((a * 0x6A53 + b1) >> 4) & (_SLOTS - 1)) + self.base[:k]
+        self.at1 = ((b1 >> 5) & (_SLOTS - 1)) + self.base[:k]
+        self.e2, self.e1 = self.two.take(self.at2), self.one.take(self.at1)
         self.p2, self.p1, self.p0 = self.e2 >> 2, self.e1 >> 2, self.major[:k]
-        self.row = self.ctx[:k] + ((self.e2 & 3) * 4 + (self.e1 & 3))
-        self.freq = self.counts[self.row]
-        return self.freq.cumsum(1, dtype=np.uint32)
-
-    def update(self, k: int, x: np.ndarray, sym: np.ndarray, total: np.ndarray) -> None:
-        for table, at, e, p in ((self.two, self.at2, self.e2, self.p2), (self.one, self.at1, self.e1, self.p1)):
-            table[at] = np.where(p == x, e + ((e & 3) < 3), x << 2)
+        self.row = ((self.e2 & 3) << 2 | (self.e1 & 3)) + self.ctx[:k]
+        return self.counts.take(self.row, axis=0).astype(np.float32) @ _SUMS
+
+    def interval(self, k: int, cum: np.ndarray, sym: np.ndarray):
+        """Start and width of the symbols' intervals."""
+        self.at = self.row * _SYMBOLS + sym
+        self.own = self.flat.take(self.at)
+        f = self.own.astype(np.int64)
+        return cum.reshape(-1).take(self.lane[:k] + sym).astype(np.int64) - f, f
+
+    def update(self, k: int, x: np.ndarray, total: np.ndarray) -> None:
+        x4 = (x << 2).astype(np.int32)
+        for table, at, e in ((self.two, self.at2, self.e2), (self.one, self.at1, self.e1)):
+            table[at] = np.where((e ^ x4) < 4, np.minimum(e + 1, x4 | 3), x4)
         same = self.p0 == x
-        votes = self.votes[:k] + np.where(same, 1, -1)
+        votes = self.votes[:k] + (same * 2 - 1)
         swap = votes < 0
         self.major[:k] = np.where(swap, x, self.p0)
-        self.votes[:k] = np.where(swap, 1, votes)
-        self.counts[self.row, sym] += 24
-        full = total > 6000
-        if full.any():
+        self.votes[:k] = np.abs(votes)
+        self.flat[self.at] = self.own + _STEP
+        full = np.flatnonzero(total > _FULL)
+        if len(full):
             rows = self.row[full]
             self.counts[rows] = (self.counts[rows] + 1) >> 1
         self.a[:k], self.b[:k] = self.b[:k], x
 
 
+def _renew(low, rng, k, word) -> None:
+    """Renormalises the first k lanes; ``word(lanes, top words)`` is called for the words that leave."""
+    lanes = np.flatnonzero(rng[:k] < _LEAST)
+    while len(lanes):
+        lo, r = low.take(lanes), rng.take(lanes)
+        r = np.where((lo ^ (lo + r)) < _LEAST, r, -lo & (_LEAST - 1))
+        word(lanes, lo >> 32)
+        low[lanes], rng[lanes] = (lo << 16) & (_STATE - 1), r << 16
+        lanes = lanes[(r << 16) < _LEAST]
+
+
+def _live(sizes: np.ndarray, steps: int) -> np.ndarray:
+    """How many lanes (in descending order of size) have an id at each step."""
+    return len(sizes) - np.searchsorted(np.sort(sizes), np.arange(steps), side="right")
+
+
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Encodes each block (all but the last must be of one length)."""
     lanes = len(blocks)
-    sizes = np.array([len(b) for b in blocks])
+    sizes = np.array([len(b) for b in blocks], dtype=np.int64)
     order = np.argsort(-sizes, kind="stable")
     steps = int(sizes.max(initial=0))
-    ids = np.zeros((steps, lanes), np.int64)
+    ids = np.zeros((lanes, steps), np.uint16)
     for j, i in enumerate(order):
-        ids[:sizes[i], j] = blocks[i]
-    alive = [int((sizes > t).sum()) for t in (0, steps - 1)] if steps else []
+        ids[j, :sizes[i]] = blocks[i]
+    ids = np.ascontiguousarray(ids.T)
     model = _Model(lanes)
-    low, rng = np.zeros(lanes, _U), np.full(lanes, np.iinfo(np.uint64).max, _U)
-    out, pos = np.zeros((lanes, 2 * steps + 16), np.uint16), np.zeros(lanes, np.int64)
-    sorted_sizes = sizes[order]
-    for t in range(steps):
-        k = lanes if alive[1] == lanes else int(np.searchsorted(-sorted_sizes, -t, side="left"))
-        x = ids[t, :k]
+    low, rng = np.zeros(lanes, np.int64), np.full(lanes, _STATE - 1, np.int64)
+    width = 2 * steps + 16
+    out, pos = np.zeros(lanes * width, np.uint16), np.arange(lanes, dtype=np.int64) * width
+
+    def put(which, words):
+        at = pos.take(which)
+        out[at] = words
+        pos[which] = at + 1
+
+    for t, k in enumerate(_live(sizes, steps).tolist()):
+        x = ids[t, :k].astype(np.int64)
         cum = model.predict(k)
-        length = _LENGTH[x].astype(np.int64)
-        sym = np.where(model.p2 == x, 0, np.where(model.p1 == x, 1, np.where(model.p0 == x, 2, 3 + length)))
-        lane = np.arange(k)
+        sym = np.where(model.p2 == x, 0, np.where(model.p1 == x, 1, np.where(model.p0 == x, 2, _CLASS.take(x) + 3)))
         total = cum[:, -1]
-        f = model.freq[lane, sym].astype(_U)
-        c = cum[lane, sym].astype(_U) - f
-        r = rng[:k] // total.astype(_U)
-        lo, r = low[:k] + r * c, r * f
-        raw = np.where(sym > 3, length - 1, 0).astype(_U)
-        r >>= raw
-        lo += r * (x.astype(_U) & ((_U(1) << raw) - _U(1)))
-        low[:k], rng[:k] = lo, r
-        _shift(low, rng, k, lambda lanes_, words: _put(out, pos, lanes_, words))
-        model.update(k, x, sym, total)
-    for _ in range(4):
-        _put(out, pos, np.arange(lanes), (low >> _U(48)).astype(np.uint16))
-        low <<= _U(16)
+        c, f = model.interval(k, cum, sym)
+        raw = np.where(sym > 2, _RAW.take(x), 0)
+        r = (rng[:k] / total).astype(np.int64)
+        lo = low[:k] + r * c
+        r = (r * f) >> raw
+        low[:k], rng[:k] = lo + r * (x & ((1 << raw) - 1)), r
+        _renew(low, rng, k, put)
+        model.update(k, x, total)
+    for _ in range(3):
+        put(np.arange(lanes), low >> 32)
+        low = (low << 16) & (_STATE - 1)
     coded: list[bytes] = [b""] * lanes
     for j, i in enumerate(order):
         raw = np.asarray(blocks[i], dtype="<u4").tobytes()
-        coded[i] = MAGIC + struct.pack("<III", len(blocks[i]), zlib.crc32(raw), pos[j]) + out[j, :pos[j]].astype("<u2").tobytes()
+        words = out[j * width:pos[j]]
+        coded[i] = MAGIC + struct.pack("<III", len(blocks[i]), zlib.crc32(raw), len(words)) + words.astype("<u2").tobytes()
     return coded
 
 
-def _put(out, pos, lanes, words) -> None:
-    out[lanes, pos[lanes]] = words
-    pos[lanes] += 1
-
-
-def _shift(low, rng, k, word) -> None:
-    """Renormalises the first k lanes; ``word(lanes, top words)`` is called for every word that leaves."""
-    lanes = None
-    while True:
-        lo, r = (low[:k], rng[:k]) if lanes is None else (low[lanes], rng[lanes])
-        settled = (lo ^ (lo + r)) < _TOP
-        short = ~settled & (r < _BOTTOM)
-        hit = np.flatnonzero(settled | short)
-        if not len(hit):
-            return
-        lo, r, short = lo[hit], r[hit], short[hit]
-        r = np.where(short, (~lo + _U(1)) & (_BOTTOM - _U(1)), r)
-        lanes = hit if lanes is None else lanes[hit]
-        word(lanes, (lo >> _U(48)).astype(np.uint16))
-        low[lanes], rng[lanes] = lo << _U(16), r << _U(16)
-
-
 def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
     """The ids of each block; ValueError if a block is damaged."""
     heads = []
@@ -151,47 +162,46 @@ def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
     sizes = np.array([h[0] for h in heads], dtype=np.int64)
     order = np.argsort(-sizes, kind="stable")
     steps = int(sizes.max(initial=0))
-    width = max((h[2] for h in heads), default=0) + 8
-    data = np.zeros((lanes, width), _U)
+    width = max((h[2] for h in heads), default=0) + 2 * steps + 8  # a damaged block may ask for more than it has
+    data = np.zeros((lanes, width), np.uint16)
     for j, i in enumerate(order):
         data[j, :heads[i][2]] = np.frombuffer(coded[i], "<u2", offset=16)
     model = _Model(lanes)
-    low, rng = np.zeros(lanes, _U), np.full(lanes, np.iinfo(np.uint64).max, _U)
-    code, pos = np.zeros(lanes, _U), np.full(lanes, 4, np.int64)
-    for i in range(4):
-        code = (code << _U(16)) | data[:, i]
+    low, rng = np.zeros(lanes, np.int64), np.full(lanes, _STATE - 1, np.int64)
+    code, pos = np.zeros(lanes, np.int64), np.arange(lanes, dtype=np.int64) * width + 3
+    for i in range(3):
+        code = (code << 16) | data[:, i]
+    data = data.reshape(-1)
     ids = np.zeros((steps, lanes), np.uint16)
-    sorted_sizes = sizes[order]
+    ones = np.ones(_SYMBOLS, np.float32)
 
     def pull(which, _):
-        code[which] = (code[which] << _U(16)) | data[which, np.minimum(pos[which], width - 1)]
-        pos[which] += 1
+        at = pos.take(which)
+        code[which] = ((code.take(which) << 16) & (_STATE - 1)) | data.take(at)
+        pos[which] = at + 1
 
-    for t in range(steps):
-        k = int(np.searchsorted(-sorted_sizes, -t, side="left"))
+    for t, k in enumerate(_live(sizes, steps).tolist()):
         cum = model.predict(k)
-        lane = np.arange(k)
         total = cum[:, -1]
-        r = rng[:k] // total.astype(_U)
-        target = np.minimum((code[:k] - low[:k]) // r, total.astype(_U) - _U(1)).astype(np.uint32)
-        sym = (cum <= target[:, None]).sum(1)
-        f = model.freq[lane, sym].astype(_U)
-        lo = low[:k] + r * (cum[lane, sym].astype(_U) - f)
-        r = r * f
-        raw = np.maximum(sym - 4, 0).astype(_U)
-        r >>= raw
-        bits = np.minimum((code[:k] - lo) // r, (_U(1) << raw) - _U(1))
-        lo += r * bits
-        low[:k], rng[:k] = lo, r
-        plain = np.where(sym > 3, (_U(1) << raw) | bits, _U(0)).astype(np.int64)
-        x = np.where(sym == 0, model.p2, np.where(sym == 1, model.p1, np.where(sym == 2, model.p0, plain))).astype(np.int64)
+        r = (rng[:k] / total).astype(np.int64)
+        ahead = code[:k] - low[:k]
+        target = np.minimum((ahead / r).astype(np.int64), total.astype(np.int64) - 1)
+        sym = ((cum <= target.astype(np.float32)[:, None]).astype(np.float32) @ ones).astype(np.int64)
+        c, f = model.interval(k, cum, sym)
+        raw = _SYM_RAW.take(sym)
+        start = r * c
+        r = (r * f) >> raw
+        bits = np.minimum(((ahead - start) / r).astype(np.int64), (1 << raw) - 1)
+        low[:k], rng[:k] = low[:k] + start + r * bits, r
+        x = np.where(sym == 0, model.p2, np.where(sym == 1, model.p1, np.where(sym == 2, model.p0, _SYM_HIGH.take(sym) + bits)))
         ids[t, :k] = x
-        _shift(low, rng, k, pull)
-        model.update(k, x, sym, total)
+        _renew(low, rng, k, pull)
+        model.update(k, x, total)
+    ids = np.ascontiguousarray(ids.T)
     out: list = [None] * lanes
     for j, i in enumerate(order):
         n, crc, _ = heads[i]
-        own = ids[:n, j].astype("<u4")
+        own = ids[j, :n].astype("<u4")
         if zlib.crc32(own.tobytes()) != crc:
             raise ValueError("a block's checksum is wrong")
         out[i] = own

@@ -25,6 +25,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -38,8 +39,8 @@ from pairwright.session import shuffle_partitions, staging_root
 
 END_ID = 0
 MAX_FILE, CACHE = 16 << 20, 400_000
-#: Blanks beside other white space, or at an end: no place to cut.
-_ODD = re.compile(r" \s|[^\S ] |^ | $")
+#: Letters and a run of common marks after them (two units of the pre-tokenizer), or two such with a line feed between.
+_SIMPLE = re.compile(r"([^\W\d_]+)([.,!?;:|]*)(?:\n([^\W\d_]+)([.,!?;:|]*))?")
 _STATE: dict = {}
 
 
@@ -51,6 +52,50 @@ def read_tokenizer(path: str) -> bytes:
     return raw
 
 
+class _Pieces(dict):
+    """Ids (as uint16 bytes) of a blank and the word after it, made when first asked for.
+
+    Up to ``CACHE`` words are kept, the first to be met: frequent words are
+    among them.  A word at whose ends the text must not be cut has no ids (None).
+    """
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.model, self.ends = tokenizer, tokenizer.model, {"": b""}
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte alphabet of byte-level BPE (fixed values)
+        other = [b for b in range(256) if b not in printable]
+        self.alphabet = {**{b: chr(b) for b in printable}, **{b: chr(256 + i) for i, b in enumerate(other)}}
+        self.simple = all(self._model(w) == self._text(f" {w}") for w in ("the", "ün", "x", "Öffnungen"))
+
+    def _text(self, text: str) -> bytes:
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _model(self, letters: str, blank: str = " ") -> bytes:
+        """A blank (or none) and letters only: one unit of the pre-tokenizer, so the model alone decides."""
+        unit = (blank + letters).encode("utf-8").decode("latin-1").translate(self.alphabet)
+        return array("H", [t.id for t in self.model.tokenize(unit)]).tobytes()
+
+    def _end(self, end: str) -> bytes:
+        if end not in self.ends:
+            self.ends[end] = self._text(end)
+        return self.ends[end]
+
+    def __missing__(self, word: str):
+        m = _SIMPLE.fullmatch(word) if self.simple else None
+        if m:
+            stem, end, next_stem, next_end = m.groups()
+            ids = (self[stem] if end or next_stem else self._model(stem)) + self._end(end)
+            if next_stem:
+                ids += self._end("\n") + self._model(next_stem, "") + self._end(next_end)
+        elif not word or word[0].isspace() or word[-1].isspace():
+            ids = None
+        else:
+            ids = self._text(" " + word)
+        if len(self) < CACHE:
+            self[word] = ids
+        return ids
+
+
 class TextEncoder:
     """ids of a text as a uint16 array, through the tokenizers library."""
 
@@ -61,29 +106,18 @@ class TextEncoder:
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of 65,536 and more do not fit the format")
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=np.uint16).tobytes() for e in got]
+        self.known = _Pieces(self.tokenizer)
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint16)
-        if _ODD.search(text):
-            raw = b"".join(self._ids(list(pieces(text))))
-        else:
-            first, *rest = text.split(" ")
+        first, *rest = text.split(" ")
+        if first and not first[-1].isspace():
             known = self.known
-            new = [w for w in dict.fromkeys(rest) if w not in known]
-            if new:
-                if len(known) > CACHE:
-                    known.clear()
-                    new = list(dict.fromkeys(rest))
-                for w, ids in zip(new, self._ids([" " + w for w in new]), strict=True):
-                    known[w] = ids
-            raw = b"".join([self._ids([first])[0], *[known[w] for w in rest]])
-        return np.frombuffer(raw, np.uint16)
+            try:
+                return np.frombuffer(b"".join([known._text(first), *[known[w] for w in rest]]), np.uint16)
+            except TypeError:  # a word without ids: blanks beside other white space
+                pass
+        parts = [np.frombuffer(self.known._text(p), np.uint16) for p in pieces(text)] if text else []
+        return np.concatenate(parts) if parts else np.empty(0, np.uint16)
 
 
 def _encoder(raw: bytes) -> TextEncoder:
