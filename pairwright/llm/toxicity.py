@@ -114,7 +114,8 @@ def _count(rows: DataFrame, terms_of) -> DataFrame:
                 for text, toxic in zip(part["text"], part["toxic"], strict=True):
                     by[int(toxic)].update(terms_of(fold(text)))
                 keys = list(by[0] | by[1])
-                yield pd.DataFrame({"term": keys, "toxic": [by[1][k] for k in keys], "other": [by[0][k] for k in keys]})
+                if keys:
+                    yield pd.DataFrame({"term": keys, "toxic": [by[1][k] for k in keys], "other": [by[0][k] for k in keys]})
     return rows.mapInPandas(run, "term string, toxic long, other long") \
         .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
