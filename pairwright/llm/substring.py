@@ -18,7 +18,8 @@ input.
    that occur at least twice are the recurring passages, and are compiled into
    an Aho-Corasick automaton over word numbers, with their first place.
 4. *Locate.*  The automaton reads every stretch of the shard and reports each
-   recurring window in it.  Each document's stretches then look up their
+   recurring window in it (as runs: windows, as bits, whose first places lie
+   side by side too).  Each document's stretches then look up their
    result by the content key, which locates every occurrence in every
    document, and the places that are not the window's first are marked.
 
@@ -124,14 +125,13 @@ def _places(window, gram):
     def run(batches):
         for b in batches:
             for at in range(0, len(b), 1000):
-                got = []
                 part = b.iloc[at:at + 1000]
-                for d, h, t in zip(part["doc_id"], part["h"], part["text"], strict=True):
-                    s = stretches(t.encode("utf-8"), window, gram)
-                    if s is not None:
-                        got.append(pd.DataFrame({"a": s[0], "s": s[1], "n": s[3].astype(np.int32), "doc_id": d, "h": h, "start": s[2].astype(np.int32)}))
-                if got:
-                    yield pd.concat(got)
+                got = [stretches(t.encode("utf-8"), window, gram) for t in part["text"]]
+                sizes = [0 if s is None else len(s[0]) for s in got]
+                a, s, start, n = ([np.concatenate(x) for x in zip(*(g for g in got if g is not None), strict=True)] or [[]] * 4)
+                if len(a):
+                    yield pd.DataFrame({"a": a, "s": s, "n": n.astype(np.int32), "doc_id": np.repeat(part["doc_id"].to_numpy(), sizes),
+                                        "h": np.repeat(part["h"].to_numpy(), sizes), "start": start.astype(np.int32)})
     return run
 
 
@@ -183,10 +183,14 @@ def _locate(window):
         if len(automaton):
             automaton.make_automaton()
             for ids, a, s, n, offs in zip(rows, g["a"], g["s"], g["n"], g["offs"], strict=True):
-                own = None if offs is None else set(offs)
-                hits = [(end - window + 1, p) for end, p in automaton.iter(ids) if own is None or end - window + 1 in own]
-                if hits:
-                    out.append((a, s, n, [{"off": int(o), "doc_id": int(p[0]), "h": int(p[1]), "start": int(p[2])} for o, p in hits]))
+                own, runs = None if offs is None else set(offs), {}
+                for end, (d, h, start) in automaton.iter(ids):
+                    o = end - window + 1
+                    if own is None or o in own:
+                        run = (d, h, start - o)
+                        runs[run] = runs.get(run, 0) | 1 << o
+                if runs:
+                    out.append((a, s, n, [(*run, bits) for run, bits in runs.items()]))
         return pd.DataFrame(out, columns=["a", "s", "n", "hits"])
     return run
 
@@ -211,15 +215,15 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_rows
         rows = rows.join(crowded, F.col("a") == F.col("a2"), "left_anti").unionByName(crowd)
     shards = max(1, -(-distinct.count() // shard_rows))
     found = rows.groupBy(F.pmod(F.xxhash64("a", "part"), F.lit(shards)).alias("shard")) \
-        .applyInPandas(_locate(window), "a long, s long, n int, hits array<struct<off:int,doc_id:long,h:long,start:int>>")
+        .applyInPandas(_locate(window), "a long, s long, n int, hits array<struct<doc_id:long,h:long,start:int,bits:long>>")
     found = staged(found, "substring-found").select(F.col("a").alias("a2"), F.col("s").alias("s2"), F.col("n").alias("n2"), "hits")
     met = places.join(found, (F.col("a") == F.col("a2")) & (F.col("s") == F.col("s2")) & (F.col("n") == F.col("n2")))
 
-    def bit(acc, x):
-        first = (x["doc_id"] == F.col("doc_id")) & (x["h"] == F.col("h")) & (x["start"] == F.col("start") + x["off"])
-        return acc.bitwiseOR(F.when(first, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), x["off"])))
+    def add(acc, x):
+        first = (x["doc_id"] == F.col("doc_id")) & (x["h"] == F.col("h")) & (x["start"] == F.col("start"))
+        return acc.bitwiseOR(F.when(first, F.lit(0).cast("long")).otherwise(x["bits"]))
 
-    marks = met.select("doc_id", "h", "start", F.aggregate("hits", F.lit(0).cast("long"), bit).alias("bits")).filter("bits <> 0")
+    marks = met.select("doc_id", "h", "start", F.aggregate("hits", F.lit(0).cast("long"), add).alias("bits")).filter("bits <> 0")
     return marks.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "bits")).alias("marks"))
 
 
