@@ -57,10 +57,11 @@ def normalize_whitespace(c) -> Column:
     strip, one final newline unless the result is empty."""
     t = F.regexp_replace(_c(c), r"\r\n?", "\n")
     t = F.replace(t, F.lit("\t"), F.lit(TAB_SPACES))
-    t = F.regexp_replace(t, rf"(?U)[{WS_CLASS}&&[^\n]]+(?=\n|\z)", "")
+    # a match starts at a run's first character only, so long runs cost linear time
+    t = F.regexp_replace(t, rf"(?U)(?<![{WS_CLASS}&&[^\n]])[{WS_CLASS}&&[^\n]]++(?=\n|\z)", "")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
-    t = F.regexp_replace(t, rf"(?U)\A[{WS_CLASS}]+|[{WS_CLASS}]+\z", "")
-    return F.when(t == "", t).otherwise(F.concat(t, F.lit("\n")))
+    t = F.regexp_replace(t, rf"(?U)\A[{WS_CLASS}]++|(?<![{WS_CLASS}])[{WS_CLASS}]++\z", "")
+    return F.regexp_replace(t, r"(?s)(?<=.)\z", "\n")  # each input is mentioned once
 
 
 def blank_block_comments(c) -> Column:

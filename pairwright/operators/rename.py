@@ -104,10 +104,12 @@ def _sig_tokens(tokens: DataFrame) -> DataFrame:
 
     brace = F.when(tok == "{", 1).when(tok == "}", -1).otherwise(0)
     paren = F.when(tok == "(", 1).when(tok == ")", -1).otherwise(0)
+    angle = F.when(tok == "<", 1).when(tok == ">", -1).otherwise(0)
     s = sig.select(
         "sid", "pos", "tok",
         F.coalesce(F.sum(brace).over(before), F.lit(0)).alias("bd"),
         F.coalesce(F.sum(paren).over(before), F.lit(0)).alias("pd"),
+        F.coalesce(F.sum(angle).over(before), F.lit(0)).alias("ad"),
         F.lag("tok", 1).over(w).alias("p1"), F.lag("tok", 2).over(w).alias("p2"),
         F.lag("pos", 1).over(w).alias("p1pos"),
         F.lead("tok", 1).over(w).alias("n1"), F.lead("tok", 2).over(w).alias("n2"),
@@ -120,13 +122,18 @@ def _sig_tokens(tokens: DataFrame) -> DataFrame:
     p1, p2 = F.coalesce(F.col("p1"), F.lit("")), F.coalesce(F.col("p2"), F.lit(""))
     boundary = tok.isin(";", "{", "}") | ((tok == "(") & (p1 == "for"))
     first_after = F.when(F.col("n1") == "final", F.col("n2")).otherwise(F.col("n1"))
-    hdr = (tok == "(") & _ident(p1) & ~p2.isin("new", ".", "@")
+    hdr = (tok == "(") & _ident(p1) & ~p2.isin("new", ".", "@", "record")
+    # what a type may consist of; in a comparison or shift something else comes first
+    # ("x = a > b") or the angle brackets do not pair up ("i > lo")
+    in_type = F.col("is_id") | tok.isin(*PRIMITIVES, ".", ",", "?", "&", "<", ">", "[", "]", "extends", "super", "final", "@")
     s = s.select(
         "*",
         F.coalesce(last_before(F.when(boundary, pos)), F.lit(-1)).alias("stmt_start"),
         F.coalesce(last_before(F.when(boundary, first_after)),
                    F.first(F.when(tok != "final", tok), True).over(upto)).alias("_sfirst"),
         F.coalesce(last_before(F.when(boundary, F.col("pd") + (tok == "(").cast("int"))), F.lit(0)).alias("_sbase"),
+        F.coalesce(last_before(F.when(boundary, F.col("ad"))), F.lit(0)).alias("_sangle"),
+        last_before(F.when(~in_type, pos)).alias("_untyped"),
         last_before(F.when(hdr, pos), upto).alias("cur_open"),
         last_before(F.when(hdr, F.col("pd")), upto).alias("_opd"))
 
@@ -134,7 +141,8 @@ def _sig_tokens(tokens: DataFrame) -> DataFrame:
     type_end = F.col("p1").isin(*PRIMITIVES, ">", "]") | _ident(F.col("p1"))
     # a C-style array declarator "name[]" keeps the declared (element) type
     ends_decl = F.col("n1").isin("=", ";", ",", ":") | ((F.col("n1") == "[") & (F.col("n2") == "]"))
-    primary = (F.col("is_id") & ends_decl & type_end
+    generic_end = (F.col("ad") == F.col("_sangle")) & F.coalesce(F.col("_untyped") <= F.col("stmt_start"), F.lit(True))
+    primary = (F.col("is_id") & ends_decl & type_end & ((F.col("p1") != ">") | generic_end)
                & (F.col("_sfirst").isin(*PRIMITIVES) | _ident(F.col("_sfirst")))
                & (F.col("pd") == F.col("_sbase")) & ~tok.isin(*PRIMITIVES))
     closing = (tok == ")") & (F.col("pd") == F.col("_opd") + 1)

@@ -11,6 +11,7 @@ reference computes from list lengths is an exact rank here (see ``rank``).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,8 +58,12 @@ def in_split_pairs(pairs: DataFrame, assignment: DataFrame) -> DataFrame:
     skewed join key on the pairs side only (the assignment has one row per
     function), which adaptive skew-join splitting handles.
     """
-    return (pairs.join(_named(assignment, LEFT, "_s1"), list(LEFT))
-            .join(_named(assignment, RIGHT, "_s2"), list(RIGHT))
+    def tagged(df, cols, split_name):
+        own = _named(assignment, [f"_{c}" for c in cols], split_name)
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cols])
+        return df.join(own, same).drop(*[f"_{c}" for c in cols])
+
+    return (tagged(tagged(pairs, LEFT, "_s1"), RIGHT, "_s2")
             .filter(F.col("_s1") == F.col("_s2"))
             .withColumn("split", F.col("_s1")).drop("_s1", "_s2"))
 

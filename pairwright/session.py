@@ -53,6 +53,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if d:
         return d
     sc = spark.sparkContext
+    master = spark.conf.get("spark.master", None) or "local"
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = sc.applicationId
     if app not in _PRIVATE_DIRS:
         existing = sc.getCheckpointDir()

@@ -64,7 +64,7 @@ def read_pairs(spark: SparkSession, paths: str | Sequence[str], header: bool = T
     df = (spark.read.schema(_schema(cols))
           .option("header", header).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", CORRUPT)
-          .option("escape", '"').option("multiLine", multiline)
+          .options(**CSV_OPTIONS).option("multiLine", multiline)
           .csv(list(paths) if not isinstance(paths, str) else paths))
     # Every cell of a well-formed row is a string value, "" included (Spark
     # reads an empty unquoted cell as NULL); NULL stays only for cells a
@@ -94,6 +94,8 @@ def lenient_rows(df: DataFrame, width: int = 9) -> DataFrame:
     raw = F.col(CORRUPT)
     first = [c for c in df.columns if c not in (CORRUPT, "src", "row_pos")][0]
     keep = raw.isNull() | (F.size(csv_fields(raw)) >= width)
+    if "label" in df.columns:  # the last cell of a longer row, as in parse_lenient
+        df = df.withColumn("label", F.when(raw.isNull(), F.col("label")).otherwise(F.element_at(csv_fields(raw), -1)))
     return df.filter(keep & (F.col(first).isNull() | F.col(first).isNotNull()))
 
 
@@ -113,12 +115,15 @@ def read_unlabeled(spark: SparkSession, clone_paths, nonclone_paths, header: boo
 
 # ------------------------------------------------------------------ line-level parsing
 # One CSV field: a quoted cell ("" escapes a quote) or an unquoted run without commas.
-_FIELD = r'(?:^|,)("(?:[^"]|"")*+"|[^,]*+)'
+_FIELD = r',("(?:[^"]|"")*+"|[^,]*+)'
+# Reading and writing alike: "" is a quote inside quotes, blanks at a cell's ends are part of it.
+CSV_OPTIONS = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": ""}
 
 
 def csv_fields(line) -> Column:
     """Fields of one CSV text line, quotes removed (quote-aware split)."""
-    raw = F.regexp_extract_all(F.col(line) if isinstance(line, str) else line, F.lit(_FIELD), 1)
+    # every field is led by a comma, so that no match is empty and an empty first cell counts
+    raw = F.regexp_extract_all(F.concat(F.lit(","), F.col(line) if isinstance(line, str) else line), F.lit(_FIELD), 1)
     return F.transform(raw, lambda f: F.when(
         f.startswith('"'), F.replace(f.substr(F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))
     ).otherwise(f))
@@ -157,8 +162,11 @@ def parse_positional(lines: DataFrame, line: str = "line", layout: str = "pair9"
                      keep: Sequence[str] = ("src", "row_pos")) -> DataFrame:
     """S1/S2 on text lines: Spark's CSV parser (``from_csv``), fixed width by position."""
     cols = LAYOUTS[layout]
-    parsed = F.from_csv(F.col(line), _schema(cols, corrupt=False).simpleString())
-    out = lines.filter(F.col(line) != "").select(*keep, parsed.alias("_r")).select(*keep, "_r.*")
+    parsed = F.from_csv(F.col(line), _schema(cols, corrupt=False).simpleString(), CSV_OPTIONS)
+    # a cell that is there but empty is "", one that a short row lacks is NULL
+    n = F.size(csv_fields(line))
+    out = lines.filter(F.col(line) != "").select(*keep, n.alias("_n"), parsed.alias("_r")).select(
+        *keep, *[F.when(F.col("_n") > i, F.coalesce(F.col(f"_r.{c}"), F.lit(""))).alias(c) for i, c in enumerate(cols)])
     return unfuse(out) if layout == "fused8" else out
 
 
@@ -183,14 +191,15 @@ def write_pairs(df: DataFrame, path: str, header: bool = True, mode: str = "over
     w = out.select(*order[:-1], *PAIR_COLS).write.mode(mode)
     if by:
         w = w.partitionBy(by)
-    w.option("header", header).csv(path)
+    w.options(**CSV_OPTIONS).option("header", header).csv(path)
 
 
 def write_splits(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One headerless table per split (``split=<name>`` folders); the part
     files of a split, in name order, hold its rows in ``out_pos`` order."""
     (df.repartitionByRange("split", "out_pos").sortWithinPartitions("split", "out_pos")
-     .select("split", *PAIR_COLS).write.mode(mode).partitionBy("split").option("header", False).csv(path))
+     .select("split", *PAIR_COLS).write.mode(mode).partitionBy("split").options(**CSV_OPTIONS)
+     .option("header", False).csv(path))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite", header: bool = True) -> None:

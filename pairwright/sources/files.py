@@ -9,26 +9,26 @@ fetch join then yields an empty snippet.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.functions.lines import decode_utf8_lenient, universal_newlines
 
+#: Scheme and host of a qualified path (file:, hdfs://host:port, s3a://bucket).
+_STORE = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?)?"
+
 
 def read_code_files(spark: SparkSession, root: str, glob: str = "*", base: str | None = None) -> DataFrame:
     """(path, text) for every file under ``root``; ``path`` is relative to ``base`` (default ``root``)."""
-    base = (base or root).rstrip("/")
+    base = re.sub(_STORE, "", (base or root).rstrip("/"))
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
            .option("pathGlobFilter", glob).load(root))
-    rel = F.regexp_replace(F.col("path"), r"^(file:)?/*" + _quote(base.lstrip("/")) + "/", "")
+    rel = F.regexp_replace(F.col("path"), _STORE + "/*" + re.escape(base.lstrip("/")) + "/", "")
     return raw.select(rel.alias("path"), universal_newlines(decode_utf8_lenient(F.col("content"))).alias("text"))
 
 
-def _quote(s: str) -> str:
-    import re
-    return re.escape(s)
-
-
 def derived_path(path: str, suffix: str, out_dir: str | None = None) -> str:
     """``<stem><suffix>`` next to the input, or inside ``out_dir``."""
     import os

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.operators.quality import class_balance
-from pairwright.sources.csv_pairs import _schema
+from pairwright.sources.csv_pairs import CSV_OPTIONS, _schema
 
 
 def balance_stream(spark: SparkSession, folder: str, header: bool = True,
@@ -23,7 +23,7 @@ def balance_stream(spark: SparkSession, folder: str, header: bool = True,
     r = (spark.readStream.schema(_schema(("folder1", "file1", "begin1", "end1", "folder2", "file2",
                                           "begin2", "end2", "label")))
          .option("header", header).option("mode", "PERMISSIVE")
-         .option("columnNameOfCorruptRecord", "_corrupt_record"))
+         .option("columnNameOfCorruptRecord", "_corrupt_record").options(**CSV_OPTIONS))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = r.csv(folder).withColumn("src", F.col("_metadata.file_path"))
