@@ -54,7 +54,7 @@ OP6_SQL = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents),
 g AS (
   SELECT doc_id, len(words) AS n,
@@ -79,7 +79,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR n_dup_lines > 0.3 * len(lines)
             OR length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) > 0.4 * letters
             OR letters < 0.6 * word_chars
-            OR len(list_filter(string_split(text, chr(10)), x -> suffix(x, '...') OR suffix(x, '…'))) > 0.3 * len(lines)) AS kept
+            OR len(list_filter(string_split(text, chr(10)), lambda x: suffix(x, '...') OR suffix(x, '…'))) > 0.3 * len(lines)) AS kept
 FROM f"""
 
 
