@@ -31,6 +31,7 @@ import re
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import partial
 
 import ahocorasick
 import numpy as np
@@ -105,9 +106,13 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def _count(rows: DataFrame, terms_of) -> DataFrame:
-    """term, toxic, other: the numbers of rows that hold a term, summed per task before the shuffle."""
+def _count(rows: DataFrame, finder) -> DataFrame:
+    """term, toxic, other: the numbers of rows that hold a term, summed per task before the shuffle.
+
+    ``finder()`` is called once per task and gives the function from a folded text to its terms.
+    """
     def run(batches):
+        terms_of = finder()
         for b in batches:
             for i in range(0, len(b), 500):
                 part, by = b.iloc[i:i + 500], (Counter(), Counter())
@@ -146,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (), ma
         p = (t + 0.5) / (n + 1)
         return ToxicityModel({}, [], (math.log(p / (1 - p)), 0.0, 0.0))
     weight = F.log((F.col("toxic") + 0.5) / (t + 1)) - F.log((F.col("other") + 0.5) / (n - t + 1))
-    found = _count(rows, _terms).filter(F.col("toxic") >= min_support).withColumn("w", weight) \
+    found = _count(rows, lambda: _terms).filter(F.col("toxic") >= min_support).withColumn("w", weight) \
         .filter(F.col("w") >= min_weight).orderBy(F.desc(F.col("w") * F.col("toxic")), F.length("term"), "term") \
         .limit(4 * max_terms).collect()  # bounded by the model's size
     terms: dict[str, float] = {}
@@ -163,8 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (), ma
 
 
 def _learnt(rows: DataFrame, model: ToxicityModel, n: int, t: int, min_support: int) -> list[str]:
-    def phrases(folded: str) -> set[str]:
-        a, out = model.automaton(), set()
+    def phrases(a, folded: str) -> set[str]:
+        out = set()
         for end, (_, size) in a.iter(folded) if len(a) else ():
             start = end - size + 2
             stop = folded.index(" ", start)
@@ -173,7 +178,7 @@ def _learnt(rows: DataFrame, model: ToxicityModel, n: int, t: int, min_support:
             own = folded[start:stop]
             out.update(p for p, x in ((f"{before} {own}", before), (f"{own} {after}", after)) if x)
         return out
-    often = _count(rows, phrases).filter((F.col("other") >= min_support)
+    often = _count(rows, lambda: partial(phrases, model.automaton())).filter((F.col("other") >= min_support)
                                          & (F.col("other") / (n - t) >= F.col("toxic") / t))
     return [r["term"] for r in often.orderBy(F.desc("other"), "term").limit(MAX_TERMS).collect()]
 
