@@ -26,16 +26,16 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import SPACE_CHARS, texts
+from pairwright.llm.common import SPACE, SPACE_CHARS, texts
 from pairwright.llm.common import staged as stage
 
 SYMBOLS = "#*$%&|<>"
 WINDOW, MIN_WORDS, MAX_REPEAT_PCT, SAMPLE_ROWS = 5, 10, 20, 1000
 
 
-def _less(text: Column, chars: str) -> Column:
-    """Code points without ``chars``."""
-    return F.length(F.translate(text, chars, ""))
+def _count(text: Column, chars: str) -> Column:
+    """Number of code points of the character class body ``chars``; what lies between goes run by run."""
+    return F.length(F.regexp_replace(text, f"[^{chars}]+", ""))
 
 
 def base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,12 +43,12 @@ def base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     t = F.col("text")
     d = texts(docs, id_col, text_col)
     d = d.withColumns({
-        "words": F.array_remove(F.split(F.translate(t, SPACE_CHARS, " " * len(SPACE_CHARS)), " ", -1), ""),
-        "lines": F.filter(F.split(t, "\n", -1), lambda x: _less(x, SPACE_CHARS) > 0),
+        "words": F.array_remove(F.split(t, SPACE + "+", -1), ""),
+        "lines": F.array_remove(F.transform(F.split(t, "\n", -1), lambda x: F.when(F.ltrim(x, F.lit(SPACE_CHARS)) != "", x).otherwise("")), ""),
     })
     d = d.select("doc_id", "text", F.size("words").cast("long").alias("n_words"), F.size("lines").cast("long").alias("n_lines"),
-                 _less(t, SPACE_CHARS).cast("long").alias("word_chars"),
-                 (F.length(t) - _less(t, SYMBOLS)).cast("long").alias("n_symbols"),
+                 F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+                 _count(t, SYMBOLS).cast("long").alias("n_symbols"),
                  (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
                  F.transform("words", lambda w: F.xxhash64(w)).alias("hs"))
     starts = F.sequence(F.lit(0), F.col("n_words").cast("int") - WINDOW)
@@ -73,23 +73,26 @@ def base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def rules() -> dict[str, Column]:
     """Rejections by name; each is never null."""
     t, n = F.col("text"), F.greatest(F.col("n_words"), F.lit(1))
-    letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
+    letters = _count(t, r"\p{L}")
     return {
         "symbols": F.col("n_symbols") > 0.1 * n,
-        "exclamations": (F.length(t) - _less(t, "!")) > 0.1 * n,
+        "exclamations": _count(t, "!") > 0.1 * n,
         "word_length": (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 12 * n),
         "same_lines": F.col("n_dup_lines") > 0.3 * F.greatest(F.col("n_lines"), F.lit(1)),
-        "capitals": F.length(F.regexp_replace(t, r"[^\p{Lu}]", "")) > 0.4 * letters,
+        "capitals": _count(t, r"\p{Lu}") > 0.4 * letters,
         "few_letters": letters < 0.6 * F.col("word_chars"),
         "open_lines": F.size(F.filter(F.split(t, "\n", -1), lambda x: x.endswith("...") | x.endswith("…")))
         > 0.3 * F.greatest(F.col("n_lines"), F.lit(1)),
     }
 
 
-def order_by_sample(rows: DataFrame, named: dict[str, Column], sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rule names by rejected share per second on the sample, best first."""
+def order_by_sample(docs: DataFrame, named: dict[str, Column], sample_rows: int = SAMPLE_ROWS,
+                    id_col: str = "doc_id", text_col: str = "text") -> list[str]:
+    """Rule names by rejected share per second on the sample, best first; base measures are made for the sample only."""
+    rows = texts(docs, id_col, text_col)
     ids = rows.select(F.col("doc_id").alias("sample_id")).distinct().orderBy(F.xxhash64("sample_id")).limit(sample_rows)
-    sample = stage(rows.join(F.broadcast(ids), F.col("doc_id") == F.col("sample_id")).drop("sample_id").coalesce(2), "quality-sample")
+    picked = stage(rows.join(F.broadcast(ids), F.col("doc_id") == F.col("sample_id")).drop("sample_id"), "quality-sample-texts")
+    sample = stage(base(picked).coalesce(2), "quality-sample")
     worth = {}
     for name, reject in named.items():
         query = sample.agg(F.avg(reject.cast("double")))
@@ -113,5 +116,5 @@ def cascade(rows: DataFrame, named: dict[str, Column], order: list[str]) -> Colu
 def judge(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the base measures, base_failed, kept."""
     rows, named = base(docs, id_col, text_col), rules()
-    kept = cascade(rows, named, order_by_sample(rows, named, sample_rows))
+    kept = cascade(rows, named, order_by_sample(docs, named, sample_rows, id_col, text_col))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
