@@ -50,11 +50,28 @@ def unique_functions(df: DataFrame, by: Sequence[str] = ("src",)) -> DataFrame:
 
 
 def overlap_pairwise(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Typed functions present in both inputs (U1), as a sorted-able set."""
+    """Typed functions present in both inputs (U1); ``overlap_list`` sorts them."""
     return (typed_function_ids(first).intersect(typed_function_ids(second))
             .select("file", "start", "end"))
 
 
+def overlap_list(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The common functions sorted by file, then start and end as numbers (K7)."""
+    return overlap_pairwise(first, second).orderBy("file", "start", "end")
+
+
+def overlap_sizes(first: DataFrame, second: DataFrame) -> DataFrame:
+    """One row: distinct typed functions of each input and of both.
+
+    One aggregation per function with two flags, then three counts; no set leaves the executors.
+    """
+    both = (typed_function_ids(first).withColumn("_a", F.lit(1)).withColumn("_b", F.lit(0))
+            .unionByName(typed_function_ids(second).withColumn("_a", F.lit(0)).withColumn("_b", F.lit(1))))
+    per = both.groupBy("file", "start", "end").agg(F.max("_a").alias("a"), F.max("_b").alias("b"))
+    return per.agg(F.count_if(F.col("a") == 1).alias("n_first"), F.count_if(F.col("b") == 1).alias("n_second"),
+                   F.count_if((F.col("a") == 1) & (F.col("b") == 1)).alias("n_both"))
+
+
 def overlap_nway(df: DataFrame, src: str = "src") -> DataFrame:
     """Functions that occur in more than one input, with the sorted inputs.
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 METRICS = ("accuracy", "f1", "precision", "recall")
@@ -53,11 +53,15 @@ def predicted_counts(df: DataFrame, label: str = "label", pred: str = "predicted
     return g.withColumn("accuracy", F.col("correct") / F.col("total"))
 
 
-def metric_report(metrics: DataFrame, prefix: str = "test", by: Sequence[str] = ()) -> DataFrame:
-    """Long (metric, value) rows named ``<prefix>_<metric>``; write ordered by metric."""
+def metric_report(metrics: DataFrame, prefix: str | Column = "test", by: Sequence[str] = ()) -> DataFrame:
+    """Long (metric, value) rows named ``<prefix>_<metric>``, ordered by group and name.
+
+    A column as ``prefix`` (such as the split) names each group's rows by its own value.
+    """
     cols = [c for c in metrics.columns if c not in by]
     long = metrics.unpivot(list(by), cols, "metric", "value")
-    return long.withColumn("metric", F.concat(F.lit(prefix + "_"), F.col("metric")))
+    named = F.concat(prefix if isinstance(prefix, Column) else F.lit(prefix), F.lit("_"), F.col("metric"))
+    return long.withColumn("metric", named).orderBy(*by, "metric")
 
 
 def best_record(log: DataFrame, greater_is_better: bool = True, step: str = "step",

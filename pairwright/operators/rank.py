@@ -97,6 +97,20 @@ def position_row_number(df: DataFrame, pos: str = "row_pos", partition_by: Seque
     return bucketed_row_number(df, order, -b if descending else b, partition_by, out)
 
 
+def positions_across(df: DataFrame, src: str = "src", pos: str = "row_pos") -> DataFrame:
+    """Turns positions within each file into positions over all files, files in the order of ``src``.
+
+    A file's offset is the sum of (last position + 1) over the files before
+    it, so positions are unique again (gaps stay).  The offset table has one
+    row per file and is joined on the file; AQE picks the join by its size.
+    """
+    ends = df.groupBy(src).agg((F.max(pos) + 1).alias("_len"))
+    before = Window.orderBy(src).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ends.select(F.col(src).alias("_src"), F.coalesce(F.sum("_len").over(before), F.lit(0)).alias("_off"))
+    return (df.join(offsets, F.col(src).eqNullSafe(F.col("_src")))
+            .withColumn(pos, F.col(pos) + F.col("_off")).drop("_src", "_off"))
+
+
 def global_row_number(df: DataFrame, order: Sequence[str], out: str = "rn",
                       num_partitions: int | None = None) -> DataFrame:
     """Exact 1-based row number over a composite order without a one-task window.

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from pairwright.operators.identity import function_universe
 from pairwright.operators.quality import class_rows
-from pairwright.operators.rank import hash_row_number, position_row_number, seeded_hash
+from pairwright.operators.rank import hash_row_number, position_row_number, positions_across, seeded_hash
 from pairwright.schema import CLONE, FUNC_COLS, LEFT, NON_CLONE, PAIR_COLS, RIGHT
 from pairwright.session import stage
 
@@ -96,14 +96,20 @@ def interleave_classes(df: DataFrame, by: Sequence[str] = ("split",), pos: str =
 
 
 def split_pairs(pairs: DataFrame, train: float = 0.8, val: float = 0.1, seed: int = 0,
-                digits: int | None = None) -> DataFrame:
+                digits: int | None = None, src: str | None = None) -> DataFrame:
     """The dataset generator (K4): universe -> seeded partition -> in-split pairs -> alternate.
 
     ``pairs`` holds ``row_pos`` and the nine pair columns; rows whose label
     is neither class are ignored, as in the reference's single-file mode.
     Output: ``split, out_pos, row_pos`` and the nine pair columns; the
     written file of a split is its rows ordered by ``out_pos``.
+
+    ``src`` names the file column when ``row_pos`` counts within each file
+    (as ``read_pairs`` gives it for many files): the files then count as one
+    table, in the order of their names, and ``row_pos`` is the position in it.
     """
+    if src:
+        pairs = positions_across(pairs, src)
     valid = class_rows(pairs).select("row_pos", *PAIR_COLS)
     # The assignment feeds two joins, the in-split pairs feed three passes of
     # the interleave rank: each is written once to the checkpoint folder.

@@ -123,6 +123,32 @@ def q_overlap_pairwise(spark, d):
                                      lp.filter(F.col("src") == "status_F"))
 
 
+def _one(t: str) -> str:
+    return "SELECT DISTINCT * FROM (" + TYPED_SQL.format(t="line_pairs", w=f"src = 'status_{t}'") + ")"
+
+
+@query("overlap_sizes", fx.sql_with(
+    f"SELECT (SELECT count(*) FROM ({_one('O')})) AS n_first, (SELECT count(*) FROM ({_one('F')})) AS n_second, "
+    f"(SELECT count(*) FROM ({_one('O')} INTERSECT {_one('F')})) AS n_both", "line_pairs"))
+def q_overlap_sizes(spark, d):
+    lp = fx.spark_line_pairs(spark, d)
+    return identity.overlap_sizes(lp.filter(F.col("src") == "status_O"), lp.filter(F.col("src") == "status_F"))
+
+
+@query("overlap_list", fx.sql_with(f"{_one('O')} INTERSECT {_one('F')}", "line_pairs"))
+def q_overlap_list(spark, d):
+    lp = fx.spark_line_pairs(spark, d)
+    return identity.overlap_list(lp.filter(F.col("src") == "status_O"), lp.filter(F.col("src") == "status_F"))
+
+
+@query("positions_across_files", fx.sql_with("""
+SELECT l.src, l.row_pos + coalesce((SELECT CAST(sum(e.n) AS BIGINT) FROM (SELECT src, max(row_pos) + 1 AS n
+       FROM line_pairs GROUP BY src) e WHERE e.src < l.src), 0) AS row_pos, l.file1, l.file2
+FROM line_pairs l""", "line_pairs"))
+def q_positions_across(spark, d):
+    return rank.positions_across(fx.spark_line_pairs(spark, d)).select("src", "row_pos", "file1", "file2")
+
+
 @query("unique_functions", fx.sql_with("""
 SELECT src, count(*) AS unique_functions FROM (
   SELECT src, file1 AS file, CAST(begin1 AS INTEGER) AS s, CAST(end1 AS INTEGER) AS e FROM line_pairs

@@ -1,62 +1,109 @@
-"""The reference's normaliser cases, restated: (name, source, flags, expected fragments, absent fragments)."""
+"""Renaming cases: (name, source, flags, expected fragments, absent fragments)."""
 
 RENAME_CASES = [
-    ("params_and_locals",
-     "\nclass Demo {\n  public int sum(int a, int b) {\n    int result = a + b;\n    return result;\n  }\n}\n",
-     {}, ["int num1, int num2", "int num3 = num1 + num2;", "return num3;"], []),
-    ("reset_between_methods",
-     "\nclass Demo {\n  public int sum(int a, int b) { int r = a + b; return r; }\n"
-     "  public String join(String x, String y) { String z = x + y; return z; }\n}\n",
-     {}, ["int num1, int num2", "int num3 = num1 + num2", "String str1, String str2",
-          "String str3 = str1 + str2", "public int sum", "public String join"], []),
-    ("nested_blocks_for",
-     "\nclass C {\n  void g(int n){\n    for (int i=0; i<n; i++){\n      int t = i * 2;\n"
-     "      System.out.println(t);\n    }\n  }\n}\n",
-     {}, ["void g(int num1)", "for (int num2=<NUM>; num2<num1; num2++)", "int num3 = num2 * <NUM>;",
-          "System.out.println(num3);"], []),
-    ("array_and_reference",
-     "\nclass Arr {\n  void h(int[] a, java.util.List<String> lst) {\n    int[] b = a;\n"
-     "    java.util.List<String> c = lst;\n  }\n}\n",
-     {}, ["int[] num_arr1", "java.util.List<String> obj1", "int[] num_arr2 = num_arr1;",
-          "java.util.List<String> obj2 = obj1;"], []),
-    ("boolean_char",
-     "\nclass Flags {\n  boolean flip(boolean active, char symbol) {\n    boolean toggled = !active;\n"
-     "    char copy = symbol;\n    return toggled && (copy == symbol);\n  }\n}\n",
-     {"mask_numbers": False}, ["boolean flip(boolean bool1, char chr1)", "boolean bool2 = !bool1",
-                               "char chr2 = chr1;"], []),
-    ("enhanced_for",
-     "\nclass ForEach {\n  void walk(java.util.List<String> inputs) {\n    for (String item : inputs) {\n"
-     "      String upper = item.toUpperCase();\n    }\n  }\n}\n",
-     {"mask_numbers": False}, ["void walk(java.util.List<String> obj1)", "for (String str1 : obj1)",
-                               "String str2 = str1.toUpperCase();"], []),
-    ("shadowed_locals",
-     "\nclass Shadow {\n  void demo(int value) {\n    int tmp = value;\n    {\n      int tmp = value + 1;\n"
-     "      System.out.println(tmp);\n    }\n    System.out.println(tmp);\n  }\n}\n",
-     {}, ["int num3 = num1;", "int num3 = num1 + <NUM>;"], []),
-    ("varargs_foreach",
-     "\nclass Logger {\n  void log(String prefix, String... messages) {\n    for (String message : messages) {\n"
-     "      System.out.println(prefix + message);\n    }\n  }\n}\n",
-     {"mask_numbers": False}, ["void log(String str1, String... obj1)", "for (String str2 : obj1)",
-                               "System.out.println(str1 + str2);"], []),
-    ("lambda_untouched",
-     "\nclass Lambda {\n  void run() {\n    java.util.function.Function<String, String> fn = s -> {\n"
-     "      String local = s.trim();\n      return local;\n    };\n  }\n}\n",
-     {}, ["Function<String, String> obj1 = s -> {", "String str1 = s.trim();", "return str1;"], []),
-    ("field_members",
-     "\nclass Color {\n  final String hex;\n  Color(String hex) { this.hex = hex; }\n"
-     "  String describe() { return hex; }\n}\n",
-     {"mask_numbers": False}, ["Color(String str1) { this.hex = str1; }", "return hex;"], []),
+    ("params_and_locals", """class Rect {
+  double half(double w, double h) {
+    double product = w * h;
+    return product / 2;
+  }
+}
+""", {}, ["double half(double num1, double num2)", "double num3 = num1 * num2;", "return num3 / <NUM>;"], ["product"]),
+    ("numbers_start_anew_per_method", """class Pick {
+  long twice(long v) { long d = v + v; return d; }
+  char low(char c, String s) { char head = s.charAt(0); return c < head ? c : head; }
+}
+""", {}, ["long twice(long num1) { long num2 = num1 + num1; return num2; }",
+          "char low(char chr1, String str1) { char chr2 = str1.charAt(<NUM>); return chr1 < chr2 ? chr1 : chr2; }"], ["head"]),
+    ("loops_in_loops", """class Grid {
+  int cells(int rows, int cols) {
+    int total = 0;
+    for (int r = 0; r < rows; r++) {
+      for (int k = cols; k > 0; k--) {
+        int weight = r + k;
+        total += weight;
+      }
+    }
+    return total;
+  }
+}
+""", {}, ["int cells(int num1, int num2)", "for (int num4 = <NUM>; num4 < num1; num4++)",
+          "for (int num5 = num2; num5 > <NUM>; num5--)", "int num6 = num4 + num5;", "num3 += num6;", "return num3;"], ["weight"]),
+    ("matrix_and_map", """class Mat {
+  double[] row(double[][] m, int at, java.util.Map<String, Integer> names) {
+    double[] line = m[at];
+    java.util.Set<String> keys = names.keySet();
+    return line;
+  }
+}
+""", {}, ["row(double[][] num_arr1, int num1, java.util.Map<String, Integer> obj1)", "double[] num_arr2 = num_arr1[num1];",
+          "java.util.Set<String> obj2 = obj1.keySet();", "return num_arr2;"], ["keys "]),
+    ("bool_char_float", """class Gate {
+  boolean open(boolean key, char code, float level) {
+    boolean ok = key && level > 1.5f;
+    char next = (char) (code + 1);
+    return ok || next == code;
+  }
+}
+""", {"mask_numbers": False}, ["open(boolean bool1, char chr1, float num1)", "boolean bool2 = bool1 && num1 > 1.5f;",
+                               "char chr2 = (char) (chr1 + 1);", "return bool2 || chr2 == chr1;"], ["level"]),
+    ("loop_over_array", """class Sum {
+  int all(int[] parts) {
+    int out = 0;
+    for (int part : parts) out += part;
+    return out;
+  }
+}
+""", {"mask_numbers": False}, ["int all(int[] num_arr1)", "int num1 = 0;", "for (int num2 : num_arr1) num1 += num2;"], ["part"]),
+    ("last_declaration_of_a_name_counts", """class Acc {
+  long go(long seed) {
+    long acc = seed;
+    if (seed > 3) { long acc = seed * 2; use(acc); }
+    return acc;
+  }
+  void mixed(int base) {
+    { int step = base; use(step); }
+    { String step = "s"; use(step); }
+  }
+}
+""", {}, ["long num3 = num1;", "{ long num3 = num1 * <NUM>; use(num3); }", "return num3;",
+          "{ int str1 = num1; use(str1); }", "{ String str1 = <STR>; use(str1); }"], ["acc", "num2"]),
+    ("varargs", """class Max {
+  int max(int first, int... rest) {
+    int best = first;
+    for (int r : rest) { if (r > best) best = r; }
+    return best;
+  }
+}
+""", {}, ["int max(int num1, int... obj1)", "for (int num3 : obj1) { if (num3 > num2) num2 = num3; }"], ["best", "rest"]),
+    ("lambda_parameters_stay", """class Later {
+  void plan(int delay) {
+    Runnable job = () -> {
+      int pause = delay * 2;
+      sleep(pause);
+    };
+    submit(x -> x + delay, job);
+  }
+}
+""", {}, ["void plan(int num1)", "Runnable obj1 = () -> {", "int num2 = num1 * <NUM>;", "sleep(num2);",
+          "submit(x -> x + num1, obj1);"], ["pause"]),
+    ("fields_stay", """class Cell {
+  int count;
+  String label;
+  Cell(int count, String text) { this.count = count; label = text; }
+  int next(int by) { return this.count + count + by; }
+}
+""", {"mask_numbers": False}, ["Cell(int num1, String str1) { this.count = num1; label = str1; }",
+                               "int next(int num1) { return this.count + count + num1; }", "int count;"], []),
 ]
 
-# (case, expected count of a fragment)
+# (case, fragment, how often it occurs)
 RENAME_COUNTS = [
-    ("reset_between_methods", "int num1, int num2", 1),
-    ("reset_between_methods", "String str1, String str2", 1),
-    ("shadowed_locals", "System.out.println(num3);", 2),
+    ("numbers_start_anew_per_method", "num2", 2),
+    ("last_declaration_of_a_name_counts", "num3", 4),
+    ("loops_in_loops", "num5", 4),
 ]
 
-# Declaration forms the reference does not register (catch parameters, try
-# resources) stay as they are; a C-style array local keeps its element type.
+# Catch parameters and try resources are no declarations and stay as they are; a C-style array local keeps its element type.
 EXTRA_CASES = [
     ("catch_and_resources",
      "class R {\n  void run(String path) {\n    try (java.io.Reader rd = open(path)) {\n      int n = rd.read();\n"

@@ -1,4 +1,4 @@
-"""The reference's ten renaming cases, restated, plus the fallback."""
+"""Renaming cases and the fallback."""
 
 import pytest
 from rename_cases import EXTRA_CASES, RENAME_CASES, RENAME_COUNTS

@@ -6,8 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairwright.functions.text import normalize_whitespace
+from pairwright.operators.identity import overlap_list, overlap_sizes
+from pairwright.operators.metrics import binary_metrics, metric_report
+from pairwright.operators.rank import positions_across
 from pairwright.operators.rename import rename_identifiers
-from pairwright.operators.split import in_split_pairs
+from pairwright.operators.split import in_split_pairs, split_pairs
 from pairwright.schema import PAIR_COLS
 from pairwright.sources.csv_pairs import layout_report, parse_lenient, parse_positional, read_pairs, write_pairs
 
@@ -79,3 +82,28 @@ def test_qualified_paths():
     from pairwright.sources.files import _STORE
     for p in ("hdfs://nn:8020/data/code/f1/A.java", "file:/data/code/f1/A.java", "file:///data/code/f1/A.java", "s3a://bucket/data/code/f1/A.java", "/data/code/f1/A.java"):
         assert re.sub(_STORE + "/*data/code/", "", p) == "f1/A.java"
+
+
+def test_split_of_many_files_numbers_rows_over_all_of_them(spark):
+    rows = [(i, f"f{k:02d}", "a", f"x{i % 40}", "1", "9", "b", f"y{(i + k) % 40}", "1", "9", str((i + k) % 2))
+            for k in range(20) for i in range(50)]
+    df = spark.createDataFrame(rows, "row_pos long, src string, " + ", ".join(f"{c} string" for c in PAIR_COLS))
+    across = positions_across(df)
+    assert [r[0] for r in across.select("row_pos").orderBy("row_pos").collect()] == list(range(1000))
+    assert all(r.row_pos // 50 == int(r.src[1:]) for r in across.collect())
+    whole = df.withColumn("row_pos", F.col("row_pos") + 50 * F.substring("src", 2, 2).cast("long"))
+    assert sorted(split_pairs(df, src="src").collect()) == sorted(split_pairs(whole).collect())
+
+
+def test_overlap_list_sorts_lines_as_numbers(spark):
+    cells = [("p", "f", b, "99", "q", "f", "3", "4", "1") for b in ("10", "9", "100")]
+    df = spark.createDataFrame(cells, ", ".join(f"{c} string" for c in PAIR_COLS))
+    assert [r.start for r in overlap_list(df, df).collect()] == [3, 9, 10, 100]
+    assert tuple(overlap_sizes(df, df.limit(1)).first()) == (4, 2, 2)
+
+
+def test_report_is_ordered_and_named_by_split(spark):
+    df = spark.createDataFrame([("val", 1, 1), ("val", 0, 1), ("test", 1, 1)], "split string, label int, predicted int")
+    rows = metric_report(binary_metrics(df, by=["split"]), F.col("split"), by=["split"]).collect()
+    assert [r.metric for r in rows] == [f"{s}_{m}" for s in ("test", "val") for m in ("accuracy", "f1", "precision", "recall")]
+    assert rows[0].value == 1.0 and rows[4].value == 0.5
