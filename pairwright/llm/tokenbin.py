@@ -22,13 +22,13 @@ are ignored; an empty table gives an empty folder and no rows.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from array import array
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,9 +38,10 @@ from pairwright.llm.rangecoder import BLOCK, LANES, decode_blocks, encode_blocks
 from pairwright.session import shuffle_partitions, staging_root
 
 END_ID = 0
-MAX_FILE, CACHE = 16 << 20, 400_000
-#: Letters and a run of common marks after them (two units of the pre-tokenizer), or two such with a line feed between.
-_SIMPLE = re.compile(r"([^\W\d_]+)([.,!?;:|]*)(?:\n([^\W\d_]+)([.,!?;:|]*))?")
+MAX_FILE, CACHE = 16 << 20, 1_000_000
+#: Letters or digits and a run of marks after them (two units of the pre-tokenizer; an apostrophe may join
+#: what follows it), or two such with a line feed between.
+_SIMPLE = regex.compile(r"(\p{L}+|\p{N}+)([^\s\p{L}\p{N}']*)(?:\n(\p{L}+|\p{N}+)([^\s\p{L}\p{N}']*))?")
 _STATE: dict = {}
 
 
@@ -56,42 +57,60 @@ class _Pieces(dict):
     """Ids (as uint16 bytes) of a blank and the word after it, made when first asked for.
 
     Up to ``CACHE`` words are kept, the first to be met: frequent words are
-    among them.  A word at whose ends the text must not be cut has no ids (None).
+    among them.  Words with marks are put together from their units and kept
+    only in its first eighth; two words around a line feed seldom come
+    again and are not kept.  A word at whose ends the text must not be cut has
+    no ids (None).
     """
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.model, self.ends = tokenizer, tokenizer.model, {"": b""}
+        self.tokenizer, self.model, self.ends, self.heads = tokenizer, tokenizer.model, {"": b""}, {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte alphabet of byte-level BPE (fixed values)
         other = [b for b in range(256) if b not in printable]
         self.alphabet = {**{b: chr(b) for b in printable}, **{b: chr(256 + i) for i, b in enumerate(other)}}
-        self.simple = all(self._model(w) == self._text(f" {w}") for w in ("the", "ün", "x", "Öffnungen"))
+        self.feed = self._text("\n")
+        self.simple = all(self._model(w) == self._text(f" {w}") for w in ("the", "ün", "x", "Öffnungen", "47"))
 
     def _text(self, text: str) -> bytes:
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _model(self, letters: str, blank: str = " ") -> bytes:
-        """A blank (or none) and letters only: one unit of the pre-tokenizer, so the model alone decides."""
-        unit = (blank + letters).encode("utf-8").decode("latin-1").translate(self.alphabet)
+    def _model(self, stem: str, blank: str = " ") -> bytes:
+        """A blank (or none) and letters or digits only: one unit of the pre-tokenizer, so the model alone decides."""
+        if stem.isascii():
+            unit = self.alphabet[32] + stem if blank else stem
+        else:
+            unit = (blank + stem).encode("utf-8").decode("latin-1").translate(self.alphabet)
         return array("H", [t.id for t in self.model.tokenize(unit)]).tobytes()
 
-    def _end(self, end: str) -> bytes:
-        if end not in self.ends:
-            self.ends[end] = self._text(end)
-        return self.ends[end]
+    def _once(self, known: dict, key: str, make) -> bytes:
+        ids = known.get(key)
+        if ids is None:
+            ids = make(key)
+            if len(known) < CACHE // 4 and len(key) < 100:
+                known[key] = ids
+        return ids
+
+    def _head(self, stem: str) -> bytes:
+        return self._model(stem, "")
 
     def __missing__(self, word: str):
-        m = _SIMPLE.fullmatch(word) if self.simple else None
-        if m:
+        if self.simple and word.isalpha():
+            ids, room = self._model(word), CACHE
+        elif m := _SIMPLE.fullmatch(word) if self.simple else None:
             stem, end, next_stem, next_end = m.groups()
-            ids = (self[stem] if end or next_stem else self._model(stem)) + self._end(end)
+            room = CACHE // 8
+            if len(stem) == len(word):
+                ids = self._model(stem)
+            else:
+                ids = self[stem] + self._once(self.ends, end, self._text)
             if next_stem:
-                ids += self._end("\n") + self._model(next_stem, "") + self._end(next_end)
+                return ids + self.feed + self._once(self.heads, next_stem, self._head) + self._once(self.ends, next_end, self._text)
         elif not word or word[0].isspace() or word[-1].isspace():
-            ids = None
+            ids, room = None, CACHE
         else:
-            ids = self._text(" " + word)
-        if len(self) < CACHE:
+            ids, room = self._text(" " + word), CACHE // 8
+        if len(self) < room:
             self[word] = ids
         return ids
 
@@ -113,7 +132,7 @@ class TextEncoder:
         if first and not first[-1].isspace():
             known = self.known
             try:
-                return np.frombuffer(b"".join([known._text(first), *[known[w] for w in rest]]), np.uint16)
+                return np.frombuffer(known._text(first) + b"".join([known[w] for w in rest]), np.uint16)
             except TypeError:  # a word without ids: blanks beside other white space
                 pass
         parts = [np.frombuffer(self.known._text(p), np.uint16) for p in pieces(text)] if text else []

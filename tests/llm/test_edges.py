@@ -146,6 +146,19 @@ def test_tokens_odd(odd, none):
     assert tokenbin.round_trip(none, path).count() == 0
 
 
+def test_words_put_together_from_units(monkeypatch):
+    import public_tokenizers as P
+    raw = tokenbin.read_tokenizer(P.path("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    for cache in (tokenbin.CACHE, 40):  # also with a full cache
+        monkeypatch.setattr(tokenbin, "CACHE", cache)
+        enc = tokenbin.TextEncoder(raw)
+        assert enc.known.simple
+        for _ in range(3000):
+            t = "".join(rng.choice("abst  \n\t17.,*_'’éß²½Ⅷ٣日\u0301\x1c") for _ in range(30))
+            assert enc.encode(t).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def test_range_coder():
     rng = np.random.default_rng(4)
     for _ in range(30):
