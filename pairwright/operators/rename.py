@@ -34,12 +34,13 @@ methods enclose this token" is answered per nesting level -- at one brace
 depth method spans are disjoint, so the last span opened before a token is
 the only one that can hold it (a ``last(..) ignore nulls`` window over
 markers and tokens of that level).  Rows are multiplied only by their own
-nesting depth.  Replacements travel as a small per-snippet map spliced into
-the snippet's token array.  Snippets with unbalanced brackets are left as
+nesting depth.  Replacements travel as one array per snippet, sorted by
+position, between which the snippet's other tokens are copied.  Snippets with unbalanced brackets are left as
 they are (``renamed`` false), like the reference's fallback on a failed
 parse.  As in the reference, catch parameters, try resources, lambda
-parameters and fields are not declarations here.  Not covered: record
-components and annotated local declarations.
+parameters, record components and fields (also those of anonymous and local
+classes) are not declarations here.  Comments are tokens of their own and stay
+as they are.
 """
 
 from __future__ import annotations
@@ -61,9 +62,9 @@ KEYWORDS = (
 PRIMITIVES = ("byte", "short", "int", "long", "float", "double", "boolean", "char")
 # ------------------------------------------------------------------------------
 
-# Lossless tokens: literals, identifiers, numbers, whitespace runs, a few
-# multi-character operators, then any single character.
-TOKEN_RX = (r"""(?s)"(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'|[\p{L}_$][\p{L}\p{N}_$]*+"""
+# Lossless tokens: comments, literals, identifiers, numbers, whitespace runs, a
+# few multi-character operators, then any single character.
+TOKEN_RX = (r"""(?s)//[^\n]*+|/\*.*?\*/|"(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'|[\p{L}_$][\p{L}\p{N}_$]*+"""
             r"""|\d[\p{L}\p{N}_.]*+|\s++|\.\.\.|->|::|.""")
 IDENT_RX = r"^[\p{L}_$][\p{L}\p{N}_$]*$"
 
@@ -79,18 +80,19 @@ def _ident(c) -> Column:
 
 
 def _sig_tokens(tokens: DataFrame) -> DataFrame:
-    """Non-space tokens with depths, neighbours, statement and parameter-list facts.
+    """Tokens other than space and comments with depths, neighbours, statement and parameter-list facts.
 
     Columns: sid, pos, tok, bd/pd (brace/paren depth before the token), p1,
     n1, n1pos, is_id, stmt_start, local_decl, is_ltype, cur_open, in_params,
-    pidx (parameter group key).  Every window runs in the one (sid, pos)
+    pidx (parameter group key), opens_class (a class body follows: "{" itself,
+    or "(" of an anonymous class or record).  Every window runs in the one (sid, pos)
     order: per-statement and per-parameter-list facts are carries ("the last
     boundary / primary / closing position before me") compared with the
     segment start, and running counts minus their value at the segment
     start, so the token table is sorted once.
     """
     tok, pos = F.col("tok"), F.col("pos")
-    sig = tokens.filter(~tok.rlike(r"^\s+$"))
+    sig = tokens.filter(~tok.rlike(r"^(?:\s+$|//|/\*)"))
     w = Window.partitionBy("sid").orderBy("pos")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -125,7 +127,11 @@ def _sig_tokens(tokens: DataFrame) -> DataFrame:
     hdr = (tok == "(") & _ident(p1) & ~p2.isin("new", ".", "@", "record")
     # what a type may consist of; in a comparison or shift something else comes first
     # ("x = a > b") or the angle brackets do not pair up ("i > lo")
-    in_type = F.col("is_id") | tok.isin(*PRIMITIVES, ".", ",", "?", "&", "<", ">", "[", "]", "extends", "super", "final", "@")
+    # (parentheses and literals are those of an annotation)
+    in_type = (F.col("is_id") | tok.rlike(r"""^["'\d]""")
+               | tok.isin(*PRIMITIVES, ".", ",", "?", "&", "<", ">", "[", "]", "(", ")", "extends", "super", "final", "@"))
+    class_word = tok.isin("class", "interface", "enum") & (p1 != ".")
+    new_or_record = (tok == "(") & ((p1 == ">") | (_ident(p1) & p2.isin("new", ".", "record")))
     s = s.select(
         "*",
         F.coalesce(last_before(F.when(boundary, pos)), F.lit(-1)).alias("stmt_start"),
@@ -134,6 +140,7 @@ def _sig_tokens(tokens: DataFrame) -> DataFrame:
         F.coalesce(last_before(F.when(boundary, F.col("pd") + (tok == "(").cast("int"))), F.lit(0)).alias("_sbase"),
         F.coalesce(last_before(F.when(boundary, F.col("ad"))), F.lit(0)).alias("_sangle"),
         last_before(F.when(~in_type, pos)).alias("_untyped"),
+        last_before(F.when(class_word, pos)).alias("_class"), new_or_record.alias("_new"),
         last_before(F.when(hdr, pos), upto).alias("cur_open"),
         last_before(F.when(hdr, F.col("pd")), upto).alias("_opd"))
 
@@ -143,7 +150,7 @@ def _sig_tokens(tokens: DataFrame) -> DataFrame:
     ends_decl = F.col("n1").isin("=", ";", ",", ":") | ((F.col("n1") == "[") & (F.col("n2") == "]"))
     generic_end = (F.col("ad") == F.col("_sangle")) & F.coalesce(F.col("_untyped") <= F.col("stmt_start"), F.lit(True))
     primary = (F.col("is_id") & ends_decl & type_end & ((F.col("p1") != ">") | generic_end)
-               & (F.col("_sfirst").isin(*PRIMITIVES) | _ident(F.col("_sfirst")))
+               & (F.col("_sfirst").isin(*PRIMITIVES, "@") | _ident(F.col("_sfirst")))
                & (F.col("pd") == F.col("_sbase")) & ~tok.isin(*PRIMITIVES))
     closing = (tok == ")") & (F.col("pd") == F.col("_opd") + 1)
     s = s.select("*", primary.alias("_primary"),
@@ -153,7 +160,8 @@ def _sig_tokens(tokens: DataFrame) -> DataFrame:
     more = (F.col("is_id") & (F.col("p1") == ",") & F.col("n1").isin("=", ";", ",")
             & (F.col("pd") == F.col("_sbase")) & ~none_before)
     is_ltype = (none_before & (F.col("_next_primary.s") == F.col("stmt_start"))
-                & (pos < F.col("_next_primary.p")) & (tok != "final"))
+                & (pos < F.col("_next_primary.p")) & ~tok.isin("final", "@", "(", ")")
+                & (F.coalesce(F.col("p1"), F.lit("")) != "@") & (F.col("pd") == F.col("_sbase")))
 
     # parameter lists: tokens after a candidate "(" until its ")" (first ")" back to its depth);
     # a parameter's tokens share the count of parameter names seen before them in the list
@@ -176,7 +184,9 @@ def _sig_tokens(tokens: DataFrame) -> DataFrame:
     decl_like = hdr & (p2.isin(*PRIMITIVES, "void", ">", "]") | _ident(p2))
     return s.select("sid", "pos", "tok", "bd", "pd", "p1", "p1pos", "n1", "n1pos", "is_id", "stmt_start",
                     "local_decl", "is_ltype", "cur_open", "in_params", "pname", "pidx",
-                    (F.col("pd") - F.col("_opd")).alias("prel"), hdr.alias("hdr"), decl_like.alias("decl_like"))
+                    (F.col("pd") - F.col("_opd")).alias("prel"), hdr.alias("hdr"), decl_like.alias("decl_like"),
+                    F.coalesce(F.when(tok == "{", F.col("_class") > F.col("stmt_start")).otherwise(F.col("_new")),
+                               F.lit(False)).alias("opens_class"))
 
 
 def _balanced(brackets: DataFrame) -> DataFrame:
@@ -230,6 +240,21 @@ def scope_spans(sig: DataFrame) -> DataFrame:
     return m.select("sid", "scope", F.col("scope").alias("lo"), "hi", "depth", "popen", "pclose", "body_open")
 
 
+def _without_fields(decl: DataFrame, sig: DataFrame) -> DataFrame:
+    """Local declarations less those whose innermost brace opens a class body (fields of
+    anonymous and local classes): the last "{" one level up decides."""
+    # a "{" and the "(" whose ")" stands right before it
+    heads = _matched(sig.filter(F.col("tok").isin("(", ")")), "(", ")", "pd", ["n1", "n1pos"]).filter(
+        (F.col("close_n1") == "{") & F.col("opens_class")).select("sid", F.col("close_n1pos").alias("pos"), F.lit(True).alias("_cls"))
+    braces = (sig.filter(F.col("tok") == "{").select("sid", "pos", F.col("bd").alias("_lvl"), "opens_class")
+              .join(heads, ["sid", "pos"], "left")
+              .select("sid", "pos", "_lvl", (F.col("opens_class") | F.coalesce("_cls", F.lit(False))).alias("_cls")))
+    both = decl.withColumn("_lvl", F.col("bd") - 1).unionByName(braces, allowMissingColumns=True)
+    w = Window.partitionBy("sid", "_lvl").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return (both.withColumn("_in", F.last("_cls", True).over(w))
+            .filter(F.col("_cls").isNull() & ~F.coalesce("_in", F.lit(False))).select(*decl.columns))
+
+
 def _sorted_tokens(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row per group: its tokens in position order (groups are a few tokens)."""
     return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("_t"))
@@ -285,7 +310,7 @@ def declarations(sig: DataFrame, scopes: DataFrame) -> DataFrame:
     # registered in every method whose body holds the declaration
     bodies = scopes.select("sid", F.col("depth").alias("lvl"), F.col("body_open").alias("pos"),
                            F.col("hi").alias("end"), "scope")
-    held = _enclosing(decl, bodies, ["sid"], inclusive_depth=False)
+    held = _enclosing(_without_fields(decl, sig), bodies, ["sid"], inclusive_depth=False)
     locals_ = held.select("sid", "scope", "name", type_bucket(F.col("_type")).alias("bucket"),
                           F.lit(1).alias("is_local"), "pos")
     return params.unionByName(locals_)
@@ -325,10 +350,22 @@ def rename_identifiers(df: DataFrame, sid: str = "snippet_id", code: str = "code
     scopes = stage(scope_spans(sig), "scopes")
     mappings = stage(scope_mappings(declarations(sig, scopes)), "mappings")  # read by two branches
     reps = replacements(sig, scopes, mappings)
-    per_snippet = reps.groupBy("sid").agg(F.map_from_entries(F.collect_list(F.struct("pos", "new_name"))).alias("_m"))
-    tokens = F.regexp_extract_all(F.col(code), F.lit(TOKEN_RX), 0)
+    per_snippet = reps.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("pos", "new_name"))).alias("_m"))
     out = df.join(per_snippet.withColumnRenamed("sid", sid), sid, "left")
-    spliced = F.array_join(F.transform(tokens, lambda t, i: F.coalesce(F.try_element_at(F.col("_m"), i), t)), "")
+    # the stretches between replaced tokens are copied whole, so the time is linear in the tokens;
+    # the one-element array names the tokens, which are then made once
+    tokens = F.array(F.regexp_extract_all(F.col(code), F.lit(TOKEN_RX), 0))
+
+    def stretch(t, after, upto):
+        return F.array_join(F.slice(t, after + 2, upto - after - 1), "")
+
+    def glue(t):
+        last = F.element_at("_m", -1)["pos"]
+        parts = F.transform("_m", lambda r, i: F.concat(
+            stretch(t, F.coalesce(F.get("_m", i - 1)["pos"], F.lit(-1)), r["pos"]), r["new_name"]))
+        return F.concat(F.array_join(parts, ""), stretch(t, last, F.size(t)))
+
+    spliced = F.transform(tokens, glue)[0]
     return (out.withColumn("renamed", F.col("_m").isNotNull())
             .withColumn(code, F.when(F.col("_m").isNotNull(), spliced).otherwise(F.col(code)))
             .drop("_m"))

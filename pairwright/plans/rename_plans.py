@@ -86,7 +86,7 @@ def q_number_declarations(spark, d):
     return m.select(F.col("sid").alias("snippet_id"), "name", "new_name")
 
 
-TOKEN_RE2 = (r"""(?s)"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[\pL_$][\pL\pN_$]*|\d[\pL\pN_.]*|\s+|\.\.\.|->|::|.""")
+TOKEN_RE2 = (r"""(?s)//[^\n]*|/\*.*?\*/|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[\pL_$][\pL\pN_$]*|\d[\pL\pN_.]*|\s+|\.\.\.|->|::|.""")
 
 
 @query("token_table", fx.sql_with(f"""
@@ -97,6 +97,36 @@ def q_token_table(spark, d):
     return t.select(F.col("sid").alias("snippet_id"), F.col("pos").cast("long").alias("pos"), "tok")
 
 
+# One class per order in one of eight shapes, with the text expected (#K: the order key).
+SHAPES = [
+    ("class C#K { boolean f#K(int a#K, int b) { boolean c = false; c = a#K > b; return c; } }",
+     "class C#K { boolean f#K(int num1, int num2) { boolean bool1 = false; bool1 = num1 > num2; return bool1; } }"),
+    ("class S#K { int g(int h#K, long k) { h#K = h#K >>> k; return h#K; } }",
+     "class S#K { int g(int num1, long num2) { num1 = num1 >>> num2; return num1; } }"),
+    ("class R#K { int g(int lo, int hi#K) { int s = 0; for (int i = hi#K; i > lo; i--) { s += i; } return s; } }",
+     "class R#K { int g(int num1, int num2) { int num3 = 0; for (int num4 = num2; num4 > num1; num4--) { num3 += num4; } return num3; } }"),
+    ("class N#K { int f(int p#K) { return p#K; } static class In { String f(String p#K) { String q = p#K; return q; } } }",
+     "class N#K { int f(int num1) { return num1; } static class In { String f(String str1) { String str2 = str1; return str2; } } }"),
+    ("class G#K { int f(Map<String, List<Integer>> m#K) { List<Integer> v = m#K.get(\"x\"); for (Integer e : v) { use(e); } return v.size(); } }",
+     "class G#K { int f(Map<String, List<Integer>> obj1) { List<Integer> obj2 = obj1.get(\"x\"); for (Integer obj3 : obj2) { use(obj3); } return obj2.size(); } }"),
+    ("class K#K { // a { is \" open\n  int f(int a, int b#K) { /* a > b#K; } */ return a - b#K; }\n}",
+     "class K#K { // a { is \" open\n  int f(int num1, int num2) { /* a > b#K; } */ return num1 - num2; }\n}"),
+    ("class A#K { Runnable f(int n#K) { Runnable r = new Runnable() { int cnt#K = 0; public void run() { int d = n#K; cnt#K += d; } }; return r; } }",
+     "class A#K { Runnable f(int num1) { Runnable obj1 = new Runnable() { int cnt#K = 0; public void run() { int num2 = num1; cnt#K += num2; } }; return obj1; } }"),
+    ("class D#K { int f(int z) { @Deprecated int k#K = z; @SuppressWarnings(\"x\") List<String> s = t(k#K); return k#K; } }",
+     "class D#K { int f(int num1) { @Deprecated int num2 = num1; @SuppressWarnings(\"x\") List<String> obj1 = t(num2); return num2; } }"),
+]
+
+
+@query("rename_shapes", f"""
+SELECT o_orderkey AS snippet_id, true AS renamed, replace([{', '.join(sql_lit(out) for _, out in SHAPES)}]
+       [(o_custkey % {len(SHAPES)}) + 1], '#K', CAST(o_orderkey AS VARCHAR)) AS code FROM orders""")
+def q_rename_shapes(spark, d):
+    shape = F.element_at(F.array(*[F.lit(src) for src, _ in SHAPES]), (F.col("o_custkey") % len(SHAPES)).cast("int") + 1)
+    code = F.replace(shape, F.lit("#K"), F.col("o_orderkey").cast("string"))
+    return rename.rename_identifiers(fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("snippet_id"), code.alias("code")))
+
+
 @query("normalize_renamed", f"""
 SELECT o_orderkey AS snippet_id,
        regexp_replace({_sql_parts(True)}, '\\b0\\b', '<NUM>', 'g') AS code FROM orders""")
