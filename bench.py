@@ -11,12 +11,13 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pairwright.plans.catalog import QUERIES  # noqa: E402
-from pairwright.session import get_spark  # noqa: E402
+from pairwright.session import get_spark, release_staged  # noqa: E402
 
 HEADLINE = ["split_pairs", "function_partition", "rebalance", "interleave", "dedup_keep_first",
             "detect_duplicates", "class_balance_lines", "overlap_pairwise", "overlap_nway",
@@ -29,7 +30,8 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = sys.argv[1:] or HEADLINE
     spark = get_spark(f"local[{cpus}]", shuffle_partitions=2 * cpus,
-                      extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
+                      extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g"),
+                             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-")})
     # JVM / code-generation warm-up on generated rows (no benchmark data is read):
     # one aggregate, one join and one window, like the operators below use.
     from pyspark.sql import Window
@@ -43,6 +45,7 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t, 3)
         spark.catalog.clearCache()
+    release_staged(spark)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "total_query_time", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": float(m.group(1)) if m else sf_dir}))

@@ -15,10 +15,15 @@ def _c(c) -> Column:
 
 def softmax(logits) -> Column:
     """``exp(x - max) / sum`` over an array column."""
-    z = _c(logits)
-    e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
-    total = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(e, lambda x: x / total)
+    # one-element arrays name a value, which is then computed once per row
+    def exps(z: Column) -> Column:
+        return F.transform(F.array(F.array_max(z)), lambda top: F.transform(z, lambda x: F.exp(x - top)))[0]
+
+    def shares(e: Column) -> Column:
+        total = F.array(F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x))
+        return F.transform(total, lambda t: F.transform(e, lambda x: x / t))[0]
+
+    return F.transform(F.array(exps(_c(logits))), shares)[0]
 
 
 def argmax(arr) -> Column:

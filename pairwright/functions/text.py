@@ -66,12 +66,14 @@ def normalize_whitespace(c) -> Column:
 
 def blank_block_comments(c) -> Column:
     """Every ``/* ... */`` becomes as many spaces as it had characters."""
-    t = _c(c)
-    pieces = F.split(t, BLOCK_COMMENT, -1)
-    blanks = F.transform(F.regexp_extract_all(t, F.lit(BLOCK_COMMENT), 0),
-                         lambda m: F.repeat(F.lit(" "), F.length(m)))
-    glued = F.zip_with(pieces, F.concat(blanks, F.array(F.lit(""))), lambda p, b: F.concat(p, b))
-    return F.when(t.isNull(), t).otherwise(F.array_join(glued, ""))
+    def blank(t: Column) -> Column:
+        pieces = F.split(t, BLOCK_COMMENT, -1)
+        blanks = F.transform(F.regexp_extract_all(t, F.lit(BLOCK_COMMENT), 0),
+                             lambda m: F.repeat(F.lit(" "), F.length(m)))
+        return F.array_join(F.zip_with(pieces, F.concat(blanks, F.array(F.lit(""))), lambda p, b: F.concat(p, b)), "")
+
+    # the one-element array names the input, which is then computed once
+    return F.transform(F.array(_c(c)), blank)[0]
 
 
 def remove_line_comments(c) -> Column:

@@ -54,10 +54,8 @@ SELECT vec_id, list_transform(probs, lambda p: round(p, 9)) AS probs,
        round(list_max(probs), 9) AS confidence,
        CASE WHEN list_position(probs, list_max(probs)) - 1 = 1 THEN 'CLONE' ELSE 'NOT CLONE' END AS class_name
 FROM (SELECT vec_id,
-             list_transform(logits, lambda x: exp(x - list_max(logits))
-                                    / list_sum(list_transform(logits, lambda y: exp(y - list_max(logits)))))
-               AS probs
-      FROM logits)""", "logits"))
+             list_transform(e, lambda x: x / list_sum(e)) AS probs
+      FROM (SELECT vec_id, list_transform(logits, lambda y: exp(y - list_max(logits))) AS e FROM logits))""", "logits"))
 def q_softmax_argmax(spark, d):
     # Probabilities are reported to 1e-9: exp() differs in the last bit between
     # engines, and a rounded value is the same double in both.

@@ -151,11 +151,10 @@ def spark_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spark_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two logits per row: the first two embedding elements; label in {0,1}."""
+    """One logit per embedding element; label in {0,1}."""
     e = table(spark, sf_dir, "embeddings")
     return e.select("vec_id",
-                    F.array(F.element_at("embedding", 1).cast("double"),
-                            F.element_at("embedding", 2).cast("double")).alias("logits"),
+                    F.col("embedding").cast("array<double>").alias("logits"),
                     (F.col("label") % 2).alias("label"))
 
 
@@ -232,7 +231,7 @@ SQL_CTES: dict[str, tuple[str, tuple[str, ...]]] = {
   FROM labels b JOIN documents d ON d.doc_id = b.doc_id
 """, ()),
     "logits": ("""
-  SELECT vec_id, [CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE)] AS logits, label % 2 AS label
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS logits, label % 2 AS label
   FROM embeddings
 """, ()),
     "metric_log": ("""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairwright.functions.text import normalize_whitespace
 from pairwright.operators.identity import overlap_list, overlap_sizes
 from pairwright.operators.metrics import binary_metrics, metric_report
+from pairwright.operators.normalize import normalize_code
 from pairwright.operators.rank import positions_across
 from pairwright.operators.rename import rename_identifiers
 from pairwright.operators.split import in_split_pairs, split_pairs
@@ -38,6 +39,20 @@ def test_record_is_no_method(spark):
     assert rename_identifiers(spark.createDataFrame([(1, code)], "sid long, code string"), "sid", "code").collect()[0]["code"] == code
 
 
+def test_kept_comments_stay_as_they_are(spark):
+    code = "class A {\n  // a is { big\n  int f(int a) { /* \" a */ return a; }\n}\n"
+    out = normalize_code(spark.createDataFrame([(1, code)], "snippet_id long, code string"), strip_comments=False).first().code
+    assert out == code.replace("int a", "int num1").replace("return a", "return num1")
+
+
+def test_one_large_text_is_renamed_in_linear_time(spark):
+    body = "x = x + 1;\n" * 100_000
+    df = spark.createDataFrame([(1, "class A { int f(int x) {\n" + body + "return x; } }")], "sid long, code string")
+    began = time.perf_counter()
+    out = rename_identifiers(df, "sid", "code").first().code
+    assert out.count("num1 = num1 + 1;\n") == 100_000 and time.perf_counter() - began < 90
+
+
 CELLS = [("", "b", "1", "2", "c", "d", "3", "4", "1"), ('q"uote', "co,mma", " 1", "2 ", "\\", "", "3", "4", ""),
          ("a", " ", "1", "2", '"', '""', "3", "4", " 1")]
 
