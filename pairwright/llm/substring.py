@@ -13,10 +13,12 @@ input.
    hash, with their number and first place; copies, however many, are one row
    from here on.  The words of each are taken from the first place.
 3. *Confirm and compile.*  Distinct stretches go to shards by anchor, a few
-   thousand to a shard (an anchor with more contexts than that is split by the
-   windows' own hash).  In a shard, windows are compared word by word: those
+   thousand to a shard.  In a shard, windows are compared word by word: those
    that occur at least twice are the recurring passages, and are compiled into
-   an Aho-Corasick automaton over word numbers, with their first place.
+   an Aho-Corasick automaton over word numbers, with their first place.  An
+   anchor with more contexts than a shard holds goes to none: its windows are
+   aggregated by their words, so a window is one row however many contexts
+   hold it, and the recurring ones are joined back to the stretches.
 4. *Locate.*  The automaton reads every stretch of the shard and reports each
    recurring window in it (as runs: windows, as bits, whose first places lie
    side by side too).  Each document's stretches then look up their
@@ -35,8 +37,6 @@ extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import zlib
-
 import ahocorasick
 import numpy as np
 import pandas as pd
@@ -148,29 +148,39 @@ def _words_of(window):
     return run
 
 
-def _split(window):
-    """A row for each part of the windows of a stretch whose anchor is split."""
+def _windows(window):
+    """A row for each window of a stretch."""
     def run(batches):
         for b in batches:
-            rows = []
-            for r in b.itertuples(index=False):
-                ws, parts = r.words.split(" "), {}
-                for o in range(r.n):
-                    parts.setdefault(zlib.crc32(" ".join(ws[o:o + window]).encode("utf-8")) % r.parts, []).append(o)
-                rows += [(*r[:8], p, offs) for p, offs in parts.items()]
-            if rows:
-                yield pd.DataFrame(rows, columns=["a", "s", "n", "c", "doc_id", "h", "start", "words", "part", "offs"])
+            for at in range(0, len(b), 1000):
+                rows = []
+                for r in b.iloc[at:at + 1000].itertuples(index=False):
+                    ws = r.words.split(" ")
+                    rows += [(r.a, r.s, r.n, r.c, r.doc_id, r.h, r.start + o, o, " ".join(ws[o:o + window])) for o in range(r.n)]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["a", "s", "n", "c", "doc_id", "h", "start", "o", "w"])
     return run
 
 
+def _crowd_hits(crowd: DataFrame, window: int) -> DataFrame:
+    """a, s, n, hits like ``_locate``'s, for stretches of crowded anchors; no group of them is ever in one place."""
+    windows = crowd.mapInPandas(_windows(window), "a long, s long, n int, c long, doc_id long, h long, start int, o int, w string")
+    recurring = staged(windows.groupBy("w").agg(F.sum("c").alias("times"), F.min(F.struct("doc_id", "h", "start")).alias("first"))
+                       .filter("times > 1").select(F.col("w").alias("w2"), "first"), "substring-windows")
+    run = F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h"), (F.col("first.start") - F.col("o")).alias("start"),
+                   F.expr("shiftleft(1L, o)").alias("bits"))
+    met = windows.select("a", "s", "n", "o", "w").join(recurring, F.col("w") == F.col("w2"))
+    return met.groupBy("a", "s", "n").agg(F.collect_list(run).alias("hits"))
+
+
 def _locate(window):
     """Confirmed windows of a shard, compiled; every stretch of the shard read by the automaton."""
     def run(g: pd.DataFrame) -> pd.DataFrame:
         number: dict[str, int] = {}
         rows = [tuple(number.setdefault(w, len(number) + 1) for w in x.split(" ")) for x in g["words"]]
         seen: dict[tuple, list] = {}
-        for ids, n, c, d, h, start, offs in zip(rows, g["n"], g["c"], g["doc_id"], g["h"], g["start"], g["offs"], strict=True):
-            for o in range(n) if offs is None else offs:
+        for ids, n, c, d, h, start in zip(rows, g["n"], g["c"], g["doc_id"], g["h"], g["start"], strict=True):
+            for o in range(n):
                 place, own = (d, h, start + o), seen.setdefault(ids[o:o + window], [0, None])
                 own[0] += c
                 if own[1] is None or place < own[1]:
@@ -182,13 +192,12 @@ def _locate(window):
         out = []
         if len(automaton):
             automaton.make_automaton()
-            for ids, a, s, n, offs in zip(rows, g["a"], g["s"], g["n"], g["offs"], strict=True):
-                own, runs = None if offs is None else set(offs), {}
+            for ids, a, s, n in zip(rows, g["a"], g["s"], g["n"], strict=True):
+                runs = {}
                 for end, (d, h, start) in automaton.iter(ids):
                     o = end - window + 1
-                    if own is None or o in own:
-                        run = (d, h, start - o)
-                        runs[run] = runs.get(run, 0) | 1 << o
+                    run = (d, h, start - o)
+                    runs[run] = runs.get(run, 0) | 1 << o
                 if runs:
                     out.append((a, s, n, [(*run, bits) for run, bits in runs.items()]))
         return pd.DataFrame(out, columns=["a", "s", "n", "hits"])
@@ -206,16 +215,15 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_rows
         F.collect_list(F.struct("a", "s", "n", "c", F.col("first.start").alias("start"))).alias("firsts"))
     distinct = docs.join(firsts, (F.col("doc_id") == F.col("d2")) & (F.col("h") == F.col("h2"))).select("doc_id", "h", "text", "firsts")
     distinct = staged(distinct.mapInPandas(_words_of(window), "a long, s long, n int, c long, doc_id long, h long, start int, words string"), "substring-distinct")
-    rows = distinct.withColumns({"part": F.lit(0).cast("long"), "offs": F.lit(None).cast("array<int>")})
     crowded = staged(distinct.groupBy(F.col("a").alias("a2")).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > shard_rows)
-                     .select("a2", F.ceil(F.col("k") / shard_rows * 4).cast("long").alias("parts")), "substring-crowded")
-    if crowded.first() is not None:
-        cols = "a long, s long, n int, c long, doc_id long, h long, start int, words string"
-        crowd = distinct.join(crowded, F.col("a") == F.col("a2")).drop("a2").mapInPandas(_split(window), cols + ", part long, offs array<int>")
-        rows = rows.join(crowded, F.col("a") == F.col("a2"), "left_anti").unionByName(crowd)
+                     .select("a2"), "substring-crowded")
+    some = crowded.first() is not None
+    rows = distinct.join(crowded, F.col("a") == F.col("a2"), "left_anti") if some else distinct
     shards = max(1, -(-distinct.count() // shard_rows))
-    found = rows.groupBy(F.pmod(F.xxhash64("a", "part"), F.lit(shards)).alias("shard")) \
+    found = rows.groupBy(F.pmod(F.xxhash64("a"), F.lit(shards)).alias("shard")) \
         .applyInPandas(_locate(window), "a long, s long, n int, hits array<struct<doc_id:long,h:long,start:int,bits:long>>")
+    if some:
+        found = found.unionByName(_crowd_hits(distinct.join(crowded, F.col("a") == F.col("a2"), "left_semi"), window))
     found = staged(found, "substring-found").select(F.col("a").alias("a2"), F.col("s").alias("s2"), F.col("n").alias("n2"), "hits")
     met = places.join(found, (F.col("a") == F.col("a2")) & (F.col("s") == F.col("s2")) & (F.col("n") == F.col("n2")))
 

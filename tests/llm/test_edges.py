@@ -39,6 +39,25 @@ def test_substring_split_anchors(spark):
         assert {r["doc_id"]: (r["n_words"], r["n_removed"], brute.sha(r["kept"])) for r in got.collect()} == want
 
 
+def test_substring_shared_passage_is_no_group(spark, monkeypatch):
+    common = " ".join(f"c{i}" for i in range(30))
+    docs = [(i, " ".join([f"l{i}x{k}" for k in range(12)] + [common] + [f"r{i}x{k}" for k in range(12)])) for i in range(300)]
+    locate = substring._locate
+
+    def bounded(window):
+        run = locate(window)
+
+        def check(g):
+            if len(g) > 80:
+                raise ValueError(f"a group of {len(g)} stretches")
+            return run(g)
+        return check
+
+    monkeypatch.setattr(substring, "_locate", bounded)
+    got = substring.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string"), shard_rows=20)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], brute.sha(r["kept"])) for r in got.collect()} == brute.substring(docs)
+
+
 def test_simhash_odd(odd, none):
     got = simhash.near_duplicates(odd)
     assert got.count() == odd.count()
