@@ -11,7 +11,9 @@ the files' totals (one row a file) give each file's first position.
 The tokenizer file (under 16 MB, checked) is read by the driver and sent to
 the workers.  A text is cut at blanks that stand alone between two other
 characters, where no match of the pre-tokenizer crosses, and the pieces' ids
-are kept in a bounded cache per worker.
+are kept in a bounded cache per worker.  Only ``add_special_tokens=False`` is
+asked of the library: a text that spells an added token (<|endoftext|>) has
+that token's id there, as the tokenizer file says.
 
 Nulls and edge cases: a null or empty text has the end id only; null doc_ids
 come first; rows that repeat a doc_id follow each other in the order of the
@@ -122,7 +124,6 @@ class TextEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(raw.decode("utf-8"))
-        self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of 65,536 and more do not fit the format")
         self.known = _Pieces(self.tokenizer)

@@ -178,6 +178,23 @@ def test_words_put_together_from_units(monkeypatch):
             assert enc.encode(t).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_added_tokens_as_in_the_file(spark):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+    path = P.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    enc = tokenbin.TextEncoder(tokenbin.read_tokenizer(path))
+    assert enc.encode("x <|endoftext|> y").tolist() == [87, 220, 50256, 331]
+    rng = random.Random(6)
+    for _ in range(3000):
+        t = "".join(rng.choice(["<|endoftext|>", "<|endoftext", "|>", " ", " ", "  ", "\n", "a", "word", "1", ".", "'s", "é"]) for _ in range(12))
+        assert enc.encode(t).tolist() == plain.encode(t, add_special_tokens=False).ids, t
+    docs = [(1, "x <|endoftext|> y"), (2, "<|endoftext|>"), (3, "after")]
+    got = tokenbin.round_trip(spark.createDataFrame(docs, "doc_id long, text string"), path, files=2).orderBy("doc_id").collect()
+    sizes = [len(plain.encode(t, add_special_tokens=False).ids) + 1 for _, t in docs]
+    assert [(r["start"], r["n_tokens"]) for r in got] == [(sum(sizes[:i]), sizes[i]) for i in range(3)]
+
+
 def test_range_coder():
     rng = np.random.default_rng(4)
     for _ in range(30):
