@@ -1,9 +1,9 @@
 """Packing: optimal length buckets, then token-budget batches inside each.
 
-The global length histogram (one row per distinct length after rounding up to
-``granularity``; at most ``MAX_BINS`` rows, the granularity doubles until it is
-so) goes to the driver, where dynamic programming chooses the ``buckets``
-upper bounds with the least total padding.  A bucket's batch holds
+The global length histogram (one row per distinct length; D distinct lengths
+need some D*D/2 words of text, so it stays small) goes to the driver, where
+dynamic programming over the exact lengths chooses the ``buckets`` upper
+bounds with the least total padding.  A bucket's batch holds
 ``budget // bound`` sequences (at least one), so its padded size keeps to the
 token budget unless a single sequence is longer.  Sequences are numbered
 inside their bucket by a range-partitioned rank, so no bucket is one task.
@@ -25,7 +25,7 @@ from pairwright.llm.common import staged as stage
 from pairwright.llm.common import keyed
 from pairwright.operators.rank import global_row_number
 
-BUCKETS, BUDGET, MAX_BINS = 16, 16_384, 1 << 15
+BUCKETS, BUDGET = 16, 16_384
 
 
 def bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
@@ -75,21 +75,15 @@ def lengths_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return keyed(docs, id_col, text_col).mapInPandas(run, "doc_id long, h long, length long")
 
 
-def pack(sized: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, granularity: int = 1) -> DataFrame:
+def pack(sized: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """doc_id, length, bucket, bucket_len, batch (from 0 in the bucket), slot, pad.
 
     ``sized``: doc_id, h, length.
     """
     sized = stage(sized.select("doc_id", "h", "length"), "packing-lengths")
 
-    def rounded(g):
-        return (F.ceil(F.col("length") / g) * g).cast("long")
-
-    longest = sized.agg(F.max("length")).first()[0] or 0
-    while longest / granularity > MAX_BINS:
-        granularity *= 2
-    hist = sorted((r["l"], r["n"]) for r in sized.groupBy(rounded(granularity).alias("l"))
-                  .agg(F.count(F.lit(1)).alias("n")).collect())  # at most MAX_BINS rows
+    hist = sorted((r["length"], r["n"]) for r in sized.groupBy("length")
+                  .agg(F.count(F.lit(1)).alias("n")).collect())  # one row per distinct length
     ls = np.array([x[0] for x in hist], dtype=np.int64)
     ns = np.array([x[1] for x in hist], dtype=np.int64)
     ups = bounds(ls, ns, buckets) or [1]

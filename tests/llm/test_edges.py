@@ -250,6 +250,16 @@ def test_packing_odd(odd, none):
     assert got.groupBy("bucket", "batch", "slot").count().filter("count > 1").count() == 0
 
 
+def test_packing_one_long_document(spark):
+    rng = random.Random(7)
+    lengths = [rng.randrange(1, 400) * 2 + 1 for _ in range(500)] + [1_000_002]
+    df = spark.createDataFrame([(i, i, n) for i, n in enumerate(lengths)], "doc_id long, h long, length long")
+    got = packing.pack(df).collect()
+    ls, ns = np.unique(lengths, return_counts=True)
+    assert sum(r["pad"] for r in got) == sum(n * (min(u for u in packing.bounds(ls, ns) if u >= x) - x) for x, n in zip(ls, ns))
+    assert {r["bucket_len"] for r in got} <= set(lengths)
+
+
 def test_neighbours_odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]),
