@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.schema import CLONE, NON_CLONE, PAIR_COLS
+from pairwright.sources.csv_pairs import CORRUPT, whole_cells
 
 
 def is_class(label: str = "label"):
@@ -37,20 +38,34 @@ def class_balance(df: DataFrame, by: Sequence[str] = ("src",), label: str = "lab
                     F.when(total > 0, F.col("clones") / total).alias("clone_ratio"))
 
 
-def detect_duplicates(df: DataFrame, cols: Sequence[str] = PAIR_COLS, by: Sequence[str] = ()) -> DataFrame:
+def _rows(df: DataFrame, cols: Sequence[str] | None, by: Sequence[str], *aggs):
+    """One row per distinct (by, row), and the columns that tell it.
+
+    Without ``cols`` a row is all its cells: the nine of the layout, and of a
+    row that ``read_pairs`` found to be of another width the whole text's.
+    Its text (the least one, should quoting differ) comes along.
+    """
+    if cols is not None or CORRUPT not in df.columns:
+        cols = list(PAIR_COLS if cols is None else cols)
+        return df.groupBy(*by, *cols).agg(*aggs), cols
+    keyed = df.withColumn("_cells", whole_cells(CORRUPT))
+    return keyed.groupBy(*by, *PAIR_COLS, "_cells").agg(F.min(CORRUPT).alias(CORRUPT), *aggs), [*PAIR_COLS, CORRUPT]
+
+
+def detect_duplicates(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Distinct rows that occur more than once, with their number of copies (A1)."""
-    return (df.groupBy(*by, *cols).agg(F.count(F.lit(1)).alias("copies"))
-            .filter(F.col("copies") > 1))
+    rows, cols = _rows(df, cols, by, F.count(F.lit(1)).alias("copies"))
+    return rows.filter(F.col("copies") > 1).select(*by, *cols, "copies")
 
 
-def duplicate_report(df: DataFrame, cols: Sequence[str] = PAIR_COLS, by: Sequence[str] = ("src",)) -> DataFrame:
+def duplicate_report(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = ("src",)) -> DataFrame:
     """Number of distinct duplicated rows per input (the figure the reference prints)."""
     return (detect_duplicates(df, cols, by).groupBy(*by)
             .agg(F.count(F.lit(1)).alias("duplicate_rows"),
                  F.sum(F.col("copies") - 1).alias("surplus_copies")))
 
 
-def dedup_keep_first(df: DataFrame, cols: Sequence[str] = PAIR_COLS, pos: str = "row_pos",
+def dedup_keep_first(df: DataFrame, cols: Sequence[str] | None = None, pos: str = "row_pos",
                      by: Sequence[str] = ()) -> DataFrame:
     """Drop repeated rows, keeping the first occurrence (A2).
 
@@ -58,11 +73,12 @@ def dedup_keep_first(df: DataFrame, cols: Sequence[str] = PAIR_COLS, pos: str =
     position survives: ``min(row_pos)``, a partial + final aggregation with
     no window and no per-group list.
     """
-    return df.groupBy(*by, *cols).agg(F.min(pos).alias(pos)).select(pos, *by, *cols)
+    rows, cols = _rows(df, cols, by, F.min(pos).alias(pos))
+    return rows.select(pos, *by, *cols)
 
 
-def dedup_report(df: DataFrame, cols: Sequence[str] = PAIR_COLS, by: Sequence[str] = ("src",)) -> DataFrame:
+def dedup_report(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = ("src",)) -> DataFrame:
     """Kept and removed row counts per input (A3)."""
-    per_row = df.groupBy(*by, *cols).agg(F.count(F.lit(1)).alias("_n"))
+    per_row, _ = _rows(df, cols, by, F.count(F.lit(1)).alias("_n"))
     return per_row.groupBy(*by).agg(F.count(F.lit(1)).alias("kept"),
                                     (F.sum("_n") - F.count(F.lit(1))).alias("removed"))

@@ -129,6 +129,15 @@ def csv_fields(line) -> Column:
     ).otherwise(f))
 
 
+def whole_cells(raw: str) -> Column:
+    """All cells of a row's text, NULL for no text; a text whose quotes do not close, or close inside a cell, is one cell."""
+    lead = F.concat(F.lit(","), F.col(raw))
+    found = F.regexp_extract_all(lead, F.lit(_FIELD), 1)
+    closed = F.forall(found, lambda f: ~f.startswith('"') | f.rlike(r'\A"(?:[^"]|"")*+"\z'))
+    clean = closed & (F.concat(F.lit(","), F.array_join(found, ",")) == lead)
+    return F.when(clean, csv_fields(raw)).when(F.col(raw).isNotNull(), F.array(F.col(raw)))
+
+
 def layout_report(lines: DataFrame, line: str = "line", expected: int = 9,
                   keep: Sequence[str] = ("src", "row_pos")) -> DataFrame:
     """P1 strict check: non-empty rows whose field count is not ``expected``.

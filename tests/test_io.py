@@ -44,6 +44,35 @@ def test_ragged_rows_flagged(spark, tmpdir_path):
     assert sorted(r.label for r in len9.collect()) == ["0", "1"]
 
 
+def test_dedup_compares_whole_rows(spark, tmpdir_path):
+    import csv
+    from collections import Counter
+    p = os.path.join(tmpdir_path, "wide.csv")
+    nine = "a,b,1,2,c,d,3,4,1"
+    lines = [nine, nine, nine + ",x", nine + ",y", nine + ",x", nine + ',"x"', nine + ",", "a,b,1,2", "a,b,1,2,", "a,b,1,2", "a",
+             nine + ',"p,q"', nine + ",p,q", nine + ',"p""q"', "a,b,1,2,c,d,3,4,0"]
+    with open(p, "w") as f:
+        f.write("h1,h2,h3,h4,h5,h6,h7,h8,h9\n" + "\n".join(lines) + "\n")
+    rows = [tuple(r) for r in csv.reader(lines)]
+    first = {r: i for i, r in reversed(list(enumerate(rows)))}
+    df = C.read_pairs(spark, p, header=True)
+    kept = quality.dedup_keep_first(df, by=["src"])
+    assert sorted(r.row_pos for r in kept.collect()) == sorted(first.values())
+    assert sorted(r.row_pos for r in quality.dedup_keep_first(kept).collect()) == sorted(first.values())
+    copies = sorted(n for n in Counter(rows).values() if n > 1)
+    assert sorted(r.copies for r in quality.detect_duplicates(df).collect()) == copies
+    rep = quality.dedup_report(df).first()
+    assert (rep.kept, rep.removed) == (len(first), len(rows) - len(first))
+    rep = quality.duplicate_report(df).first()
+    assert (rep.duplicate_rows, rep.surplus_copies) == (len(copies), sum(copies) - len(copies))
+
+
+def test_broken_quotes_stay_apart(spark):
+    df = spark.createDataFrame([(t,) for t in ['"abc', '"abd', '"a"b,c', '"a"d,c', 'a"b,c', None]], "t string")
+    got = [tuple(r[0]) if r[0] else None for r in df.select(C.whole_cells("t")).collect()]
+    assert got == [('"abc',), ('"abd',), ('"a"b,c',), ('"a"d,c',), ('a"b', "c"), None]
+
+
 def test_write_splits_headerless(spark, sf, tmpdir_path):
     out = split.split_pairs(fx.spark_line_pairs(spark, sf))
     path = os.path.join(tmpdir_path, "splits")
