@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.llm.common import staged as stage
-from pairwright.llm.common import texts
+from pairwright.llm.common import keyed, tagged, texts
 from pairwright.llm.graph import components
 
 SHINGLE, MAX_BITS, SEED, MIN_BYTES, LIST_LIMIT = 3, 2, 42, 6, 2048
@@ -59,13 +59,15 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(sum(1 << i for i in np.flatnonzero(counts.ravel() * 2 > len(h)).tolist()))
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long); ``hashed``: doc_id, h (hash of the text), fp."""
+    own = ["doc_id", "h"] if hashed else ["doc_id"]
+
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in b["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
-    return texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, fp long")
+            yield pd.DataFrame({**{c: b[c] for c in own}, "fp": fp})
+    return (keyed if hashed else texts)(docs, id_col, text_col).mapInPandas(run, ", ".join(f"{c} long" for c in [*own, "fp"]))
 
 
 def _forest(fps: np.ndarray, max_bits: int, min_bytes: int) -> list[tuple[int, int]]:
@@ -127,14 +129,19 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, list_limit: int = LIST_LIMIT
         .unionByName(scanned(long, ["slot", "bytes", "sub", "b2"])).distinct()
 
 
+def _rooted(prints: DataFrame, first, max_bits: int, list_limit: int) -> DataFrame:
+    """fp, first (the least of its rows), root (the same for all of a class)."""
+    distinct = stage(prints.groupBy("fp").agg(F.min(first).alias("first")), "simhash-distinct")
+    roots = components(links(distinct, max_bits, list_limit))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left") \
+        .select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, list_limit: int = LIST_LIMIT,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     prints = stage(fingerprints(docs, shingle, id_col, text_col), "simhash-prints")
-    distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = components(links(distinct, max_bits, list_limit))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left") \
-        .select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints, F.col("doc_id"), max_bits, list_limit)
     firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(firsts, "root").select(F.col("fp").alias("fp2"), "component_id")
     return prints.join(named, F.col("fp") == F.col("fp2")) \
@@ -142,9 +149,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (that of the smallest doc_id) of each class, with all columns; rows without a doc_id all stay."""
-    named = docs.filter(F.col(f"`{id_col}`").isNotNull())
-    classes = near_duplicates(named, shingle, max_bits, id_col=id_col, text_col=text_col)
-    first = classes.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__first"))
-    kept = named.join(first, F.col(f"`{id_col}`") == F.col("__first"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
+    """One row (that of the smallest doc_id, then text hash) of each class, with all columns; rows without a doc_id all stay."""
+    named = tagged(docs.filter(F.col(f"`{id_col}`").isNotNull()), id_col, text_col)
+    prints = stage(fingerprints(named, shingle, id_col, text_col, hashed=True), "simhash-prints")
+    firsts = _rooted(prints, F.struct("doc_id", "h"), max_bits, LIST_LIMIT).groupBy("root").agg(F.min("first").alias("first")) \
+        .select(F.col("first.doc_id").alias("__i2"), F.col("first.h").alias("__h2"))
+    kept = named.join(firsts, (F.col("__id") == F.col("__i2")) & (F.col("__h") == F.col("__h2")), "left_semi").dropDuplicates(["__id", "__h"])
+    return kept.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))

@@ -69,6 +69,13 @@ def test_simhash_odd(odd, none):
     assert one.columns == odd.columns and ids.count(3) == 1 and ids.count(None) == 2 and 2 not in ids and 5 not in ids
 
 
+def test_simhash_one_row_of_each_class(spark):
+    alone, near, b = ("a text of its own that nothing else is like", "the quick brown fox jumps over it", "some third text, met twice under one id")
+    docs = [(1, alone), (1, near), (2, near.upper()), (3, near), (4, b), (4, b.upper()), (4, b)]
+    got = simhash.representatives(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"].lower()) for r in got) == sorted([(1, alone), (1, near), (4, b)])
+
+
 @pytest.mark.parametrize("limit", [1, 3, 2048])
 def test_simhash_links(spark, limit):
     rng = random.Random(limit)
