@@ -24,8 +24,8 @@ import zlib
 
 import numpy as np
 
-BLOCK, LANES = 1024, 8192
-_SLOTS = 512
+BLOCK, LANES = 2048, 4096
+_SLOTS = 1024
 _SYMBOLS = 16  # order 2, order 1, order 0, bit lengths 4 (and less) to 16
 _STEP, _FULL = 24, 6000
 _STATE, _LEAST = 1 << 48, 1 << 32  # range of the state; below _LEAST a word leaves

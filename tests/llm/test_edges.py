@@ -220,6 +220,12 @@ def test_range_coder():
         rangecoder.decode_blocks([big[:-2]])
 
 
+def test_range_coder_uses_what_came_before():
+    ids = np.tile(np.random.default_rng(3).integers(0, 65536, 600), 8)
+    coded = rangecoder.encode_blocks([ids[i:i + rangecoder.BLOCK] for i in range(0, len(ids), rangecoder.BLOCK)])
+    assert sum(map(len, coded)) < 1.2 * len(ids)
+
+
 def test_quality_odd(odd, none):
     got = quality.judge(odd).collect()
     want = [brute.quality(r["text"]) for r in odd.select("text").collect()]
