@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,3 +92,27 @@ def staged(df: DataFrame, label: str) -> DataFrame:
         return stage(df, label)
     finally:
         conf.set(TIDY, before)
+
+
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()),
+          "array<long>": pa.list_(pa.int64()), "binary": pa.binary()}
+
+
+def from_text(df: DataFrame, make, columns: dict[str, str]) -> DataFrame:
+    """``df`` with its text replaced by ``columns`` (name -> type).
+
+    ``make()`` is called once per task and gives the function from a list of
+    texts to one sequence a column.  All other columns pass as Arrow arrays:
+    a long beside a null keeps all its bits (in pandas it would be a double).
+    """
+    keep = [c for c in df.columns if c != "text"]
+    kinds = [_ARROW[t] for t in columns.values()]
+
+    def run(batches):
+        fn = make()
+        for b in batches:
+            got = fn(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(x, k) for x, k in zip(got, kinds, strict=True))],
+                                             names=[*keep, *columns])
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "text"]
+    return df.mapInArrow(run, ", ".join([*kept, *(f"{c} {t}" for c, t in columns.items())]))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import ann, bpe, chat, linededup, packing, quality, simhash, substring, tokenbin, toxicity
+from pairwright.llm import (ann, binpack, bpe, chat, linededup, packing, quality, runs, simhash, substring, tokenbin,
+                            toxicity)
 from pairwright.llm.common import table
 
 QUERIES: dict = {}
@@ -118,3 +119,20 @@ def op9(spark, d):
 @query("op10_chat")
 def op10(spark, d):
     return chat.format_chats(table(spark, d, "conversations"))
+
+
+@query("op12_periodic_runs")
+def op12(spark, d):
+    found = runs.collapse(runs.repeat_tails(table(spark, d, "documents")))
+    best = runs.longest_run(F.col("runs"))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(line, "\n"), F.lit("\n"))).otherwise("")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+                        best["period"].alias("period"), F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+                        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+
+
+@query("op13_best_fit")
+def op13(spark, d):
+    import public_tokenizers
+    return binpack.pack_documents(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

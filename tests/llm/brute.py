@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import xxhash
@@ -117,3 +118,38 @@ def packing_cost(hist, ups):
 
 def pair_tally(values):
     return Counter(values)
+
+
+def repeated_tail(doc_id, words: list[bytes]) -> list[bytes]:
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    g = h // 10
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+
+
+def runs(words: list) -> list[tuple[int, int, int]]:
+    """(start, length, period) of every run, by definition: each period from 1 on, smallest ones first."""
+    out = []
+    for q in range(1, len(words) // 4 + 1):
+        i = 0
+        while i + q < len(words):
+            s = i
+            while i + q < len(words) and words[i] == words[i + q]:
+                i += 1
+            n = i + q - s
+            if i > s and n >= max(6, 4 * q) and not any(words[s:s + n - r] == words[s + r:s + n] for r in range(1, q)):
+                out.append((s, n, q))
+            i = max(i, s + 1)
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def run_row(doc_id, text):
+    ws = repeated_tail(doc_id, (text or "").encode().split())
+    found = runs(ws)
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    best = min(found, key=lambda r: (-r[1], r[0], r[2])) if found else (None, None, None)
+    return (len(found), *best, best[1] and 1000 * best[1] // best[2], sha("".join(f"{s},{n},{q}\n" for s, n, q in found)),
+            sha(b" ".join(w for i, w in enumerate(ws) if i not in gone).decode()))
