@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.llm import (ann, binpack, bpe, chat, linededup, packing, quality, runs, simhash, substring, tokenbin,
-                            toxicity)
+                            toxicity, trie)
 from pairwright.llm.common import table
 
 QUERIES: dict = {}
@@ -121,6 +121,11 @@ def op10(spark, d):
     return chat.format_chats(table(spark, d, "conversations"))
 
 
+@query("op11_prefix_trie")
+def op11(spark, d):
+    return trie.prefix_trie(*trie.rebuild(trie.encode_turns(table(spark, d, "conversations"))))
+
+
 @query("op12_periodic_runs")
 def op12(spark, d):
     found = runs.collapse(runs.repeat_tails(table(spark, d, "documents")))

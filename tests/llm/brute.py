@@ -153,3 +153,36 @@ def run_row(doc_id, text):
     best = min(found, key=lambda r: (-r[1], r[0], r[2])) if found else (None, None, None)
     return (len(found), *best, best[1] and 1000 * best[1] // best[2], sha("".join(f"{s},{n},{q}\n" for s, n, q in found)),
             sha(b" ".join(w for i, w in enumerate(ws) if i not in gone).decode()))
+
+
+def rebuilt(rows):
+    """rows: (conv_id, turn, role, text) -> conv_id: list of (role, text)."""
+    convs = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            convs[c].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [(role, text) for _, _, role, text in sorted(t)] for c, t in convs.items()}
+    out = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        out[c] = own.get(c - c % 5, [])[:h] + turns[h:]
+    return out
+
+
+def prefix_trie(convs):
+    """conv_id: turns -> {(conv_id, depth): the other columns of a node}."""
+    members, ends = defaultdict(list), defaultdict(list)
+    for c, turns in sorted(convs.items()):
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+        ends[tuple(turns)].append(c)
+    kids = defaultdict(list)
+    for k in members:
+        if k:
+            kids[k[:-1]].append(k)
+    out, leaves, saved = {}, {}, {}
+    for k in sorted(members, key=len, reverse=True):
+        leaves[k] = sum(leaves[x] for x in kids[k]) or 1
+        saved[k] = sum(saved[x] for x in kids[k]) + ((len(members[k]) - 1) * len(k[-1][1].encode()) if k else 0)
+        out[members[k][0], len(k)] = (members[k[:-1]][0] if k else None, len(members[k]), len(kids[k]), leaves[k], saved[k], sha(",".join(map(str, ends[k]))))
+    return out
