@@ -7,16 +7,24 @@ that method are replaced.  There is no parser: the snippet is split into a
 lossless token table ``(sid, pos, tok)`` and the grammar facts the rules
 need are window functions over it:
 
-* brace / parenthesis depth = running sums; the k-th ``(`` at depth d
-  matches the k-th ``)`` back to depth d (same for braces);
+* brackets of all kinds nest; a token's *level* is the number of brackets open
+  around it, and the tokens directly inside one bracket pair are its siblings,
+  whatever stands in the pairs between them;
+* every opener has a kind (``for``, parameter list, other parentheses, index;
+  block, switch, lambda, class body, array initialiser), and a *statement* is a
+  stretch of siblings: it starts after the opener, ``;``, a closed block, class
+  or switch, a ``case .. :`` or ``default :`` label (or ``->``), and in a
+  parameter list after a comma outside ``< >``; initialisers, lambdas and
+  anonymous classes end no statement;
 * a method is ``name ( ... ) [throws ...] {`` with ``name`` not a keyword and
   not after ``new`` or ``.``; its span runs from the name to the body's ``}``;
   a body-less (abstract / interface) method ``Type name ( ... ) ;`` spans to
   its ``;`` and has parameters only;
-* a parameter name is the last identifier of a top-level parameter, its type
-  the tokens before it (``T... x`` has no type: ``obj``);
-* a local is ``[final] Type name`` followed by ``= ; , :`` at the start of a
-  statement (``for (`` starts one), plus further ``, name`` declarators;
+* a parameter name is the last identifier of a parameter, its type the tokens
+  before it less annotations (``T... x`` has no type: ``obj``); a receiver
+  (``T this``) is none;
+* a local is ``[final] [annotations] Type name`` followed by ``= ; , :`` in a
+  block, lambda, switch or ``for (``, plus further ``, name`` declarators of its statement;
   locals register in every method whose body holds them, lambda parameters
   and fields in none;
 * a repeated name takes a new number, and its last number wins;
@@ -24,20 +32,26 @@ need are window functions over it:
   an ordinary identifier), matched on (snippet, name) and the span;
   an outer method's mapping precedes a nested one's.
 
-Execution: snippets are hash partitioned by id once, so the token windows
-(one sort per snippet, chained windows with the same order) need no token
-shuffle; the resulting token table is written once and every later step
+Broken texts (snippets are line ranges, so cut-off ones are common): brackets
+match by nesting level, and balance is judged for each method's span alone.  A
+method is renamed if its body closes and no bracket inside its span lacks a
+partner or crosses a pair of the other kind; the rest of the text stays.
+
+Execution: snippets are hash partitioned by id once.  The token facts are
+windows over (snippet), (snippet, level) and (snippet, statement), all satisfied
+by that partitioning: they sort inside tasks and never shuffle.  An opener's
+facts reach its inside as one marker row on the next level.  The
+resulting token table is written once and every later step
 reads a filtered slice of it.  Nothing pairs every row of a snippet with
-every method of it: a parameter's type is one small group (its own
-tokens), a local's type one group per declaration statement, and "which
+every method of it: a declared type is one group of its own statement's
+tokens, and "which
 methods enclose this token" is answered per nesting level -- at one brace
 depth method spans are disjoint, so the last span opened before a token is
 the only one that can hold it (a ``last(..) ignore nulls`` window over
 markers and tokens of that level).  Rows are multiplied only by their own
 nesting depth.  Replacements travel as one array per snippet, sorted by
-position, between which the snippet's other tokens are copied.  Snippets with unbalanced brackets are left as
-they are (``renamed`` false), like the reference's fallback on a failed
-parse.  As in the reference, catch parameters, try resources, lambda
+position, between which the snippet's other tokens are copied.  As in the
+reference, catch parameters, try resources, lambda
 parameters, record components and fields (also those of anonymous and local
 classes) are not declarations here.  Comments are tokens of their own and stay
 as they are.
@@ -62,10 +76,10 @@ KEYWORDS = (
 PRIMITIVES = ("byte", "short", "int", "long", "float", "double", "boolean", "char")
 # ------------------------------------------------------------------------------
 
-# Lossless tokens: comments, literals, identifiers, numbers, whitespace runs, a
+# Lossless tokens: comments, text blocks, literals, identifiers, numbers, whitespace runs, a
 # few multi-character operators, then any single character.
-TOKEN_RX = (r"""(?s)//[^\n]*+|/\*.*?\*/|"(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'|[\p{L}_$][\p{L}\p{N}_$]*+"""
-            r"""|\d[\p{L}\p{N}_.]*+|\s++|\.\.\.|->|::|.""")
+TOKEN_RX = (r'''(?s)//[^\n]*+|/\*.*?\*/|"""[^"\\]*+(?:"{0,2}\\.[^"\\]*+|"{1,2}[^"\\][^"\\]*+)*+"""|"[^"\\]*+(?:\\.[^"\\]*+)*+"'''
+            r"""|'[^'\\]*+(?:\\.[^'\\]*+)*+'|[\p{L}_$][\p{L}\p{N}_$]*+|\d[\p{L}\p{N}_.]*+|\s++|\.\.\.|->|::|.""")
 IDENT_RX = r"^[\p{L}_$][\p{L}\p{N}_$]*$"
 
 
@@ -80,181 +94,168 @@ def _ident(c) -> Column:
 
 
 def _sig_tokens(tokens: DataFrame) -> DataFrame:
-    """Tokens other than space and comments with depths, neighbours, statement and parameter-list facts.
-
-    Columns: sid, pos, tok, bd/pd (brace/paren depth before the token), p1,
-    n1, n1pos, is_id, stmt_start, local_decl, is_ltype, cur_open, in_params,
-    pidx (parameter group key), opens_class (a class body follows: "{" itself,
-    or "(" of an anonymous class or record).  Every window runs in the one (sid, pos)
-    order: per-statement and per-parameter-list facts are carries ("the last
-    boundary / primary / closing position before me") compared with the
-    segment start, and running counts minus their value at the segment
-    start, so the token table is sorted once.
+    """Tokens other than space and comments with depths, neighbours and statement facts.
+
+    Columns: sid, pos, tok, bd/pd (brace/paren depth before the token; the
+    least brace depth of a snippet counts as 0), p1, p1pos, n1, n1pos, is_id,
+    hdr ("(" that may open a parameter list), decl_like (a type stands before
+    its name), cur_open (the innermost opener), stmt (key of the statement),
+    decl (1: declares a local, 0: a parameter, else null), is_type (part of its
+    statement's declared type).
     """
+    s = _statements(_kinds(_depths(tokens)))
+    tok, pos, p1, n1 = (F.col(c) for c in ("tok", "pos", "p1", "n1"))
+    own = Window.partitionBy("sid", "stmt").orderBy("pos")
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("sid", "stmt")
+
+    # "@", its (qualified) name and its parentheses; anything else ends the annotation
+    part = F.when(tok == "@", "@").when(tok.isin(".", "(", ")") | (F.col("is_id") & p1.isin("@", ".")), F.lit(None)).otherwise("x")
+    s = s.select("*", F.coalesce(F.last(part, True).over(upto) == "@", F.lit(False)).alias("_ann"),
+                 F.coalesce(F.sum(_angle(tok)).over(before), F.lit(0)).alias("_angles"))
+    body = ~F.col("_ann") & (tok != "final")
+    typed = (F.col("is_id") | F.col("_ann")
+             | tok.isin(*PRIMITIVES, ".", ",", "?", "&", "<", ">", "[", "]", "...", "extends", "super", "final"))
+    s = s.select("*", F.first(F.when(body, tok), True).over(upto).alias("_first"),
+                 F.coalesce(F.max(~typed).over(before), F.lit(False)).alias("_untyped"))
+    type_end = p1.isin(*PRIMITIVES, ">", "]") | _ident(p1)
+    in_locals = F.col("_kind").isin("block", "lambda", "switch", "for")
+    # a C-style array declarator "name[]" keeps the declared (element) type
+    array = (n1 == "[") & (F.col("n2") == "]")
+    primary = (in_locals & F.col("is_id") & (n1.isin("=", ";", ",", ":") | array) & type_end & (F.col("_angles") == 0) & ~F.col("_untyped")
+               & (F.col("_first").isin(*PRIMITIVES) | _ident(F.col("_first"))))
+    # generic arguments are not followed by "=" or ";", only their commas need the angle brackets counted
+    more = in_locals & F.col("is_id") & (p1 == ",") & (n1.isin("=", ";") | (((n1 == ",") | array) & (F.col("_angles") == 0)))
+    param = ((F.col("_kind") == "hdr") & F.col("is_id") & (n1.isin(",", ")") | array)
+             & (type_end | (p1 == "...")) & (F.col("_angles") == 0))
+    s = s.select("*", F.coalesce(primary, F.lit(False)).alias("_primary"), F.coalesce(more, F.lit(False)).alias("_more"),
+                 F.coalesce(param, F.lit(False)).alias("_param"))
+    s = s.select("*", F.count_if("_primary").over(before).alias("_n"),
+                 F.min(F.when(F.col("_primary") | F.col("_param"), pos)).over(whole).alias("_name"))
+    local = (F.col("_primary") & (F.col("_n") == 0)) | (F.col("_more") & (F.col("_n") > 0))
+    return s.select("sid", "pos", "tok", "bd", "pd", "p1", "p1pos", "n1", "n1pos", "is_id", "hdr", "decl_like", "cur_open", "stmt",
+                    F.when(local, 1).when(F.col("_param"), 0).alias("decl"), F.coalesce(body & (pos < F.col("_name")), F.lit(False)).alias("is_type"))
+
+
+def _angle(tok: Column) -> Column:
+    return F.when(tok == "<", 1).when(tok == ">", -1).otherwise(0)
+
+
+def _depths(tokens: DataFrame) -> DataFrame:
+    """Significant tokens in text order with depths, level, neighbours."""
     tok, pos = F.col("tok"), F.col("pos")
     sig = tokens.filter(~tok.rlike(r"^(?:\s+$|//|/\*)"))
     w = Window.partitionBy("sid").orderBy("pos")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    # "next X" facts come from running frames in descending order: frames that
-    # reach to the partition end are re-evaluated per row (quadratic per text)
-    back = Window.partitionBy("sid").orderBy(F.col("pos").desc())
-    ahead = back.rowsBetween(Window.unboundedPreceding, 0)
 
-    def last_before(c, frame=before):
-        return F.last(c, True).over(frame)
+    def depth(openers, closers):
+        return F.coalesce(F.sum(F.when(tok.isin(*openers), 1).when(tok.isin(*closers), -1).otherwise(0)).over(before), F.lit(0))
 
-    brace = F.when(tok == "{", 1).when(tok == "}", -1).otherwise(0)
-    paren = F.when(tok == "(", 1).when(tok == ")", -1).otherwise(0)
-    angle = F.when(tok == "<", 1).when(tok == ">", -1).otherwise(0)
     s = sig.select(
-        "sid", "pos", "tok",
-        F.coalesce(F.sum(brace).over(before), F.lit(0)).alias("bd"),
-        F.coalesce(F.sum(paren).over(before), F.lit(0)).alias("pd"),
-        F.coalesce(F.sum(angle).over(before), F.lit(0)).alias("ad"),
-        F.lag("tok", 1).over(w).alias("p1"), F.lag("tok", 2).over(w).alias("p2"),
-        F.lag("pos", 1).over(w).alias("p1pos"),
-        F.lead("tok", 1).over(w).alias("n1"), F.lead("tok", 2).over(w).alias("n2"),
-        F.lead("pos", 1).over(w).alias("n1pos"),
-        _ident(tok).alias("is_id"))
-
-    # statements start after ; { } or at "for (" (try resources are not
-    # locals); "(" after a non-keyword identifier not preceded by new or "."
-    # may open a parameter list
-    p1, p2 = F.coalesce(F.col("p1"), F.lit("")), F.coalesce(F.col("p2"), F.lit(""))
-    boundary = tok.isin(";", "{", "}") | ((tok == "(") & (p1 == "for"))
-    first_after = F.when(F.col("n1") == "final", F.col("n2")).otherwise(F.col("n1"))
-    hdr = (tok == "(") & _ident(p1) & ~p2.isin("new", ".", "@", "record")
-    # what a type may consist of; in a comparison or shift something else comes first
-    # ("x = a > b") or the angle brackets do not pair up ("i > lo")
-    # (parentheses and literals are those of an annotation)
-    in_type = (F.col("is_id") | tok.rlike(r"""^["'\d]""")
-               | tok.isin(*PRIMITIVES, ".", ",", "?", "&", "<", ">", "[", "]", "(", ")", "extends", "super", "final", "@"))
-    class_word = tok.isin("class", "interface", "enum") & (p1 != ".")
-    new_or_record = (tok == "(") & ((p1 == ">") | (_ident(p1) & p2.isin("new", ".", "record")))
-    s = s.select(
-        "*",
-        F.coalesce(last_before(F.when(boundary, pos)), F.lit(-1)).alias("stmt_start"),
-        F.coalesce(last_before(F.when(boundary, first_after)),
-                   F.first(F.when(tok != "final", tok), True).over(upto)).alias("_sfirst"),
-        F.coalesce(last_before(F.when(boundary, F.col("pd") + (tok == "(").cast("int"))), F.lit(0)).alias("_sbase"),
-        F.coalesce(last_before(F.when(boundary, F.col("ad"))), F.lit(0)).alias("_sangle"),
-        last_before(F.when(~in_type, pos)).alias("_untyped"),
-        last_before(F.when(class_word, pos)).alias("_class"), new_or_record.alias("_new"),
-        last_before(F.when(hdr, pos), upto).alias("cur_open"),
-        last_before(F.when(hdr, F.col("pd")), upto).alias("_opd"))
-
-    # locals: [final] Type name (= ; , :) at statement level, then ", name" declarators
-    type_end = F.col("p1").isin(*PRIMITIVES, ">", "]") | _ident(F.col("p1"))
-    # a C-style array declarator "name[]" keeps the declared (element) type
-    ends_decl = F.col("n1").isin("=", ";", ",", ":") | ((F.col("n1") == "[") & (F.col("n2") == "]"))
-    generic_end = (F.col("ad") == F.col("_sangle")) & F.coalesce(F.col("_untyped") <= F.col("stmt_start"), F.lit(True))
-    primary = (F.col("is_id") & ends_decl & type_end & ((F.col("p1") != ">") | generic_end)
-               & (F.col("_sfirst").isin(*PRIMITIVES, "@") | _ident(F.col("_sfirst")))
-               & (F.col("pd") == F.col("_sbase")) & ~tok.isin(*PRIMITIVES))
-    closing = (tok == ")") & (F.col("pd") == F.col("_opd") + 1)
-    s = s.select("*", primary.alias("_primary"),
-                 last_before(F.when(primary, pos)).alias("_prev_primary"),
-                 last_before(F.when(closing, pos)).alias("_last_close"))
-    none_before = F.coalesce(F.col("_prev_primary") < F.col("stmt_start"), F.lit(True))
-    more = (F.col("is_id") & (F.col("p1") == ",") & F.col("n1").isin("=", ";", ",")
-            & (F.col("pd") == F.col("_sbase")) & ~none_before)
-    is_ltype = (none_before & (F.col("_next_primary.s") == F.col("stmt_start"))
-                & (pos < F.col("_next_primary.p")) & ~tok.isin("final", "@", "(", ")")
-                & (F.coalesce(F.col("p1"), F.lit("")) != "@") & (F.col("pd") == F.col("_sbase")))
-
-    # parameter lists: tokens after a candidate "(" until its ")" (first ")" back to its depth);
-    # a parameter's tokens share the count of parameter names seen before them in the list
-    in_params = ((pos > F.col("cur_open")) & ~F.coalesce(F.col("_last_close") > F.col("cur_open"), F.lit(False))
-                 & ~closing)
-    name_cand = (in_params & F.col("is_id")
-                 & (F.col("n1").isin(",", ")") | ((F.col("n1") == "[") & (F.col("n2") == "]")))
-                 & (type_end | (F.col("p1") == "...")) & (F.col("pd") == F.col("_opd") + 1))
-    # a parameter's tokens share "the last parameter name before them, or the list's (":
-    # generic arguments are never name candidates (their previous token is < or ,)
-    s = s.select("*", F.coalesce((F.col("_primary") & none_before) | more, F.lit(False)).alias("local_decl"),
-                 F.coalesce(in_params, F.lit(False)).alias("in_params"),
-                 F.coalesce(name_cand, F.lit(False)).alias("pname"),
-                 F.greatest(last_before(F.when(name_cand, pos)), F.col("cur_open")).alias("pidx"))
-    # descending pass: nearest declaration at or after each token
-    s = s.select("*", F.last(F.when(F.col("_primary"), F.struct(pos.alias("p"), F.col("stmt_start").alias("s"))),
-                             True).over(ahead).alias("_next_primary"))
-    s = s.withColumn("is_ltype", F.coalesce(is_ltype, F.lit(False)))
+        "sid", "pos", "tok", depth("{", "}").alias("_bd"), depth("(", ")").alias("pd"),
+        (depth("([{", ")]}") - tok.isin(*")]}").cast("int")).alias("lvl"),  # a closer is its opener's sibling
+        F.lag("tok", 1).over(w).alias("p1"), F.coalesce(F.lag("tok", 2).over(w), F.lit("")).alias("p2"), F.lag("pos", 1).over(w).alias("p1pos"),
+        F.lead("tok", 1).over(w).alias("n1"), F.lead("tok", 2).over(w).alias("n2"), F.lead("pos", 1).over(w).alias("n1pos"),
+        _ident(tok).alias("is_id"), F.last(F.when(tok != "{", tok), True).over(before).alias("_lead"))
+    p1, p2 = F.coalesce(F.col("p1"), F.lit("")), F.col("p2")
+    # "(" after a non-keyword identifier not preceded by new or "." may open a parameter list;
     # a body-less method needs a declaration before its name (a type or void), which a call never has
-    decl_like = hdr & (p2.isin(*PRIMITIVES, "void", ">", "]") | _ident(p2))
-    return s.select("sid", "pos", "tok", "bd", "pd", "p1", "p1pos", "n1", "n1pos", "is_id", "stmt_start",
-                    "local_decl", "is_ltype", "cur_open", "in_params", "pname", "pidx",
-                    (F.col("pd") - F.col("_opd")).alias("prel"), hdr.alias("hdr"), decl_like.alias("decl_like"),
-                    F.coalesce(F.when(tok == "{", F.col("_class") > F.col("stmt_start")).otherwise(F.col("_new")),
-                               F.lit(False)).alias("opens_class"))
-
+    hdr = (tok == "(") & _ident(p1) & ~p2.isin("new", ".", "@", "record")
+    return s.select("*", (F.col("_bd") - F.least(F.min("_bd").over(Window.partitionBy("sid")), F.lit(0))).alias("bd"), hdr.alias("hdr"),
+                    (hdr & (p2.isin(*PRIMITIVES, "void", ">", "]") | _ident(p2))).alias("decl_like")).drop("_bd")
 
-def _balanced(brackets: DataFrame) -> DataFrame:
-    """Snippets whose braces and parentheses all close and never go negative.
 
-    Depth changes only at brackets, so the bracket rows alone decide it.
+def _kinds(s: DataFrame) -> DataFrame:
+    """Adds the kind of every opener, from the siblings before it."""
+    tok, pos = F.col("tok"), F.col("pos")
+    p1 = F.coalesce(F.col("p1"), F.lit(""))
+    w = Window.partitionBy("sid", "lvl").orderBy("pos")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    typed = F.col("is_id") | tok.isin(*PRIMITIVES, ".", ",", "?", "&", "<", ">", "[", "]", "@", "extends", "super")
+    class_word = (tok.isin("class", "interface", "enum") & (p1 != ".")) | ((tok == "record") & _ident(F.col("n1")) & F.col("n2").isin("(", "<"))
+    s = s.select("*", F.last(F.when(p1.isin("(", "[", "{", ""), pos), True).over(upto).alias("_start"),  # the first sibling
+                 F.last(F.when(~typed, F.struct("pos", "tok")), True).over(before).alias("_other"),
+                 F.last(F.when(class_word | tok.isin(";", "}"), F.struct("pos", class_word.alias("is"))), True).over(before).alias("_class"))
+    made = (F.col("_other.tok") == "new") & (F.col("_other.pos") >= F.col("_start"))
+    s = s.select("*", F.last(F.when(tok == "(", F.struct(made.alias("made"), (p1 == "switch").alias("switch"))), True).over(before).alias("_paren"))
+    kind = F.when(tok == "(", F.when(p1 == "for", "for").when(F.col("hdr"), "hdr").otherwise("paren")).when(tok == "[", "index") \
+        .when(tok == "{", F.when(F.col("_lead").isin("=", "]", ",", "("), "init")
+              .when(F.col("_class.is") & (F.col("_class.pos") >= F.col("_start")), "class").when(p1 == "->", "lambda")
+              .when((p1 == ")") & F.col("_paren.made"), "anonymous").when((p1 == ")") & F.col("_paren.switch"), "switch").otherwise("block"))
+    return s.withColumn("_own", kind).drop("_start", "_other", "_class", "_paren", "_lead")
+
+
+def _statements(s: DataFrame) -> DataFrame:
+    """Adds cur_open and _kind (the innermost opener and its kind) and stmt (position of the boundary
+    before; levels above all brackets, which have none, count down from -1)."""
+    tok, pos = F.col("tok"), F.col("pos")
+    # an opener goes to the level inside it as well, as the first boundary there
+    mark = F.explode(F.when(F.col("_own").isNotNull(), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
+    s = s.select("*", mark.alias("_mark")).withColumn("lvl", F.col("lvl") + F.col("_mark").cast("int"))
+    w = Window.partitionBy("sid", "lvl").orderBy("pos")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    label = F.when(F.col("_mark"), "").when(tok.isin("case", "default", ";", "}", ":", "->"), tok)
+    s = s.select("*", F.coalesce(F.sum(F.when(F.col("_mark"), 0).otherwise(_angle(tok))).over(before), F.lit(0)).alias("_depth"),
+                 F.last(F.when(~F.col("_mark"), F.col("_own")), True).over(before).alias("_closed"),
+                 F.last(label, True).over(before).isin("case", "default").alias("_label"))
+    s = s.select("*", F.last(F.when(F.col("_mark"), F.struct("pos", F.col("_own").alias("kind"), F.col("_depth").alias("depth"))), True).over(upto).alias("_g"))
+    boundary = (F.col("_mark") | (tok == ";") | ((tok == "}") & F.col("_closed").isin("block", "class", "switch"))
+                | (tok.isin(":", "->") & F.col("_label"))
+                | ((tok == ",") & (F.col("_g.kind") == "hdr") & (F.col("_depth") == F.col("_g.depth"))))
+    s = s.select("*", F.coalesce(F.last(F.when(boundary, pos), True).over(before), F.col("lvl") - 1).cast("int").alias("stmt"))
+    return s.filter(~F.col("_mark")).select("*", F.col("_g.pos").alias("cur_open"), F.col("_g.kind").alias("_kind")) \
+        .drop("_own", "_mark", "_depth", "_closed", "_label", "_g", "lvl")
+
+
+def _brackets(sig: DataFrame) -> DataFrame:
+    """Parentheses and braces with what closes them (close_*; null: nothing) and how many
+    broken ones stand up to them (faults) and up to their closer (close_faults).
+
+    At one depth openers and closers of a kind alternate in any text, so an
+    opener's partner is the next bracket of its depth (``lead``), no join needed.  A
+    bracket is broken if it has no partner or if brackets of the other kind do not balance between the two.
     """
     tok = F.col("tok")
-    return (brackets.groupBy("sid").agg(
-        F.sum(F.when(tok == "{", 1).when(tok == "}", -1).otherwise(0)).alias("b"),
-        F.sum(F.when(tok == "(", 1).when(tok == ")", -1).otherwise(0)).alias("p"),
-        F.min("bd").alias("mb"), F.min("pd").alias("mp"))
-        .filter((F.col("b") == 0) & (F.col("p") == 0) & (F.col("mb") >= 0) & (F.col("mp") >= 0))
-        .select("sid"))
-
-
-def _matched(brackets: DataFrame, open_tok: str, close_tok: str, depth: str, carry: list[str]) -> DataFrame:
-    """Openers with their closer: at one depth, openers and closers alternate, so
-    the closer is the next bracket of that depth (``lead``), no join needed.
-    ``carry`` columns of the closer row come along as ``close_<col>``."""
-    lvl = F.when(F.col("tok") == open_tok, F.col(depth)).otherwise(F.col(depth) - 1)
-    w = Window.partitionBy("sid", "_lvl").orderBy("pos")
-    b = brackets.filter(F.col("tok").isin(open_tok, close_tok)).withColumn("_lvl", lvl)
-    return (b.select("*", F.lead("tok").over(w).alias("_ct"), F.lead("pos").over(w).alias("close_pos"),
-                     *[F.lead(c).over(w).alias(f"close_{c}") for c in carry])
-            .filter((F.col("tok") == open_tok) & (F.col("_ct") == close_tok)))
+    is_open, brace = tok.isin("(", "{"), tok.isin("{", "}")
+    own, other = F.when(brace, F.col("bd")).otherwise(F.col("pd")), F.when(brace, F.col("pd")).otherwise(F.col("bd"))
+    by_pos = Window.partitionBy("sid").orderBy("pos")
+    level = Window.partitionBy("sid", "_brace", "_lvl").orderBy("pos")
+    b = (sig.filter(tok.isin("(", ")", "{", "}"))
+         .select("sid", "pos", "tok", "bd", "p1pos", "n1", "n1pos", "hdr", "decl_like", is_open.alias("_open"), brace.alias("_brace"), other.alias("_other"),
+                 F.when(is_open, own).otherwise(own - 1).alias("_lvl"))
+         # the bracket after a ")" is its method body when it is "{" (a throws clause holds none)
+         .withColumn("_nb", F.when(F.lead("tok").over(by_pos) == "{", F.lead("pos").over(by_pos))))
+    partner = F.when(F.col("_open"), F.lead(F.struct("pos", "_other", "n1", "n1pos", "_nb", "_open")).over(level)) \
+        .otherwise(F.lag(F.struct("pos", "_other", "n1", "n1pos", "_nb", "_open")).over(level))
+    b = b.withColumn("_p", F.when(partner["_open"] != F.col("_open"), partner))
+    fault = F.coalesce(F.col("_p._other") != F.col("_other"), F.lit(True))
+    b = b.withColumn("faults", F.sum(fault.cast("int")).over(by_pos.rowsBetween(Window.unboundedPreceding, 0)))
+    return b.withColumn("close_faults", F.lead("faults").over(level)).filter(F.col("_open") & F.col("_p").isNotNull()) \
+        .select("sid", "pos", "tok", "bd", "p1pos", "hdr", "decl_like", "faults", "close_faults", F.col("_p.pos").alias("close_pos"),
+                F.col("_p.n1").alias("close_n1"), F.col("_p.n1pos").alias("close_n1pos"), F.col("_p._nb").alias("close_nb"))
 
 
 def scope_spans(sig: DataFrame) -> DataFrame:
-    """methods/constructors of balanced snippets
+    """methods/constructors whose own span is whole
     (sid, scope, lo, hi, depth, popen, pclose, body_open)."""
-    nb = Window.partitionBy("sid").orderBy("pos")
-    brackets = (sig.filter(F.col("tok").isin("(", ")", "{", "}"))
-                .select("sid", "pos", "tok", "bd", "pd", "p1", "p1pos", "n1", "n1pos", "hdr", "decl_like")
-                # the bracket after a ")" is its method body when it is "{" (a throws clause holds none)
-                .withColumn("_nb", F.when(F.lead("tok").over(nb) == "{", F.lead("pos").over(nb))))
-    with_body = F.col("close_n1").isin("{", "throws") & F.col("close__nb").isNotNull()
+    pairs = _brackets(sig)
+    with_body = F.col("close_n1").isin("{", "throws") & F.col("close_nb").isNotNull()
     # abstract / interface methods: the span ends at the ";" and there is no body
     no_body = F.col("decl_like") & (F.col("close_n1") == ";")
-    heads = (_matched(brackets, "(", ")", "pd", ["n1", "n1pos", "_nb"])
-             .filter(F.col("hdr") & (with_body | no_body))
+    heads = (pairs.filter((F.col("tok") == "(") & F.col("hdr") & (with_body | no_body))
              .select("sid", F.col("p1pos").alias("scope"), F.col("bd").alias("depth"), F.col("pos").alias("popen"),
-                     F.col("close_pos").alias("pclose"), F.when(with_body, F.col("close__nb")).alias("body_open"),
-                     F.when(~with_body, F.col("close_n1pos")).alias("_end")))
-    bodies = _matched(brackets, "{", "}", "bd", []).select(
-        "sid", F.col("pos").alias("body_open"), F.col("close_pos").alias("hi"))
-    m = (heads.join(bodies, ["sid", "body_open"], "left")
-         .withColumn("hi", F.coalesce(F.col("hi"), F.col("_end")))
-         .filter(F.col("hi").isNotNull())
-         .join(_balanced(brackets), "sid", "left_semi"))
+                     F.col("close_pos").alias("pclose"), F.when(with_body, F.col("close_nb")).alias("body_open"),
+                     F.when(~with_body, F.col("close_n1pos")).alias("_end"), "faults", F.col("close_faults").alias("_faults")))
+    bodies = pairs.filter(F.col("tok") == "{").select("sid", F.col("pos").alias("body_open"), F.col("close_pos").alias("hi"), "close_faults")
+    # a pair is whole itself, so equal counts at both ends mean that all brackets between are
+    m = (heads.join(bodies, ["sid", "body_open"], "left").withColumn("hi", F.coalesce(F.col("hi"), F.col("_end")))
+         .filter(F.col("hi").isNotNull() & (F.col("faults") == F.coalesce("close_faults", "_faults")) & (F.col("faults") == F.col("_faults"))))
     return m.select("sid", "scope", F.col("scope").alias("lo"), "hi", "depth", "popen", "pclose", "body_open")
 
 
-def _without_fields(decl: DataFrame, sig: DataFrame) -> DataFrame:
-    """Local declarations less those whose innermost brace opens a class body (fields of
-    anonymous and local classes): the last "{" one level up decides."""
-    # a "{" and the "(" whose ")" stands right before it
-    heads = _matched(sig.filter(F.col("tok").isin("(", ")")), "(", ")", "pd", ["n1", "n1pos"]).filter(
-        (F.col("close_n1") == "{") & F.col("opens_class")).select("sid", F.col("close_n1pos").alias("pos"), F.lit(True).alias("_cls"))
-    braces = (sig.filter(F.col("tok") == "{").select("sid", "pos", F.col("bd").alias("_lvl"), "opens_class")
-              .join(heads, ["sid", "pos"], "left")
-              .select("sid", "pos", "_lvl", (F.col("opens_class") | F.coalesce("_cls", F.lit(False))).alias("_cls")))
-    both = decl.withColumn("_lvl", F.col("bd") - 1).unionByName(braces, allowMissingColumns=True)
-    w = Window.partitionBy("sid", "_lvl").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return (both.withColumn("_in", F.last("_cls", True).over(w))
-            .filter(F.col("_cls").isNull() & ~F.coalesce("_in", F.lit(False))).select(*decl.columns))
-
-
 def _sorted_tokens(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row per group: its tokens in position order (groups are a few tokens)."""
     return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("_t"))
@@ -283,34 +284,18 @@ def _enclosing(rows: DataFrame, markers: DataFrame, keys: list[str], inclusive_d
 
 def declarations(sig: DataFrame, scopes: DataFrame) -> DataFrame:
     """(sid, scope, name, bucket, is_local, pos) for parameters and locals."""
-    # parameters: the name row carries its group key; the group's other top-level
-    # tokens (annotations "@A", commas, "final" left out) are its type, less
-    # brackets left over from a previous C-style "x[]"
-    names = sig.filter("pname").select("sid", "cur_open", "pidx", F.col("tok").alias("name"), "pos")
-    type_rows = sig.filter(F.col("in_params") & ~F.col("pname") & (F.col("prel") == 1)
-                           & ~F.col("tok").isin(",", "final", "@", "(", ")") & (F.coalesce(F.col("p1"), F.lit("")) != "@"))
-    types = _sorted_tokens(type_rows, ["sid", "cur_open", "pidx"])
-    start = F.array_position(F.transform("_t", lambda x: ~x["tok"].isin("[", "]")), True)
-    types = types.select("sid", "cur_open", "pidx", F.array_join(F.transform(
-        F.slice("_t", F.greatest(start, F.lit(1)), F.size("_t") - F.greatest(start, F.lit(1)) + 1),
-        lambda x: x["tok"]), "").alias("_ptype"), start.alias("_start"))
-    params = (names.join(types, ["sid", "cur_open", "pidx"])
-              .filter((F.col("_start") > 0) & (F.col("_ptype") != ""))
-              .join(scopes.select("sid", F.col("popen").alias("cur_open"), "scope"), ["sid", "cur_open"])
-              .select("sid", "scope", "name",
-                      F.when(F.col("_ptype").endswith("..."), F.lit("obj")).otherwise(type_bucket(F.col("_ptype")))
-                      .alias("bucket"),
-                      F.lit(0).alias("is_local"), "pos"))
-
-    # locals: the statement's tokens before its first declared name are the type
-    types = _sorted_tokens(sig.filter("is_ltype"), ["sid", "stmt_start"]).select(
-        "sid", "stmt_start", F.array_join(F.transform("_t", lambda x: x["tok"]), "").alias("_type"))
-    decl = (sig.filter("local_decl").select("sid", "stmt_start", "pos", "bd", F.col("tok").alias("name"))
-            .join(types, ["sid", "stmt_start"]).drop("stmt_start"))
+    # a statement's tokens before its first declared name are the type
+    types = _sorted_tokens(sig.filter("is_type"), ["sid", "stmt"]).select(
+        "sid", "stmt", F.array_join(F.transform("_t", lambda x: x["tok"]), "").alias("_type"))
+    names = sig.filter("decl is not null").select("sid", "stmt", "pos", "bd", "cur_open", "decl", F.col("tok").alias("name")).join(types, ["sid", "stmt"])
+    bucket = F.when(F.col("_type").endswith("..."), F.lit("obj")).otherwise(type_bucket(F.col("_type")))
+    params = (names.filter("decl = 0").join(scopes.select("sid", F.col("popen").alias("cur_open"), "scope"), ["sid", "cur_open"])
+              .select("sid", "scope", "name", bucket.alias("bucket"), F.lit(0).alias("is_local"), "pos"))
+    decl = names.filter("decl = 1").select("sid", "pos", "bd", "name", "_type")
     # registered in every method whose body holds the declaration
     bodies = scopes.select("sid", F.col("depth").alias("lvl"), F.col("body_open").alias("pos"),
                            F.col("hi").alias("end"), "scope")
-    held = _enclosing(_without_fields(decl, sig), bodies, ["sid"], inclusive_depth=False)
+    held = _enclosing(decl, bodies, ["sid"], inclusive_depth=False)
     locals_ = held.select("sid", "scope", "name", type_bucket(F.col("_type")).alias("bucket"),
                           F.lit(1).alias("is_local"), "pos")
     return params.unionByName(locals_)

@@ -50,10 +50,10 @@ def _sql_parts(renamed: bool) -> str:
     return "concat(" + ", ".join(sub.get(x, sql_lit(x)) for x in TEMPLATE) + ")"
 
 
-def method_snippets(spark, d, unbalanced: bool = False):
+def method_snippets(spark, d, cut: str | None = None):
     code = _spark_parts(False)
-    if unbalanced:
-        code = F.regexp_replace(code, r"\}\n\z", "")
+    if cut:
+        code = F.regexp_replace(code, cut, "")
     return fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("snippet_id"), code.alias("code"))
 
 
@@ -63,10 +63,11 @@ def q_rename(spark, d):
 
 
 @query("rename_fallback", f"""
-SELECT o_orderkey AS snippet_id, regexp_replace({_sql_parts(False)}, '\\}}\\n$', '') AS code, false AS renamed
+SELECT o_orderkey AS snippet_id, regexp_replace({_sql_parts(False)}, '\\}}\n[ ]*\\}}\n$', '') AS code, false AS renamed
 FROM orders""")
 def q_rename_fallback(spark, d):
-    return rename.rename_identifiers(method_snippets(spark, d, unbalanced=True))
+    # cut before the method's closing brace: no method is whole, so nothing changes
+    return rename.rename_identifiers(method_snippets(spark, d, cut=r"\}\n *\}\n\z"))
 
 
 @query("number_declarations", """
@@ -86,7 +87,8 @@ def q_number_declarations(spark, d):
     return m.select(F.col("sid").alias("snippet_id"), "name", "new_name")
 
 
-TOKEN_RE2 = (r"""(?s)//[^\n]*|/\*.*?\*/|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[\pL_$][\pL\pN_$]*|\d[\pL\pN_.]*|\s+|\.\.\.|->|::|.""")
+TOKEN_RE2 = (r'''(?s)//[^\n]*|/\*.*?\*/|"""[^"\\]*(?:"{0,2}\\.[^"\\]*|"{1,2}[^"\\][^"\\]*)*"""|"(?:[^"\\]|\\.)*"|'''
+             r"""'(?:[^'\\]|\\.)*'|[\pL_$][\pL\pN_$]*|\d[\pL\pN_.]*|\s+|\.\.\.|->|::|.""")
 
 
 @query("token_table", fx.sql_with(f"""
@@ -97,7 +99,7 @@ def q_token_table(spark, d):
     return t.select(F.col("sid").alias("snippet_id"), F.col("pos").cast("long").alias("pos"), "tok")
 
 
-# One class per order in one of eight shapes, with the text expected (#K: the order key).
+# One class per order in one of these shapes, with the text expected (#K: the order key).
 SHAPES = [
     ("class C#K { boolean f#K(int a#K, int b) { boolean c = false; c = a#K > b; return c; } }",
      "class C#K { boolean f#K(int num1, int num2) { boolean bool1 = false; bool1 = num1 > num2; return bool1; } }"),
@@ -115,6 +117,24 @@ SHAPES = [
      "class A#K { Runnable f(int num1) { Runnable obj1 = new Runnable() { int cnt#K = 0; public void run() { int num2 = num1; cnt#K += num2; } }; return obj1; } }"),
     ("class D#K { int f(int z) { @Deprecated int k#K = z; @SuppressWarnings(\"x\") List<String> s = t(k#K); return k#K; } }",
      "class D#K { int f(int num1) { @Deprecated int num2 = num1; @SuppressWarnings(\"x\") List<String> obj1 = t(num2); return num2; } }"),
+    ("class W#K { int f(int k#K) { switch (k#K) { case 1: int a = k#K; return a; default: String s#K = \"x\"; return s#K.length(); } } }",
+     "class W#K { int f(int num1) { switch (num1) { case 1: int num2 = num1; return num2; default: String str1 = \"x\"; return str1.length(); } } }"),
+    ("class I#K { int f(int n#K) { int[] q = {1, n#K}, r = {3}; Runnable a = new Runnable() { public void run() { use(n#K); } }, b = a; b.run(); return r[0] + q[1]; } }",
+     "class I#K { int f(int num1) { int[] num_arr1 = {1, num1}, num_arr2 = {3}; Runnable obj1 = new Runnable() { public void run() { use(num1); } }, obj2 = obj1; "
+     "obj2.run(); return num_arr2[0] + num_arr1[1]; } }"),
+    ("class P#K { int f(P#K this, int p#K) { @A(x = 1) List<String> l#K = of(p#K); return l#K.size() + p#K; } }",
+     "class P#K { int f(P#K this, int num1) { @A(x = 1) List<String> obj1 = of(num1); return obj1.size() + num1; } }"),
+    ("class T#K { String f(int n#K) { String t = \"\"\"\n { \"( #K\n \"\"\"; return t + n#K; } }",
+     "class T#K { String f(int num1) { String str1 = \"\"\"\n { \"( #K\n \"\"\"; return str1 + num1; } }"),
+]
+
+# Snippets that begin or end inside a class, a method or a bracket pair, with the text expected: the methods that are whole are renamed.
+CUT = [
+    ("int u#K = 0; return u#K; } void f(int p#K) { int q = p#K; use(q); } }", "int u#K = 0; return u#K; } void f(int num1) { int num2 = num1; use(num2); } }"),
+    ("class C#K { void f(int p#K) { int q = p#K; } void g(", "class C#K { void f(int num1) { int num2 = num1; } void g("),
+    ("class C#K { void f(int p#K) { int q = p#K; } void g(int z#K) { int y = z#K;", "class C#K { void f(int num1) { int num2 = num1; } void g(int z#K) { int y = z#K;"),
+    ("class C#K { void f(int p#K) { use((p#K; } void g(int z#K) { use(z#K); } }", "class C#K { void f(int p#K) { use((p#K; } void g(int num1) { use(num1); } }"),
+    ("class C#K { void f(int p#K) { int q = p#K;", None),
 ]
 
 
@@ -122,9 +142,20 @@ SHAPES = [
 SELECT o_orderkey AS snippet_id, true AS renamed, replace([{', '.join(sql_lit(out) for _, out in SHAPES)}]
        [(o_custkey % {len(SHAPES)}) + 1], '#K', CAST(o_orderkey AS VARCHAR)) AS code FROM orders""")
 def q_rename_shapes(spark, d):
-    shape = F.element_at(F.array(*[F.lit(src) for src, _ in SHAPES]), (F.col("o_custkey") % len(SHAPES)).cast("int") + 1)
-    code = F.replace(shape, F.lit("#K"), F.col("o_orderkey").cast("string"))
-    return rename.rename_identifiers(fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("snippet_id"), code.alias("code")))
+    return rename.rename_identifiers(fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("snippet_id"), _template_of(SHAPES).alias("code")))
+
+
+def _template_of(rows):
+    return F.replace(F.element_at(F.array(*[F.lit(src) for src, _ in rows]), (F.col("o_custkey") % len(rows)).cast("int") + 1),
+                     F.lit("#K"), F.col("o_orderkey").cast("string"))
+
+
+@query("rename_cut", f"""
+SELECT o_orderkey AS snippet_id, i < {len(CUT)} AS renamed,
+       replace([{', '.join(sql_lit(out or src) for src, out in CUT)}][i], '#K', CAST(o_orderkey AS VARCHAR)) AS code
+FROM (SELECT o_orderkey, (o_custkey % {len(CUT)}) + 1 AS i FROM orders)""")
+def q_rename_cut(spark, d):
+    return rename.rename_identifiers(fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("snippet_id"), _template_of(CUT).alias("code")))
 
 
 @query("normalize_renamed", f"""

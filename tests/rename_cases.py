@@ -128,4 +128,47 @@ EXTRA_CASES = [
     ("c_style_array",
      "class A {\n  void f() {\n    int vals[] = new int[3];\n    int k = vals[0];\n  }\n}\n",
      {"mask_numbers": False}, ["int num1[] = new int[3];", "int num2 = num1[0];"], []),
+    ("locals_after_switch_labels",
+     "class S {\n  int pick(int k) {\n    switch (k) {\n      case 1: int one = k; return one;\n      case A.B:\n        String two = \"x\";\n"
+     "        return two.length();\n      default: long rest = 3; return (int) rest;\n    }\n  }\n"
+     "  int arrow(int k) {\n    return switch (k) { case 1 -> { int one = k; yield one; } default -> { char c = 'a'; yield c; } };\n  }\n}\n",
+     {"mask_numbers": False, "mask_strings": False},
+     ["case 1: int num2 = num1; return num2;", "String str1 = \"x\";", "return str1.length();", "default: long num3 = 3; return (int) num3;",
+      "case 1 -> { int num2 = num1; yield num2; }", "default -> { char chr1 = 'a'; yield chr1; }", "case A.B:"], ["one", "two", "rest"]),
+    ("declarators_after_initialisers",
+     "class D {\n  int go(int n) {\n    int[] q = {1, n}, r = {{2}, {n}}[0], s;\n    Runnable a = new Runnable() { int f = 1; public void run() { int g = n; } }, b = null;\n"
+     "    Map<String, Integer> m = new HashMap<String, Integer>(), w = id(m, n), u;\n    int x = n < 2 ? 1 : 0, y = x;\n    b.run(); use(u, w, r, s);\n    return y;\n  }\n}\n",
+     {"mask_numbers": False},
+     ["int[] num_arr1 = {1, num1}, num_arr2 = {{2}, {num1}}[0], num_arr3;", "Runnable obj1 = new Runnable() { int f = 1; public void run() { int num2 = num1; } }, obj2 = null;",
+      "Map<String, Integer> obj3 = new HashMap<String, Integer>(), obj4 = id(obj3, num1), obj5;",
+      "int num3 = num1 < 2 ? 1 : 0, num4 = num3;", "obj2.run(); use(obj5, obj4, num_arr2, num_arr3);", "return num4;"], []),
+    ("annotations_with_named_values",
+     "class N {\n  int go(@B(min = 1, max = 2) int k, @a.b.C final String s) {\n    @A(x = 1) int z = k;\n    @A(x = 1, y = {2, 3}) List<String> l = of(s);\n"
+     "    final @A(x = 2) Map<String, List<Integer>> m = to(l);\n    return z + m.size();\n  }\n}\n",
+     {"mask_numbers": False},
+     ["go(@B(min = 1, max = 2) int num1, @a.b.C final String str1)", "@A(x = 1) int num2 = num1;", "@A(x = 1, y = {2, 3}) List<String> obj1 = of(str1);",
+      "final @A(x = 2) Map<String, List<Integer>> obj2 = to(obj1);", "return num2 + obj2.size();"], []),
+    ("receivers",
+     "class A {\n  int f(A this, int p) { return p + this.q; }\n  class B { B(A A.this, String s) { use(s); } }\n}\n", {},
+     ["int f(A this, int num1) { return num1 + this.q; }", "B(A A.this, String str1) { use(str1); }"], []),
+    ("text_blocks",
+     "class T {\n  String f(int n) {\n    String s = \"\"\"\n      a \"quoted\" { ( n \\\"\"\" brace\n      \"\"\";\n    return s + n;\n  }\n}\n",
+     {"mask_strings": False}, ["String f(int num1)", "String str1 = \"\"\"", "{ ( n \\\"\"\" brace", "return str1 + num1;"], []),
+    ("lambda_bodies_and_calls",
+     "class L {\n  void go(int n) {\n    run(new A(n) { int f = n; void in(int k) { use(k); } }, x -> { int d = x; return d; });\n    for (int i = 0, j = n; i < j; i++) { int d = i; use(d); }\n"
+     "    int last = n;\n  }\n}\n",
+     {"mask_numbers": False}, ["run(new A(num1) { int f = num1; void in(int num1) { use(num1); } }, x -> { int num5 = x; return num5; });",
+                               "for (int num3 = 0, num4 = num1; num3 < num4; num3++) { int num5 = num3; use(num5); }", "int num6 = num1;"], []),
+]
+
+# Broken texts: (name, source, expected text).  A method is renamed where its own span is whole.
+BROKEN_CASES = [
+    ("one_brace_too_many", "void f(int p){ int q = p; use(q); } }", "void f(int num1){ int num2 = num1; use(num2); } }"),
+    ("cut_in_a_head", "class A { void f(int p){ int q = p; } void g(", "class A { void f(int num1){ int num2 = num1; } void g("),
+    ("cut_in_a_body", "class A { void f(int p){ int q = p; } void g(int z){ int y = z;", "class A { void f(int num1){ int num2 = num1; } void g(int z){ int y = z;"),
+    ("begins_inside", "int y = z; } } void f(int p){ int q = p; } }", "int y = z; } } void f(int num1){ int num2 = num1; } }"),
+    ("open_parenthesis", "class A { void f(int p){ use((p; } void g(int z){ use(z); } }", "class A { void f(int p){ use((p; } void g(int num1){ use(num1); } }"),
+    ("extra_parenthesis", "class A { void f(int p){ use(p)); } void g(int z){ int y = z; } }", "class A { void f(int p){ use(p)); } void g(int num1){ int num2 = num1; } }"),
+    ("crossed_brackets", "class A { void f(int p){ if (p > 0) { use(p; } ) } void g(int z){ use(z); } }", "class A { void f(int p){ if (p > 0) { use(p; } ) } void g(int num1){ use(num1); } }"),
+    ("no_method_closes", "class A { void f(int p){ int q = p;", "class A { void f(int p){ int q = p;"),
 ]

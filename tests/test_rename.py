@@ -1,7 +1,7 @@
 """Renaming cases and the fallback."""
 
 import pytest
-from rename_cases import EXTRA_CASES, RENAME_CASES, RENAME_COUNTS
+from rename_cases import BROKEN_CASES, EXTRA_CASES, RENAME_CASES, RENAME_COUNTS
 
 from pairwright.operators.normalize import normalize_code
 from pairwright.operators.rename import rename_identifiers, token_table
@@ -38,8 +38,18 @@ def test_tokens_are_lossless(spark):
     assert "".join(toks) == src
 
 
-def test_unbalanced_keeps_text(spark):
-    src = "class A { void f(int a){ int b=a; }"
+def test_broken_texts(spark):
+    df = spark.createDataFrame([(i, c[1]) for i, c in enumerate(BROKEN_CASES)], "snippet_id long, code string")
+    got = {r.snippet_id: r for r in rename_identifiers(df).collect()}
+    for i, (name, src, want) in enumerate(BROKEN_CASES):
+        assert got[i].code == want, name
+        assert got[i].renamed == (want != src)
+
+
+def test_long_text_block_and_literal(spark):
+    """Literal patterns do not recurse: long ones leave the stack alone."""
+    long = "x\\n" * 60_000
+    src = f'class A {{ void f(int p) {{ String a = "{long}"; String b = """{long}"q" """; use(p); }} }}'
     df = spark.createDataFrame([(1, src)], "snippet_id long, code string")
-    r = rename_identifiers(df).first()
-    assert r.code == src and not r.renamed
+    assert rename_identifiers(df).first().code == src.replace("int p", "int num1").replace("use(p)", "use(num1)") \
+        .replace("String a", "String str1").replace("String b", "String str2")
