@@ -18,11 +18,10 @@ from __future__ import annotations
 import base64
 import hashlib
 
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwright.llm.common import texts
+from pairwright.llm.common import from_text, texts
 
 MAX_RANK_FILE = 64 << 20
 CUT_CHARS = 50_000
@@ -73,13 +72,15 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, cut: int = CUT_
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(read_ranks(rank_file))
 
-    def run(batches):
+    def make():
         enc = encoder(shared.value, pattern)
-        for b in batches:
-            ids = [encode(enc, t, cut) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": ids, "decoded": [enc.decode_bytes(i) for i in ids]})
 
-    return texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, ids array<int>, decoded binary")
+        def work(batch: list[str]):
+            ids = [encode(enc, t, cut) for t in batch]
+            return ids, [enc.decode_bytes(i) for i in ids]
+        return work
+
+    return from_text(texts(docs, id_col, text_col), make, {"ids": "array<int>", "decoded": "binary"})
 
 
 def encode_digest(docs: DataFrame, rank_file: str, pattern: str, cut: int = CUT_CHARS,
@@ -87,16 +88,17 @@ def encode_digest(docs: DataFrame, rank_file: str, pattern: str, cut: int = CUT_
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (digests made beside the ids, which then need not move)."""
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_file))
 
-    def run(batches):
+    def make():
         enc = encoder(shared.value, pattern)
         names = [str(i) for i in range(enc.max_token_value + 1)]
-        for b in batches:
+
+        def work(batch: list[str]):
             rows = []
-            for t in b["text"]:
+            for t in batch:
                 ids = encode(enc, t, cut)
                 rows.append((len(ids), hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest(),
                              hashlib.sha256(enc.decode_bytes(ids)).hexdigest()))
-            yield pd.concat([b[["doc_id"]].reset_index(drop=True),
-                             pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])], axis=1)
+            return list(zip(*rows, strict=True)) or [()] * 3
+        return work
 
-    return texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return from_text(texts(docs, id_col, text_col), make, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"})

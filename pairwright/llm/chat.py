@@ -132,17 +132,17 @@ def render(options: list, turns: list[str], last: bool) -> list[str]:
     return out
 
 
-_KEY, _OUT = ["conv_id", "part"], ["conv_id", "pos", "turn", "role", "out_role", "action", "inserted", "piece", "cost"]
-_SCHEMA = ("conv_id long, pos long, turn long, role string, out_role string, action string, inserted string, "
+_OUT = ["conv_id", "no_conv", "pos", "turn", "no_turn", "role", "out_role", "action", "inserted", "piece", "cost"]
+_SCHEMA = ("conv_id long, no_conv boolean, pos long, turn long, no_turn boolean, role string, out_role string, action string, inserted string, "
            "piece string, cost double")
 
 
-def _groups(batches, keys=("conv_id", "part")):
+def _groups(batches, keys=("no_conv", "conv_id", "part")):
     """Whole groups from sorted batches (a group holds ``BLOCK`` rows at most)."""
     rest = None
     for b in batches:
         b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-        key = b[list(keys)].astype("Int64").fillna(-(1 << 62)).to_numpy(dtype="int64")
+        key = b[list(keys)].to_numpy(dtype="int64")  # no nulls here: ids keep all their bits
         cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()] if len(b) else []
         for a, z in zip(cuts, cuts[1:], strict=False):
             yield b.iloc[a:z]
@@ -160,7 +160,7 @@ def _repaired(batches):
         first = True
         for r, o, piece in zip(g.itertuples(index=False), options, parts, strict=True):
             action = ("merge" if o[3] else "keep") if o[1] == role_of(r.role) else ("relabel+merge" if o[3] else "relabel")
-            rows.append((r.conv_id, r.pos, r.turn, r.role, NAMES[o[1]], action, ",".join(NAMES[i] for i in o[4]), piece, cost if first else 0.0))
+            rows.append((r.conv_id, r.no_conv, r.pos, r.turn, r.no_turn, r.role, NAMES[o[1]], action, ",".join(NAMES[i] for i in o[4]), piece, cost if first else 0.0))
             first = False
         if len(rows) >= 5000:
             yield _frame(rows)
@@ -170,13 +170,12 @@ def _repaired(batches):
 
 
 def _frame(rows) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=_OUT)
-    return out.astype({"conv_id": "Int64", "turn": "Int64"})
+    return pd.DataFrame(rows, columns=_OUT)
 
 
 def _matrices(batches):
-    rows = [(g["conv_id"].iloc[0], g["part"].iloc[0], [x for r in matrix([role_of(r) for r in g["role"]]) for x in r]) for g in _groups(batches)]
-    yield pd.DataFrame(rows, columns=["conv_id", "part", "m"]).astype({"conv_id": "Int64"})
+    rows = [(g["conv_id"].iloc[0], g["no_conv"].iloc[0], g["part"].iloc[0], [x for r in matrix([role_of(r) for r in g["role"]]) for x in r]) for g in _groups(batches)]
+    yield pd.DataFrame(rows, columns=["conv_id", "no_conv", "part", "m"])
 
 
 def _states(g: pd.DataFrame) -> pd.DataFrame:
@@ -193,37 +192,42 @@ def _states(g: pd.DataFrame) -> pd.DataFrame:
         out.append((new[state], state))
         state = new[state]
     out = out[::-1]
-    return pd.DataFrame({"conv_id": g["conv_id"], "part": g["part"], "entry": [x[0] for x in out], "leave": [x[1] for x in out],
+    return pd.DataFrame({"conv_id": g["conv_id"], "no_conv": g["no_conv"], "part": g["part"], "entry": [x[0] for x in out], "leave": [x[1] for x in out],
                          "last": [i == len(out) - 1 for i in range(len(out))]})
 
 
 def format_chats(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """conv_id, pos, turn, role, out_role, action, inserted, piece, cost (on a block's first row)."""
-    t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+    zero = F.lit(0).cast("long")  # a long with a flag for null: beside a null, pandas would make doubles of ids
+    t = turns.select(F.coalesce(F.col("conv_id").cast("long"), zero).alias("conv_id"), F.col("conv_id").cast("long").isNull().alias("no_conv"),
+                     F.coalesce(F.col("turn").cast("long"), zero).alias("turn"), F.col("turn").cast("long").isNull().alias("no_turn"),
                      F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    order = ["conv_id", "turn", "role", "text"]
-    sizes = t.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-    long = stage(sizes.filter(F.col("n") > block).select(F.col("conv_id").alias("long_id")), "chat-long")
-    is_long = F.col("conv_id").eqNullSafe(F.col("long_id"))
+    key = ["conv_id", "no_conv"]
+    within = [F.col("no_turn").desc(), F.col("turn"), F.col("role"), F.col("text")]  # a null turn comes first
+    sizes = t.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    long = stage(sizes.filter(F.col("n") > block).select(*key), "chat-long")
     flags = {"entry": F.lit(START), "leave": F.lit(-1), "last": F.lit(True)}
-    w = Window.partitionBy("conv_id").orderBy(*order[1:])
-    short = t.join(long, is_long, "left_anti").withColumns({"pos": (F.row_number().over(w) - 1).cast("long"), "part": F.lit(0).cast("long"), **flags})
-    out = short.sortWithinPartitions("conv_id", "pos").mapInPandas(_repaired, _SCHEMA)
+    w = Window.partitionBy(*key).orderBy(*within)
+    short = t.join(long, key, "left_anti").withColumns({"pos": (F.row_number().over(w) - 1).cast("long"), "part": F.lit(0).cast("long"), **flags})
+    out = short.sortWithinPartitions(*key, "pos").mapInPandas(_repaired, _SCHEMA)
+
+    def named(df):
+        return df.select(F.when(~F.col("no_conv"), F.col("conv_id")).alias("conv_id"), "pos", F.when(~F.col("no_turn"), F.col("turn")).alias("turn"),
+                         *(c for c in _OUT if c not in ("conv_id", "no_conv", "pos", "turn", "no_turn")))
+
     if long.first() is None:
-        return out
-    big = global_row_number(t.join(long, is_long, "left_semi").withColumn("tie", F.xxhash64("text", F.monotonically_increasing_id())),
-                            [*order, "tie"], "rn").drop("tie")
+        return named(out)
+    big = global_row_number(t.join(long, key, "left_semi").withColumns({"tie": F.xxhash64("text", F.monotonically_increasing_id()), "first": ~F.col("no_turn")}),
+                            [*key, "first", "turn", "role", "text", "tie"], "rn").drop("tie", "first")
     big = stage(big, "chat-turns")
-    firsts = big.groupBy("conv_id").agg(F.min("rn").alias("first")).withColumnRenamed("conv_id", "first_id")
-    big = big.join(firsts, F.col("conv_id").eqNullSafe(F.col("first_id"))).withColumn("pos", F.col("rn") - F.col("first")) \
-        .withColumn("part", F.floor(F.col("pos") / block)).select("conv_id", "turn", "role", "text", "pos", "part")
+    firsts = big.groupBy(*key).agg(F.min("rn").alias("first"))
+    big = big.join(firsts, key).withColumn("pos", F.col("rn") - F.col("first")) \
+        .withColumn("part", F.floor(F.col("pos") / block)).select(*key, "turn", "no_turn", "role", "text", "pos", "part")
     n = max(1, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def dealt(df):
-        return df.repartition(n, "conv_id", "part").sortWithinPartitions("conv_id", "part", "pos")
+        return df.repartition(n, *key, "part").sortWithinPartitions(*key, "part", "pos")
 
-    found = dealt(big).mapInPandas(_matrices, "conv_id long, part long, m array<double>")
-    states = stage(found.groupBy("conv_id").applyInPandas(_states, "conv_id long, part long, entry int, leave int, last boolean"), "chat-states") \
-        .withColumnRenamed("conv_id", "c2").withColumnRenamed("part", "p2")
-    placed = big.join(states, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("part") == F.col("p2"))).drop("c2", "p2")
-    return out.unionByName(dealt(placed).mapInPandas(_repaired, _SCHEMA))
+    found = dealt(big).mapInPandas(_matrices, "conv_id long, no_conv boolean, part long, m array<double>")
+    states = stage(found.groupBy(*key).applyInPandas(_states, "conv_id long, no_conv boolean, part long, entry int, leave int, last boolean"), "chat-states")
+    return named(out.unionByName(dealt(big.join(states, [*key, "part"])).mapInPandas(_repaired, _SCHEMA)))

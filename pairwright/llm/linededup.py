@@ -23,7 +23,8 @@ rows going along; both are small beside the lines.
 
 Keys are compared by 128 hash bits.  Null or empty text: one empty line, kept.
 Rows that repeat a doc_id count as one document for the counts and are
-filtered each on its own.  A null doc_id takes part as the smallest one.
+filtered each on its own.  A null doc_id takes part as the smallest long (and
+counts as one document with rows of that id).
 Extra columns are ignored; an empty table gives no rows.
 """
 
@@ -194,8 +195,9 @@ class LineIndex:
         return self.spark.read.parquet(self.version)
 
     def drops(self, docs: DataFrame) -> DataFrame:
-        """doc_id, h, line_no of the lines that go (``docs``: doc_id, text, h)."""
-        lines = self._shard(lines_of(docs, self.min_chars))
+        """doc_id (the smallest long for null), h, line_no of the lines that go (``docs``: doc_id, text, h)."""
+        own = F.coalesce("doc_id", F.lit(_NO_DOC)).alias("doc_id")  # no null reaches Python, so ids keep all bits
+        lines = self._shard(lines_of(docs.select(own, "h", "text"), self.min_chars))
         sizes = {r["shard"]: r["n"] for r in lines.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a shard
         most = max(GROUP_LINES, 2 * sum(sizes.values()) // self.shards)
         salts = F.array(*[F.lit(-(-sizes.get(s, 0) // most) or 1) for s in range(self.shards)])
@@ -211,10 +213,9 @@ class LineIndex:
             if not len(raw) or not len(lines):
                 return lines.iloc[:0][["doc_id", "h", "line_no"]]
             maybe = lines[CuckooFilter.load(raw.iloc[0]).contains(lines["k1"].to_numpy(), lines["k2"].to_numpy())]
-            exact = state[state["filter"].isna()][["k1", "k2", "max_doc"]]
+            exact = state.loc[state["filter"].isna(), ["k1", "k2", "max_doc"]]
             hit = maybe.merge(exact, on=["k1", "k2"])
-            own = hit["doc_id"].astype("Int64").fillna(_NO_DOC)
-            return hit[(own != hit["max_doc"]).to_numpy()][["doc_id", "h", "line_no"]]
+            return hit[hit["doc_id"] != hit["max_doc"]][["doc_id", "h", "line_no"]]
 
         return lines.groupBy("shard", "salt").cogroup(state.groupBy("shard", "salt")).applyInPandas(probe, "doc_id long, h long, line_no int")
 
@@ -222,7 +223,7 @@ class LineIndex:
         """``docs`` (with __id, __h, __text) and __kept: text, n_lines, n_dropped."""
         own = docs.select(F.col("__id").alias("doc_id"), F.col("__h").alias("h"), F.col("__text").alias("text"))
         gone = self.drops(own).groupBy(F.col("doc_id").alias("__i2"), F.col("h").alias("__h2")).agg(F.collect_set("line_no").alias("__gone"))
-        both = docs.join(gone, F.col("__id").eqNullSafe(F.col("__i2")) & (F.col("__h") == F.col("__h2")), "left")
+        both = docs.join(gone, (F.coalesce("__id", F.lit(_NO_DOC)) == F.col("__i2")) & (F.col("__h") == F.col("__h2")), "left")
 
         @F.pandas_udf("text string, n_lines long, n_dropped long")
         def keep(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:

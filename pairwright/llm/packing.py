@@ -17,12 +17,11 @@ columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.llm.common import staged as stage
-from pairwright.llm.common import keyed
+from pairwright.llm.common import from_text, keyed
 from pairwright.operators.rank import global_row_number
 
 BUCKETS, BUDGET = 16, 16_384
@@ -69,10 +68,9 @@ def bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> l
 
 def lengths_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, h, length (words and the end token)."""
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "h": b["h"], "length": [len(t.encode("utf-8").split()) + 1 for t in b["text"]]})
-    return keyed(docs, id_col, text_col).mapInPandas(run, "doc_id long, h long, length long")
+    def make():
+        return lambda batch: [[len(t.encode("utf-8").split()) + 1 for t in batch]]
+    return from_text(keyed(docs, id_col, text_col), make, {"length": "long"})
 
 
 def pack(sized: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:

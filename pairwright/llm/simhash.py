@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.llm.common import staged as stage
-from pairwright.llm.common import keyed, tagged, texts
+from pairwright.llm.common import from_text, keyed, tagged, texts
 from pairwright.llm.graph import components
 
 SHINGLE, MAX_BITS, SEED, MIN_BYTES, LIST_LIMIT = 3, 2, 42, 6, 2048
@@ -61,13 +61,9 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long); ``hashed``: doc_id, h (hash of the text), fp."""
-    own = ["doc_id", "h"] if hashed else ["doc_id"]
-
-    def run(batches):
-        for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in b["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({**{c: b[c] for c in own}, "fp": fp})
-    return (keyed if hashed else texts)(docs, id_col, text_col).mapInPandas(run, ", ".join(f"{c} long" for c in [*own, "fp"]))
+    def make():
+        return lambda batch: [np.array([fingerprint(t, shingle) for t in batch], dtype=np.uint64).view(np.int64)]
+    return from_text((keyed if hashed else texts)(docs, id_col, text_col), make, {"fp": "long"})
 
 
 def _forest(fps: np.ndarray, max_bits: int, min_bytes: int) -> list[tuple[int, int]]:

@@ -25,8 +25,8 @@ input.
    result by the content key, which locates every occurrence in every
    document, and the places that are not the window's first are marked.
 
-The words themselves decide what recurs; hashes only bring candidates
-together (keys: 64 bits of the anchor and 64 of the content).
+Windows are compared by their words.  Stretches count as equal by 128 bits (64
+of the anchor, 64 of the content, over 64-bit word hashes).
 
 Nulls and edge cases: null and empty texts have no words; texts shorter than a
 window stay as they are; rows that repeat a doc_id with the same text are the
@@ -40,6 +40,7 @@ from __future__ import annotations
 import ahocorasick
 import numpy as np
 import pandas as pd
+import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +49,7 @@ from pairwright.llm.common import staged, tagged
 
 WINDOW, GRAM = 20, 8
 SHARD_ROWS = 4000
+LONG_WORD = 64
 _NO_DOC = -(1 << 63)
 _U = np.uint64
 _BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
@@ -93,7 +95,11 @@ def word_hashes(raw: bytes, piece: int = 1 << 20) -> np.ndarray:
         b = np.frombuffer(raw[at:stop], np.uint8)
         ink = np.concatenate([[False], ~_SPACE[b], [False]])
         edge = np.flatnonzero(ink[1:] != ink[:-1])
-        out.append(_spans(_BYTES[b], _BASE, edge[::2], edge[1::2]))
+        starts, ends = edge[::2], edge[1::2]
+        h = _spans(_BYTES[b], _BASE, starts, ends)
+        for i in np.flatnonzero(ends - starts > LONG_WORD):  # polynomials modulo 2**64 collide on long regular words
+            h[i] = xxhash.xxh64_intdigest(raw[at + starts[i]:at + ends[i]])
+        out.append(h)
         at = stop
     return np.concatenate(out) if out else np.empty(0, _U)
 

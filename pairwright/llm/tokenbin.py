@@ -29,7 +29,7 @@ import zlib
 from array import array
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -147,6 +147,7 @@ def _encoder(raw: bytes) -> TextEncoder:
     return _STATE[key]
 
 
+_KINDS = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
 _ROW = "file int, block long, doc_ids array<long>, sizes array<long>, coded binary"
 
 
@@ -166,18 +167,18 @@ def _write(shared, block: int, lanes: int, end_id: int):
         held, size, ends, first, begun = [], 0, [], 0, 0
 
         def frame(got):
-            out = pd.DataFrame(got, columns=["block", "doc_ids", "sizes", "coded"])
-            out.insert(0, "file", file)
-            return out
+            cols = list(zip(*got, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array([file] * len(got), pa.int32()), *(pa.array(c, k) for c, k in zip(cols, _KINDS, strict=True))],
+                                              names=["file", "block", "doc_ids", "sizes", "coded"])
 
         for b in batches:
-            for doc, text in zip(b["doc_id"].astype("Int64"), b["text"], strict=True):
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ids = encoder.encode(text)
                 held.append(ids)
                 held.append(np.array([end_id], np.uint16))
                 begun += len(ids) + 1
                 size += len(ids) + 1
-                ends.append((size, None if doc is pd.NA else int(doc), begun))
+                ends.append((size, doc, begun))
                 begun = 0
                 while size >= block * lanes:
                     all_ids = np.concatenate(held)
@@ -201,7 +202,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = END_ID,
     before = spark.conf.get(TIDY, "false")
     spark.conf.set(TIDY, "true")
     try:
-        dealt.select("doc_id", "text").mapInPandas(_write(shared, block, lanes, end_id), _ROW).write.parquet(path)
+        dealt.select("doc_id", "text").mapInArrow(_write(shared, block, lanes, end_id), _ROW).write.parquet(path)
     finally:
         spark.conf.set(TIDY, before)
 
@@ -210,10 +211,10 @@ def _read(batches):
     """Documents of a file's blocks, in order; a document may span blocks and batches."""
     rest, file, at, todo = [], None, 0, []
     for b in batches:
-        for i in range(0, len(b), LANES):
-            part = b.iloc[i:i + LANES]
+        for i in range(0, b.num_rows, LANES):
+            part = {c: x.to_pylist() for c, x in zip(b.schema.names, b.slice(i, LANES).columns, strict=True)}
             out = []
-            for f, docs, sizes, ids in zip(part["file"], part["doc_ids"], part["sizes"], decode_blocks(list(part["coded"])), strict=True):
+            for f, docs, sizes, ids in zip(part["file"], part["doc_ids"], part["sizes"], decode_blocks(part["coded"]), strict=True):
                 if f != file:
                     if rest and sum(map(len, rest)):
                         raise ValueError("a file ends inside a document")
@@ -227,22 +228,25 @@ def _read(batches):
                         own = have[used:used + n]
                         if len(own) != n:
                             raise ValueError("a document is not whole")
-                        out.append((file, None if doc is None or doc is pd.NA or doc != doc else int(doc), at, n, own))
+                        out.append((file, doc, at, n, own))
                         used, at = used + n, at + n
                     rest = [have[used:]]
             yield out
 
 
-def _digest(batches):
-    for out in _read(batches):
-        rows = [(f, d, at, n, zlib.crc32(np.ascontiguousarray(own, dtype="<u4").tobytes())) for f, d, at, n, own in out]
-        yield pd.DataFrame(rows, columns=["file", "doc_id", "at", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+def _documents(last: str, make, kind):
+    """Record batches of file, doc_id, at, n_tokens and what ``make`` gives for a document's ids."""
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), kind)
+
+    def run(batches):
+        for out in _read(batches):
+            cols = zip(*((f, d, at, n, make(own)) for f, d, at, n, own in out), strict=True) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["file", "doc_id", "at", "n_tokens", last])
+    return run
 
 
-def _whole(batches):
-    for out in _read(batches):
-        yield pd.DataFrame([(f, d, at, n, own.astype(np.int64)) for f, d, at, n, own in out],
-                           columns=["file", "doc_id", "at", "n_tokens", "ids"]).astype({"doc_id": "Int64"})
+def _crc(own: np.ndarray) -> int:
+    return zlib.crc32(np.ascontiguousarray(own, dtype="<u4").tobytes())
 
 
 def read(spark: SparkSession, path: str, digest: bool = True) -> DataFrame:
@@ -254,9 +258,10 @@ def read(spark: SparkSession, path: str, digest: bool = True) -> DataFrame:
         firsts[r["file"]], first = first, first + r["n"]
     start = F.element_at(F.array(*[F.lit(firsts.get(f, 0)).cast("long") for f in range(max(firsts, default=0) + 1)]), F.col("file") + 1)
     n = max(1, len(firsts))
-    dealt = blocks.repartition(n, "file").sortWithinPartitions("file", "block")
+    dealt = blocks.repartitionById(n, "file").sortWithinPartitions("file", "block")  # a file to a task
     kind = "ids_crc32 long" if digest else "ids array<long>"
-    docs = dealt.mapInPandas(_digest if digest else _whole, f"file int, doc_id long, at long, n_tokens long, {kind}")
+    make = _documents("ids_crc32", _crc, pa.int64()) if digest else _documents("ids", lambda own: own.astype(np.int64), pa.list_(pa.int64()))
+    docs = dealt.mapInArrow(make, f"file int, doc_id long, at long, n_tokens long, {kind}")
     return docs.select("doc_id", (start + F.col("at")).alias("start"), "n_tokens", kind.split()[0])
 
 

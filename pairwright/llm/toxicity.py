@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.llm.common import staged as stage
-from pairwright.llm.common import texts
+from pairwright.llm.common import from_text, texts
 
 MAX_ROWS, MAX_TERMS, MIN_SUPPORT, MIN_WEIGHT, THRESHOLD = 20_000, 2_000, 3, 2.0, 0.3
 
@@ -92,9 +92,17 @@ class ToxicityModel:
         hits, spared = [], []
         for end, (w, n) in a.iter(folded) if len(a) else ():
             (spared if w is None else hits).append((end - n + 1, end, w))
-        if spared:
-            hits = [h for h in hits if not any(s <= h[0] and h[1] <= e for s, e, _ in spared)]
-        return sum(h[2] for h in hits), len(hits)
+        if spared:  # a hit is inside a phrase if, of those that begin no later, one ends no earlier
+            counted, phrases, reach = [], iter([*sorted(s[:2] for s in spared), (math.inf, 0)]), -1
+            begin, stop = next(phrases)
+            for h in sorted(hits, key=lambda h: h[0]):
+                while begin <= h[0]:
+                    reach = max(reach, stop)
+                    begin, stop = next(phrases)
+                if h[1] > reach:
+                    counted.append(h)
+            hits = counted
+        return math.fsum(h[2] for h in hits), len(hits)
 
     @staticmethod
     def features(total: float, folded: str) -> tuple[float, float]:
@@ -199,17 +207,19 @@ def _features(model: ToxicityModel):
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD,
           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted, n_hits."""
-    def run(batches):
+    def make():
         a = model.automaton()
-        for b in batches:
+
+        def judge(batch: list[str]):
             got = []
-            for text in b["text"]:
+            for text in batch:
                 folded = fold(text)
                 total, hits = model.weigh(a, folded)
                 p = model.probability(model.features(total, folded))
                 got.append((p, int(p >= threshold), hits))
-            yield pd.concat([b[["doc_id"]].reset_index(drop=True), pd.DataFrame(got, columns=["score", "predicted", "n_hits"])], axis=1)
-    return texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, score double, predicted int, n_hits int")
+            return list(zip(*got, strict=True)) or [()] * 3
+        return judge
+    return from_text(texts(docs, id_col, text_col), make, {"score": "double", "predicted": "int", "n_hits": "int"})
 
 
 def predicted(model: ToxicityModel, text: Column, threshold: float = THRESHOLD) -> Column:
