@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pairwright.functions.lines import (file_path, slice_lenient, slice_strict, split_lines,
                                         universal_newlines)
 from pairwright.session import stage
+from pairwright.sources.files import read_named_files
 
 
 def snippet_ranges(pairs: DataFrame, base: str | None = None) -> DataFrame:
@@ -76,6 +77,15 @@ def normalize_snippets(snips: DataFrame, **flags) -> DataFrame:
     return normalize_code(keyed, sid="_sid", code="code", **flags).drop("_sid")
 
 
+def fetch_from_tree(pairs: DataFrame, root: str, glob: str = "*", base: str | None = None, **options) -> DataFrame:
+    """J1 over a folder tree: ``fetch_pairs`` that opens only the files some pair names.
+
+    ``options`` are those of ``fetch_pairs``; pair paths are relative to ``base`` (default ``root``).
+    """
+    needed = snippet_ranges(pairs).select("path").distinct()
+    return fetch_pairs(pairs, read_named_files(pairs.sparkSession, root, needed, glob, base), **options)
+
+
 def fetch_pairs(pairs: DataFrame, files: DataFrame, base: str | None = None, strict: bool = True,
                 normalizer: Callable[[Column], Column] | None = None,
                 normalize: dict | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.schema import CLONE, NON_CLONE, PAIR_COLS
-from pairwright.sources.csv_pairs import CORRUPT, whole_cells
+from pairwright.sources.csv_pairs import CORRUPT, csv_cells
 
 
 def is_class(label: str = "label"):
@@ -42,13 +42,13 @@ def _rows(df: DataFrame, cols: Sequence[str] | None, by: Sequence[str], *aggs):
     """One row per distinct (by, row), and the columns that tell it.
 
     Without ``cols`` a row is all its cells: the nine of the layout, and of a
-    row that ``read_pairs`` found to be of another width the whole text's.
+    row of another width (blank ones, where ``read_rows`` keeps them) the whole text's.
     Its text (the least one, should quoting differ) comes along.
     """
     if cols is not None or CORRUPT not in df.columns:
         cols = list(PAIR_COLS if cols is None else cols)
         return df.groupBy(*by, *cols).agg(*aggs), cols
-    keyed = df.withColumn("_cells", whole_cells(CORRUPT))
+    keyed = df.withColumn("_cells", csv_cells(CORRUPT))
     return keyed.groupBy(*by, *PAIR_COLS, "_cells").agg(F.min(CORRUPT).alias(CORRUPT), *aggs), [*PAIR_COLS, CORRUPT]
 
 

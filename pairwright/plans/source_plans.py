@@ -5,28 +5,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pairwright.operators import quality
 from pairwright.plans.registry import query
 from pairwright.schema import PAIR8, PAIR_COLS
 from pairwright.sources import csv_pairs as C
 from pairwright.sources import fixtures as fx
 
 P9 = ", ".join(PAIR_COLS)
-FIELDS_SQL = ", ".join(f"string_split(line, ',')[{i + 1}] AS {c}" for i, c in enumerate(PAIR_COLS))
+FIELDS_SQL = ", ".join(f"cells[{i + 1}] AS {c}" for i, c in enumerate(PAIR_COLS))
 # Every 2,500 rows = the first rows the reference's evaluation script reads.
 HEAD_ROWS = 2500
 
 
 @query("layout_strict_report", fx.sql_with("""
-SELECT src, row_pos, len(string_split(line, ',')) AS n_fields, line FROM raw_lines
-WHERE line <> '' AND len(string_split(line, ',')) <> 9""", "raw_lines"))
+SELECT src, row_pos, len(cells) AS n_fields, line FROM raw_lines WHERE len(cells) NOT IN (0, 9)""", "raw_lines"))
 def q_layout_strict(spark, d):
     return C.layout_report(fx.spark_raw_lines(spark, d))
 
 
 @query("layout_lenient", fx.sql_with(f"""
-SELECT src, row_pos, {', '.join(f"string_split(line, ',')[{i + 1}] AS {c}" for i, c in enumerate(PAIR8))},
-       string_split(line, ',')[-1] AS label
-FROM raw_lines WHERE line <> '' AND len(string_split(line, ',')) >= 9""", "raw_lines"))
+SELECT src, row_pos, {', '.join(f"cells[{i + 1}] AS {c}" for i, c in enumerate(PAIR8))}, cells[-1] AS label
+FROM raw_lines WHERE len(cells) >= 9""", "raw_lines"))
 def q_layout_lenient(spark, d):
     return C.parse_lenient(fx.spark_raw_lines(spark, d))
 
@@ -37,6 +36,22 @@ def q_read_labeled(spark, d):
     return C.parse_positional(fx.spark_raw_lines(spark, d))
 
 
+# P3 as the duplicate tools have it: a blank line is a row like any other.
+@query("dedup_blank_rows", fx.sql_with(f"""
+SELECT src, min(row_pos) AS row_pos, {FIELDS_SQL}, CASE WHEN len(cells) <> 9 THEN min(line) END AS raw
+FROM blank_lines GROUP BY src, cells""", "blank_lines"))
+def q_dedup_blank(spark, d):
+    rows = quality.dedup_keep_first(C.rows_of(fx.spark_blank_lines(spark, d)), by=["src"])
+    return rows.withColumnRenamed(C.CORRUPT, "raw")
+
+
+@query("duplicates_blank_rows", fx.sql_with("""
+SELECT src, count(*) AS duplicate_rows, CAST(sum(n - 1) AS BIGINT) AS surplus_copies
+FROM (SELECT src, cells, count(*) AS n FROM blank_lines GROUP BY src, cells HAVING count(*) > 1) GROUP BY src""", "blank_lines"))
+def q_duplicates_blank(spark, d):
+    return quality.duplicate_report(C.rows_of(fx.spark_blank_lines(spark, d)))
+
+
 @query("read_fused", fx.sql_with(f"""
 SELECT src, row_pos, substring(c0, 1, 1) AS label, substring(c0, 2) AS folder1,
        {', '.join(f"string_split(line, ',')[{i + 1}] AS {c}" for i, c in enumerate(PAIR8) if i > 0)}

@@ -93,9 +93,9 @@ def lenient_rows(df: DataFrame, width: int = 9) -> DataFrame:
     ones (their extra cells are cut by the fixed schema)."""
     raw = F.col(CORRUPT)
     first = [c for c in df.columns if c not in (CORRUPT, "src", "row_pos")][0]
-    keep = raw.isNull() | (F.size(csv_fields(raw)) >= width)
+    keep = raw.isNull() | (F.size(csv_cells(raw)) >= width)
     if "label" in df.columns:  # the last cell of a longer row, as in parse_lenient
-        df = df.withColumn("label", F.when(raw.isNull(), F.col("label")).otherwise(F.element_at(csv_fields(raw), -1)))
+        df = df.withColumn("label", F.when(raw.isNull(), F.col("label")).otherwise(F.try_element_at(csv_cells(raw), F.lit(-1))))
     return df.filter(keep & (F.col(first).isNull() | F.col(first).isNotNull()))
 
 
@@ -114,28 +114,50 @@ def read_unlabeled(spark: SparkSession, clone_paths, nonclone_paths, header: boo
 
 
 # ------------------------------------------------------------------ line-level parsing
-# One CSV field: a quoted cell ("" escapes a quote) or an unquoted run without commas.
-_FIELD = r',("(?:[^"]|"")*+"|[^,]*+)'
 # Reading and writing alike: "" is a quote inside quotes, blanks at a cell's ends are part of it.
 CSV_OPTIONS = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": ""}
+# A mark after a line's last cell, so that empty cells at its end are told from absent ones.
+_END = "\u0002"
+# Columns given to the parser: enough for most lines, and for all that are wider.
+_SPARE, _MOST = 24, 400
 
 
-def csv_fields(line) -> Column:
-    """Fields of one CSV text line, quotes removed (quote-aware split)."""
-    # every field is led by a comma, so that no match is empty and an empty first cell counts
-    raw = F.regexp_extract_all(F.concat(F.lit(","), F.col(line) if isinstance(line, str) else line), F.lit(_FIELD), 1)
-    return F.transform(raw, lambda f: F.when(
-        f.startswith('"'), F.replace(f.substr(F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))
-    ).otherwise(f))
+def csv_cells(line: Column | str) -> Column:
+    """Cells of one CSV text line as an array of strings, by Spark's CSV parser; '' has none, NULL gives NULL.
 
+    ``from_csv`` has spare string columns, so any width up to 400 cells comes
+    back as it is (of a wider line the first 400).  A quote that does not
+    close takes the rest of the line; of a cell whose quotes close early what
+    follows them is kept (``"a"b`` is ``ab``), as in Python's ``csv.reader``;
+    only blanks right after a closing quote go, where that reader keeps them.
+    """
+    line = F.col(line) if isinstance(line, str) else line
+
+    def parsed(width: int) -> Column:
+        cells = [f"c{i}" for i in range(width + 1)]
+        row = F.from_csv(F.concat(line, F.lit("," + _END)), ", ".join(f"{c} string" for c in cells), CSV_OPTIONS)
+        return F.transform(F.array(row), lambda r: F.array(*[r[c] for c in cells]))[0]
+
+    def unmarked(found: Column) -> Column:
+        """The cells before the mark, which stands alone or ends a cell whose quote did not close; NULL without it."""
+        last = F.array_max(F.transform(found, lambda x, i: F.when(x.isNotNull(), i)))
+        end = F.get(found, last)
+        return F.when(end == _END, F.slice(found, F.lit(1), last)).when(
+            end.endswith(_END), F.concat(F.slice(found, F.lit(1), last), F.array(end.substr(F.lit(1), F.length(end) - 2))))
+
+    def value(x: Column) -> Column:
+        """The parser leaves a cell whose quotes close early as it stands; a well-formed one
+        that begins with a quote is in the line in its quoted form."""
+        rx = r'(?s)\A"((?:[^"]|"")*+)"?(.*)\z'
+        odd = x.startswith('"') & ~F.contains(line, F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""'))))
+        return F.when(odd, F.concat(F.replace(F.regexp_extract(x, rx, 1), F.lit('""'), F.lit('"')), F.regexp_extract(x, rx, 2))) \
+            .otherwise(F.coalesce(x, F.lit("")))
 
-def whole_cells(raw: str) -> Column:
-    """All cells of a row's text, NULL for no text; a text whose quotes do not close, or close inside a cell, is one cell."""
-    lead = F.concat(F.lit(","), F.col(raw))
-    found = F.regexp_extract_all(lead, F.lit(_FIELD), 1)
-    closed = F.forall(found, lambda f: ~f.startswith('"') | f.rlike(r'\A"(?:[^"]|"")*+"\z'))
-    clean = closed & (F.concat(F.lit(","), F.array_join(found, ",")) == lead)
-    return F.when(clean, csv_fields(raw)).when(F.col(raw).isNotNull(), F.array(F.col(raw)))
+    def cells(width: int) -> Column:
+        return F.transform(F.array(parsed(width)), unmarked)[0]
+
+    found = F.coalesce(cells(_SPARE), cells(_MOST), F.slice(parsed(_MOST), 1, _MOST))
+    return F.when(line == "", F.array().cast("array<string>")).when(line.isNotNull(), F.transform(found, value))
 
 
 def layout_report(lines: DataFrame, line: str = "line", expected: int = 9,
@@ -145,14 +167,14 @@ def layout_report(lines: DataFrame, line: str = "line", expected: int = 9,
     The reference raises on the first such row; the report lists all of them
     (path, position, count, text) and ``assert_layout`` raises on any.
     """
-    n = F.size(csv_fields(line))
+    n = F.size(csv_cells(line))
     return (lines.filter(F.col(line) != "").select(*keep, n.alias("n_fields"), F.col(line))
             .filter(F.col("n_fields") != expected))
 
 
 def assert_layout(lines: DataFrame, line: str = "line", expected: int = 9) -> DataFrame:
     """The lines unchanged, but evaluation fails on a row of the wrong width."""
-    n = F.size(csv_fields(line))
+    n = F.size(csv_cells(line))
     bad = F.concat(F.lit(f"expected {expected} columns, got "), n.cast("string"), F.lit(": "), F.col(line))
     return lines.withColumn(line, F.when((F.col(line) != "") & (n != expected), F.raise_error(bad))
                             .otherwise(F.col(line)))
@@ -162,23 +184,43 @@ def parse_lenient(lines: DataFrame, line: str = "line", keep: Sequence[str] = ("
     """P2 (+ P4's "last field is the label"): rows with at least 9 fields; the
     first 8 name the functions, the last one is the label.  Shorter rows are
     skipped, longer ones kept."""
-    return (lines.filter(F.col(line) != "").withColumn("_f", csv_fields(line)).filter(F.size("_f") >= 9)
+    return (lines.filter(F.col(line) != "").withColumn("_f", csv_cells(line)).filter(F.size("_f") >= 9)
             .select(*keep, *[F.element_at("_f", i + 1).alias(c) for i, c in enumerate(PAIR8)],
                     F.element_at("_f", -1).alias("label")))
 
 
 def parse_positional(lines: DataFrame, line: str = "line", layout: str = "pair9",
                      keep: Sequence[str] = ("src", "row_pos")) -> DataFrame:
-    """S1/S2 on text lines: Spark's CSV parser (``from_csv``), fixed width by position."""
+    """S1/S2 on text lines: cells by position; a cell that is there but empty is "", one that a short row lacks is NULL."""
     cols = LAYOUTS[layout]
-    parsed = F.from_csv(F.col(line), _schema(cols, corrupt=False).simpleString(), CSV_OPTIONS)
-    # a cell that is there but empty is "", one that a short row lacks is NULL
-    n = F.size(csv_fields(line))
-    out = lines.filter(F.col(line) != "").select(*keep, n.alias("_n"), parsed.alias("_r")).select(
-        *keep, *[F.when(F.col("_n") > i, F.coalesce(F.col(f"_r.{c}"), F.lit(""))).alias(c) for i, c in enumerate(cols)])
+    out = lines.filter(F.col(line) != "").select(*keep, csv_cells(line).alias("_f")).select(
+        *keep, *[F.get("_f", F.lit(i)).alias(c) for i, c in enumerate(cols)])
     return unfuse(out) if layout == "fused8" else out
 
 
+def rows_of(lines: DataFrame, line: str = "line", keep: Sequence[str] = ("src", "row_pos")) -> DataFrame:
+    """P3, as de-duplication and the duplicate report see it: every line is a row, a blank one an empty row.
+
+    Nine cells by position (NULL where there is none) and, of rows of another
+    width, blank ones among them, the whole text in ``_corrupt_record``.
+    """
+    return lines.select(*keep, line, csv_cells(line).alias("_f")).select(
+        *keep, *[F.get("_f", F.lit(i)).alias(c) for i, c in enumerate(PAIR_COLS)],
+        F.when(F.size("_f") != len(PAIR_COLS), F.col(line)).alias(CORRUPT))
+
+
+def read_rows(spark: SparkSession, paths: str | Sequence[str], header: bool = True) -> DataFrame:
+    """Pair files with their blank rows: ``rows_of`` over text lines, ``row_pos`` counting all of them.
+
+    A line is a row, so cells must not hold line ends (``read_pairs`` with ``multiline`` reads those).
+    """
+    lines = spark.read.text(list(paths) if not isinstance(paths, str) else paths).select(F.col("value").alias("line"), "_metadata")
+    lines = csv_row_positions(lines)
+    if header:
+        lines = lines.filter("row_pos > 0").withColumn("row_pos", F.col("row_pos") - 1)
+    return rows_of(lines)
+
+
 def head_rows(df: DataFrame, max_rows: int | None, pos: str = "row_pos") -> DataFrame:
     """P5: the first ``max_rows`` rows in file order (None = all, 0 = none).
 

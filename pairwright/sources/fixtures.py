@@ -106,10 +106,17 @@ def spark_noisy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spark_raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CSV text lines of ``pairs``: end2 dropped when doc % 11 = 0, a field added when doc % 13 = 0."""
+    """CSV text lines of ``pairs``: end2 dropped when doc % 11 = 0, a field added when doc % 13 = 0.
+
+    folder1 has quotes that close early (with a comma inside) when doc % 17 = 0
+    and well-formed ones around quotes when doc % 19 = 0; the last cell has a quote that never closes when doc % 23 = 0.
+    """
     p = spark_pairs(spark, sf_dir)
     d = F.floor(F.col("row_pos") / 2)
-    nine = [F.col(c) for c in PAIR_COLS]
+    first = (F.when(d % 17 == 0, F.concat(F.lit('"'), F.col("folder1"), F.lit(',x"y')))
+             .when(d % 19 == 0, F.concat(F.lit('"""'), F.col("folder1"), F.lit('"", z"'))).otherwise(F.col("folder1")))
+    last = F.when(d % 23 == 0, F.concat(F.lit('"'), F.col("label"))).otherwise(F.col("label"))
+    nine = [first, *[F.col(c) for c in PAIR_COLS[1:-1]], last]
     short = nine[:7] + nine[8:]
     long_ = nine[:8] + [F.lit("extra")] + nine[8:]
     line = (F.when(d % 11 == 0, F.concat_ws(",", *short))
@@ -118,6 +125,11 @@ def spark_raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("row_pos", line.alias("line"), "src")
 
 
+def spark_blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw_lines`` with a blank line on every 29th position."""
+    return spark_raw_lines(spark, sf_dir).withColumn("line", F.when(F.col("row_pos") % 29 == 0, "").otherwise(F.col("line")))
+
+
 def spark_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code files ``(path, text)``: each document at ``source/doc_<id>``."""
     return table(spark, sf_dir, "documents").select(
@@ -203,16 +215,26 @@ SQL_CTES: dict[str, tuple[str, tuple[str, ...]]] = {
   FROM pairs
 """, ("pairs",)),
     "raw_lines": ("""
-  SELECT row_pos,
-         CASE WHEN (row_pos // 2) % 11 = 0
-                THEN concat_ws(',', folder1, file1, begin1, end1, folder2, file2, begin2, label)
-              WHEN (row_pos // 2) % 13 = 0
-                THEN concat_ws(',', folder1, file1, begin1, end1, folder2, file2, begin2, end2, 'extra', label)
-              ELSE concat_ws(',', folder1, file1, begin1, end1, folder2, file2, begin2, end2, label)
-         END AS line,
-         src
-  FROM pairs
+  SELECT row_pos, src,
+         CASE WHEN d % 11 = 0 THEN concat_ws(',', f, file1, begin1, end1, folder2, file2, begin2, l)
+              WHEN d % 13 = 0 THEN concat_ws(',', f, file1, begin1, end1, folder2, file2, begin2, end2, 'extra', l)
+              ELSE concat_ws(',', f, file1, begin1, end1, folder2, file2, begin2, end2, l) END AS line,
+         CASE WHEN d % 11 = 0 THEN [v, file1, begin1, end1, folder2, file2, begin2, label]
+              WHEN d % 13 = 0 THEN [v, file1, begin1, end1, folder2, file2, begin2, end2, 'extra', label]
+              ELSE [v, file1, begin1, end1, folder2, file2, begin2, end2, label] END AS cells
+  FROM (SELECT *, row_pos // 2 AS d,
+               CASE WHEN (row_pos // 2) % 17 = 0 THEN '"' || folder1 || ',x"y'
+                    WHEN (row_pos // 2) % 19 = 0 THEN '\"\"\"' || folder1 || '"", z"' ELSE folder1 END AS f,
+               CASE WHEN (row_pos // 2) % 17 = 0 THEN folder1 || ',xy'
+                    WHEN (row_pos // 2) % 19 = 0 THEN '"' || folder1 || '", z' ELSE folder1 END AS v,
+               CASE WHEN (row_pos // 2) % 23 = 0 THEN '"' || label ELSE label END AS l
+        FROM pairs)
 """, ("pairs",)),
+    "blank_lines": ("""
+  SELECT row_pos, src, CASE WHEN row_pos % 29 = 0 THEN '' ELSE line END AS line,
+         CASE WHEN row_pos % 29 = 0 THEN CAST([] AS VARCHAR[]) ELSE cells END AS cells
+  FROM raw_lines
+""", ("raw_lines",)),
     "files": ("""
   SELECT concat_ws('/', source, concat('doc_', CAST(doc_id AS VARCHAR))) AS path, text FROM documents
 """, ()),

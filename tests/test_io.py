@@ -5,6 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from pairwright.functions.lines import decode_utf8_lenient, parse_int_lenient
 from pairwright.operators import quality, split
 from pairwright.schema import PAIR_COLS
 from pairwright.sources import csv_pairs as C
@@ -67,10 +68,85 @@ def test_dedup_compares_whole_rows(spark, tmpdir_path):
     assert (rep.duplicate_rows, rep.surplus_copies) == (len(copies), sum(copies) - len(copies))
 
 
-def test_broken_quotes_stay_apart(spark):
-    df = spark.createDataFrame([(t,) for t in ['"abc', '"abd', '"a"b,c', '"a"d,c', 'a"b,c', None]], "t string")
-    got = [tuple(r[0]) if r[0] else None for r in df.select(C.whole_cells("t")).collect()]
-    assert got == [('"abc',), ('"abd',), ('"a"b,c',), ('"a"d,c',), ('a"b', "c"), None]
+def test_cells_are_those_of_the_csv_module(spark):
+    import csv
+    import random
+    rng = random.Random(1)
+    texts = ['"abc,d,1', '"a"b,c', 'a"b,c', '"a""b",c', 'a,"b"x,c', '"a,x"b,c', '"a"b"c",d', '"","b"', '""', '"', 'a,"', 'a,"b', '"a""', "a,b,", " ", ",",
+             '"""a,b', '""a,b', "", "x," * 30 + "y", ",".join("abcdefgh" * 40), '"q,' * 30]
+    texts += ["".join(rng.choice('ab,"",') for _ in range(rng.randrange(1, 12))) for _ in range(600)]
+    df = spark.createDataFrame([(t,) for t in [*dict.fromkeys(texts), None]], "t string")
+    got = {r.t: r.cells for r in df.select("t", C.csv_cells("t").alias("cells")).collect()}
+    want = {t: next(csv.reader([t]), []) for t in texts}
+    assert got.pop(None) is None
+    differ = {t for t in want if got[t] != want[t]}
+    # Spark's parser unescapes "" in a cell whose quotes close early before it gives the cell up
+    assert all('""' in t for t in differ) and len(differ) < len(want) / 20
+
+
+def test_blank_rows_are_rows(spark, tmpdir_path):
+    """De-duplication and the duplicate report keep blank lines, as a row without cells."""
+    import csv
+    from collections import Counter
+    p = os.path.join(tmpdir_path, "blank.csv")
+    lines = ["a,b,1,2,c,d,3,4,1", "", "a,b,1,2,c,d,3,4,1", "", '"a"x,b,1,2,c,d,3,4,1', "ax,b,1,2,c,d,3,4,1", "", "a,b", '"a",b', " "]
+    with open(p, "w") as f:
+        f.write("h1,h2,h3,h4,h5,h6,h7,h8,h9\n" + "\n".join(lines) + "\n")
+    rows = [tuple(r) for r in csv.reader(lines)]
+    df = C.read_rows(spark, p)
+    first = {r: i for i, r in reversed(list(enumerate(rows)))}
+    assert sorted(r.row_pos for r in quality.dedup_keep_first(df, by=["src"]).collect()) == sorted(first.values())
+    copies = [n for n in Counter(rows).values() if n > 1]
+    rep = quality.duplicate_report(df).first()
+    assert (rep.duplicate_rows, rep.surplus_copies) == (len(copies), sum(copies) - len(copies))
+    assert C.read_rows(spark, p, header=False).count() == len(lines) + 1
+
+
+def test_fetch_opens_only_named_files(spark, tmpdir_path):
+    """Files over the source's length limit fail when opened: nobody opens those that no pair names."""
+    from pairwright.operators.fetch import fetch_from_tree, fetch_pairs
+    from pairwright.sources.files import read_code_files, read_named_files
+    root = os.path.join(tmpdir_path, "tree")
+    for name, text in (("f1/A.java", "a0\na1\na2\n"), ("f1/B [1].java", "b0\r\nb1\n"), ("f2/C.java", "c0\nc1"), ("f2/huge.java", "x" * 5000), ("huge2.java", "y" * 5000)):
+        os.makedirs(os.path.dirname(os.path.join(root, name)), exist_ok=True)
+        with open(os.path.join(root, name), "w", newline="") as f:
+            f.write(text)
+    pairs = spark.createDataFrame([("f1", "A.java", "0", "2", "f1", "B [1].java", "1", "2", "1"), ("f2", "C.java", "1_0", "11", "f2", "none.java", "0", "1", "0"),
+                                   ("f2", "C.java", "0", "2", "f1", "A.java", "2", "3", "0")], ", ".join(f"{c} string" for c in PAIR_COLS))
+    key = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(key, "1000")
+    try:
+        got = {(r.code1, r.code2) for r in fetch_from_tree(pairs, root).collect()}
+        assert got == {("a0\na1\n", "b1\n"), ("", ""), ("c0\nc1", "a2\n")}
+        needed = spark.createDataFrame([("f1/A.java",), ("f1/B [1].java",), ("f2/C.java",), ("f3/none",)], "path string")
+        assert read_named_files(spark, root, needed, batch=1).count() == read_named_files(spark, root, needed).count() == 3
+        assert read_named_files(spark, root, needed.filter("path like 'f3%'")).count() == 0
+        try:
+            read_code_files(spark, root).collect()
+            raise AssertionError("the large files were not read")
+        except Exception as e:
+            assert "huge" in str(e)
+    finally:
+        spark.conf.unset(key)
+    assert {(r.code1, r.code2) for r in fetch_pairs(pairs, read_code_files(spark, root)).collect()} == got
+
+
+def test_decode_keeps_genuine_marks(spark):
+    raws = [b"a\xef\xbf\xbdb", b"a\xffb\xef\xbf\xbd\xe2\xef\xbf\xbd\xc3(", "\ufdd0 \ufdd0\ufdd1\ufdd2 \ufffd\ufdd2".encode(), b"\xe4\xbd\xa0\xe4\xbd", b"\xf0\x9f\x98", b"", b"\xc0\x80x\xed\xa0\x80y"]
+    df = spark.createDataFrame([(r,) for r in raws], "b binary")
+    assert [r[0] for r in df.select(decode_utf8_lenient("b")).collect()] == [r.decode("utf-8", "ignore") for r in raws]
+
+
+def test_int_cells(spark):
+    cells = ["12", " 7 ", "+5", "-3", "1_2", "1_000_0", "_1", "1__2", "1_", "x", "", "1.0"]
+    got = [r[0] for r in spark.createDataFrame([(c,) for c in cells], "c string").select(parse_int_lenient("c")).collect()]
+
+    def py(c):
+        try:
+            return int(c)
+        except ValueError:
+            return None
+    assert got == [py(c) for c in cells]
 
 
 def test_write_splits_headerless(spark, sf, tmpdir_path):
