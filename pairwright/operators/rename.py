@@ -89,167 +89,175 @@ def token_table(df: DataFrame, sid: str = "snippet_id", code: str = "code") -> D
                      F.posexplode(F.regexp_extract_all(F.col(code), F.lit(TOKEN_RX), 0)).alias("pos", "tok"))
 
 
-def _ident(c) -> Column:
-    return c.rlike(IDENT_RX) & ~c.isin(*KEYWORDS)
+# Token classes: whole numbers, which the windows below compare and carry cheaply.
+_PUNCT = "{}()[]<>;,:.@?&="
+(OPEN, CLOSE, PAREN, UNPAREN, INDEX, UNINDEX, LESS, MORE, SEMI, COMMA, COLON, DOT, AT, ASK, AND, EQUALS,
+ ARROW, DOTS, IDENT, RECORD, PRIMITIVE, VOID, FINAL, BOUND, NEW, CLASS, LABEL, SWITCH, FOR, THROWS, WORD) = range(1, 32)
+_IDENTS = (IDENT, RECORD)
+# Kinds of openers.
+K_PAREN, K_HDR, K_FOR, K_INDEX, K_INIT, K_CLASS, K_LAMBDA, K_MADE, K_SWITCH, K_BLOCK = range(1, 11)
+
+
+def _class(tok: Column) -> Column:
+    word = F.when(~tok.isin(*KEYWORDS), F.when(tok == "record", RECORD).otherwise(IDENT))
+    for words, c in ((PRIMITIVES, PRIMITIVE), (("void",), VOID), (("final",), FINAL), (("extends", "super"), BOUND), (("new",), NEW),
+                     (("class", "interface", "enum"), CLASS), (("case", "default"), LABEL), (("switch",), SWITCH), (("for",), FOR), (("throws",), THROWS)):
+        word = word.when(tok.isin(*words), c)
+    return F.when(tok.rlike(IDENT_RX), word.otherwise(WORD)).when(F.length(tok) == 1, F.instr(F.lit(_PUNCT), tok)) \
+        .when(tok == "->", ARROW).when(tok == "...", DOTS).otherwise(0)
 
 
 def _sig_tokens(tokens: DataFrame) -> DataFrame:
     """Tokens other than space and comments with depths, neighbours and statement facts.
 
-    Columns: sid, pos, tok, bd/pd (brace/paren depth before the token; the
-    least brace depth of a snippet counts as 0), p1, p1pos, n1, n1pos, is_id,
-    hdr ("(" that may open a parameter list), decl_like (a type stands before
-    its name), cur_open (the innermost opener), stmt (key of the statement),
-    decl (1: declares a local, 0: a parameter, else null), is_type (part of its
-    statement's declared type).
+    Columns: sid, pos, tok, c (its class), bd/pd (brace/paren depth before the
+    token; the least brace depth of a snippet counts as 0), p1, p1pos, n1,
+    n1pos (neighbours' classes and positions; class null at the ends), hdr ("(" that may open a parameter list), decl_like
+    (a type stands before its name), cur_open (the innermost opener), stmt
+    (key of the statement), decl (1: declares a local, 0: a parameter, else
+    null), is_type (part of its statement's declared type).
     """
     s = _statements(_kinds(_depths(tokens)))
-    tok, pos, p1, n1 = (F.col(c) for c in ("tok", "pos", "p1", "n1"))
+    c, p1, n1, n2 = (F.col(x) for x in ("c", "p1", "n1", "n2"))
     own = Window.partitionBy("sid", "stmt").orderBy("pos")
     before = own.rowsBetween(Window.unboundedPreceding, -1)
     upto = own.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("sid", "stmt")
-
-    # "@", its (qualified) name and its parentheses; anything else ends the annotation
-    part = F.when(tok == "@", "@").when(tok.isin(".", "(", ")") | (F.col("is_id") & p1.isin("@", ".")), F.lit(None)).otherwise("x")
-    s = s.select("*", F.coalesce(F.last(part, True).over(upto) == "@", F.lit(False)).alias("_ann"),
-                 F.coalesce(F.sum(_angle(tok)).over(before), F.lit(0)).alias("_angles"))
-    body = ~F.col("_ann") & (tok != "final")
-    typed = (F.col("is_id") | F.col("_ann")
-             | tok.isin(*PRIMITIVES, ".", ",", "?", "&", "<", ">", "[", "]", "...", "extends", "super", "final"))
-    s = s.select("*", F.first(F.when(body, tok), True).over(upto).alias("_first"),
-                 F.coalesce(F.max(~typed).over(before), F.lit(False)).alias("_untyped"))
-    type_end = p1.isin(*PRIMITIVES, ">", "]") | _ident(p1)
-    in_locals = F.col("_kind").isin("block", "lambda", "switch", "for")
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    # only an annotation has parentheses before a declared name
+    body = ~F.col("ann") & ~c.isin(FINAL, PAREN, UNPAREN)
+    typed = c.isin(*_IDENTS, PRIMITIVE, DOT, COMMA, ASK, AND, LESS, MORE, INDEX, UNINDEX, DOTS, BOUND, FINAL, AT, PAREN, UNPAREN)
+    s = s.select("*", body.alias("_body"), F.first(F.when(body, c.isin(*_IDENTS, PRIMITIVE)), True).over(upto).alias("_typed_first"),
+                 F.first("angles").over(upto).alias("_angles0"), F.coalesce(F.max(~typed).over(before), F.lit(False)).alias("_untyped"))
+    type_end = p1.isin(*_IDENTS, PRIMITIVE, MORE, UNINDEX)
+    flat = F.col("angles") == F.col("_angles0")
+    in_locals = F.col("kind").isin(K_BLOCK, K_LAMBDA, K_SWITCH, K_FOR) & c.isin(*_IDENTS)
     # a C-style array declarator "name[]" keeps the declared (element) type
-    array = (n1 == "[") & (F.col("n2") == "]")
-    primary = (in_locals & F.col("is_id") & (n1.isin("=", ";", ",", ":") | array) & type_end & (F.col("_angles") == 0) & ~F.col("_untyped")
-               & (F.col("_first").isin(*PRIMITIVES) | _ident(F.col("_first"))))
+    array = (n1 == INDEX) & (n2 == UNINDEX)
+    primary = in_locals & (n1.isin(EQUALS, SEMI, COMMA, COLON) | array) & type_end & flat & ~F.col("_untyped") & F.col("_typed_first")
     # generic arguments are not followed by "=" or ";", only their commas need the angle brackets counted
-    more = in_locals & F.col("is_id") & (p1 == ",") & (n1.isin("=", ";") | (((n1 == ",") | array) & (F.col("_angles") == 0)))
-    param = ((F.col("_kind") == "hdr") & F.col("is_id") & (n1.isin(",", ")") | array)
-             & (type_end | (p1 == "...")) & (F.col("_angles") == 0))
-    s = s.select("*", F.coalesce(primary, F.lit(False)).alias("_primary"), F.coalesce(more, F.lit(False)).alias("_more"),
-                 F.coalesce(param, F.lit(False)).alias("_param"))
-    s = s.select("*", F.count_if("_primary").over(before).alias("_n"),
-                 F.min(F.when(F.col("_primary") | F.col("_param"), pos)).over(whole).alias("_name"))
-    local = (F.col("_primary") & (F.col("_n") == 0)) | (F.col("_more") & (F.col("_n") > 0))
-    return s.select("sid", "pos", "tok", "bd", "pd", "p1", "p1pos", "n1", "n1pos", "is_id", "hdr", "decl_like", "cur_open", "stmt",
-                    F.when(local, 1).when(F.col("_param"), 0).alias("decl"), F.coalesce(body & (pos < F.col("_name")), F.lit(False)).alias("is_type"))
-
-
-def _angle(tok: Column) -> Column:
-    return F.when(tok == "<", 1).when(tok == ">", -1).otherwise(0)
+    more = in_locals & (p1 == COMMA) & (n1.isin(EQUALS, SEMI) | (((n1 == COMMA) | array) & flat))
+    param = (F.col("kind") == K_HDR) & c.isin(*_IDENTS) & (n1.isin(COMMA, UNPAREN) | array) & (type_end | (p1 == DOTS)) & flat
+    s = s.select("*", F.when(primary, 1).when(param, 0).alias("_names"), F.coalesce(more, F.lit(False)).alias("_more"))
+    s = s.select("*", F.count(F.when(F.col("_names") == 1, 1)).over(before).alias("_n"),
+                 F.min(F.when(F.col("_names").isNotNull(), F.col("pos"))).over(whole).alias("_name"))
+    decl = F.when(F.col("_n") == 0, F.col("_names")).otherwise(F.when(F.col("_more"), 1).when(F.col("_names") == 0, 0))
+    return s.select("sid", "pos", "tok", "c", "bd", "pd", "p1", "p1pos", "n1", "n1pos", "hdr", "decl_like", "cur_open", "stmt",
+                    decl.alias("decl"), F.coalesce(F.col("_body") & (F.col("pos") < F.col("_name")), F.lit(False)).alias("is_type"))
 
 
 def _depths(tokens: DataFrame) -> DataFrame:
-    """Significant tokens in text order with depths, level, neighbours."""
-    tok, pos = F.col("tok"), F.col("pos")
-    sig = tokens.filter(~tok.rlike(r"^(?:\s+$|//|/\*)"))
+    """Significant tokens in text order with classes, depths, level, neighbours, annotations."""
+    tok, c = F.col("tok"), F.col("c")
+    sig = tokens.filter(~tok.rlike(r"^(?:\s|//|/\*)")).select("sid", "pos", "tok", _class(tok).alias("c"))
     w = Window.partitionBy("sid").orderBy("pos")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
 
     def depth(openers, closers):
-        return F.coalesce(F.sum(F.when(tok.isin(*openers), 1).when(tok.isin(*closers), -1).otherwise(0)).over(before), F.lit(0))
+        return F.coalesce(F.sum(F.when(c.isin(*openers), 1).when(c.isin(*closers), -1).otherwise(0)).over(before), F.lit(0)).cast("int")
 
     s = sig.select(
-        "sid", "pos", "tok", depth("{", "}").alias("_bd"), depth("(", ")").alias("pd"),
-        (depth("([{", ")]}") - tok.isin(*")]}").cast("int")).alias("lvl"),  # a closer is its opener's sibling
-        F.lag("tok", 1).over(w).alias("p1"), F.coalesce(F.lag("tok", 2).over(w), F.lit("")).alias("p2"), F.lag("pos", 1).over(w).alias("p1pos"),
-        F.lead("tok", 1).over(w).alias("n1"), F.lead("tok", 2).over(w).alias("n2"), F.lead("pos", 1).over(w).alias("n1pos"),
-        _ident(tok).alias("is_id"), F.last(F.when(tok != "{", tok), True).over(before).alias("_lead"))
-    p1, p2 = F.coalesce(F.col("p1"), F.lit("")), F.col("p2")
+        "sid", "pos", "tok", "c", depth([OPEN], [CLOSE]).alias("_bd"), depth([PAREN], [UNPAREN]).alias("pd"),
+        depth([LESS], [MORE]).alias("angles"),
+        (depth([OPEN, PAREN, INDEX], [CLOSE, UNPAREN, UNINDEX]) - c.isin(CLOSE, UNPAREN, UNINDEX).cast("int")).alias("lvl"),  # a closer is its opener's sibling
+        F.lag("c", 1).over(w).alias("p1"), F.lag("c", 2).over(w).alias("p2"), F.lag("pos", 1).over(w).alias("p1pos"),
+        F.lead("c", 1).over(w).alias("n1"), F.lead("c", 2).over(w).alias("n2"), F.lead("pos", 1).over(w).alias("n1pos"),
+        F.last(F.when(c != OPEN, c), True).over(before).alias("lead"))
+    p1, p2 = F.coalesce("p1", F.lit(0)), F.coalesce("p2", F.lit(0))
+    # "@", its (qualified) name and its parentheses; anything else ends the annotation
+    part = F.when(c == AT, True).when(~(c.isin(DOT, PAREN, UNPAREN) | (c.isin(*_IDENTS) & p1.isin(AT, DOT))), False)
+    # "new" before "(", with nothing but a type between
+    typed = c.isin(*_IDENTS, PRIMITIVE, DOT, COMMA, ASK, AND, LESS, MORE, INDEX, UNINDEX, AT, BOUND)
+    # a class word since the last ; { or }
+    header = F.when(((c == CLASS) & (p1 != DOT)) | ((c == RECORD) & F.col("n1").isin(*_IDENTS) & F.col("n2").isin(PAREN, LESS)), True) \
+        .when(c.isin(SEMI, OPEN, CLOSE), False)
     # "(" after a non-keyword identifier not preceded by new or "." may open a parameter list;
     # a body-less method needs a declaration before its name (a type or void), which a call never has
-    hdr = (tok == "(") & _ident(p1) & ~p2.isin("new", ".", "@", "record")
-    return s.select("*", (F.col("_bd") - F.least(F.min("_bd").over(Window.partitionBy("sid")), F.lit(0))).alias("bd"), hdr.alias("hdr"),
-                    (hdr & (p2.isin(*PRIMITIVES, "void", ">", "]") | _ident(p2))).alias("decl_like")).drop("_bd")
+    hdr = (c == PAREN) & p1.isin(*_IDENTS) & ~p2.isin(NEW, DOT, AT, RECORD)
+    return s.select(
+        "*", (F.col("_bd") - F.least(F.min("_bd").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0))).alias("bd"),
+        F.coalesce(F.last(part, True).over(upto), F.lit(False)).alias("ann"),
+        (F.last(F.when(~typed, c), True).over(before) == NEW).alias("made"), F.last(header, True).over(before).alias("header"),
+        hdr.alias("hdr"), (hdr & p2.isin(*_IDENTS, PRIMITIVE, VOID, MORE, UNINDEX)).alias("decl_like")).drop("_bd")
 
 
 def _kinds(s: DataFrame) -> DataFrame:
-    """Adds the kind of every opener, from the siblings before it."""
-    tok, pos = F.col("tok"), F.col("pos")
-    p1 = F.coalesce(F.col("p1"), F.lit(""))
-    w = Window.partitionBy("sid", "lvl").orderBy("pos")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    typed = F.col("is_id") | tok.isin(*PRIMITIVES, ".", ",", "?", "&", "<", ">", "[", "]", "@", "extends", "super")
-    class_word = (tok.isin("class", "interface", "enum") & (p1 != ".")) | ((tok == "record") & _ident(F.col("n1")) & F.col("n2").isin("(", "<"))
-    s = s.select("*", F.last(F.when(p1.isin("(", "[", "{", ""), pos), True).over(upto).alias("_start"),  # the first sibling
-                 F.last(F.when(~typed, F.struct("pos", "tok")), True).over(before).alias("_other"),
-                 F.last(F.when(class_word | tok.isin(";", "}"), F.struct("pos", class_word.alias("is"))), True).over(before).alias("_class"))
-    made = (F.col("_other.tok") == "new") & (F.col("_other.pos") >= F.col("_start"))
-    s = s.select("*", F.last(F.when(tok == "(", F.struct(made.alias("made"), (p1 == "switch").alias("switch"))), True).over(before).alias("_paren"))
-    kind = F.when(tok == "(", F.when(p1 == "for", "for").when(F.col("hdr"), "hdr").otherwise("paren")).when(tok == "[", "index") \
-        .when(tok == "{", F.when(F.col("_lead").isin("=", "]", ",", "("), "init")
-              .when(F.col("_class.is") & (F.col("_class.pos") >= F.col("_start")), "class").when(p1 == "->", "lambda")
-              .when((p1 == ")") & F.col("_paren.made"), "anonymous").when((p1 == ")") & F.col("_paren.switch"), "switch").otherwise("block"))
-    return s.withColumn("_own", kind).drop("_start", "_other", "_class", "_paren", "_lead")
+    """Adds the kind of every opener; for "{" after ")" the parentheses before it tell."""
+    c, p1 = F.col("c"), F.coalesce("p1", F.lit(0))
+    before = Window.partitionBy("sid", "lvl").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    after = F.when(F.coalesce("made", F.lit(False)), K_MADE).when(p1 == SWITCH, K_SWITCH).otherwise(K_BLOCK)
+    s = s.select("*", F.last(F.when(c == PAREN, after), True).over(before).alias("_paren"))
+    kind = F.when(c == PAREN, F.when(p1 == FOR, K_FOR).when(F.col("hdr"), K_HDR).otherwise(K_PAREN)).when(c == INDEX, K_INDEX) \
+        .when(c == OPEN, F.when(F.col("lead").isin(EQUALS, UNINDEX, COMMA, PAREN), K_INIT).when(F.col("header"), K_CLASS)
+              .when(p1 == ARROW, K_LAMBDA).when(p1 == UNPAREN, F.col("_paren")).otherwise(K_BLOCK))
+    return s.withColumn("own", kind).drop("_paren", "lead", "made", "header", "p2")
 
 
 def _statements(s: DataFrame) -> DataFrame:
-    """Adds cur_open and _kind (the innermost opener and its kind) and stmt (position of the boundary
+    """Adds cur_open and kind (the innermost opener and its kind) and stmt (position of the boundary
     before; levels above all brackets, which have none, count down from -1)."""
-    tok, pos = F.col("tok"), F.col("pos")
+    c, mark = F.col("c"), F.col("mark")
     # an opener goes to the level inside it as well, as the first boundary there
-    mark = F.explode(F.when(F.col("_own").isNotNull(), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
-    s = s.select("*", mark.alias("_mark")).withColumn("lvl", F.col("lvl") + F.col("_mark").cast("int"))
+    s = s.select("*", F.explode(F.when(F.col("own").isNotNull(), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("mark")) \
+        .withColumn("lvl", F.col("lvl") + mark.cast("int"))
     w = Window.partitionBy("sid", "lvl").orderBy("pos")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    label = F.when(F.col("_mark"), "").when(tok.isin("case", "default", ";", "}", ":", "->"), tok)
-    s = s.select("*", F.coalesce(F.sum(F.when(F.col("_mark"), 0).otherwise(_angle(tok))).over(before), F.lit(0)).alias("_depth"),
-                 F.last(F.when(~F.col("_mark"), F.col("_own")), True).over(before).alias("_closed"),
-                 F.last(label, True).over(before).isin("case", "default").alias("_label"))
-    s = s.select("*", F.last(F.when(F.col("_mark"), F.struct("pos", F.col("_own").alias("kind"), F.col("_depth").alias("depth"))), True).over(upto).alias("_g"))
-    boundary = (F.col("_mark") | (tok == ";") | ((tok == "}") & F.col("_closed").isin("block", "class", "switch"))
-                | (tok.isin(":", "->") & F.col("_label"))
-                | ((tok == ",") & (F.col("_g.kind") == "hdr") & (F.col("_depth") == F.col("_g.depth"))))
-    s = s.select("*", F.coalesce(F.last(F.when(boundary, pos), True).over(before), F.col("lvl") - 1).cast("int").alias("stmt"))
-    return s.filter(~F.col("_mark")).select("*", F.col("_g.pos").alias("cur_open"), F.col("_g.kind").alias("_kind")) \
-        .drop("_own", "_mark", "_depth", "_closed", "_label", "_g", "lvl")
+    label = F.when(mark, 0).when(c.isin(LABEL, SEMI, CLOSE, COLON, ARROW), c)
+
+    def inside(x):
+        return F.last(F.when(mark, x), True).over(upto)
+
+    s = s.select("*", F.last(F.when(~mark, F.col("own")), True).over(before).alias("_closed"), F.last(label, True).over(before).alias("_label"),
+                 inside(F.col("pos")).alias("cur_open"), inside(F.col("own")).alias("kind"), inside(F.col("angles")).alias("_outer"))
+    boundary = (mark | (c == SEMI) | ((c == CLOSE) & F.col("_closed").isin(K_BLOCK, K_CLASS, K_SWITCH))
+                | (c.isin(COLON, ARROW) & (F.col("_label") == LABEL))
+                | ((c == COMMA) & (F.col("kind") == K_HDR) & (F.col("angles") == F.col("_outer"))))
+    s = s.select("*", F.coalesce(F.last(F.when(boundary, F.col("pos")), True).over(before), F.col("lvl") - 1).cast("int").alias("stmt"))
+    return s.filter(~mark).drop("own", "mark", "_closed", "_label", "_outer", "lvl")
 
 
 def _brackets(sig: DataFrame) -> DataFrame:
-    """Parentheses and braces with what closes them (close_*; null: nothing) and how many
+    """Parentheses and braces that close, with what closes them (close_*) and how many
     broken ones stand up to them (faults) and up to their closer (close_faults).
 
     At one depth openers and closers of a kind alternate in any text, so an
     opener's partner is the next bracket of its depth (``lead``), no join needed.  A
     bracket is broken if it has no partner or if brackets of the other kind do not balance between the two.
     """
-    tok = F.col("tok")
-    is_open, brace = tok.isin("(", "{"), tok.isin("{", "}")
+    c = F.col("c")
+    is_open, brace = c.isin(PAREN, OPEN), c.isin(OPEN, CLOSE)
     own, other = F.when(brace, F.col("bd")).otherwise(F.col("pd")), F.when(brace, F.col("pd")).otherwise(F.col("bd"))
     by_pos = Window.partitionBy("sid").orderBy("pos")
     level = Window.partitionBy("sid", "_brace", "_lvl").orderBy("pos")
-    b = (sig.filter(tok.isin("(", ")", "{", "}"))
-         .select("sid", "pos", "tok", "bd", "p1pos", "n1", "n1pos", "hdr", "decl_like", is_open.alias("_open"), brace.alias("_brace"), other.alias("_other"),
+    b = (sig.filter(c.isin(OPEN, CLOSE, PAREN, UNPAREN))
+         .select("sid", "pos", "c", "bd", "p1pos", "n1", "n1pos", "hdr", "decl_like", is_open.alias("_open"), brace.alias("_brace"), other.alias("_other"),
                  F.when(is_open, own).otherwise(own - 1).alias("_lvl"))
          # the bracket after a ")" is its method body when it is "{" (a throws clause holds none)
-         .withColumn("_nb", F.when(F.lead("tok").over(by_pos) == "{", F.lead("pos").over(by_pos))))
-    partner = F.when(F.col("_open"), F.lead(F.struct("pos", "_other", "n1", "n1pos", "_nb", "_open")).over(level)) \
-        .otherwise(F.lag(F.struct("pos", "_other", "n1", "n1pos", "_nb", "_open")).over(level))
-    b = b.withColumn("_p", F.when(partner["_open"] != F.col("_open"), partner))
-    fault = F.coalesce(F.col("_p._other") != F.col("_other"), F.lit(True))
-    b = b.withColumn("faults", F.sum(fault.cast("int")).over(by_pos.rowsBetween(Window.unboundedPreceding, 0)))
-    return b.withColumn("close_faults", F.lead("faults").over(level)).filter(F.col("_open") & F.col("_p").isNotNull()) \
-        .select("sid", "pos", "tok", "bd", "p1pos", "hdr", "decl_like", "faults", "close_faults", F.col("_p.pos").alias("close_pos"),
-                F.col("_p.n1").alias("close_n1"), F.col("_p.n1pos").alias("close_n1pos"), F.col("_p._nb").alias("close_nb"))
+         .withColumn("_nb", F.when(F.lead("c").over(by_pos) == OPEN, F.lead("pos").over(by_pos))))
+    b = b.select("*", *(F.lead(x).over(level).alias(f"close_{x}") for x in ("pos", "n1", "n1pos", "_nb")),
+                 F.when(F.col("_open"), ~F.lead("_open").over(level) & (F.lead("_other").over(level) == F.col("_other")))
+                 .otherwise(F.lag("_open").over(level) & (F.lag("_other").over(level) == F.col("_other"))).alias("_whole"),
+                 F.coalesce(~F.lead("_open").over(level), F.lit(False)).alias("_closes"))
+    b = b.withColumn("faults", F.sum((~F.coalesce("_whole", F.lit(False))).cast("int")).over(by_pos.rowsBetween(Window.unboundedPreceding, 0)))
+    return b.withColumn("close_faults", F.lead("faults").over(level)).filter(F.col("_open") & F.col("_closes")) \
+        .select("sid", "pos", "c", "bd", "p1pos", "hdr", "decl_like", "faults", "close_faults", "close_pos", "close_n1", "close_n1pos",
+                F.col("close__nb").alias("close_nb"))
 
 
 def scope_spans(sig: DataFrame) -> DataFrame:
     """methods/constructors whose own span is whole
     (sid, scope, lo, hi, depth, popen, pclose, body_open)."""
     pairs = _brackets(sig)
-    with_body = F.col("close_n1").isin("{", "throws") & F.col("close_nb").isNotNull()
+    with_body = F.col("close_n1").isin(OPEN, THROWS) & F.col("close_nb").isNotNull()
     # abstract / interface methods: the span ends at the ";" and there is no body
-    no_body = F.col("decl_like") & (F.col("close_n1") == ";")
-    heads = (pairs.filter((F.col("tok") == "(") & F.col("hdr") & (with_body | no_body))
+    no_body = F.col("decl_like") & (F.col("close_n1") == SEMI)
+    heads = (pairs.filter((F.col("c") == PAREN) & F.col("hdr") & (with_body | no_body))
              .select("sid", F.col("p1pos").alias("scope"), F.col("bd").alias("depth"), F.col("pos").alias("popen"),
                      F.col("close_pos").alias("pclose"), F.when(with_body, F.col("close_nb")).alias("body_open"),
                      F.when(~with_body, F.col("close_n1pos")).alias("_end"), "faults", F.col("close_faults").alias("_faults")))
-    bodies = pairs.filter(F.col("tok") == "{").select("sid", F.col("pos").alias("body_open"), F.col("close_pos").alias("hi"), "close_faults")
+    bodies = pairs.filter(F.col("c") == OPEN).select("sid", F.col("pos").alias("body_open"), F.col("close_pos").alias("hi"), "close_faults")
     # a pair is whole itself, so equal counts at both ends mean that all brackets between are
     m = (heads.join(bodies, ["sid", "body_open"], "left").withColumn("hi", F.coalesce(F.col("hi"), F.col("_end")))
          .filter(F.col("hi").isNotNull() & (F.col("faults") == F.coalesce("close_faults", "_faults")) & (F.col("faults") == F.col("_faults"))))
@@ -313,8 +321,8 @@ def replacements(sig: DataFrame, scopes: DataFrame, mappings: DataFrame) -> Data
     """(sid, pos, new_name) for uses inside a mapped scope; the outermost wins."""
     spans = mappings.join(scopes.select("sid", "scope", "lo", "hi", "depth"), ["sid", "scope"])
     # a field member "x.f" is skipped; a method name "x.m(" is an ordinary identifier
-    member = (F.coalesce(F.col("p1"), F.lit("")) == ".") & (F.coalesce(F.col("n1"), F.lit("")) != "(")
-    uses = (sig.filter(F.col("is_id") & ~member)
+    member = (F.coalesce("p1", F.lit(0)) == DOT) & (F.coalesce("n1", F.lit(0)) != PAREN)
+    uses = (sig.filter(F.col("c").isin(*_IDENTS) & ~member)
             .select("sid", "pos", "bd", F.col("tok").alias("name"))
             .join(spans.select("sid", "name").distinct(), ["sid", "name"], "left_semi"))
     markers = spans.select("sid", "name", F.col("depth").alias("lvl"), F.col("lo").alias("pos"),
