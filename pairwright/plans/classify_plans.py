@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairwright.operators import classify, fetch, identity, metrics, quality, split, udf
+from pairwright.operators import classify, compare, fetch, identity, metrics, quality, split, udf
+from pairwright.operators.history import long_log
 from pairwright.plans.registry import query, sql_lit
 from pairwright.plans.text_plans import FETCH_SQL, _strict_sql, lines_sql
 from pairwright.session import stage
@@ -68,6 +69,30 @@ def q_pair_features(spark, d):
     return f.select("row_pos", "jaccard", "length_ratio", "exact_equal")
 
 
+def _prints_sql(t: str) -> str:
+    runs = (f"list_transform(range(1, greatest(len({t}) - {compare.GRAM - 1}, 1) + 1), "
+            f"lambda i: CAST('0x' || substr(md5(array_to_string({t}[i:i + {compare.GRAM - 1}], ' ')), 1, 15) AS BIGINT))")
+    return f"CASE WHEN len({t}) > 0 THEN {runs} ELSE CAST([] AS BIGINT[]) END"
+
+
+def _winnow_sql(h: str) -> str:
+    return (f"CASE WHEN len({h}) > 0 THEN list_sort(list_distinct(list_transform(range(1, greatest(len({h}) - {compare.WINDOW - 1}, 1) + 1), "
+            f"lambda i: list_min({h}[i:i + {compare.WINDOW - 1}])))) ELSE {h} END")
+
+
+@query("pair_fingerprints", fx.sql_with(f"""
+SELECT row_pos, len(p1) AS n_prints1, len(p2) AS n_prints2, len(list_intersect(p1, p2)) AS n_shared,
+       array_to_string(p1, ',') AS prints1,
+       CASE WHEN len(p1) + len(p2) > 0 THEN len(list_intersect(p1, p2)) / (len(p1) + len(p2) - len(list_intersect(p1, p2))) ELSE 0.0 END AS prints_jaccard,
+       CASE WHEN least(len(p1), len(p2)) > 0 THEN len(list_intersect(p1, p2)) / least(len(p1), len(p2)) ELSE 0.0 END AS prints_held
+FROM (SELECT row_pos, {_winnow_sql('h1')} AS p1, {_winnow_sql('h2')} AS p2
+      FROM (SELECT row_pos, {_prints_sql('t1')} AS h1, {_prints_sql('t2')} AS h2 FROM ({BUDGET_SQL})))""", "pairs", "files"))
+def q_pair_fingerprints(spark, d):
+    f = compare.fingerprint_features(classify.token_budget(_fetched(spark, d)))
+    return f.select("row_pos", F.size("prints1").cast("long").alias("n_prints1"), F.size("prints2").cast("long").alias("n_prints2"),
+                    F.col("prints_shared").cast("long").alias("n_shared"), F.array_join("prints1", ",").alias("prints1"), "prints_jaccard", "prints_held")
+
+
 def _model_splits(spark, d):
     """Pairs with texts, tagged with their leakage-safe split (train / val / test)."""
     pairs = quality.class_rows(fx.spark_pairs(spark, d)).select("row_pos", *classify_cols())
@@ -89,6 +114,15 @@ def q_fit_predict(spark, d):
                       "class_name")
 
 
+@query("select_model")
+def q_select_model(spark, d):
+    # C3 + A10: the candidates' metrics on the validation split, and which one is kept
+    data = stage(_model_splits(spark, d), "model_input")
+    _, log = classify.select(data.filter(F.col("split") == "train"), data.filter(F.col("split") == "val"))
+    best = metrics.best_record(long_log(log.select("step", "accuracy"))).select(F.col("best_step").alias("step"), F.lit(True).alias("kept"))
+    return log.join(best, "step", "left").select("step", "regParam", "elasticNetParam", "accuracy", "f1", "precision", "recall", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
 @query("evaluate_model")
 def q_evaluate_model(spark, d):
     # Validation and test rows are reported apart (val_*, test_*).

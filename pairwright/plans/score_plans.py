@@ -80,11 +80,23 @@ SELECTION = ("click", "error", "purchase", "view")
 X_OF = {"error": "view", "purchase": "view"}
 
 
-@query("metric_series", fx.sql_with(f"""
+SERIES_SQL = fx.sql_with(f"""
 WITH occ AS (SELECT metric, step, value, row_number() OVER (PARTITION BY metric ORDER BY step) AS k
              FROM metric_log WHERE value IS NOT NULL)
 SELECT y.metric, y.k, x.step AS x, y.value AS y
 FROM occ y JOIN occ x ON x.k = y.k AND x.metric = CASE {' '.join(f"WHEN y.metric = '{m}' THEN '{xm}'" for m, xm in X_OF.items())} ELSE y.metric END
-WHERE y.metric IN ({', '.join(f"'{m}'" for m in SELECTION)})""", "metric_log"))
+WHERE y.metric IN ({', '.join(f"'{m}'" for m in SELECTION)})""", "metric_log")
+
+
+@query("metric_series", SERIES_SQL)
 def q_metric_series(spark, d):
     return history.metric_series(fx.spark_metric_log(spark, d), SELECTION, X_OF)
+
+
+@query("metric_series_records", SERIES_SQL)
+def q_metric_series_records(spark, d):
+    # M1: the same series from one JSON record a step, each with keys of its own
+    log = fx.spark_metric_log(spark, d)
+    record = F.to_json(F.map_from_arrays(F.array("metric", F.concat("metric", F.lit("_note"))), F.array(F.col("value").cast("string"), F.lit("kept"))))
+    lines = log.select("step", F.when(F.col("value").isNotNull(), record).otherwise(F.lit("{}")).alias("line"))
+    return history.metric_series(history.parse_records(lines), SELECTION, X_OF)

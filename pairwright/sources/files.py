@@ -36,6 +36,16 @@ def _text():
     return universal_newlines(decode_utf8_lenient(F.col("content"))).alias("text")
 
 
+def _plain(path: str) -> str:
+    """The path with its glob characters taken as they are."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def read_one(spark: SparkSession, path: str) -> DataFrame:
+    """(text) of one file, one row; a missing file raises."""
+    return spark.read.format("binaryFile").load(_plain(path)).select(_text())
+
+
 def _tree(spark: SparkSession, root: str, glob: str) -> DataFrame:
     return (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
             .option("pathGlobFilter", glob).load(root))
@@ -59,7 +69,7 @@ def read_named_files(spark: SparkSession, root: str, needed: DataFrame, glob: st
     at = f"{staging_root(spark)}/file-contents-{uuid.uuid4().hex}"
     spark.createDataFrame([], "path string, text string").write.parquet(at)
     for i in range((wanted.agg(F.max("batch")).first()[0] or 0) + 1):
-        files = [re.sub(r"([\[\]{}*?\\])", r"\\\1", r["file"]) for r in wanted.filter(F.col("batch") == i).select("file").collect()]  # at most ``batch``
+        files = [_plain(r["file"]) for r in wanted.filter(F.col("batch") == i).select("file").collect()]  # at most ``batch``
         if files:
             spark.read.format("binaryFile").load(files).select(rel.alias("path"), _text()).write.mode("append").parquet(at)
     return spark.read.parquet(at)

@@ -206,8 +206,6 @@ def test_metric_log_to_csv_and_series(spark, tmpdir_path):
 
 
 def test_model_fit_save_predict(spark, tmpdir_path):
-    from pyspark.ml import PipelineModel
-
     from pairwright.operators import classify
     rows = [(i, "int a = 1; return a;" * (1 + i % 3), "int b = 1; return b;" * (1 + i % 3), "1") for i in range(20)]
     rows += [(100 + i, "class X { void f() {} }", "select * from t where k = %d" % i, "0") for i in range(20)]
@@ -215,7 +213,7 @@ def test_model_fit_save_predict(spark, tmpdir_path):
     model = classify.fit(df)
     path = os.path.join(tmpdir_path, "model")
     classify.save(model, path)
-    out = classify.predict(PipelineModel.load(path), df)
+    out = classify.predict(classify.load(path), df)
     acc = out.filter(F.col("predicted") == F.col("label").cast("int")).count() / out.count()
     assert acc >= 0.9
     assert set(r.class_name for r in out.select("class_name").distinct().collect()) <= {"CLONE", "NOT CLONE"}
