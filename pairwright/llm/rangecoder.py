@@ -1,20 +1,24 @@
 """Adaptive context-mixing range coder for token ids, many blocks at once.
 
-A block is up to ``BLOCK`` ids below 65,536 and starts from an empty model, so
-it can be decoded alone.  For the next id there are three predictions: the id
+A block is up to ``BLOCK`` ids below 65,536 and starts from a model that knows
+only the *prior* of its batch (the frequencies of all the batch's ids, which
+are kept beside the blocks), so it can be decoded alone.  For the next id there
+are three predictions: the id
 that last followed the last two ids (order 2), the one that last followed the
 last id (order 1), and the block's majority candidate (order 0).  Adaptive
 counts, kept apart by how often the order-2 and order-1 predictions were right
-of late, mix them with an order-0 distribution of the id's bit length (4 at least) into one
-alphabet (right at order 2, 1, 0, or the bit length, whose low bits follow);
+of late, mix them with the prior's order-0 distribution into one
+alphabet (right at order 2, 1, 0, or the prior, by which the id then follows);
 a carry-less range coder with 48-bit state writes 16-bit words.
 
 The model of all blocks of a call is held in arrays and every step codes one
 id of every block, so numpy does the work.  Quotients are taken in double
 precision, which is exact here: dividends stay below 2**48.
 
-Block format (little-endian): magic ``CMR1``, number of ids (u32), crc32 of the
-ids as u32 (u32), number of words (u32), words (u16 each).
+Block format (little-endian): magic ``CMR2``, number of ids (u32), crc32 of the
+ids as u32 (u32), number of words (u32), words (u16 each).  Prior: zlib of the
+differences of its ids (u16 each) and their frequencies in eighths of a
+power of two (u8 each).
 """
 
 from __future__ import annotations
@@ -26,18 +30,47 @@ import numpy as np
 
 BLOCK, LANES = 2048, 4096
 _SLOTS = 1024
-_SYMBOLS = 16  # order 2, order 1, order 0, bit lengths 4 (and less) to 16
+_SYMBOLS = 4  # order 2, order 1, order 0, prior
+_START = np.array([2, 2, 2, 18], np.uint16)
 _STEP, _FULL = 24, 6000
 _STATE, _LEAST = 1 << 48, 1 << 32  # range of the state; below _LEAST a word leaves
-_RAW = np.full(1 << 16, 4, np.int64)  # low bits that follow the bit length
-_CLASS = np.zeros(1 << 16, np.int64)
-for _b in range(4, 16):
-    _RAW[1 << _b:1 << (_b + 1)] = _b
-    _CLASS[1 << _b:1 << (_b + 1)] = _b - 3
-_SYM_RAW = np.array([0, 0, 0, 4, *range(4, 16)])
-_SYM_HIGH = np.array([0, 0, 0, 0, *(1 << b for b in range(4, 16))])
+_MOST = 1 << 20  # sum of a prior's frequencies, at most
+_EIGHTHS = np.array([max(1, round(2 ** (q / 8))) for q in range(161)], np.int64)
 _SUMS = np.triu(np.ones((_SYMBOLS, _SYMBOLS), np.float32))
-MAGIC = b"CMR1"
+MAGIC = b"CMR2"
+
+
+class Prior:
+    """Frequencies of the ids of a batch, as they are kept; ids that do not occur have none."""
+
+    def __init__(self, ids: np.ndarray, steps: np.ndarray):
+        self.ids, self.steps = ids, steps
+        own = _EIGHTHS[steps]
+        self.upto = np.cumsum(own)
+        self.total = int(self.upto[-1]) if len(own) else 1
+        self.freq, self.start = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.freq[ids], self.start[ids] = own, self.upto - own
+
+    @classmethod
+    def of(cls, parts: list[np.ndarray]) -> Prior:
+        counts = np.zeros(1 << 16, np.int64)
+        for x in parts:
+            counts += np.bincount(x, minlength=1 << 16)
+        ids = np.flatnonzero(counts)
+        scale = counts[ids] * min(1.0, 0.9 * (_MOST - len(ids)) / max(1, counts.sum()))
+        return cls(ids, np.clip(np.rint(8 * np.log2(np.maximum(scale, 1.0))), 0, 160).astype(np.int64))
+
+    def dump(self) -> bytes:
+        return zlib.compress(np.diff(self.ids, prepend=0).astype("<u2").tobytes() + self.steps.astype(np.uint8).tobytes(), 9)
+
+    @classmethod
+    def load(cls, raw: bytes) -> Prior:
+        data = zlib.decompress(raw)
+        n = len(data) // 3
+        return cls(np.cumsum(np.frombuffer(data, "<u2", n).astype(np.int64)), np.frombuffer(data, np.uint8, offset=2 * n).astype(np.int64))
+
+    def find(self, at: np.ndarray) -> np.ndarray:
+        return self.ids[np.searchsorted(self.upto, at, side="right")]
 
 
 class _Model:
@@ -46,7 +79,7 @@ class _Model:
         self.one = np.zeros(lanes * _SLOTS, np.int32)
         self.major = np.zeros(lanes, np.int64)
         self.votes = np.zeros(lanes, np.int64)
-        self.counts = np.ones((lanes * 16, _SYMBOLS), np.uint16)
+        self.counts = np.tile(_START, (lanes * 16, 1))
         self.flat = self.counts.reshape(-1)
         self.base = np.arange(lanes, dtype=np.int64) * _SLOTS
         self.ctx = np.arange(lanes, dtype=np.int64) * 16
@@ -105,7 +138,8 @@ def _live(sizes: np.ndarray, steps: int) -> np.ndarray:
     return len(sizes) - np.searchsorted(np.sort(sizes), np.arange(steps), side="right")
 
 
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
+def encode_blocks(blocks: list[np.ndarray], prior: Prior) -> list[bytes]:
+    """The coded blocks; ``prior`` holds all their ids (``Prior.of(blocks)``)."""
     lanes = len(blocks)
     sizes = np.array([len(b) for b in blocks], dtype=np.int64)
     order = np.argsort(-sizes, kind="stable")
@@ -127,15 +161,19 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     for t, k in enumerate(_live(sizes, steps).tolist()):
         x = ids[t, :k].astype(np.int64)
         cum = model.predict(k)
-        sym = np.where(model.p2 == x, 0, np.where(model.p1 == x, 1, np.where(model.p0 == x, 2, _CLASS.take(x) + 3)))
+        sym = np.where(model.p2 == x, 0, np.where(model.p1 == x, 1, np.where(model.p0 == x, 2, 3)))
         total = cum[:, -1]
         c, f = model.interval(k, cum, sym)
-        raw = np.where(sym > 2, _RAW.take(x), 0)
         r = (rng[:k] / total).astype(np.int64)
-        lo = low[:k] + r * c
-        r = (r * f) >> raw
-        low[:k], rng[:k] = lo + r * (x & ((1 << raw) - 1)), r
+        low[:k], rng[:k] = low[:k] + r * c, r * f
         _renew(low, rng, k, put)
+        rest = np.flatnonzero(sym == 3)
+        if len(rest):
+            own = x.take(rest)
+            r = (rng.take(rest) / prior.total).astype(np.int64)
+            low[rest] += r * prior.start.take(own)
+            rng[rest] = r * prior.freq.take(own)
+            _renew(low, rng, k, put)
         model.update(k, x, total)
     for _ in range(3):
         put(np.arange(lanes), low >> 32)
@@ -148,7 +186,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     return coded
 
 
-def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
+def decode_blocks(coded: list[bytes], prior: Prior) -> list[np.ndarray]:
     """The ids of each block; ValueError if a block is damaged."""
     heads = []
     for raw in coded:
@@ -184,18 +222,21 @@ def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
         cum = model.predict(k)
         total = cum[:, -1]
         r = (rng[:k] / total).astype(np.int64)
-        ahead = code[:k] - low[:k]
-        target = np.minimum((ahead / r).astype(np.int64), total.astype(np.int64) - 1)
+        target = np.minimum(((code[:k] - low[:k]) / r).astype(np.int64), total.astype(np.int64) - 1)
         sym = ((cum <= target.astype(np.float32)[:, None]).astype(np.float32) @ ones).astype(np.int64)
         c, f = model.interval(k, cum, sym)
-        raw = _SYM_RAW.take(sym)
-        start = r * c
-        r = (r * f) >> raw
-        bits = np.minimum(((ahead - start) / r).astype(np.int64), (1 << raw) - 1)
-        low[:k], rng[:k] = low[:k] + start + r * bits, r
-        x = np.where(sym == 0, model.p2, np.where(sym == 1, model.p1, np.where(sym == 2, model.p0, _SYM_HIGH.take(sym) + bits)))
-        ids[t, :k] = x
+        low[:k], rng[:k] = low[:k] + r * c, r * f
+        x = np.where(sym == 0, model.p2, np.where(sym == 1, model.p1, model.p0))
         _renew(low, rng, k, pull)
+        rest = np.flatnonzero(sym == 3)
+        if len(rest):
+            r = (rng.take(rest) / prior.total).astype(np.int64)
+            own = prior.find(np.minimum(((code.take(rest) - low.take(rest)) / r).astype(np.int64), prior.total - 1))
+            x[rest] = own
+            low[rest] += r * prior.start.take(own)
+            rng[rest] = r * prior.freq.take(own)
+            _renew(low, rng, k, pull)
+        ids[t, :k] = x
         model.update(k, x, total)
     ids = np.ascontiguousarray(ids.T)
     out: list = [None] * lanes

@@ -4,8 +4,10 @@ Writing: documents are range-partitioned by doc_id; each partition becomes one
 numbered file of the folder (a Parquet container written by Spark, so any
 storage that Spark can write will do) whose rows are blocks in order: the
 coded bytes (``rangecoder``: independent, checksummed) and the doc_ids and
-lengths of the documents that end in the block.  Every document's ids are
-followed by the end id.  Reading needs one block, or one file for positions;
+lengths of the documents that end in the block.  The blocks coded together (up
+to ``lanes``) start from one prior, the frequencies of all their ids, which the
+first of them carries.  Every document's ids are
+followed by the end id.  Reading needs one block and its prior, or one file for positions;
 the files' totals (one row a file) give each file's first position.
 
 The tokenizer file (under 16 MB, checked) is read by the driver and sent to
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from pairwright.llm.bpe import pieces
 from pairwright.llm.common import TIDY, keyed
-from pairwright.llm.rangecoder import BLOCK, LANES, decode_blocks, encode_blocks
+from pairwright.llm.rangecoder import BLOCK, LANES, Prior, decode_blocks, encode_blocks
 from pairwright.session import shuffle_partitions, staging_root
 
 END_ID = 0
@@ -147,8 +149,8 @@ def _encoder(raw: bytes) -> TextEncoder:
     return _STATE[key]
 
 
-_KINDS = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-_ROW = "file int, block long, doc_ids array<long>, sizes array<long>, coded binary"
+_KINDS = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
+_ROW = "file int, block long, doc_ids array<long>, sizes array<long>, coded binary, prior binary"
 
 
 def _write(shared, block: int, lanes: int, end_id: int):
@@ -157,9 +159,10 @@ def _write(shared, block: int, lanes: int, end_id: int):
         owner: dict[int, list] = {}
         for end, doc, n in ends:
             owner.setdefault((end - 1) // block, []).append((doc, n))
-        for i, coded in enumerate(encode_blocks(parts)):
+        prior = Prior.of(parts)
+        for i, coded in enumerate(encode_blocks(parts, prior)):
             own = owner.get(i, [])
-            yield first + i, [d for d, _ in own], [n for _, n in own], coded
+            yield first + i, [d for d, _ in own], [n for _, n in own], coded, None if i else prior.dump()
 
     def run(batches):
         from pyspark import TaskContext
@@ -169,7 +172,7 @@ def _write(shared, block: int, lanes: int, end_id: int):
         def frame(got):
             cols = list(zip(*got, strict=True))
             return pa.RecordBatch.from_arrays([pa.array([file] * len(got), pa.int32()), *(pa.array(c, k) for c, k in zip(cols, _KINDS, strict=True))],
-                                              names=["file", "block", "doc_ids", "sizes", "coded"])
+                                              names=["file", "block", "doc_ids", "sizes", "coded", "prior"])
 
         for b in batches:
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -209,12 +212,16 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = END_ID,
 
 def _read(batches):
     """Documents of a file's blocks, in order; a document may span blocks and batches."""
-    rest, file, at, todo = [], None, 0, []
+    rest, file, at, todo, prior = [], None, 0, [], None
     for b in batches:
-        for i in range(0, b.num_rows, LANES):
-            part = {c: x.to_pylist() for c, x in zip(b.schema.names, b.slice(i, LANES).columns, strict=True)}
+        new = np.flatnonzero(b.column("prior").is_valid().to_numpy(zero_copy_only=False)).tolist()  # a batch of blocks begins
+        cuts = sorted({0, *new, *range(0, b.num_rows, LANES), b.num_rows})
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            part = {c: x.to_pylist() for c, x in zip(b.schema.names, b.slice(i, j - i).columns, strict=True)}
+            if part["prior"][0] is not None:
+                prior = Prior.load(part["prior"][0])
             out = []
-            for f, docs, sizes, ids in zip(part["file"], part["doc_ids"], part["sizes"], decode_blocks(part["coded"]), strict=True):
+            for f, docs, sizes, ids in zip(part["file"], part["doc_ids"], part["sizes"], decode_blocks(part["coded"], prior), strict=True):
                 if f != file:
                     if rest and sum(map(len, rest)):
                         raise ValueError("a file ends inside a document")

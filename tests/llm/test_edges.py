@@ -206,24 +206,43 @@ def test_range_coder():
     rng = np.random.default_rng(4)
     for _ in range(30):
         blocks = [rng.integers(0, rng.choice([1, 3, 300, 65536]), rng.integers(0, 200)) for _ in range(rng.integers(1, 20))]
-        coded = rangecoder.encode_blocks(blocks)
-        assert all((a == b).all() for a, b in zip(blocks, rangecoder.decode_blocks(coded)))
-        assert (rangecoder.decode_blocks(coded[-1:])[0] == blocks[-1]).all()  # each block alone
-    big = rangecoder.encode_blocks([np.tile(np.arange(50), 20)])[0]
+        prior = rangecoder.Prior.of(blocks)
+        coded, kept = rangecoder.encode_blocks(blocks, prior), rangecoder.Prior.load(prior.dump())
+        assert all((a == b).all() for a, b in zip(blocks, rangecoder.decode_blocks(coded, kept)))
+        assert (rangecoder.decode_blocks(coded[-1:], kept)[0] == blocks[-1]).all()  # each block alone
+    prior = rangecoder.Prior.of([np.arange(50)])
+    big = rangecoder.encode_blocks([np.tile(np.arange(50), 20)], prior)[0]
     assert len(big) < 500
     for at in (5, 9, 20, len(big) // 2):
         bad = bytearray(big)
         bad[at] ^= 0x10
         with pytest.raises((ValueError, MemoryError)):
-            rangecoder.decode_blocks([bytes(bad)])
+            rangecoder.decode_blocks([bytes(bad)], prior)
     with pytest.raises(ValueError):
-        rangecoder.decode_blocks([big[:-2]])
+        rangecoder.decode_blocks([big[:-2]], prior)
 
 
 def test_range_coder_uses_what_came_before():
     ids = np.tile(np.random.default_rng(3).integers(0, 65536, 600), 8)
-    coded = rangecoder.encode_blocks([ids[i:i + rangecoder.BLOCK] for i in range(0, len(ids), rangecoder.BLOCK)])
-    assert sum(map(len, coded)) < 1.2 * len(ids)
+    blocks = [ids[i:i + rangecoder.BLOCK] for i in range(0, len(ids), rangecoder.BLOCK)]
+    assert sum(map(len, rangecoder.encode_blocks(blocks, rangecoder.Prior.of(blocks)))) < len(ids)
+
+
+def test_range_coder_beats_zlib_and_order_0(spark):
+    """Coded bytes an id, prior included, on the ids of sf0.01: under zlib's and under the static order-0 entropy."""
+    import zlib
+
+    import public_tokenizers as P
+    enc = tokenbin.TextEncoder(tokenbin.read_tokenizer(P.path("byte_bpe_50k.json")))
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    ids = np.concatenate([np.append(enc.encode(t or ""), 0) for t in texts])
+    blocks = [ids[i:i + rangecoder.BLOCK] for i in range(0, len(ids), rangecoder.BLOCK)]
+    prior = rangecoder.Prior.of(blocks)
+    size = (sum(map(len, rangecoder.encode_blocks(blocks, prior))) + len(prior.dump())) / len(ids)
+    p = np.bincount(ids) / len(ids)
+    p = p[p > 0]
+    assert size < sum(len(zlib.compress(b.astype("<u2").tobytes())) for b in blocks) / len(ids)
+    assert size < -(p * np.log2(p)).sum() / 8
 
 
 def test_quality_odd(odd, none):
