@@ -9,10 +9,12 @@ that follows from the second scalar.
 
 Search: queries are taken in blocks of at most ``block`` (so what is sent to
 every task is bounded: block x dimension numbers), each block against all
-codes.  In a slice of codes, the k-th largest lower bound of a query cuts off
-every vector whose upper bound is below it; the rest are reranked by exact
-inner products of the original vectors in double precision.  Slices' best k
-are merged by (score, smaller vec_id).
+codes.  A task keeps the k nearest so far of each query, by exact inner products
+of the original vectors in double precision.  Of the next slice of codes only
+the vectors whose upper bound reaches a query's k-th exact product are
+reranked, so the bounds prune more the further a task is.  (Where they still leave a
+large share, one matrix product with a margin for its rounding thins it out
+first.)  Tasks give out k rows a query, which are merged by (score, smaller vec_id).
 
 Vectors that are null or zero, hold a null or non-finite component, have no
 vec_id, or another dimension than the first of all vec_ids, take no part.
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from pairwright.llm.common import staged as stage
 
-EPS, BLOCK, SEED = 1.9, 2048, 7
+EPS, BLOCK, SLICE, SEED = 1.9, 2048, 4096, 7
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
@@ -61,33 +63,45 @@ def encode(vectors: DataFrame, dim: int, seed: int = SEED) -> DataFrame:
 
 
 def _scan(ids: np.ndarray, queries: np.ndarray, dim: int, k: int, eps: float, seed: int):
-    """Best k of every slice (batch) of codes for each query of the block."""
+    """The k nearest of each query of the block among a task's vectors."""
     def run(batches):
-        turned = (queries / np.linalg.norm(queries, axis=1)[:, None]) @ rotation(dim, seed)
+        length = np.linalg.norm(queries, axis=1)
+        turned = ((queries / length[:, None]) @ rotation(dim, seed)).astype(np.float32)
+        score, near = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)  # best first
         for b in batches:
-            for at in range(0, len(b), 4096):
-                s = b.iloc[at:at + 4096]
+            for at in range(0, len(b), SLICE):
+                s = b.iloc[at:at + SLICE]
                 cand, x = s["vec_id"].to_numpy(), np.stack(s["v"].to_numpy())
                 bits = np.unpackbits(np.frombuffer(b"".join(s["code"]), np.uint8).reshape(len(s), -1), axis=1, count=dim)
-                signs = (bits.astype(np.float64) * 2 - 1) / np.sqrt(dim)
                 fit, norm = s["fit"].to_numpy(), s["norm"].to_numpy()
                 wide = eps * np.sqrt(np.maximum(0, 1 - fit ** 2)) / fit / np.sqrt(max(1, dim - 1))
-                rows = []
+                signs = ((bits.astype(np.float32) * 2 - 1) * (norm / fit / np.sqrt(dim))[:, None].astype(np.float32)).T
+                err = (wide * norm + 1e-5 * norm).astype(np.float32)  # and what single precision leaves out
+                slack = 1e-12 * norm
                 for q0 in range(0, len(ids), 256):
                     q = slice(q0, min(q0 + 256, len(ids)))
-                    est = (turned[q] @ signs.T) / fit * norm
-                    err = wide * norm
-                    own = cand[None, :] == ids[q][:, None]
-                    low = np.where(own, -np.inf, est - err)
-                    cut = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
-                    qi, ci = np.nonzero((est + err >= cut[:, None]) & ~own)
-                    score = np.einsum("ij,ij->i", queries[q][qi], x[ci])  # exact, in double precision
-                    order = np.lexsort((cand[ci], -score, qi))
-                    qi, ci, score = qi[order], ci[order], score[order]
-                    start = np.searchsorted(qi, np.arange(len(low)))
-                    keep = np.arange(len(qi)) - start[qi] < k
-                    rows.append(pd.DataFrame({"query_id": ids[q][qi[keep]], "vec_id": cand[ci[keep]], "score": score[keep]}))
-                yield pd.concat(rows)
+                    cut = score[q, -1] / length[q]
+                    maybe = turned[q] @ signs + err >= cut[:, None].astype(np.float32)
+                    for i in np.flatnonzero(np.isin(ids[q], cand)):
+                        maybe[i, cand == ids[q][i]] = False
+                    if maybe.mean() > 0.1:
+                        whole = (queries[q] / length[q][:, None]) @ x.T
+                        if len(s) > k:
+                            whole[~maybe] = -np.inf
+                            cut = np.maximum(cut, np.partition(whole, -k, axis=1)[:, -k])
+                        maybe &= whole + slack >= cut[:, None] - 1e-12 * np.abs(cut[:, None], where=np.isfinite(cut[:, None]), out=np.zeros((len(cut), 1)))
+                    qi, ci = np.nonzero(maybe)
+                    if not len(qi):
+                        continue
+                    new = np.einsum("ij,ij->i", queries[q][qi], x[ci])  # exact, in double precision
+                    m = len(cut)
+                    qi = np.concatenate([np.repeat(np.arange(m), k), qi])
+                    ni, si = np.concatenate([near[q].ravel(), cand[ci]]), np.concatenate([score[q].ravel(), new])
+                    order = np.lexsort((ni, -si, qi))
+                    kept = order[(np.searchsorted(qi[order], np.arange(m))[:, None] + np.arange(k)).ravel()]
+                    score[q], near[q] = si[kept].reshape(m, k), ni[kept].reshape(m, k)
+        qi, ki = np.nonzero(score > -np.inf)
+        yield pd.DataFrame({"query_id": ids[qi], "vec_id": near[qi, ki], "score": score[qi, ki]})
     return run
 
 
