@@ -137,7 +137,8 @@ def select(train: DataFrame, val: DataFrame, label: str = "label", grid: Sequenc
     """C3 + A10: one model per candidate of ``grid``, each measured on ``val``; the best one by ``metric`` and the log.
 
     The log has one record a candidate: step (its place in the grid), its
-    parameters, and the metrics on ``val``.  Ties go to the earliest candidate.  Features are made once for all.
+    parameters, and the metrics on ``val``.  Ties go to the earliest candidate,
+    and so does a ``val`` without rows (its metrics are null).  Features are made once for all.
     """
     weights = fit_weights(token_budget(train))
     fitted, held = (_labelled(df, label, weights, num_features) for df in (train, val))
@@ -146,12 +147,12 @@ def select(train: DataFrame, val: DataFrame, label: str = "label", grid: Sequenc
         models.append(_train(fitted, max_iter, params))
         judged = models[-1].transform(held).select(F.col("label_d").cast("int").alias("label"), F.col("prediction").cast("int").alias("predicted"))
         records.append({"step": step, **{k: float(v) for k, v in params.items()}, **metrics.binary_metrics(judged).first().asDict()})
-    log = val.sparkSession.createDataFrame(records)
+    columns = ["step", *dict.fromkeys(k for r in records for k in r if k != "step")]
+    log = val.sparkSession.createDataFrame([tuple(r.get(c) for c in columns) for r in records],
+                                           ", ".join(f"{c} {'long' if c == 'step' else 'double'}" for c in columns))
     scores = long_log(log.select("step", metric))
     best = metrics.best_record(scores, greater_is_better).first()
-    if best is None:
-        raise ValueError("no candidate could be measured")
-    return PairModel(weights, models[best["best_step"]], num_features), log
+    return PairModel(weights, models[best["best_step"] if best else 0], num_features), log
 
 
 def predict(model: PairModel, pairs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ bucket weights (``2**10`` numbers, whatever the data's size).
 
 from __future__ import annotations
 
-from pyspark.ml.feature import IDF, HashingTF, IDFModel
+from pyspark.ml.feature import IDF, HashingTF, IDFModel, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,5 +69,7 @@ def bucket_features(df: DataFrame, weights: IDFModel, t1: str = "tokens1", t2: s
         return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
     size = F.sqrt(dot("_w1", "_w1")) * F.sqrt(dot("_w2", "_w2"))
-    return out.withColumn("idf_cosine", F.when(size > 0, dot("_w1", "_w2") / size).otherwise(F.lit(0.0))) \
+    out = out.withColumn("idf_cosine", F.when(size > 0, dot("_w1", "_w2") / size).otherwise(F.lit(0.0))) \
         .withColumn("bucket_diff", array_to_vector(F.zip_with("_w1", "_w2", lambda x, y: F.abs(x - y)))).drop("_w1", "_w2")
+    # the vector's length is known, so no row need be looked at for it
+    return VectorSizeHint(inputCol="bucket_diff", size=len(weights.idf), handleInvalid="optimistic").transform(out)

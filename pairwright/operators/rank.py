@@ -63,18 +63,27 @@ def bucketed_row_number(df: DataFrame, order: Sequence[Column | str], bucket: Co
     ``bucket`` must be non-decreasing along ``order`` inside each partition.
     ``total`` names an optional output column with the partition's row count,
     taken from the bucket-size table (no extra pass over ``df``).
+
+    Rows whose partition columns are null are a group like any other: join and
+    window share key columns that are never null (so the shuffle is shared, too).
     """
-    df = df.withColumn("_bkt", bucket)
-    keys = [*partition_by, "_bkt"]
+    groups = [f"_key{i}" for i in range(len(partition_by))]
+    df = df.withColumns({"_bkt": bucket, **{g: never_null(c) for g, c in zip(groups, partition_by)}})
+    keys = [*groups, "_bkt"]
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_bn"))
-    group = Window.partitionBy(*partition_by)
+    group = Window.partitionBy(*groups)
     before = group.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     extra = [F.sum("_bn").over(group).alias(total)] if total else []
     offsets = sizes.select(*keys, F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_boff"), *extra)
     within = Window.partitionBy(*keys).orderBy(*order)
     return (df.join(offsets, keys)
             .withColumn(out, F.row_number().over(within) + F.col("_boff"))
-            .drop("_bkt", "_boff"))
+            .drop(*keys, "_boff"))
+
+
+def never_null(c: str) -> Column:
+    """The column as a string, null as a text that no value has: a key that joins null to null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
 
 
 def hash_row_number(df: DataFrame, h: str, tie: Sequence[str], partition_by: Sequence[str] = (),

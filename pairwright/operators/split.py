@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from pairwright.operators.identity import function_universe
 from pairwright.operators.quality import class_rows
-from pairwright.operators.rank import hash_row_number, position_row_number, positions_across, seeded_hash
+from pairwright.operators.rank import never_null, hash_row_number, position_row_number, positions_across, seeded_hash
 from pairwright.schema import CLONE, FUNC_COLS, LEFT, NON_CLONE, PAIR_COLS, RIGHT
 from pairwright.session import stage
 
@@ -86,13 +86,14 @@ def interleave_classes(df: DataFrame, by: Sequence[str] = ("split",), pos: str =
     ``out_pos = 2*(rn-1) + (class is 0)``; the earliest surplus rows of the
     larger class are dropped.  No join of the two classes is needed.
     """
-    sizes = df.groupBy(*by).agg(F.least(F.count_if(F.col("label") == CLONE),
-                                        F.count_if(F.col("label") == NON_CLONE)).alias("_m"))
+    keys = {f"_by{i}": never_null(c) for i, c in enumerate(by)}  # a null group is a group
+    sizes = df.withColumns(keys).groupBy(*keys).agg(F.least(F.count_if(F.col("label") == CLONE),
+                                                            F.count_if(F.col("label") == NON_CLONE)).alias("_m"))
     ranked = position_row_number(df, pos, partition_by=[*by, "label"], out="_rn", descending=True)
-    return (ranked.join(sizes, list(by))
+    return (ranked.withColumns(keys).join(sizes, list(keys))
             .filter(F.col("_rn") <= F.col("_m"))
             .withColumn("out_pos", 2 * (F.col("_rn") - 1) + (F.col("label") == NON_CLONE).cast("long"))
-            .drop("_rn", "_m"))
+            .drop("_rn", "_m", *keys))
 
 
 def split_pairs(pairs: DataFrame, train: float = 0.8, val: float = 0.1, seed: int = 0,
@@ -134,11 +135,12 @@ def rebalance(df: DataFrame, seed: int = 0, by: Sequence[str] = ("src",), digits
     not give exact counts.
     """
     valid = stage(class_rows(df).withColumn("_h", seeded_hash(seed, "row_pos")), "rebalance")
-    k = valid.groupBy(*by).agg(F.least(F.count_if(F.col("label") == CLONE),
-                                       F.count_if(F.col("label") == NON_CLONE)).alias("_k"))
+    keys = {f"_by{i}": never_null(c) for i, c in enumerate(by)}  # a null group is a group
+    k = valid.withColumns(keys).groupBy(*keys).agg(F.least(F.count_if(F.col("label") == CLONE),
+                                                           F.count_if(F.col("label") == NON_CLONE)).alias("_k"))
     ranked = hash_row_number(valid, "_h", ["row_pos"], partition_by=[*by, "label"], out="_rn",
                              digits=digits)
-    kept = stage(ranked.join(k, list(by)).filter(F.col("_rn") <= F.col("_k")).drop("_rn", "_k", "_h")
+    kept = stage(ranked.withColumns(keys).join(k, list(keys)).filter(F.col("_rn") <= F.col("_k")).drop("_rn", "_k", "_h", *keys)
                  .withColumn("_h", seeded_hash(seed, F.lit("order"), "row_pos")), "kept")
     out = hash_row_number(kept, "_h", ["row_pos"], partition_by=list(by), out="_o", digits=digits)
     return out.select(*by, (F.col("_o") - 1).alias("out_pos"), "row_pos", *PAIR_COLS)

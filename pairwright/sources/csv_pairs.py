@@ -20,6 +20,8 @@ The partition number alone is never taken as file order.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairwright.schema import PAIR8, PAIR_COLS
+from pairwright.sources.files import derived_path
 
 LAYOUTS = {"pair9": PAIR_COLS, "pair8": PAIR8, "fused8": ("fused0",) + PAIR8[1:]}
 CORRUPT = "_corrupt_record"
@@ -245,6 +248,33 @@ def write_pairs(df: DataFrame, path: str, header: bool = True, mode: str = "over
     w.options(**CSV_OPTIONS).option("header", header).csv(path)
 
 
+def write_derived(df: DataFrame, suffix: str, out_dir: str | None = None, header: bool = True, src: str = "src") -> dict[str, str]:
+    """One table per input, named ``<stem><suffix>`` beside the input or in ``out_dir``; returns input -> table.
+
+    All inputs are written by one job, as numbered folders that then get their
+    names (one rename an input, which replaces what an earlier run left there).
+    """
+    spark = df.sparkSession
+    sources = [r[0] for r in df.select(src).distinct().orderBy(src).collect()]  # one row an input file
+    targets = {s: derived_path(s, suffix, out_dir) for s in sources}
+    if len(set(targets.values())) < len(targets):
+        raise ValueError("inputs of the same name need folders of their own")
+    if not sources:
+        return targets
+    names = spark.createDataFrame(list(enumerate(sources)), "_n int, _src string")
+    tmp = f"{os.path.dirname(targets[sources[0]])}/_derived-{uuid.uuid4().hex}"
+    rows = df.join(names, F.col(src) == F.col("_src")).repartitionByRange("_n", "row_pos").sortWithinPartitions("_n", "row_pos")
+    rows.select("_n", *PAIR_COLS).write.partitionBy("_n").options(**CSV_OPTIONS).option("header", header).csv(tmp)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(tmp).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for i, s in enumerate(sources):
+        fs.delete(path(targets[s]), True)
+        if not fs.rename(path(f"{tmp}/_n={i}"), path(targets[s])):
+            raise OSError(f"{targets[s]} cannot be written")
+    fs.delete(path(tmp), True)
+    return targets
+
+
 def write_splits(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One headerless table per split (``split=<name>`` folders); the part
     files of a split, in name order, hold its rows in ``out_pos`` order."""

@@ -273,3 +273,25 @@ def test_checkpoint_dir_fallback_never_sets_static_conf():
     d1 = session.checkpoint_dir(fake)
     d2 = session.checkpoint_dir(fake)
     assert d1 == d2 and os.path.isdir(d1) and SC.calls == [d1]
+
+
+def test_derived_tables_are_named_after_their_inputs(spark, tmpdir_path):
+    for name, n in (("a.csv", 3), ("b.csv", 5)):
+        with open(os.path.join(tmpdir_path, name), "w") as f:
+            f.write("h1,h2,h3,h4,h5,h6,h7,h8,h9\n" + "".join(f"x,{name},{i // 2},2,y,g,3,4,1\n" for i in range(n)))
+    df = C.read_pairs(spark, tmpdir_path + "/*.csv")
+    for _ in range(2):  # a second run replaces the first one's tables
+        out = C.write_derived(quality.dedup_keep_first(df, by=["src"]), "_dedup")
+        assert sorted(os.path.basename(t) for t in out.values()) == ["a_dedup", "b_dedup"]
+        assert [C.read_pairs(spark, os.path.join(tmpdir_path, t)).count() for t in ("a_dedup", "b_dedup")] == [2, 3]
+    assert not [d for d in os.listdir(tmpdir_path) if d.startswith("_derived")]
+    other = os.path.join(tmpdir_path, "out")
+    assert sorted(C.write_derived(df, "_balanced", other).values()) == [f"{other}/a_balanced", f"{other}/b_balanced"]
+
+
+def test_null_groups_are_groups(spark):
+    rows = [(i, None if i < 4 else "f", *("a", "b", "1", "2", "c", "d", "3", "4"), str(i % 2)) for i in range(10)]
+    df = spark.createDataFrame(rows, "row_pos long, src string, " + ", ".join(f"{c} string" for c in PAIR_COLS))
+    assert sorted((r.src or "", r.out_pos) for r in split.rebalance(df).collect()) == [("", i) for i in range(4)] + [("f", i) for i in range(6)]
+    got = split.interleave_classes(df.withColumn("split", F.col("src"))).collect()
+    assert sorted((r.split or "", r.out_pos, r.label) for r in got) == [(s, i, str(1 - i % 2)) for s, n in (("", 4), ("f", 6)) for i in range(n)]
