@@ -121,7 +121,39 @@ def op10(spark, d):
     return chat.format_chats(table(spark, d, "conversations"))
 
 
-@query("op11_prefix_trie")
+OP11_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+         xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                         lambda c, b: list_reduce(CAST(range(8) AS BIGINT[]), lambda r, i: xor(r >> 1, CASE WHEN r & 1 = 1 THEN 3988292384 ELSE 0 END), xor(c, b)),
+                         CAST(4294967295 AS BIGINT)), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+k AS (SELECT c.*, (SELECT count(*) FROM t WHERE t.conv_id = c.base AND t.pos < c.h) AS taken FROM c),
+r AS (
+  SELECT k.conv_id, pos + 1 AS depth, role, text FROM k JOIN t ON t.conv_id = k.base AND t.pos < k.h
+  UNION ALL SELECT k.conv_id, pos - h + taken + 1, role, text FROM k JOIN t ON t.conv_id = k.conv_id AND t.pos >= k.h),
+p AS (
+  SELECT conv_id, depth, strlen(text) AS size,
+         md5(string_agg(md5(concat(strlen(role), ':', role, text)), ',') OVER (PARTITION BY conv_id ORDER BY depth)) AS key
+  FROM r UNION ALL SELECT conv_id, 0, 0, '' FROM k),
+q AS (SELECT *, lag(key) OVER (PARTITION BY conv_id ORDER BY depth) AS up, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM p),
+n AS (
+  SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size, any_value(up) AS up,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM q GROUP BY depth, key),
+m AS (SELECT n.*, (SELECT count(*) FROM n AS x WHERE x.depth = n.depth + 1 AND x.up = n.key) AS n_children FROM n),
+s AS (
+  SELECT q.depth, q.key, count(*) FILTER (WHERE m.n_children = 0) AS n_leaves, CAST(sum((m.n_convs - 1) * m.size) AS BIGINT) AS saved_tokens
+  FROM m JOIN q ON q.conv_id = m.conv_id AND q.depth <= m.depth GROUP BY q.depth, q.key)
+SELECT m.conv_id, m.depth, x.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens, m.ends_sha256
+FROM m JOIN s USING (depth, key) LEFT JOIN n AS x ON x.depth = m.depth - 1 AND x.key = m.up"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
 def op11(spark, d):
     return trie.prefix_trie(*trie.rebuild(trie.encode_turns(table(spark, d, "conversations"))))
 
