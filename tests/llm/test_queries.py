@@ -150,3 +150,34 @@ def test_pipeline(spark, sf, docs):
     packed = stages["packing"](spark, sub, sf).toPandas()
     assert sorted(packed["doc_id"]) == sorted(left)
     assert C.run(spark, sf).count() == len(left)
+
+
+def test_op7_padding_is_least(spark, sf, docs):
+    """The query's whole padding against a plain dynamic program over all bucket bounds."""
+    from collections import Counter
+
+    from pairwright.llm import packing
+    hist = Counter(len((t or "").encode().split()) + 1 for t in docs.values())
+    lengths = sorted(hist)
+    best = {0: 0}  # lengths covered -> least padding with the buckets so far
+    for _ in range(packing.BUCKETS):
+        new = dict(best)
+        for i, cost in best.items():
+            pad = 0
+            for j in range(i, len(lengths)):
+                pad = sum(hist[x] * (lengths[j] - x) for x in lengths[i:j + 1])
+                new[j + 1] = min(new.get(j + 1, cost + pad), cost + pad)
+        best = new
+    assert sum(r["pad"] for r in QUERIES["op7_packing"](spark, sf).collect()) == best[len(lengths)]
+
+
+def test_op11_sql(spark, sf):
+    """The SQL form gives the query's rows."""
+    import duckdb
+    from pairwright.llm.queries import ORACLES
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    out = con.execute(ORACLES["op11_prefix_trie"])
+    names = [c[0] for c in out.description]
+    want = sorted(out.fetchall())
+    assert sorted(tuple(r[c] for c in names) for r in QUERIES["op11_prefix_trie"](spark, sf).collect()) == want
