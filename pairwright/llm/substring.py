@@ -37,6 +37,10 @@ extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import gc
+from collections import defaultdict
+from itertools import count
+
 import ahocorasick
 import numpy as np
 import pandas as pd
@@ -182,23 +186,37 @@ def _crowd_hits(crowd: DataFrame, window: int) -> DataFrame:
 def _locate(window):
     """Confirmed windows of a shard, compiled; every stretch of the shard read by the automaton."""
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        number: dict[str, int] = {}
-        rows = [tuple(number.setdefault(w, len(number) + 1) for w in x.split(" ")) for x in g["words"]]
+        collected = gc.isenabled()
+        gc.disable()  # hundreds of thousands of small tuples and no cycles
+        try:
+            return locate(g)
+        finally:
+            if collected:
+                gc.enable()
+
+    def locate(g: pd.DataFrame) -> pd.DataFrame:
+        number = defaultdict(count(1).__next__)
+        rows = [tuple(map(number.__getitem__, x.split(" "))) for x in g["words"].tolist()]
         seen: dict[tuple, list] = {}
-        for ids, n, c, d, h, start in zip(rows, g["n"], g["c"], g["doc_id"], g["h"], g["start"], strict=True):
+        for ids, n, c, d, h, start in zip(rows, *(g[x].tolist() for x in ("n", "c", "doc_id", "h", "start")), strict=True):
             for o in range(n):
-                place, own = (d, h, start + o), seen.setdefault(ids[o:o + window], [0, None])
+                key = ids[o:o + window]
+                own = seen.get(key)
+                if own is None:
+                    seen[key] = [c, (d, h, start + o)]
+                    continue
                 own[0] += c
-                if own[1] is None or place < own[1]:
+                place = (d, h, start + o)
+                if place < own[1]:
                     own[1] = place
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for key, (count, place) in seen.items():
-            if count > 1:
+        for key, (times, place) in seen.items():
+            if times > 1:
                 automaton.add_word(key, place)
         out = []
         if len(automaton):
             automaton.make_automaton()
-            for ids, a, s, n in zip(rows, g["a"], g["s"], g["n"], strict=True):
+            for ids, a, s, n in zip(rows, *(g[x].tolist() for x in ("a", "s", "n")), strict=True):
                 runs = {}
                 for end, (d, h, start) in automaton.iter(ids):
                     o = end - window + 1
