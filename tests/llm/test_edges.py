@@ -131,6 +131,55 @@ def test_lines_reversible(spark):
     check([*range(20), *range(50, 60)])
 
 
+def test_lines_reopened(spark, tmp_path):
+    """A new object on the same folder goes on; a change cut off before its manifest row leaves no trace."""
+    pool = [f"shared line number {i} that is over forty characters" for i in range(12)]
+    docs = [(i, "\n".join([pool[i % 12], pool[(i * 5) % 12], f"own {i}"])) for i in range(48)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+
+    def check(live):
+        got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], brute.sha(r["text"])) for r in index().apply(df.filter(F.col("doc_id").isin(live))).collect()}
+        assert got == brute.lines([d for d in docs if d[0] in live])
+
+    def index():
+        return linededup.LineIndex(spark, f"file://{tmp_path}/index")
+
+    assert index().apply(df).agg(F.sum("n_dropped")).first()[0] == 0
+    index().insert(df.filter("doc_id < 20"))
+    check(list(range(20)))
+    index().insert(df.filter("doc_id >= 10"))
+    check(list(range(48)))
+    index().delete(df.filter("doc_id < 30").select("doc_id"))
+    check(list(range(30, 48)))
+    cut = index()
+    cut._commit = lambda version: None
+    cut.insert(df.filter("doc_id < 30"))
+    check(list(range(30, 48)))
+    index().insert(df.filter("doc_id < 30"))
+    check(list(range(48)))
+    index().delete(df.select("doc_id"))
+    assert index().active().count() == 0 and index().apply(df).agg(F.sum("n_dropped")).first()[0] == 0
+    with pytest.raises(ValueError):
+        linededup.LineIndex(spark, f"file://{tmp_path}/index", min_docs=3)
+
+
+def test_lines_shards_stay_small(spark, monkeypatch):
+    """Ten times the keys give more shards, not larger ones; a hot line is dealt over salts."""
+    monkeypatch.setattr(linededup, "SALT_LINES", 50)
+    hot = "one line that every document of this table holds, again and again"
+    docs = [(i, "\n".join([hot, *(f"line {k} of the table, which is over forty characters" for k in range(i % 10 * 200, i % 10 * 200 + 200))]))
+            for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    index, sizes = linededup.LineIndex(spark, shard_keys=64), []
+    for part in ("doc_id % 10 = 0", "true"):
+        index.insert(df.filter(part))
+        now = index._table("filters").select(F.length("filter").alias("n")).collect()
+        sizes.append((index.shards, max(r["n"] for r in now)))
+    assert sizes[0][0] >= 4 and sizes[1][0] >= 32 and max(s for _, s in sizes) <= 64 * 4 * 2 * 2
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], brute.sha(r["text"])) for r in index.apply(df).collect()}
+    assert got == brute.lines(docs)
+
+
 def test_cuckoo():
     rng = np.random.default_rng(1)
     k = rng.integers(-(1 << 63), 1 << 63, (2, 5000), dtype=np.int64)
