@@ -40,8 +40,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     index = linededup.LineIndex(spark)
-    index.insert(docs)
-    return _counted(index.rewrite(docs))
+    lines = index.lines(docs)
+    index.insert(docs, lines=lines)
+    return _counted(index.rewrite(docs, lines=lines))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
