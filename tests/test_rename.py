@@ -1,10 +1,11 @@
 """Renaming cases and the fallback."""
 
 import pytest
+from pyspark.sql import functions as F
 from rename_cases import BROKEN_CASES, EXTRA_CASES, RENAME_CASES, RENAME_COUNTS
 
 from pairwright.operators.normalize import normalize_code
-from pairwright.operators.rename import rename_identifiers, token_table
+from pairwright.operators.rename import TEXT_BYTES, rename_identifiers, replacements, scope_spans, snippet_tokens, token_partitions, token_table
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +54,23 @@ def test_long_text_block_and_literal(spark):
     df = spark.createDataFrame([(1, src)], "snippet_id long, code string")
     assert rename_identifiers(df).first().code == src.replace("int p", "int num1").replace("use(p)", "use(num1)") \
         .replace("String a", "String str1").replace("String b", "String str2")
+
+
+def test_partitions_grow_with_the_text(spark):
+    """A task's token windows hold a bounded stretch of text, whatever the session's shuffle partitions are."""
+    n, size = 64, TEXT_BYTES // 4
+    df = spark.range(n).select(F.col("id").alias("snippet_id"), F.repeat(F.lit("x"), size).alias("code"))
+    assert token_partitions(df) == n * size // TEXT_BYTES > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert token_partitions(df.limit(0)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_uses_are_shuffled_once(spark):
+    """Uses are dealt by snippet before they are multiplied by their levels; every later step keeps that layout."""
+    df = spark.createDataFrame([(1, "class A { void f(int p) { use(p); } }")], "snippet_id long, code string")
+    sig = snippet_tokens(df, partitions=3).localCheckpoint()
+    scopes = scope_spans(sig, 3)
+    maps = spark.createDataFrame([(1, scopes.first().scope, "p", "num1")], "sid long, scope int, name string, new_name string")
+    reps = replacements(sig, scopes, maps, 3).groupBy("sid").count()
+    plan = reps._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Union")[0].count("Exchange") == 1
+    assert reps.first()["count"] == 2
