@@ -111,12 +111,13 @@ def positions_across(df: DataFrame, src: str = "src", pos: str = "row_pos") -> D
 
     A file's offset is the sum of (last position + 1) over the files before
     it, so positions are unique again (gaps stay).  The offset table has one
-    row per file and is joined on the file; AQE picks the join by its size.
+    row per file and is broadcast: with few files, a join that shuffles by
+    file would give each task a whole file's rows.
     """
     ends = df.groupBy(src).agg((F.max(pos) + 1).alias("_len"))
     before = Window.orderBy(src).rowsBetween(Window.unboundedPreceding, -1)
     offsets = ends.select(F.col(src).alias("_src"), F.coalesce(F.sum("_len").over(before), F.lit(0)).alias("_off"))
-    return (df.join(offsets, F.col(src).eqNullSafe(F.col("_src")))
+    return (df.join(F.broadcast(offsets), F.col(src).eqNullSafe(F.col("_src")))
             .withColumn(pos, F.col(pos) + F.col("_off")).drop("_src", "_off"))
 
 

@@ -122,3 +122,10 @@ def test_report_is_ordered_and_named_by_split(spark):
     rows = metric_report(binary_metrics(df, by=["split"]), F.col("split"), by=["split"]).collect()
     assert [r.metric for r in rows] == [f"{s}_{m}" for s in ("test", "val") for m in ("accuracy", "f1", "precision", "recall")]
     assert rows[0].value == 1.0 and rows[4].value == 0.5
+
+
+def test_positions_across_few_files_move_no_rows(spark):
+    """With two files a join that shuffles by file gives each task a file; the rows stay where they are."""
+    df = spark.range(100).selectExpr("id AS row_pos", "if(id % 2 = 0, 'a', 'b') AS src")
+    with_offsets = positions_across(df)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in with_offsets and "SortMergeJoin" not in with_offsets
