@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 
 from pairwright.session import shuffle_partitions, stage
 
+# Rows that one partition of a global order sorts (some 200 bytes each in memory).
+RANGE_ROWS = 1 << 20
+
 
 def seeded_hash(seed, *cols) -> Column:
     """md5 hex of ``seed|c1|c2|...``: the seeded shuffle order (K1).
@@ -127,18 +130,19 @@ def global_row_number(df: DataFrame, order: Sequence[str], out: str = "rn",
 
     ``order`` should be unique per row (it is the tie-break as well).  The
     range exchange has an explicit partition count, so adaptive execution
-    does not coalesce it.  The numbered rows are written once (``stage``):
+    does not coalesce it: the session's, or more where a partition would
+    otherwise hold over ``RANGE_ROWS`` rows and its sort spill.  The numbered rows are written once (``stage``):
     the range sampler is seeded per RDD, so two separately planned passes
     could cut different ranges; both passes read the one written table.
     """
-    n = num_partitions or shuffle_partitions(df.sparkSession)
+    n = num_partitions or max(shuffle_partitions(df.sparkSession), -(-df.count() // RANGE_ROWS))
     s = stage(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("_p", F.spark_partition_id())
               .withColumn("_i", F.monotonically_increasing_id()), "numbered")
     sizes = s.groupBy("_p").agg(F.count(F.lit(1)).alias("_pn"), F.min("_i").alias("_i0"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_p", "_i0", F.coalesce(F.sum("_pn").over(before), F.lit(0)).alias("_poff"))
-    # offsets has one row per range partition: at most n rows.
+    # offsets has one row per range partition: at most n rows, a few hundred for 10^8 rows.
     return (s.join(F.broadcast(offsets), "_p")
             .withColumn(out, F.col("_i") - F.col("_i0") + F.col("_poff") + 1)
             .drop("_p", "_i", "_i0", "_poff"))

@@ -55,3 +55,22 @@ def test_dedup_hot_copies(spark, sf):
     want = hot.groupBy(*PAIR_COLS).agg(F.min("row_pos").alias("row_pos"))
     assert got.exceptAll(want.select(*got.columns)).count() == 0
     assert got.count() == want.count()
+
+
+def test_range_partitions_grow_with_the_rows(spark, monkeypatch):
+    """A global order's partitions hold a bounded number of rows, whatever the session's shuffle partitions are."""
+    parts = []
+    monkeypatch.setattr(rank, "RANGE_ROWS", 10, raising=False)
+    monkeypatch.setattr(rank, "stage", lambda df, label: parts.append(df.rdd.getNumPartitions()) or df.localCheckpoint())
+    df = spark.range(400).selectExpr("id", "(id * 7) % 400 AS k")
+    got = rank.global_row_number(df, ["k"])
+    assert parts[0] >= 40 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert got.filter("rn <> k + 1").count() == 0 and got.count() == 400
+
+
+def test_semi_join_takes_repeated_members(spark):
+    cells = [("p", "a", "1", "2", "q", "b", "3", "4", "1"), ("p", "a", "1", "2", "q", "c", "3", "4", "1")]
+    pairs = spark.createDataFrame(cells, ", ".join(f"{c} string" for c in PAIR_COLS))
+    members = spark.createDataFrame([("p", "a", "1", "2"), ("p", "a", "1", "2"), ("q", "b", "3", "4")], ", ".join(f"`{c}` string" for c in FUNC_COLS))
+    got = split.semi_in_set(pairs, members)
+    assert [tuple(r[c] for c in PAIR_COLS) for r in got.collect()] == cells[:1]
