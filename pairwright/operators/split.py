@@ -69,9 +69,9 @@ def in_split_pairs(pairs: DataFrame, assignment: DataFrame) -> DataFrame:
 
 
 def semi_in_set(pairs: DataFrame, functions: DataFrame) -> DataFrame:
-    """Pairs whose both functions are members of ``functions`` (J3: left-semi twice)."""
+    """Pairs whose both functions are members of ``functions`` (J3: left-semi twice; repeated members do no harm)."""
     def named(cols):
-        return functions.select(*[F.col(f).alias(c) for f, c in zip(FUNC_COLS, cols)]).distinct()
+        return functions.select(*[F.col(f).alias(c) for f, c in zip(FUNC_COLS, cols)])
     return (pairs.join(named(LEFT), list(LEFT), "left_semi")
             .join(named(RIGHT), list(RIGHT), "left_semi"))
 
