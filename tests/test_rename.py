@@ -74,3 +74,27 @@ def test_uses_are_shuffled_once(spark):
     plan = reps._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Union")[0].count("Exchange") == 1
     assert reps.first()["count"] == 2
+
+
+def test_token_facts_sort_and_shuffle_texts_only(spark):
+    """The facts take one shuffle and one sort, both of the texts; no window holds the tokens."""
+    df = spark.createDataFrame([(1, "class A { void f(int p) { use(p); } }")], "snippet_id long, code string")
+    plan = snippet_tokens(df, partitions=3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1
+    assert "Window" not in plan
+
+
+def test_token_facts_over_batch_ends(spark):
+    """Snippets that span batches, repeat their id or have none get the facts of their whole texts."""
+    codes = [c[1] for c in RENAME_CASES + BROKEN_CASES]
+    df = spark.createDataFrame([(None if i == 3 else i, c) for i, c in enumerate(codes)] + [(1, codes[1])], "snippet_id long, code string")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    got = []
+    try:
+        for rows in ("7", "100000"):
+            spark.conf.set(key, rows)
+            got.append(sorted(map(repr, snippet_tokens(df, partitions=2).collect())))
+    finally:
+        spark.conf.set(key, before)
+    assert got[0] == got[1] and len(got[0]) > 500
