@@ -15,7 +15,7 @@ input.
 3. *Confirm and compile.*  Distinct stretches go to shards by anchor, a few
    thousand to a shard.  In a shard, windows are compared word by word: those
    that occur at least twice are the recurring passages, and are compiled into
-   an Aho-Corasick automaton over word numbers, with their first place.  An
+   an Aho-Corasick automaton over words (a letter each), with their first place.  An
    anchor with more contexts than a shard holds goes to none: its windows are
    aggregated by their words, so a window is one row however many contexts
    hold it, and the recurring ones are joined back to the stretches.
@@ -39,13 +39,11 @@ from __future__ import annotations
 
 import gc
 from collections import defaultdict
-from itertools import count
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,24 +106,42 @@ def word_hashes(raw: bytes, piece: int = 1 << 20) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, _U)
 
 
-def stretches(raw: bytes, window: int = WINDOW, gram: int = GRAM):
-    """Arrays anchor, content, start (of the first window), n (windows), or None for short texts."""
+def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least value in every stretch of ``width`` values, the first of equal ones."""
+    at, have = np.arange(len(values)), 1
+    while have < width:  # stretches twice as long, or overlapping ones, from two shorter ones
+        k = min(have, width - have)
+        left, right = values[:-k], values[k:]
+        at, values = np.where(right < left, at[k:], at[:-k]), np.minimum(left, right)
+        have += k
+    return at
+
+
+def _anchored(raw: bytes, window: int, gram: int):
+    """Word hashes, and anchor, start and windows (arrays) of the stretches; None for short texts."""
     h = word_hashes(raw)
     if len(h) < window:
         return None
     at = np.arange(len(h) - gram + 1)
     grams = _spans(h, _BASE_W, at, at + gram)
-    best = sliding_window_view(grams, window - gram + 1).argmin(1) + np.arange(len(h) - window + 1)
+    best = leftmost_least(grams, window - gram + 1)
     start = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
-    n = np.diff(np.append(start, len(best)))
-    content = _spans(h, _BASE_S, start, start + n + window - 1)
-    return grams[best[start]].view(np.int64), content.view(np.int64), start, n
+    return h, grams[best[start]].view(np.int64), start, np.diff(np.append(start, len(best)))
+
+
+def stretches(raw: bytes, window: int = WINDOW, gram: int = GRAM):
+    """Arrays anchor, content, start (of the first window), n (windows), or None for short texts."""
+    got = _anchored(raw, window, gram)
+    if got is None:
+        return None
+    h, anchor, start, n = got
+    return anchor, _spans(h, _BASE_S, start, start + n + window - 1).view(np.int64), start, n
 
 
 def _anchors(window, gram):
     def run(batches):
         for b in batches:
-            got = [s[0] for s in (stretches(t.encode("utf-8"), window, gram) for t in b["text"]) if s is not None]
+            got = [s[1] for s in (_anchored(t.encode("utf-8"), window, gram) for t in b["text"]) if s is not None]
             if got:
                 yield pd.DataFrame({"a": np.concatenate(got)})
     return run
@@ -183,6 +199,13 @@ def _crowd_hits(crowd: DataFrame, window: int) -> DataFrame:
     return met.groupBy("a", "s", "n").agg(F.collect_list(run).alias("hits"))
 
 
+def _letters():
+    """A letter for each different word of a shard (a shard of ``SHARD_ROWS`` stretches has far fewer than there are letters)."""
+    yield from map(chr, range(1, 0xD800))
+    yield from map(chr, range(0xE000, 0x110000))
+    raise ValueError("a shard has more different words than there are letters; take smaller shards")
+
+
 def _locate(window):
     """Confirmed windows of a shard, compiled; every stretch of the shard read by the automaton."""
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -195,9 +218,9 @@ def _locate(window):
                 gc.enable()
 
     def locate(g: pd.DataFrame) -> pd.DataFrame:
-        number = defaultdict(count(1).__next__)
-        rows = [tuple(map(number.__getitem__, x.split(" "))) for x in g["words"].tolist()]
-        seen: dict[tuple, list] = {}
+        letter = defaultdict(_letters().__next__)
+        rows = ["".join(map(letter.__getitem__, x.split(" "))) for x in g["words"].tolist()]
+        seen: dict[str, list] = {}
         for ids, n, c, d, h, start in zip(rows, *(g[x].tolist() for x in ("n", "c", "doc_id", "h", "start")), strict=True):
             for o in range(n):
                 key = ids[o:o + window]
@@ -209,7 +232,7 @@ def _locate(window):
                 place = (d, h, start + o)
                 if place < own[1]:
                     own[1] = place
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_STRING)
         for key, (times, place) in seen.items():
             if times > 1:
                 automaton.add_word(key, place)

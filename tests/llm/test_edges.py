@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns; the paths for hot groups."""
 
+import itertools
 import random
 
 import brute
@@ -431,3 +432,20 @@ def test_pipeline_odd(spark, odd, none, tmp_path):
                 assert out.columns == docs.columns
                 docs = out
         out.count()
+
+
+def test_substring_anchors_are_the_leftmost_least():
+    """Both passes over the texts agree on the anchors; of equal values the first one counts."""
+    rng = np.random.default_rng(3)
+    for n, width, top in ((40, 13, 3), (13, 13, 2), (200, 5, 1 << 60), (9, 1, 4)):
+        v = rng.integers(0, top, n).astype(np.uint64)
+        want = [i + int(np.argmin(v[i:i + width])) for i in range(n - width + 1)]
+        assert substring.leftmost_least(v, width).tolist() == want
+    text = " ".join(f"w{i % 7}" for i in range(90)).encode()
+    assert substring._anchored(text, 20, 8)[1].tolist() == substring.stretches(text)[0].tolist()
+    assert substring._anchored(b"a b c", 20, 8) is None
+
+
+def test_substring_letters_are_whole_and_different():
+    letters = list(itertools.islice(substring._letters(), 70_000))
+    assert len(set(letters)) == 70_000 and all(x.encode("utf-8") for x in letters)
