@@ -15,11 +15,12 @@ input.
 3. *Confirm and compile.*  Distinct stretches go to shards by anchor, a few
    thousand to a shard.  In a shard, windows are compared word by word: those
    that occur at least twice are the recurring passages, and are compiled into
-   an Aho-Corasick automaton over words (a letter each), with their first place.  An
+   Aho-Corasick automata over words (a letter each), with their first place; as
+   equal windows have equal anchors, there is one for each few dozen stretches.  An
    anchor with more contexts than a shard holds goes to none: its windows are
    aggregated by their words, so a window is one row however many contexts
    hold it, and the recurring ones are joined back to the stretches.
-4. *Locate.*  The automaton reads every stretch of the shard and reports each
+4. *Locate.*  The automaton of its anchor reads every stretch of the shard and reports each
    recurring window in it (as runs: windows, as bits, whose first places lie
    side by side too).  Each document's stretches then look up their
    result by the content key, which locates every occurrence in every
@@ -39,10 +40,12 @@ from __future__ import annotations
 
 import gc
 from collections import defaultdict
+from itertools import chain, count
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +54,8 @@ from pairwright.llm.common import staged, tagged
 
 WINDOW, GRAM = 20, 8
 SHARD_ROWS = 4000
+#: Stretches an automaton is compiled for, or a few more: it looks through the first words of all its windows one by one.
+PART = 64
 LONG_WORD = 64
 _NO_DOC = -(1 << 63)
 _U = np.uint64
@@ -206,9 +211,18 @@ def _letters():
     raise ValueError("a shard has more different words than there are letters; take smaller shards")
 
 
+def _first_places(rows: list[str], n: np.ndarray, window: int):
+    """Every window of the rows in order: the different ones, each window's number among them, its row and its place there."""
+    row = np.repeat(np.arange(len(rows)), n)
+    o = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    number = defaultdict(count().__next__)
+    own = np.fromiter(map(number.__getitem__, [ids[i:i + window] for ids, k in zip(rows, n.tolist(), strict=True) for i in range(k)]), np.int64, len(row))
+    return list(number), own, row, o
+
+
 def _locate(window):
-    """Confirmed windows of a shard, compiled; every stretch of the shard read by the automaton."""
-    def run(g: pd.DataFrame) -> pd.DataFrame:
+    """Confirmed windows of a shard, compiled; every stretch of the shard read by the automaton of its anchor."""
+    def run(g: pa.Table) -> pa.Table:
         collected = gc.isenabled()
         gc.disable()  # hundreds of thousands of small tuples and no cycles
         try:
@@ -217,37 +231,41 @@ def _locate(window):
             if collected:
                 gc.enable()
 
-    def locate(g: pd.DataFrame) -> pd.DataFrame:
+    def locate(g: pa.Table) -> pa.Table:
+        g = g.sort_by([(x, "ascending") for x in ("a", "doc_id", "h", "start")])  # the first window of its words has the first place
+        a, s, n, c, d, h, start = (g.column(x).to_numpy() for x in ("a", "s", "n", "c", "doc_id", "h", "start"))
         letter = defaultdict(_letters().__next__)
-        rows = ["".join(map(letter.__getitem__, x.split(" "))) for x in g["words"].tolist()]
-        seen: dict[str, list] = {}
-        for ids, n, c, d, h, start in zip(rows, *(g[x].tolist() for x in ("n", "c", "doc_id", "h", "start")), strict=True):
-            for o in range(n):
-                key = ids[o:o + window]
-                own = seen.get(key)
-                if own is None:
-                    seen[key] = [c, (d, h, start + o)]
-                    continue
-                own[0] += c
-                place = (d, h, start + o)
-                if place < own[1]:
-                    own[1] = place
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_STRING)
-        for key, (times, place) in seen.items():
-            if times > 1:
-                automaton.add_word(key, place)
-        out = []
-        if len(automaton):
+        rows = ["".join(map(letter.__getitem__, x.split(" "))) for x in g.column("words").to_pylist()]
+        keys, own, row, o = _first_places(rows, n, window)
+        times = np.zeros(len(keys), np.int64)
+        np.add.at(times, own, c[row])
+        first = np.unique(own, return_index=True)[1]
+        often = np.flatnonzero(times > 1)
+        ends = np.cumsum(n + window) - 1  # of the rows behind one another, with a sign after each that is no letter
+        cuts = np.append(np.flatnonzero(np.diff(np.searchsorted(a, a) // PART, prepend=-1)), len(a))
+        met = [np.empty((0, 2), np.int64)]  # (end, window's number) of every hit
+        for i, j, p, q in zip(cuts, cuts[1:], *(np.searchsorted(row[first[often]], x).tolist() for x in (cuts[:-1], cuts[1:])), strict=False):
+            if p == q:
+                continue
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_STRING)
+            for k in often[p:q].tolist():
+                automaton.add_word(keys[k], k)
             automaton.make_automaton()
-            for ids, a, s, n in zip(rows, *(g[x].tolist() for x in ("a", "s", "n")), strict=True):
-                runs = {}
-                for end, (d, h, start) in automaton.iter(ids):
-                    o = end - window + 1
-                    run = (d, h, start - o)
-                    runs[run] = runs.get(run, 0) | 1 << o
-                if runs:
-                    out.append((a, s, n, [(*run, bits) for run, bits in runs.items()]))
-        return pd.DataFrame(out, columns=["a", "s", "n", "hits"])
+            got = np.fromiter(chain.from_iterable(automaton.iter("\0".join(rows[i:j]))), np.int64).reshape(-1, 2)
+            got[:, 0] += ends[i - 1] + 1 if i else 0
+            met.append(got)
+        met = np.concatenate(met)
+        at, place = np.searchsorted(ends, met[:, 0]), first[met[:, 1]]
+        o_met = met[:, 0] - (ends[at] - (n[at] + window - 1)) - window + 1
+        of, begin = row[place], start[row[place]] + o[place] - o_met
+        order = np.lexsort((begin, of, at))
+        at, of, begin, bits = at[order], of[order], begin[order], np.int64(1) << o_met[order].astype(np.int64)
+        new = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(of, prepend=-1) != 0) | (np.diff(begin, prepend=0) != 0))
+        runs = pa.StructArray.from_arrays([pa.array(d[of[new]], pa.int64()), pa.array(h[of[new]], pa.int64()), pa.array(begin[new], pa.int32()),
+                                           pa.array(np.bitwise_or.reduceat(bits, new) if len(new) else bits, pa.int64())], names=["doc_id", "h", "start", "bits"])
+        hit, begins = np.unique(at[new], return_index=True)
+        hits = pa.ListArray.from_arrays(pa.array(np.append(begins, len(new)), pa.int32()), runs)
+        return pa.table({"a": pa.array(a[hit], pa.int64()), "s": pa.array(s[hit], pa.int64()), "n": pa.array(n[hit], pa.int32()), "hits": hits})
     return run
 
 
@@ -268,7 +286,7 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_rows
     rows = distinct.join(crowded, F.col("a") == F.col("a2"), "left_anti") if some else distinct
     shards = max(1, -(-distinct.count() // shard_rows))
     found = rows.groupBy(F.pmod(F.xxhash64("a"), F.lit(shards)).alias("shard")) \
-        .applyInPandas(_locate(window), "a long, s long, n int, hits array<struct<doc_id:long,h:long,start:int,bits:long>>")
+        .applyInArrow(_locate(window), "a long, s long, n int, hits array<struct<doc_id:long,h:long,start:int,bits:long>>")
     if some:
         found = found.unionByName(_crowd_hits(distinct.join(crowded, F.col("a") == F.col("a2"), "left_semi"), window))
     found = staged(found, "substring-found").select(F.col("a").alias("a2"), F.col("s").alias("s2"), F.col("n").alias("n2"), "hits")

@@ -449,3 +449,36 @@ def test_substring_anchors_are_the_leftmost_least():
 def test_substring_letters_are_whole_and_different():
     letters = list(itertools.islice(substring._letters(), 70_000))
     assert len(set(letters)) == 70_000 and all(x.encode("utf-8") for x in letters)
+
+
+def test_substring_automata_are_small(monkeypatch):
+    """A shard's windows go to automata by anchor, none of which holds many; every recurring window is found with its first place."""
+    sizes = []
+
+    class Counted:
+        def __init__(self, *options, make=substring.ahocorasick.Automaton):
+            self.own = make(*options)
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+        def make_automaton(self):
+            sizes.append(len(self.own))
+            self.own.make_automaton()
+
+    monkeypatch.setattr(substring.ahocorasick, "Automaton", Counted)
+    rows, want = [], {}
+    for i in range(400):  # anchor i: two contexts with 3 windows each, 2 of them shared; every fifth context comes twice as it is
+        ws = [f"w{i}x{k}" for k in range(21)]
+        twice = 1 + (i % 5 == 0)
+        rows += [(i, 2 * i, 3, twice, 1000 - i, 0, 7, " ".join([f"l{i}", *ws])), (i, 2 * i + 1, 3, 1, i, 0, 40, " ".join([*ws, f"r{i}"]))]
+        first = (i, 40) if i < 1000 - i else (1000 - i, 8)
+        want[2 * i] = {(first[0], 0, first[1] - 1): 6}
+        want[2 * i + 1] = {(first[0], 0, first[1]): 3}
+        if twice == 2:
+            want[2 * i][(1000 - i, 0, 7)] = 1
+    table = substring.pa.Table.from_pandas(substring.pd.DataFrame(rows, columns=["a", "s", "n", "c", "doc_id", "h", "start", "words"]))
+    found = substring._locate(20)(table).to_pylist()
+    assert {r["s"]: {(x["doc_id"], x["h"], x["start"]): x["bits"] for x in r["hits"]} for r in found} == want
+    assert all(r["a"] == r["s"] // 2 and r["n"] == 3 for r in found)
+    assert max(sizes) <= 3 * substring.PART and sum(sizes) == 880
