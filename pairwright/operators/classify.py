@@ -90,6 +90,8 @@ def pair_features(df: DataFrame) -> DataFrame:
 SCALARS = ("jaccard", "length_ratio", "exact_equal", "prints_jaccard", "prints_held", "idf_cosine")
 VECTORS = ("bucket_diff", "tf1", "tf2")
 FORMAT = 1
+#: An iteration over fewer rows is done sooner than a task begins.
+TASK_ROWS = 10_000
 #: Candidates for ``select``: every one is a set of LogisticRegression parameters.
 GRID = tuple({"regParam": r, "elasticNetParam": e} for r in (0.001, 0.01, 0.1) for e in (0.0, 0.5))
 
@@ -115,9 +117,10 @@ def features(pairs: DataFrame, weights: IDFModel, num_features: int = 1 << 12,
 
 
 def _labelled(pairs: DataFrame, label: str, *args, **options) -> DataFrame:
-    """Features and label only, written once: every candidate's iterations read them."""
+    """Features and label only, written once: every candidate's iterations read them, ``TASK_ROWS`` or more to a task."""
     data = features(pairs.withColumn("label_d", F.col(label).cast("double")), *args, **options)
-    return stage(data.select("features", "label_d"), "pair-features")
+    data = stage(data.select("features", "label_d"), "pair-features")
+    return data.coalesce(max(1, data.count() // TASK_ROWS))
 
 
 def _train(data: DataFrame, max_iter: int, params: Mapping) -> LogisticRegressionModel:

@@ -9,7 +9,7 @@ from pairwright.operators import classify, compare, fetch, identity, metrics, qu
 from pairwright.operators.history import long_log
 from pairwright.plans.registry import query, sql_lit
 from pairwright.plans.text_plans import FETCH_SQL, _strict_sql, lines_sql
-from pairwright.session import stage
+from pairwright.session import shuffle_partitions, stage
 from pairwright.sources import fixtures as fx
 
 TOKEN_RE2 = r"[\pL\pN_]+|[^\t\n\x0b\f\r \pL\pN_]"
@@ -101,13 +101,19 @@ def _model_splits(spark, d):
     return fetch.fetch_pairs(tagged, fx.spark_files(spark, d))
 
 
+def _model_input(spark, d):
+    """``_model_splits``, written once for all that reads it, in the session's number of parts: the texts are small
+    beside the work on them, so parts cut by size would leave most cores idle."""
+    return stage(_model_splits(spark, d).repartition(shuffle_partitions(spark), "row_pos"), "model_input")
+
+
 def classify_cols():
     return ("folder1", "file1", "begin1", "end1", "folder2", "file2", "begin2", "end2", "label")
 
 
 @query("fit_predict")
 def q_fit_predict(spark, d):
-    data = stage(_model_splits(spark, d), "model_input")  # read by fit and by predict
+    data = _model_input(spark, d)  # read by fit and by predict
     model = classify.fit(data.filter(F.col("split") == "train"))
     out = classify.predict(model, data.filter(F.col("split") != "train"))
     return out.select("row_pos", "split", F.col("label").cast("int").alias("label"), "predicted", "confidence",
@@ -117,7 +123,7 @@ def q_fit_predict(spark, d):
 @query("select_model")
 def q_select_model(spark, d):
     # C3 + A10: the candidates' metrics on the validation split, and which one is kept
-    data = stage(_model_splits(spark, d), "model_input")
+    data = _model_input(spark, d)
     _, log = classify.select(data.filter(F.col("split") == "train"), data.filter(F.col("split") == "val"))
     best = metrics.best_record(long_log(log.select("step", "accuracy"))).select(F.col("best_step").alias("step"), F.lit(True).alias("kept"))
     return log.join(best, "step", "left").select("step", "regParam", "elasticNetParam", "accuracy", "f1", "precision", "recall", F.coalesce("kept", F.lit(False)).alias("kept"))

@@ -137,3 +137,20 @@ def test_ragged_logs(spark, tmpdir_path):
         got = sorted(tuple(r) for r in series.select("metric", "x", "y").collect())
         assert got == sorted([("loss", 0, 0.7), ("loss", 2, 0.6), ("loss", 5, 1e-300), ("learning_rate", 0, 2e-6), ("eval_accuracy", 1, 0.5),
                               ("eval_accuracy", 4, 0.75), ("eval_f1", 1, 0.25)])
+
+
+def test_model_input_is_spread_and_features_are_gathered(spark, monkeypatch):
+    """Heavy work per text runs in the session's number of parts, an iteration over few rows in one."""
+    from pairwright.plans import classify_plans
+    pairs = spark.createDataFrame([(i, f"int a{i} = {i} ;", f"int b = {i % 3} ;", str(i % 2), "train") for i in range(200)],
+                                  "row_pos long, code1 string, code2 string, label string, split string").coalesce(1)
+    monkeypatch.setattr(classify_plans, "_model_splits", lambda spark, d: pairs)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    data = classify_plans._model_input(spark, "unused")
+    assert sorted(map(tuple, data.collect())) == sorted(map(tuple, pairs.collect()))
+    assert data.select(F.input_file_name()).distinct().count() > parts // 2 > 0
+    weights = classify.fit_weights(classify.token_budget(data))
+    few = classify._labelled(data, "label", weights, 64)
+    assert few.count() == 200 and few.rdd.getNumPartitions() == 1
+    monkeypatch.setattr(classify, "TASK_ROWS", 1)
+    assert classify._labelled(data, "label", weights, 64).rdd.getNumPartitions() > 1
