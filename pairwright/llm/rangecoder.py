@@ -32,11 +32,13 @@ BLOCK, LANES = 2048, 4096
 _SLOTS = 1024
 _SYMBOLS = 4  # order 2, order 1, order 0, prior
 _START = np.array([2, 2, 2, 18], np.uint16)
-_STEP, _FULL = 24, 6000
+_U = np.uint64
+_STEP, _FULL = _U(24), 6000
 _STATE, _LEAST = 1 << 48, 1 << 32  # range of the state; below _LEAST a word leaves
 _MOST = 1 << 20  # sum of a prior's frequencies, at most
 _EIGHTHS = np.array([max(1, round(2 ** (q / 8))) for q in range(161)], np.int64)
-_SUMS = np.triu(np.ones((_SYMBOLS, _SYMBOLS), np.float32))
+_SUMS, _FIELD = _U(0x0001000100010001), _U(0xFFFF)
+_PLACE_A, _PLACE_B = np.int32(0x6A53), np.int32(0x9E5D)
 MAGIC = b"CMR2"
 
 
@@ -50,6 +52,7 @@ class Prior:
         self.total = int(self.upto[-1]) if len(own) else 1
         self.freq, self.start = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.freq[ids], self.start[ids] = own, self.upto - own
+        self.at: np.ndarray | None = None
 
     @classmethod
     def of(cls, parts: list[np.ndarray]) -> Prior:
@@ -70,56 +73,66 @@ class Prior:
         return cls(np.cumsum(np.frombuffer(data, "<u2", n).astype(np.int64)), np.frombuffer(data, np.uint8, offset=2 * n).astype(np.int64))
 
     def find(self, at: np.ndarray) -> np.ndarray:
-        return self.ids[np.searchsorted(self.upto, at, side="right")]
+        if self.at is None:
+            self.at = np.repeat(self.ids, _EIGHTHS[self.steps]).astype(np.int32)  # one a frequency, _MOST at most or so
+        return self.at.take(at)
 
 
 class _Model:
+    """The counts of a context are four 16-bit fields of one uint64: a product with ``_SUMS`` gives their running sums."""
+
     def __init__(self, lanes: int):
         self.two = np.zeros(lanes * _SLOTS, np.int32)  # prediction << 2 | confidence
         self.one = np.zeros(lanes * _SLOTS, np.int32)
-        self.major = np.zeros(lanes, np.int64)
-        self.votes = np.zeros(lanes, np.int64)
-        self.counts = np.tile(_START, (lanes * 16, 1))
-        self.flat = self.counts.reshape(-1)
+        self.major = np.zeros(lanes, np.int32)
+        self.votes = np.zeros(lanes, np.int32)
+        self.counts = np.full(lanes * 16, sum(int(n) << 16 * i for i, n in enumerate(_START)), np.uint64)
         self.base = np.arange(lanes, dtype=np.int64) * _SLOTS
         self.ctx = np.arange(lanes, dtype=np.int64) * 16
-        self.lane = np.arange(lanes, dtype=np.int64) * _SYMBOLS
-        self.a = np.zeros(lanes, np.int64)
-        self.b = np.zeros(lanes, np.int64)
+        self.a1 = np.zeros(lanes, np.int32)  # share of the id before the last in the place of order 2
+        self.b = np.zeros(lanes, np.int32)
 
     def predict(self, k: int) -> np.ndarray:
-        """Predictions and running sums of the counts (as float32, exact) for the first k lanes."""
-        a, b = self.a[:k], self.b[:k]
-        b1 = b * 0x9E5D
-        self.at2 = (((a * 0x6A53 + b1) >> 4) & (_SLOTS - 1)) + self.base[:k]
-        self.at1 = ((b1 >> 5) & (_SLOTS - 1)) + self.base[:k]
+        """Predictions for the first k lanes; the sums of their counts."""
+        b = self.b[:k]
+        b1 = b * _PLACE_B  # wraps; the low 15 bits count
+        self.at2 = ((self.a1[:k] + b1) >> 4 & (_SLOTS - 1)) + self.base[:k]
+        self.at1 = (b1 >> 5 & (_SLOTS - 1)) + self.base[:k]
         self.e2, self.e1 = self.two.take(self.at2), self.one.take(self.at1)
         self.p2, self.p1, self.p0 = self.e2 >> 2, self.e1 >> 2, self.major[:k]
         self.row = ((self.e2 & 3) << 2 | (self.e1 & 3)) + self.ctx[:k]
-        return self.counts.take(self.row, axis=0).astype(np.float32) @ _SUMS
+        self.own = self.counts.take(self.row)
+        self.cum = self.own * _SUMS
+        return (self.cum >> _U(48)).view(np.int64)
 
-    def interval(self, k: int, cum: np.ndarray, sym: np.ndarray):
+    def interval(self, sym: np.ndarray):
         """Start and width of the symbols' intervals."""
-        self.at = self.row * _SYMBOLS + sym
-        self.own = self.flat.take(self.at)
-        f = self.own.astype(np.int64)
-        return cum.reshape(-1).take(self.lane[:k] + sym).astype(np.int64) - f, f
+        self.shift = (sym << 4).view(np.uint64)
+        f = self.own >> self.shift & _FIELD
+        return ((self.cum >> self.shift & _FIELD) - f).view(np.int64), f.view(np.int64)
+
+    def symbols(self, target: np.ndarray) -> np.ndarray:
+        """The symbols in whose intervals ``target`` lies."""
+        t, sym = target.view(np.uint64), np.zeros(len(target), np.int64)
+        for i in range(_SYMBOLS - 1):
+            sym += (self.cum >> _U(16 * i) & _FIELD) <= t
+        return sym
 
     def update(self, k: int, x: np.ndarray, total: np.ndarray) -> None:
-        x4 = (x << 2).astype(np.int32)
+        x4 = x << 2
+        most = x4 | 3
         for table, at, e in ((self.two, self.at2, self.e2), (self.one, self.at1, self.e1)):
-            table[at] = np.where((e ^ x4) < 4, np.minimum(e + 1, x4 | 3), x4)
-        same = self.p0 == x
-        votes = self.votes[:k] + (same * 2 - 1)
-        swap = votes < 0
-        self.major[:k] = np.where(swap, x, self.p0)
-        self.votes[:k] = np.abs(votes)
-        self.flat[self.at] = self.own + _STEP
+            table[at] = np.where((e ^ x4) < 4, np.minimum(e + 1, most), x4)
+        votes = self.votes[:k] + ((self.p0 == x).view(np.int8) * np.int8(2) - np.int8(1))
+        np.copyto(self.major[:k], x, where=votes < 0)
+        np.abs(votes, out=self.votes[:k])
+        self.counts[self.row] = self.own + (_STEP << self.shift)
         full = np.flatnonzero(total > _FULL)
         if len(full):
             rows = self.row[full]
-            self.counts[rows] = (self.counts[rows] + 1) >> 1
-        self.a[:k], self.b[:k] = self.b[:k], x
+            self.counts[rows] = ((self.counts[rows].view(np.uint16) + np.uint16(1)) >> 1).view(np.uint64)
+        np.multiply(self.b[:k], _PLACE_A, out=self.a1[:k])
+        self.b[:k] = x
 
 
 def _renew(low, rng, k, word) -> None:
@@ -159,11 +172,11 @@ def encode_blocks(blocks: list[np.ndarray], prior: Prior) -> list[bytes]:
         pos[which] = at + 1
 
     for t, k in enumerate(_live(sizes, steps).tolist()):
-        x = ids[t, :k].astype(np.int64)
-        cum = model.predict(k)
-        sym = np.where(model.p2 == x, 0, np.where(model.p1 == x, 1, np.where(model.p0 == x, 2, 3)))
-        total = cum[:, -1]
-        c, f = model.interval(k, cum, sym)
+        x = ids[t, :k].astype(np.int32)
+        total = model.predict(k)
+        sym = ((model.p0 != x).view(np.int8) + np.int8(1)) * (model.p1 != x)  # 0, 1, 2: right at order 1, 0, not at all
+        sym = ((sym + np.int8(1)) * (model.p2 != x)).astype(np.int64)
+        c, f = model.interval(sym)
         r = (rng[:k] / total).astype(np.int64)
         low[:k], rng[:k] = low[:k] + r * c, r * f
         _renew(low, rng, k, put)
@@ -211,7 +224,6 @@ def decode_blocks(coded: list[bytes], prior: Prior) -> list[np.ndarray]:
         code = (code << 16) | data[:, i]
     data = data.reshape(-1)
     ids = np.zeros((steps, lanes), np.uint16)
-    ones = np.ones(_SYMBOLS, np.float32)
 
     def pull(which, _):
         at = pos.take(which)
@@ -219,12 +231,10 @@ def decode_blocks(coded: list[bytes], prior: Prior) -> list[np.ndarray]:
         pos[which] = at + 1
 
     for t, k in enumerate(_live(sizes, steps).tolist()):
-        cum = model.predict(k)
-        total = cum[:, -1]
+        total = model.predict(k)
         r = (rng[:k] / total).astype(np.int64)
-        target = np.minimum(((code[:k] - low[:k]) / r).astype(np.int64), total.astype(np.int64) - 1)
-        sym = ((cum <= target.astype(np.float32)[:, None]).astype(np.float32) @ ones).astype(np.int64)
-        c, f = model.interval(k, cum, sym)
+        sym = model.symbols(np.minimum(((code[:k] - low[:k]) / r).astype(np.int64), total - 1))
+        c, f = model.interval(sym)
         low[:k], rng[:k] = low[:k] + r * c, r * f
         x = np.where(sym == 0, model.p2, np.where(sym == 1, model.p1, model.p0))
         _renew(low, rng, k, pull)

@@ -46,6 +46,8 @@ MAX_FILE, CACHE = 16 << 20, 1_000_000
 #: Letters or digits and a run of marks after them (two units of the pre-tokenizer; an apostrophe may join
 #: what follows it), or two such with a line feed between.
 _SIMPLE = regex.compile(r"(\p{L}+|\p{N}+)([^\s\p{L}\p{N}']*)(?:\n(\p{L}+|\p{N}+)([^\s\p{L}\p{N}']*))?")
+#: The marks that end most words.
+_MARKS = frozenset(".,;:!?)")
 _STATE: dict = {}
 
 
@@ -98,9 +100,22 @@ class _Pieces(dict):
     def _head(self, stem: str) -> bytes:
         return self._model(stem, "")
 
+    def _around_feed(self, last: str, first: str) -> bytes | None:
+        """Ids of a word, a line feed and the next line's first word; None unless both are letters and a mark at most."""
+        stem, end = (last[:-1], last[-1]) if last[-1:] in _MARKS else (last, "")
+        next_stem, next_end = (first[:-1], first[-1]) if first[-1:] in _MARKS else (first, "")
+        if not (stem.isalpha() and next_stem.isalpha()):
+            return None
+        return self[stem] + self._once(self.ends, end, self._text) + self.feed + self._once(self.heads, next_stem, self._head) \
+            + self._once(self.ends, next_end, self._text)
+
     def __missing__(self, word: str):
         if self.simple and word.isalpha():
             ids, room = self._model(word), CACHE
+        elif self.simple and word[-1:] in _MARKS and (stem := word[:-1]).isalpha():
+            ids, room = self[stem] + self._once(self.ends, word[-1], self._text), CACHE // 8
+        elif self.simple and "\n" in word and (ids := self._around_feed(*word.split("\n", 1))):
+            return ids
         elif m := _SIMPLE.fullmatch(word) if self.simple else None:
             stem, end, next_stem, next_end = m.groups()
             room = CACHE // 8

@@ -482,3 +482,30 @@ def test_substring_automata_are_small(monkeypatch):
     assert {r["s"]: {(x["doc_id"], x["h"], x["start"]): x["bits"] for x in r["hits"]} for r in found} == want
     assert all(r["a"] == r["s"] // 2 and r["n"] == 3 for r in found)
     assert max(sizes) <= 3 * substring.PART and sum(sizes) == 880
+
+
+def test_plain_words_need_no_pattern(monkeypatch):
+    """Words of letters with a mark at most, also around a line feed, are put together without the pattern, to the same ids."""
+    import public_tokenizers as P
+    enc = tokenbin.TextEncoder(tokenbin.read_tokenizer(P.path("byte_bpe_50k.json")))
+
+    class Never:
+        def fullmatch(self, word):
+            raise AssertionError(word)
+
+    monkeypatch.setattr(tokenbin, "_SIMPLE", Never())
+    for text in ("It was so, and then: the end.\nNext Öffnungen, übung!\nLast line; here or there)", "a été.\nÀ la fin, x.\nY z? no",
+                 "word word, word. word\nword word.\nword, word"):
+        for _ in range(2):  # the second time from what is kept
+            assert enc.encode(text).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_coder_sums_counts_in_one_product():
+    model = rangecoder._Model(3)
+    fields = np.array([[2, 5, 1500, 4000], [1, 1, 1, 1], [6000, 0, 23, 1]], np.uint16)
+    model.counts[model.ctx] = fields.view(np.uint64)[:, 0]
+    assert model.predict(3).tolist() == fields.sum(axis=1).tolist()
+    for sym in range(4):
+        start, width = model.interval(np.full(3, sym, np.int64))
+        assert start.tolist() == fields[:, :sym].sum(axis=1).tolist() and width.tolist() == fields[:, sym].tolist()
+    assert model.symbols(np.array([7, 0, 6000])).tolist() == [2, 0, 2]
