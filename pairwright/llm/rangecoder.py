@@ -75,7 +75,7 @@ class Prior:
     def find(self, at: np.ndarray) -> np.ndarray:
         if self.at is None:
             self.at = np.repeat(self.ids, _EIGHTHS[self.steps]).astype(np.int32)  # one a frequency, _MOST at most or so
-        return self.at.take(at)
+        return self.at.take(at, mode="clip")  # a damaged block may ask for places before the first
 
 
 class _Model:
@@ -113,9 +113,9 @@ class _Model:
 
     def symbols(self, target: np.ndarray) -> np.ndarray:
         """The symbols in whose intervals ``target`` lies."""
-        t, sym = target.view(np.uint64), np.zeros(len(target), np.int64)
+        sym = np.zeros(len(target), np.int64)
         for i in range(_SYMBOLS - 1):
-            sym += (self.cum >> _U(16 * i) & _FIELD) <= t
+            sym += (self.cum >> _U(16 * i) & _FIELD).view(np.int64) <= target
         return sym
 
     def update(self, k: int, x: np.ndarray, total: np.ndarray) -> None:
