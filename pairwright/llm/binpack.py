@@ -56,12 +56,15 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_i
     def run(batches):
         encoder = _encoder(shared.value)
         for b in batches:
-            owner, rows = [], []
-            for i, text in enumerate(b.column("text").to_pylist()):
-                ids = np.concatenate([encoder.encode(text).astype("<u4"), end])
-                for k, (s, e) in enumerate(cuts(len(ids), capacity)):
-                    owner.append(i)
-                    rows.append((k, s, e - s, zlib.crc32(ids[s:e].tobytes())))
+            owner, rows, i = [], [], 0
+            for all_ids, sizes in encoder.encode_column(b.column("text")):
+                all_ids, upto = all_ids.astype("<u4"), np.cumsum(sizes)
+                for lo, hi in zip((upto - sizes).tolist(), upto.tolist(), strict=True):
+                    ids = np.concatenate([all_ids[lo:hi], end])
+                    for k, (s, e) in enumerate(cuts(len(ids), capacity)):
+                        owner.append(i)
+                        rows.append((k, s, e - s, zlib.crc32(ids[s:e].tobytes())))
+                    i += 1
             cols = [b.column("doc_id").take(pa.array(owner, pa.int64())), *(pa.array(c, kind) for c, (_, kind) in zip(zip(*rows, strict=True), _PIECE[1:], strict=True))] \
                 if rows else [pa.array([], kind) for _, kind in _PIECE]
             yield pa.RecordBatch.from_arrays(cols, names=[c for c, _ in _PIECE])

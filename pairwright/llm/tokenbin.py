@@ -11,9 +11,10 @@ followed by the end id.  Reading needs one block and its prior, or one file for
 the files' totals (one row a file) give each file's first position.
 
 The tokenizer file (under 16 MB, checked) is read by the driver and sent to
-the workers.  A text is cut at blanks that stand alone between two other
-characters, where no match of the pre-tokenizer crosses, and the pieces' ids
-are kept in a bounded cache per worker.  Only ``add_special_tokens=False`` is
+the workers.  The texts of an Arrow batch are cut together where no match of the
+pre-tokenizer crosses (``_cut_table``; of another tokenizer than byte-level BPE only at blanks
+that stand alone between two other characters).  Each distinct piece is asked for
+once a batch, and the pieces' ids are kept in a bounded cache per worker.  Only ``add_special_tokens=False`` is
 asked of the library: a text that spells an added token (<|endoftext|>) has
 that token's id there, as the tokenizer file says.
 
@@ -25,10 +26,14 @@ are ignored; an empty table gives an empty folder and no rows.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 import uuid
 import zlib
 from array import array
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +41,19 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm.bpe import pieces
+from pairwright.llm.bpe import CUT_CHARS, pieces
 from pairwright.llm.common import TIDY, keyed
 from pairwright.llm.rangecoder import BLOCK, LANES, Prior, decode_blocks, encode_blocks
 from pairwright.session import shuffle_partitions, staging_root
 
 END_ID = 0
 MAX_FILE, CACHE = 16 << 20, 1_000_000
-#: Letters or digits and a run of marks after them (two units of the pre-tokenizer; an apostrophe may join
-#: what follows it), or two such with a line feed between.
-_SIMPLE = regex.compile(r"(\p{L}+|\p{N}+)([^\s\p{L}\p{N}']*)(?:\n(\p{L}+|\p{N}+)([^\s\p{L}\p{N}']*))?")
-#: The marks that end most words.
-_MARKS = frozenset(".,;:!?)")
+BATCH = 1 << 23
+#: One unit of the pre-tokenizer, of digits or of letters.
+_SIMPLE = regex.compile(r" ?(?:\p{L}+|\p{N}+)")
+_BLANK = re.compile(rb"(?<=[!-~]) (?=[!-~])")
+#: Kinds of characters. Unsure: no cut beside it (white space beyond ASCII, what Unicode 3.2 did not know or had otherwise).
+_UNSURE, _LETTER, _DIGIT, _MARK, _APOSTROPHE, _SPACE, _WHITE = range(7)
 _STATE: dict = {}
 
 
@@ -59,83 +65,90 @@ def read_tokenizer(path: str) -> bytes:
     return raw
 
 
-class _Pieces(dict):
-    """Ids (as uint16 bytes) of a blank and the word after it, made when first asked for.
+@cache
+def _kinds() -> tuple[bytes, np.ndarray]:
+    """Kinds of bytes (ASCII only) and of code points below 65,536."""
+    kinds = np.zeros(1 << 16, np.uint8)
+    old = unicodedata.ucd_3_2_0
+    for i in range(33, 1 << 16):
+        c = chr(i)
+        kind = unicodedata.category(c)
+        if kind == old.category(c) and kind[0] not in "CZ":
+            kinds[i] = {"L": _LETTER, "N": _DIGIT}.get(kind[0], _MARK)
+    kinds[39], kinds[32], kinds[9:14] = _APOSTROPHE, _SPACE, _WHITE
+    return bytes(kinds[:128]) + bytes(128), kinds
 
-    Up to ``CACHE`` words are kept, the first to be met: frequent words are
-    among them.  Words with marks are put together from their units and kept
-    only in its first eighth; two words around a line feed seldom come
-    again and are not kept.  A word at whose ends the text must not be cut has
-    no ids (None).
+
+def _cut_table(plain: bool) -> bytes:
+    """Whether a text is cut between two kinds (first << 3 | second).
+
+    Of a plain tokenizer every cut is an end of a unit of the pre-tokenizer
+    (``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``), whatever stands around:
+    no unit holds letters before anything else, digits beside others, or what is not white space before white space;
+    only an apostrophe may join the letters after it.
+    """
+    table, word = bytearray(256), (_LETTER, _DIGIT, _MARK, _APOSTROPHE)
+    for a in word:
+        table[a << 3 | _SPACE] = 1
+        if plain:
+            table[a << 3 | _WHITE] = table[_WHITE << 3 | a] = 1  # the second only behind a white space that stands alone
+            for b in word:
+                table[a << 3 | b] = a != b and {a, b} != {_MARK, _APOSTROPHE} and (a, b) != (_APOSTROPHE, _LETTER)
+    return bytes(table)
+
+
+class _Units(dict):
+    """Ids (as uint16 bytes) of a piece of text, made when first asked for.
+
+    Up to ``CACHE`` pieces of under 100 characters are kept, the first to be
+    met: frequent words are among them.
     """
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.model, self.ends, self.heads = tokenizer, tokenizer.model, {"": b""}, {}
+        self.tokenizer, self.model = tokenizer, tokenizer.model
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte alphabet of byte-level BPE (fixed values)
         other = [b for b in range(256) if b not in printable]
         self.alphabet = {**{b: chr(b) for b in printable}, **{b: chr(256 + i) for i, b in enumerate(other)}}
-        self.feed = self._text("\n")
-        self.simple = all(self._model(w) == self._text(f" {w}") for w in ("the", "ün", "x", "Öffnungen", "47"))
+        self.sure = frozenset(map(chr, np.flatnonzero(_kinds()[1] == _LETTER).tolist()))
+        own = json.loads(tokenizer.to_str())
+        self.added = [t["content"].encode() for t in own["added_tokens"]]
+        #: Without a blank in it, an added token crosses no cut at a blank.
+        self.whole = any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in own["added_tokens"])
+        pre = own["pre_tokenizer"] or {}
+        self.simple = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") \
+            and own["model"]["type"] == "BPE" and not own["normalizer"] and (own["post_processor"] or {}).get("type", "ByteLevel") == "ByteLevel" \
+            and not own["truncation"] and not own["padding"] \
+            and all(self._model(w) == self._text(w) for w in (" the", " ün", " x", " Öffnungen", " 47", "here"))
 
     def _text(self, text: str) -> bytes:
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _model(self, stem: str, blank: str = " ") -> bytes:
+    def _model(self, unit: str) -> bytes:
         """A blank (or none) and letters or digits only: one unit of the pre-tokenizer, so the model alone decides."""
-        if stem.isascii():
-            unit = self.alphabet[32] + stem if blank else stem
+        if unit.isascii():
+            unit = self.alphabet[32] + unit[1:] if unit[0] == " " else unit
         else:
-            unit = (blank + stem).encode("utf-8").decode("latin-1").translate(self.alphabet)
+            unit = unit.encode("utf-8").decode("latin-1").translate(self.alphabet)
         return array("H", [t.id for t in self.model.tokenize(unit)]).tobytes()
 
-    def _once(self, known: dict, key: str, make) -> bytes:
-        ids = known.get(key)
-        if ids is None:
-            ids = make(key)
-            if len(known) < CACHE // 4 and len(key) < 100:
-                known[key] = ids
-        return ids
-
-    def _head(self, stem: str) -> bytes:
-        return self._model(stem, "")
-
-    def _around_feed(self, last: str, first: str) -> bytes | None:
-        """Ids of a word, a line feed and the next line's first word; None unless both are letters and a mark at most."""
-        stem, end = (last[:-1], last[-1]) if last[-1:] in _MARKS else (last, "")
-        next_stem, next_end = (first[:-1], first[-1]) if first[-1:] in _MARKS else (first, "")
-        if not (stem.isalpha() and next_stem.isalpha()):
-            return None
-        return self[stem] + self._once(self.ends, end, self._text) + self.feed + self._once(self.heads, next_stem, self._head) \
-            + self._once(self.ends, next_end, self._text)
-
-    def __missing__(self, word: str):
-        if self.simple and word.isalpha():
-            ids, room = self._model(word), CACHE
-        elif self.simple and word[-1:] in _MARKS and (stem := word[:-1]).isalpha():
-            ids, room = self[stem] + self._once(self.ends, word[-1], self._text), CACHE // 8
-        elif self.simple and "\n" in word and (ids := self._around_feed(*word.split("\n", 1))):
-            return ids
-        elif m := _SIMPLE.fullmatch(word) if self.simple else None:
-            stem, end, next_stem, next_end = m.groups()
-            room = CACHE // 8
-            if len(stem) == len(word):
-                ids = self._model(stem)
-            else:
-                ids = self[stem] + self._once(self.ends, end, self._text)
-            if next_stem:
-                return ids + self.feed + self._once(self.heads, next_stem, self._head) + self._once(self.ends, next_end, self._text)
-        elif not word or word[0].isspace() or word[-1].isspace():
-            ids, room = None, CACHE
+    def __missing__(self, piece: str) -> bytes:
+        stem = piece[1:] if piece[:1] == " " else piece
+        if self.simple and stem.isalpha() and (stem.isascii() or self.sure.issuperset(stem)):
+            ids = self._model(piece)
+        elif self.simple and stem.isascii() and stem[-1:].isdigit() and _SIMPLE.fullmatch(piece):
+            ids = self._model(piece)
+        elif len(piece) > CUT_CHARS and not self.whole:
+            ids = b"".join(map(self._text, pieces(piece)))
         else:
-            ids, room = self._text(" " + word), CACHE // 8
-        if len(self) < room:
-            self[word] = ids
+            ids = self._text(piece)
+        if len(self) < CACHE and len(piece) < 100:
+            self[piece] = ids
         return ids
 
 
 class TextEncoder:
-    """ids of a text as a uint16 array, through the tokenizers library."""
+    """ids of texts as uint16 arrays, through the tokenizers library."""
 
     def __init__(self, raw: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -143,18 +156,84 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_str(raw.decode("utf-8"))
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of 65,536 and more do not fit the format")
-        self.known = _Pieces(self.tokenizer)
+        self.known = _Units(self.tokenizer)
+        self.table = _cut_table(self.known.simple)
 
     def encode(self, text: str) -> np.ndarray:
-        first, *rest = text.split(" ")
-        if first and not first[-1].isspace():
-            known = self.known
-            try:
-                return np.frombuffer(known._text(first) + b"".join([known[w] for w in rest]), np.uint16)
-            except TypeError:  # a word without ids: blanks beside other white space
-                pass
-        parts = [np.frombuffer(self.known._text(p), np.uint16) for p in pieces(text)] if text else []
-        return np.concatenate(parts) if parts else np.empty(0, np.uint16)
+        return next(self.encode_column(pa.array([text], pa.string())))[0]
+
+    def encode_column(self, texts: pa.Array, batch: int | None = None):
+        """ids of some texts and how many ids each has, for text after text of the column, about ``batch`` bytes at a time."""
+        batch = batch or BATCH
+        texts = texts.fill_null("").cast(pa.large_string())
+        _, places, buffer = texts.buffers()
+        if not len(texts):
+            return
+        ends = np.frombuffer(places, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        data = np.frombuffer(buffer or b"", np.uint8)
+        i = 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + batch, side="right")) - 1)
+            own = ends[i:j + 1] - ends[i]
+            raw = data[ends[i]:ends[j]].tobytes()
+            if len(raw) <= batch or self.known.whole:
+                ids, at = self._encode(raw, own)
+                yield ids, np.diff(at)
+            else:  # a long text
+                parts, begin = [], 0
+                while begin < len(raw):
+                    m = _BLANK.search(raw, begin + batch)
+                    end = m.start() if m else len(raw)
+                    parts.append(self._encode(raw[begin:end], np.array([0, end - begin]))[0])
+                    begin = end
+                yield np.concatenate(parts), np.array([sum(map(len, parts))])
+            i = j
+
+    def _cuts(self, raw: bytes, ends: np.ndarray) -> np.ndarray:
+        """Where (in bytes) the pieces of the texts begin, and the end; every text's ``ends`` are among them."""
+        cut = np.zeros(len(raw) + 1, bool)
+        if not self.known.whole:
+            ascii_kinds, by_point = _kinds()
+            kinds = np.frombuffer(bytearray(raw.translate(ascii_kinds)), np.uint8)
+            if not raw.isascii():
+                data = np.frombuffer(raw, np.uint8)
+                lead = np.flatnonzero(data >= 0xC2)
+                head = data.take(lead).astype(np.int32)
+                for at, own, more in ((lead[head < 0xE0], head[head < 0xE0] & 31, 1),
+                                      (lead[(head >= 0xE0) & (head < 0xF0)], head[(head >= 0xE0) & (head < 0xF0)] & 15, 2)):
+                    for k in range(1, more + 1):
+                        own = own << 6 | data.take(at + k) & 63
+                    own = by_point.take(own)
+                    for k in range(more + 1):
+                        kinds[at + k] = own
+            cut[1:-1] = np.frombuffer((kinds[:-1] << 3 | kinds[1:]).tobytes().translate(self.table), bool)
+            if self.known.simple:
+                white = np.flatnonzero(kinds == _WHITE)
+                before = kinds.take(np.maximum(white - 1, 0))
+                alone = (white == 0) | (before >= _LETTER) & (before <= _APOSTROPHE)
+                cut[white[~alone] + 1] = False
+            if any(t in raw for t in self.known.added):
+                for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+                    if any(raw.find(t, a, b) >= 0 for t in self.known.added):
+                        cut[a:b] = False
+        cut[ends] = True
+        return np.flatnonzero(cut)
+
+    def _encode(self, raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the texts that ``raw`` joins, and their places among the ids."""
+        if not raw:
+            return np.empty(0, np.uint16), np.zeros(len(ends), np.int64)
+        cuts, known = self._cuts(raw, ends), self.known
+        found = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(raw)).dictionary_encode()
+        got = [known[p] for p in found.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) >> 1
+        which = found.indices.to_numpy()
+        n = sizes.take(which)
+        upto = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=upto[1:])
+        at = np.repeat((np.cumsum(sizes) - sizes).take(which) - upto[:-1], n)
+        at += np.arange(len(at))
+        return np.frombuffer(b"".join(got), np.uint16).take(at), upto.take(np.searchsorted(cuts, ends))
 
 
 def _encoder(raw: bytes) -> TextEncoder:
@@ -182,7 +261,7 @@ def _write(shared, block: int, lanes: int, end_id: int):
     def run(batches):
         from pyspark import TaskContext
         file, encoder = TaskContext.get().partitionId(), _encoder(shared.value)
-        held, size, ends, first, begun = [], 0, [], 0, 0
+        held, size, ends, first = [], 0, [], 0
 
         def frame(got):
             cols = list(zip(*got, strict=True))
@@ -190,14 +269,17 @@ def _write(shared, block: int, lanes: int, end_id: int):
                                               names=["file", "block", "doc_ids", "sizes", "coded", "prior"])
 
         for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = encoder.encode(text)
-                held.append(ids)
-                held.append(np.array([end_id], np.uint16))
-                begun += len(ids) + 1
-                size += len(ids) + 1
-                ends.append((size, doc, begun))
-                begun = 0
+            docs, i = b.column("doc_id").to_pylist(), 0
+            for ids, sizes in encoder.encode_column(b.column("text")):
+                sizes = sizes + 1
+                upto = np.cumsum(sizes)
+                new = np.full(len(ids) + len(sizes), end_id, np.uint16)
+                text = np.ones(len(new), bool)
+                text[upto - 1] = False
+                new[text] = ids
+                held.append(new)
+                ends.extend(zip((upto + size).tolist(), docs[i:i + len(sizes)], sizes.tolist(), strict=True))
+                i, size = i + len(sizes), size + len(new)
                 while size >= block * lanes:
                     all_ids = np.concatenate(held)
                     now = block * lanes

@@ -509,3 +509,39 @@ def test_coder_sums_counts_in_one_product():
         start, width = model.interval(np.full(3, sym, np.int64))
         assert start.tolist() == fields[:, :sym].sum(axis=1).tolist() and width.tolist() == fields[:, sym].tolist()
     assert model.symbols(np.array([7, 0, 6000])).tolist() == [2, 0, 2]
+
+
+def test_units_are_made_once(monkeypatch):
+    """Words with marks or around line feeds in ever new company need no more making than their distinct units."""
+    import public_tokenizers as P
+    enc = tokenbin.TextEncoder(tokenbin.read_tokenizer(P.path("byte_bpe_50k.json")))
+    made, kind = [], type(enc.known)
+    plain = kind.__missing__
+    monkeypatch.setattr(kind, "__missing__", lambda self, piece: (made.append(piece), plain(self, piece))[1])
+    rng = random.Random(7)
+    words = [f"w{a}{b}" for a in "abcde" for b in "éfgh"]
+    for _ in range(50):
+        t = "".join(rng.choice(words) + rng.choice([" ", "\n", ".\n", ",", "!$%% "]) for _ in range(60)) + "end"
+        assert enc.encode(t).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+    assert len(made) <= 2 * len(words) + 10
+
+
+def test_columns_as_the_library_encodes(monkeypatch):
+    """Also nulls, empty texts, added tokens, texts longer than a batch and slices of a column."""
+    import public_tokenizers as P
+    pa = tokenbin.pa
+    enc = tokenbin.TextEncoder(tokenbin.read_tokenizer(P.path("byte_bpe_50k.json")))
+    rng = random.Random(8)
+    marks = ["<|endoftext|>", "<|endoftext", " ", " ", "  ", "\n", "\r\n", "\u00a0", "a", "word", "17", ".", "'s", "''", "été", "日本", "\U0001f600", "\x1c"]
+    texts = [None, "", *("".join(rng.choice(marks) for _ in range(rng.randrange(15))) for _ in range(300)), "", "word, " * 50]
+    want = [enc.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    column = pa.array(["before", *texts], pa.string()).slice(1)
+    for simple in (True, False):  # also cut at blanks only, as for other tokenizers
+        monkeypatch.setattr(enc, "table", tokenbin._cut_table(simple))
+        monkeypatch.setattr(enc.known, "simple", simple)
+        for batch in (1, 40, None):
+            got = list(enc.encode_column(column, batch))
+            sizes = np.concatenate([n for _, n in got])
+            assert sizes.tolist() == list(map(len, want))
+            assert np.concatenate([ids for ids, _ in got]).tolist() == [i for w in want for i in w]
+    assert list(enc.encode_column(pa.array([], pa.string()))) == []
