@@ -1,11 +1,16 @@
 """Renaming cases and the fallback."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 from rename_cases import BROKEN_CASES, EXTRA_CASES, RENAME_CASES, RENAME_COUNTS
 
+from pairwright.operators import rename
 from pairwright.operators.normalize import normalize_code
-from pairwright.operators.rename import TEXT_BYTES, rename_identifiers, replacements, scope_spans, snippet_tokens, token_partitions, token_table
+from pairwright.operators.rename import (TEXT_BYTES, declarations, rename_identifiers, replacements, scope_mappings, scope_spans,
+                                         snippet_tokens, token_partitions, token_table)
+from pairwright.plans.catalog import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -98,3 +103,71 @@ def test_token_facts_over_batch_ends(spark):
     finally:
         spark.conf.set(key, before)
     assert got[0] == got[1] and len(got[0]) > 500
+
+
+@pytest.mark.parametrize("name", ["rename_identifiers", "rename_shapes", "normalize_renamed"])
+def test_texts_pass_once(spark, sf, name, monkeypatch):
+    """One shuffle, of the texts as they come; no join, no window and nothing stored on the way."""
+    stored = []
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *args, **kwargs: stored.append(path))
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not stored
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Window" not in plan
+    assert "regexp" not in plan.split("Exchange")[1]  # the rules run in the parts, not in the scan's few tasks
+
+
+def spliced(spark, df, **kinds):
+    """(id, code, renamed) by the steps one by one, each over its stored tables."""
+    n = token_partitions(df)
+    sig = snippet_tokens(df, partitions=n, **kinds).localCheckpoint()
+    scopes = scope_spans(sig, n).localCheckpoint()
+    maps = scope_mappings(declarations(sig, scopes, n), n).localCheckpoint()
+    reps: dict = {}
+    for r in replacements(sig, scopes, maps, n).collect():
+        reps.setdefault(r.sid, {})[r.pos] = r.new_name
+    rows = df.select("snippet_id", F.regexp_extract_all("code", F.lit(rename.TOKEN_RX), 0).alias("toks")).collect()
+    return sorted((repr(r.snippet_id), "".join(reps.get(r.snippet_id, {}).get(i, t) for i, t in enumerate(r.toks)), r.snippet_id in reps) for r in rows)
+
+
+@pytest.mark.parametrize("kinds", [{}, {"declared": True}], ids=["all tokens", "declared names"])
+def test_one_pass_gives_what_the_steps_give(spark, kinds):
+    """Also for ids that repeat or are missing and for letters beyond ASCII."""
+    codes = [c[1] for c in RENAME_CASES + EXTRA_CASES + BROKEN_CASES]
+    codes.append("class A { void f(int \u00e9, int \u65e5\u672c, int x) { use(\u00e9 + \u65e5\u672c + \u2167 + x); } }")
+    rows = [*enumerate(codes), *list(enumerate(codes))[:12], (None, codes[0]), (None, "abstract class B { abstract void g(int p); }"), (999, ""), (998, "a { b (")]
+    df = spark.createDataFrame(rows, "snippet_id long, code string").repartition(3)
+    got = {r.snippet_id: r for r in rename_identifiers(df).collect()}
+    assert got[len(codes) - 1].code == "class A { void f(int num1, int num2, int num3) { use(num1 + num2 + \u2167 + num3); } }"
+    assert not got[None].renamed
+    assert sorted((repr(r.snippet_id), r.code, r.renamed) for r in rename_identifiers(df).collect()) == spliced(spark, df, **kinds)
+
+
+def test_other_columns_pass(spark):
+    df = spark.createDataFrame([("x", "void f(int p) { use(p); }", 1), (None, None, None), ("z", "text", 3)], "a string, code string, snippet_id long")
+    got = rename_identifiers(df)
+    assert got.columns == ["snippet_id", "a", "code", "renamed"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(
+        [(1, "x", "void f(int num1) { use(num1); }", True), (None, None, None, False), (3, "z", "text", False)], key=repr)
+
+
+def test_spans_and_declarations_deal_no_tokens(spark):
+    """Spans are read off the tokens; declarations deal declared names and spans only, once."""
+    df = spark.createDataFrame([(1, "class A { void f(int p) { int q = p; use(p, q); } int x; }")], "snippet_id long, code string")
+    sig = snippet_tokens(df, partitions=3, declared=True).localCheckpoint()
+    assert sorted(r.tok for r in sig.collect()) == ["(", "p", "p", "p", "q", "q"]
+    scopes = scope_spans(sig, 3)
+    assert "Exchange" not in scopes._jdf.queryExecution().executedPlan().toString()
+    decls = declarations(sig, scopes.localCheckpoint(), 3)
+    assert decls._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted((r.name, r.bucket, r.is_local) for r in decls.collect()) == [("p", "num", 0), ("q", "num", 1)]
+
+
+def test_batches_are_cut_between_ids(monkeypatch):
+    monkeypatch.setattr(rename, "_CHUNK", 4)
+    ids = [1, 1, 2, 3, 3, 3, 4, None, None, 5]
+    b = pa.RecordBatch.from_pydict({"sid": ids, "toks": [["t"] * n for n in (1, 1, 1, 9, 1, 1, 2, 1, 1, 0)]})
+    for parts in ([b], [b.slice(i, 1) for i in range(len(ids))], [b.slice(0, 5), b.slice(5)]):
+        got = [x.column("sid").to_pylist() for x in rename._whole_snippets(parts, "sid", "toks")]
+        assert [i for x in got for i in x] == ids
+        assert all(x[-1] != y[0] for x, y in zip(got, got[1:]))
+    assert [x.column("sid").to_pylist() for x in rename._whole_snippets([b], "sid", "toks")] == [[1, 1, 2], [3, 3, 3], [4, None, None], [5]]

@@ -115,3 +115,9 @@ def test_empty_snippet_untouched(spark):
     df = spark.createDataFrame([(1, ""), (2, "  int x = 1; // c\n")], "snippet_id long, code string")
     got = {r.snippet_id: r.code for r in normalize_code(df).collect()}
     assert got == {1: "", 2: "int x = <NUM>;\n"}
+
+
+def test_bucket_of_one_text(spark):
+    types = ["int", "int[]", "java.lang.String", "a.b.CharSequence[][]", "List<String>", "double...", "x.", "char]", "boolean[", "[]", "", "void", "Map<K,V>[]"]
+    rows = spark.createDataFrame([(t,) for t in types], "t string").select("t", T.type_bucket("t").alias("b")).collect()
+    assert [(r.t, T.bucket_of(r.t)) for r in rows] == [(r.t, r.b) for r in rows]
