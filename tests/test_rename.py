@@ -11,6 +11,7 @@ from pairwright.operators.normalize import normalize_code
 from pairwright.operators.rename import (TEXT_BYTES, declarations, rename_identifiers, replacements, scope_mappings, scope_spans,
                                          snippet_tokens, token_partitions, token_table)
 from pairwright.plans.catalog import QUERIES
+from pairwright.plans.rename_plans import SHAPES
 
 
 @pytest.fixture(scope="module")
@@ -171,3 +172,13 @@ def test_batches_are_cut_between_ids(monkeypatch):
         assert [i for x in got for i in x] == ids
         assert all(x[-1] != y[0] for x, y in zip(got, got[1:]))
     assert [x.column("sid").to_pylist() for x in rename._whole_snippets([b], "sid", "toks")] == [[1, 1, 2], [3, 3, 3], [4, None, None], [5]]
+
+
+def test_orders_without_a_customer_name_no_shape(spark, tmpdir_path):
+    rows = [(k, None if k % 3 == 0 else k, "F") for k in range(36)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmpdir_path}/orders.parquet")
+    got = {r.snippet_id: r for r in QUERIES["rename_shapes"](spark, tmpdir_path).collect()}
+    assert len(got) == 36
+    for k, cust, _ in rows:
+        assert got[k].renamed == (cust is not None)
+        assert cust is None or got[k].code == SHAPES[cust % len(SHAPES)][1].replace("#K", str(k))
